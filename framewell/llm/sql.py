@@ -27,12 +27,12 @@ WITH d AS (
          ('0x' || substr(md5('17:' || src), 1, 3))::BIGINT + 1 AS phase
   FROM e
 ), g AS (
-  SELECT *, row_number() OVER (ORDER BY (4096 * rk - phase)::DOUBLE / (4096 * total)::DOUBLE, src, rk) - 1 AS at,
+  SELECT *, row_number() OVER (ORDER BY (4096 * rk - phase)::DOUBLE / (4096 * total)::DOUBLE, src, rk) - 1 AS pos,
          count(*) OVER () AS n
   FROM r
 )
-SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (at * 24 // n)::INTEGER AS shard,
-       (at - ((at * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 24 // n)::INTEGER AS shard,
+       (pos - ((pos * 24 // n) * n + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard, source
 FROM g
 """
 
