@@ -6,6 +6,7 @@ Pieces then follow from merges within words: no piece of such a model runs from
 
 from __future__ import annotations
 
+import array
 import functools
 import heapq
 import itertools
@@ -13,6 +14,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,7 +123,10 @@ class Codec:
         self.end = m.pieces.index("</s>")
         self.longest = max(map(len, m.charmap), default=0)
         self.raw = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else p.replace(SPACE, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
-        self.cache: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
+        if BYTE not in m.kinds:
+            raise ValueError("without byte pieces the length of an unknown piece can't be told")
+        self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(m.pieces, m.kinds, strict=True)], dtype=np.int64)
+        self.cache: dict[str, bytes] = {}
 
     # Normalising.
 
@@ -201,65 +206,61 @@ class Codec:
                     heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
         return [p for p in parts if p]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Ids and byte lengths, in normalised bytes, of a word's pieces. A byte piece stands for one byte."""
-        if (got := self.cache.get(word)) is not None:
-            return got
+    def word(self, word: str) -> bytes:
+        """The ids of a word's pieces, four bytes each; a piece that the model lacks gives an id for each of its bytes."""
         ids: list[int] = []
-        sizes: list[int] = []
         for piece in self._merge(word):
             if (known := self.ids.get(piece)) is not None:
                 ids.append(known)
-                sizes.append(len(piece.encode()))
-            elif self.bytes:
-                raw = piece.encode("utf-8", "replace")
-                ids += [self.bytes[b] for b in raw]
-                sizes += [1] * len(raw)
             else:
-                ids.append(self.unknown)
-                sizes.append(len(piece.encode("utf-8", "replace")))
-        out = (tuple(ids), tuple(sizes))
-        if len(word) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[word] = out
-        return out
+                ids += [self.bytes[b] for b in piece.encode("utf-8", "replace")]
+        return array.array("i", ids).tobytes()
 
-    def words(self, normalised: str) -> list[str]:
-        """Runs of spaces, each with the word after it."""
-        cut = normalised.split(SPACE)
-        out, spaces = ([cut[0]] if cut[0] else []), 0
-        for word in cut[1:]:
-            spaces += 1
-            if word:
-                out.append(SPACE * spaces + word)
-                spaces = 0
-        return [*out, SPACE * spaces] if spaces else out
-
-    def encode(self, text: str) -> tuple[list[int], list[int]]:
+    def words(self, normalised: str) -> list[bytes]:
+        """The ids of each word, where a word takes the spaces before it. The cache is keyed by words less their first space."""
+        if not normalised.startswith(SPACE):
+            normalised, head = normalised[(normalised + SPACE).index(SPACE) :], self.word(normalised.partition(SPACE)[0])
+        else:
+            head = b""
+        cut = normalised[1:].split(SPACE) if normalised else []
+        if "" in cut:
+            joined, spaces = [], 0
+            for word in cut:
+                if word:
+                    joined.append(SPACE * spaces + word)
+                    spaces = 0
+                else:
+                    spaces += 1
+            cut = [*joined, SPACE * (spaces - 1)] if spaces else joined
+        found = list(map(self.cache.get, cut))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    word = cut[i]
+                    if (ids := self.cache.get(word)) is None:
+                        ids = self.word(SPACE + word)
+                        if len(word) <= CACHE_CHARS:
+                            if len(self.cache) >= CACHE_WORDS:
+                                self.cache.clear()
+                            self.cache[word] = ids
+                    found[i] = ids
+        return [head, *found]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids with an end id, and the bytes of ``text`` at which the pieces begin, with the text's length last for the end id.
 
         A piece's span runs from its own begin to the next one's; the dummy prefix's bytes are none of the text's.
         """
         normalised, origin = self.normalise(text)
-        ids: list[int] = []
-        sizes: list[int] = []
-        cache, word = self.cache, self.word
-        for w in self.words(normalised):
-            got = cache.get(w) or word(w)
-            ids += got[0]
-            sizes += got[1]
-        begins = self.project(normalised, text, sizes, origin)
-        ids.append(self.end)
-        return ids, begins
-
-    def project(self, normalised: str, text: str, sizes: list[int], origin: list[int] | None) -> list[int]:
-        """Where pieces of ``sizes`` normalised bytes begin in the bytes of ``text``."""
-        import numpy as np
+        ids = np.frombuffer(b"".join(self.words(normalised)), dtype=np.int32)
+        begins = self.project(normalised, text, self.sizes[ids], origin)
+        return np.append(ids, np.int32(self.end)), begins
 
-        ends = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
+    def project(self, normalised: str, text: str, sizes: np.ndarray, origin: list[int] | None) -> np.ndarray:
+        """Where pieces of ``sizes`` normalised bytes begin in the bytes of ``text``."""
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
         if origin is not None:
-            return np.array(origin, dtype=np.int64)[ends].tolist()
+            return np.array(origin, dtype=np.int32)[ends]
         # Without a character map only spaces differ: three bytes of a mark stand for one of a space, and the dummy prefix for none.
         raw = np.frombuffer(normalised.encode("utf-8", "replace"), dtype=np.uint8)
         marks = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)) if len(raw) > 2 else np.zeros(0, np.int64)
@@ -269,7 +270,7 @@ class Codec:
             first = int(self.model.dummy_prefix)
             spaces = np.concatenate([marks[:first], marks[first:][own[(own == 32) | (own == 0xFF)] == 32]])
         shift = 2 * np.searchsorted(spaces, ends) + (self.model.dummy_prefix and len(raw) > 0) * (ends > 0)
-        return np.maximum(ends - shift, 0).tolist()
+        return np.maximum(ends - shift, 0).astype(np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: control ids give nothing, and the space of a dummy prefix goes."""
@@ -303,14 +304,11 @@ def encode(docs: DataFrame, model_path: str, *, id_cols: tuple[str, ...] = ("doc
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                ids, begins, texts = [], [], []
-                for text in part.column(n).to_pylist():
-                    one, where = use.encode(text or "")
-                    ids.append(one)
-                    begins.append(where)
-                    texts.append(use.decode(one))
+                done = [use.encode(text or "") for text in part.column(n).to_pylist()]
+                offsets = np.cumsum([0, *(len(ids) for ids, _ in done)], dtype=np.int32)
+                flat = [pa.ListArray.from_arrays(offsets, np.concatenate(x)) for x in zip(*done, strict=True)]
+                made = [*flat, pa.array([use.decode(ids.tolist()) for ids, _ in done], pa.string())]
                 columns = [part.column(i) for i in range(n)]
-                made = [pa.array(ids, pa.list_(pa.int32())), pa.array(begins, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[*id_cols, "ids", "begins", "decoded"])
 
     return docs.select(*id_cols, F.col(text_col).cast("string")).mapInArrow(run, schema)
