@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secret_scan, sentencepiece_codec, sharding
+from . import lang_id, pii, secret_scan, sentencepiece_codec, sharding
 
 
 #: The tokenizer of the encoding query.
@@ -38,4 +38,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan_secrets(_read(spark, sf_dir, "documents"), keep=("doc_id",)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op5_pii, op8_secrets)}
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    out = lang_id.identify(docs.select("doc_id", lang_id.held_out().alias("held_out"), "text"), lang_id.train(docs))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op5_pii, op8_secrets, op9_language)}
