@@ -36,4 +36,18 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 24 // n):
 FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1}
+OP4 = """
+WITH c AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id
+), p AS (
+  SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)
+), m AS (
+  SELECT min(conv_id) AS conv_id, l FROM c WHERE l NOT IN (SELECT l FROM p) GROUP BY l
+)
+SELECT conv_id, 0 AS chunk, len(l)::BIGINT AS n_turns,
+       array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) ||
+         replace(replace(coalesce(x.text, ''), '<|im_start|>', '<im>'), '<|im_end|>', '<im>') || '<|im_end|>' || chr(10)), '') AS rendered
+FROM m
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1, "op4_chat": OP4}
