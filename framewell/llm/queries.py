@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lang_id, pii, secret_scan, sentencepiece_codec, sharding
+from . import ann, chat, lang_id, ngram_join, pii, secret_scan, sentencepiece_codec, sharding
 
 
 #: The tokenizer of the encoding query.
@@ -38,6 +38,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(_read(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     asked = vectors.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
@@ -54,4 +58,4 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_chat, op5_pii, op7_neighbours, op8_secrets, op9_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language)}
