@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lang_id, ngram_join, pii, secret_scan, sentencepiece_codec, sharding
+from . import ann, chat, lang_id, ngram_join, pii, secret_scan, sentencepiece_codec, sharding, suffix_dedup
 
 
 #: The tokenizer of the encoding query.
@@ -58,4 +58,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language, op10_suffix_dedup)}
