@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -105,10 +105,10 @@ def _scan(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
             lengths = [0 if p is None else len(p) for p in prefixes]
             flat = np.concatenate([p for p in prefixes if p is not None] or [np.zeros(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(np.cumsum([0, *lengths], dtype=np.int32), flat)
-            columns = [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(ms, pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "size", "number", "m", "prefix"])
+            columns = [batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64()), pa.array(ms, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "key", "size", "number", "m", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, size long, number long, m int, prefix array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, key binary, size long, number long, m int, prefix array<long>")
 
 
 def _candidates(scanned: DataFrame, percent: int) -> DataFrame:
@@ -223,6 +223,19 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     return placed.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, size, and component of every row of ``rows`` (doc_id, text); component is a node, NAMELESS or more where no row has an id, and null without a set."""
+    scanned = table(_scan(rows, words, percent, sketch(rows, words)))
+    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(NAMELESS - 1))
+    classes = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node"))
+    groups = table(components(_candidates(scanned, percent)).select(F.col("node").alias("number"), F.col("component").alias("grp")))
+    sets = _sets(rows, words, _filter(groups)).dropDuplicates(["key"]).join(groups, "number").join(classes, "key")
+    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    links = table(_links(sets.select("grp", "node", "shingles").join(sizes, "grp"), percent))
+    named = classes.join(components(links), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    return scanned.select("doc_id", "text_hash", "size", "key").join(named, "key", "left")
+
+
 def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
     """For every row of ``docs``: doc_id, n_shingles (long) and component_id (long), the smallest doc_id reachable by links, the row's own included.
 
@@ -231,17 +244,22 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     their own component. Equal sets are one class, compared once. Rows that share a doc_id are one node. A row with a null doc_id takes its component's smallest id, or null.
     No part of a group is dropped: shingles in very many prefixes tie their documents into groups, which are compared in blocks of BLOCK by BLOCK.
     """
-    spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scanned = table(_scan(rows, words, percent, sketch(rows, words)))
-    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(NAMELESS - 1))
-    classes = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node"))
-    groups = table(components(_candidates(scanned, percent)).select(F.col("node").alias("number"), F.col("component").alias("grp")))
-    sets = _sets(rows, words, _filter(groups)).dropDuplicates(["key"]).join(groups, "number").join(classes, "key")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    links = table(_links(sets.select("grp", "node", "shingles").join(sizes, "grp"), percent))
-    found = components(links)
-    named = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
-    named = named.select("key", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"))
-    out = scanned.select("doc_id", "size", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = _components(rows, words, percent)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).when(F.col("component") < NAMELESS, F.col("component"))
+    return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` less near copies: of each component of similarity_components the row with the smallest id stays, one row of it if it is repeated.
+
+    Rows without words are no copies and stay. A component in which no row has an id keeps one row.
+    """
+    some = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.filter(some).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("first")
+    kept = _components(rows, words, percent).groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    hashed = docs.filter(some).withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
+    chosen = hashed.join(kept.withColumnsRenamed({"_id": "_kept", "_hash": "_kept_hash"}), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
+    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))).filter("_nth = 1")
+    return chosen.select(*docs.columns).unionByName(docs.filter(~some))

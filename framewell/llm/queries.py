@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lang_id, ngram_join, pii, secret_scan, sentencepiece_codec, sharding, suffix_dedup
+from . import ann, chat, decontaminate, lang_id, ngram_join, pii, secret_scan, sentencepiece_codec, sharding, suffix_dedup
 
 
 #: The tokenizer of the encoding query.
@@ -26,6 +26,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL)))
 
@@ -62,4 +67,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language, op10_suffix_dedup)}
