@@ -1,16 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicate removal, benchmark decontamination, secret redaction and tokenizing.
+
+Each stage takes all rows that the one before kept. All but the last return the columns of documents; the last returns token ids.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+from framewell.llm import decontaminate, lang_id, ngram_join, secret_scan, sentencepiece_codec
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Documents whose language is predicted with less than this are rejected, as are those without letters.
+LEAST_SCORE = 0.5
+PIECE_MODEL = "piece_bpe_32k.model"
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters and those whose language is uncertain; the classifier learns from the labelled rows of ``docs``."""
+    found = lang_id.identify(docs, lang_id.train(docs), pred_col="_lang", score_col="_score")
+    return found.filter((F.col("_lang") != lang_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group that shingles of five words tie together at a similarity of 0.8."""
+    return ngram_join.one_of_each_group(docs, words=5, percent=80)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a passage of the benchmark."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks live-looking credentials in the texts, and keeps examples that many owners share; n_chars follows the new text."""
+    out = secret_scan.redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang and source with the texts' ids, an end id last, and their number."""
+    encoded = sentencepiece_codec.encode(docs, public_tokenizers.path(PIECE_MODEL), id_cols=("doc_id", "lang", "source"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("secrets", secrets),
+    ("tokens", tokens),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Language ID, the similarity join's components and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, without files in between."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
