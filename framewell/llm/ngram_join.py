@@ -20,11 +20,11 @@ from ._shingles import batch_shingles, batch_words, mix, runs
 from ._spark import table
 
 #: Counters of the frequency sketch and of the filter of candidates: both are of a fixed size, whatever the corpus, and only save work.
-SKETCH, FILTER_BITS = 1 << 18, 1 << 23
+SKETCH, FILTER_BITS = 1 << 20, 1 << 23
 #: The largest m, and what comparing a candidate costs against reading one entry of a posting list.
 MOST_MATCHES, VERIFY_COST = 4, 50.0
 #: A shingle in more prefixes than this ties its documents into one group instead of giving pairs.
-HOT = 32
+HOT = 64
 #: Documents in a block of a group; a task compares two blocks.
 BLOCK = 512
 #: Sets that a task remembers in order to send the prefix of equal ones once.
@@ -35,6 +35,8 @@ NAMELESS = 1 << 62
 
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
     """How often shingles occur in the whole corpus, by SKETCH hashed counters."""
+    parts = 256
+    width = SKETCH // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(SKETCH, dtype=np.int64)
@@ -45,16 +47,24 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
                     at = begin[1:-1] - k
                     keep[at[(at >= 0) & (at < len(keep))]] = False
                 seen += np.bincount((runs(hashes, n)[keep] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["at", "n"])
-
-    sums = docs.select("text").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    # As few rows as can be: the counters go to the driver in 256 arrays.
-    packed = sums.groupBy((F.col("at") / (SKETCH // 256)).cast("int").alias("part")).agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
-    out = np.zeros(SKETCH, dtype=np.int64)
-    for r in packed.toLocalIterator():
-        out[r["at"]] = r["n"]
-    return out
+        rows = [np.minimum(p, 0xFFFFFFFF).astype(np.uint32).tobytes() for p in seen.reshape(parts, width)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
+
+    def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in groups:
+            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                now = np.frombuffer(counts, dtype=np.uint32 if len(counts) == 4 * width else np.int64)
+                sums[part] = sums.get(part, np.zeros(width, np.int64)) + now
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
+
+    # A task streams through the arrays of its parts and holds one sum for each; all of them are SKETCH counters, whatever the corpus.
+    schema = "part int, counts binary"
+    sums = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    out = np.zeros((parts, width), dtype=np.int64)
+    for r in sums.toLocalIterator():
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    return out.ravel()
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -141,7 +151,7 @@ def _filter(numbers: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
-    """key, number and set of the rows whose number passes the filter; a task sends equal ones once."""
+    """key and set of the rows whose number passes the filter; a task sends equal ones once."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,11 +167,11 @@ def _sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
                         sent.add(key)
-                        out.append((key, number, s.tobytes()))
-            keys, numbers, sets = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], names=["key", "number", "shingles"])
+                        out.append((key, s.tobytes()))
+            keys, sets = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "key binary, number long, shingles binary")
+    return docs.select("text").mapInArrow(run, "key binary, shingles binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -227,11 +237,12 @@ def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, size, and component of every row of ``rows`` (doc_id, text); component is a node, NAMELESS or more where no row has an id, and null without a set."""
     scanned = table(_scan(rows, words, percent, sketch(rows, words)))
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(NAMELESS - 1))
-    classes = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node"))
+    classes = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node"), F.min("number").alias("number"))
     groups = table(components(_candidates(scanned, percent)).select(F.col("node").alias("number"), F.col("component").alias("grp")))
-    sets = _sets(rows, words, _filter(groups)).dropDuplicates(["key"]).join(groups, "number").join(classes, "key")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    links = table(_links(sets.select("grp", "node", "shingles").join(sizes, "grp"), percent))
+    members = classes.join(groups.join(sizes, "grp"), "number").select("key", "node", "grp", "blocks")
+    sets = _sets(rows, words, _filter(groups)).join(members, "key").dropDuplicates(["key"])
+    links = table(_links(sets.select("grp", "blocks", "node", "shingles"), percent))
     named = classes.join(components(links), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return scanned.select("doc_id", "text_hash", "size", "key").join(named, "key", "left")
 
