@@ -12,7 +12,7 @@ SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Blocks of a fingerprint: one more than the radius, so that two fingerprints within it agree in one block at least.
 BLOCKS = RADIUS + 1
 #: Benchmark shingles up to this many are broadcast to the documents' scan; beyond, the scan is shuffled to them.
-BROADCAST_SHINGLES = 500_000
+BROADCAST_SHINGLES = 200_000
 
 
 def words(text: Column) -> Column:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed n-grams, and the lengths of n-grams.
 FEATURES, LENGTHS = 1 << 16, (1, 2, 3)
-#: The classifier is fitted on about this many training rows of each language, chosen by a hash of their text; whole texts are used.
-SAMPLE_PER_LANGUAGE = 1500
+#: The classifier is fitted on about this many training rows of each language, chosen by a hash of the row; whole texts are used. It learns so many languages, the commonest.
+SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 1500, 200
 #: Odd multipliers that spread n-grams over the buckets.
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -157,14 +157,15 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     Without such rows the model knows no language and predicts ``und``. With one language it always predicts that.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"))
+    rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)).alias("draw"))
     df = document_frequencies(rows)
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
     spark = docs.sparkSession
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
-    # A row joins the sample if its hash falls below its language's share; languages are few, so their table is small.
-    chosen = rows.join(F.broadcast(sizes.select(F.col("lang"), share.alias("share"))), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # A row joins the sample if its hash falls below its language's share. Copies of a text are drawn by themselves, so that many of them don't fill the sample.
+    chosen = rows.join(F.broadcast(sizes.select(F.col("lang"), share.alias("share"))), "lang").filter(F.col("draw") < F.col("share") * (1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
