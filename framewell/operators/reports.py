@@ -76,14 +76,14 @@ def boundary_f1(boundaries: DataFrame, keys: DataFrame, tolerance: int) -> DataF
     """
     configs = boundaries.select("config").distinct()
     pairs = configs.join(configs.withColumnRenamed("config", "other_config"), F.col("config") != F.col("other_config"))
-    hits = hit_counts(boundaries, pairs, tolerance)
-    grid = pairs.withColumnRenamed("other_config", "other").join(keys.select("key"), F.lit(True))
-    own = grid.join(hits, ["config", "other", "key"], "left").fillna(0, ["boundaries", "hits"])
+    own = hit_counts(boundaries.join(keys.select("key"), "key", "left_semi"), pairs, tolerance)
     back = own.select(F.col("config").alias("other"), F.col("other").alias("config"), "key", F.col("boundaries").alias("theirs"), F.col("hits").alias("their_hits"))
-    both = own.join(back, ["config", "other", "key"])
     p, r = F.col("hits") / F.nullif(F.col("boundaries"), F.lit(0)), F.col("their_hits") / F.nullif(F.col("theirs"), F.lit(0))
-    f1 = F.when((F.col("boundaries") == 0) & (F.col("theirs") == 0), 1.0).otherwise(F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)))
-    return both.groupBy("config", "other").agg(F.round(F.avg(f1), 6).alias("f1"))
+    f1 = F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
+    sums = own.join(back, ["config", "other", "key"]).groupBy("config", "other").agg(F.sum(f1).alias("sum"), F.count(F.lit(1)).alias("n"))
+    # Keys of which neither side has a boundary are in no row, and agree.
+    total = keys.agg(F.count(F.lit(1)).alias("keys"))
+    return sums.join(F.broadcast(total), F.lit(True)).select("config", "other", F.round((F.col("sum") + F.col("keys") - F.col("n")) / F.col("keys"), 6).alias("f1"))
 
 
 def tally(df: DataFrame, best: str, worst: str) -> DataFrame:
