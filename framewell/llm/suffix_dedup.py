@@ -28,8 +28,8 @@ LEAD = WIDTH // 2
 BATCHES = 2
 #: The filter of matched entries: of a fixed size, whatever the corpus; it only saves work.
 FILTER_BITS = 1 << 26
-#: Entries that occur more often are compared by a shuffle of their windows' hashes instead of in one task.
-HOT = 50_000
+#: Entries that occur more often are compared by a shuffle of their windows' hashes instead of in one task: so many windows of one entry fit in a worker.
+HOT = 200_000
 #: Bytes of text that a task hashes at once, texts that it remembers in order to send the entries of equal ones once, and bytes of windows that it compares at once.
 CHUNK, REMEMBERED, COMPARED = 1 << 20, 200_000, 4 << 20
 _U = np.uint64
@@ -307,8 +307,7 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
     if hot.isEmpty():
         spans = _compare(windows)
     else:
-        # There are few hot keys, at most the entries over HOT, but their number has no bound: the plan decides how to join them.
-        windows = table(windows)
+        # The hot keys are at most the entries over HOT; from their table's size the plan decides how to join them. The texts are scanned once more, which needs no disk.
         spans = _compare(windows.join(hot, "key", "left_anti")).unionByName(_compare_hot(windows.join(hot, "key", "left_semi")))
     marks = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")

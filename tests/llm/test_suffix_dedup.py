@@ -43,7 +43,7 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot,batches", [(50_000, 2), (3, 1), (50_000, 5)])
+@pytest.mark.parametrize("hot,batches", [(200_000, 2), (3, 1), (200_000, 5)])
 def test_against_brute_force(spark, monkeypatch, hot, batches):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rows = made(batches)
