@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders of sessions without a shared one, by application.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="framewell-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+        return folder
+    name = spark.sparkContext.applicationId
+    if name not in _own:
+        _own[name] = tempfile.mkdtemp(prefix="framewell-")
+    return _own[name]
 
 
 def table(df: DataFrame) -> DataFrame:
