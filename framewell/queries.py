@@ -18,6 +18,7 @@ from .operators import selection as P
 from .operators import signals as G
 from .operators import windows as W
 from .plans import assembly as A
+from .plans import audit as U
 from .plans import constraints as C
 from .plans import labeling as L
 from .sources import tables as T
@@ -709,6 +710,28 @@ def snk4_quarantine(spark, sf):
     return good.select("key", "start", "end", F.lit(True).alias("valid")).unionByName(bad.select("key", "start", "end", F.lit(False).alias("valid")))
 
 
+@query("con3_category_audit", """WITH t AS (SELECT DISTINCT p_type AS task FROM part WHERE p_size < 45), c AS (SELECT p_type AS task, p_brand AS category, CASE WHEN p_size > 48 THEN 'dance' ELSE 'grasp' END AS verb FROM part WHERE p_size > 40)
+SELECT 'unmapped' AS check, count(*) AS failing, count(*) = 0 AS passed FROM t WHERE task NOT IN (SELECT task FROM c) UNION ALL SELECT 'ghost', count(DISTINCT task), count(*) = 0 FROM c WHERE task NOT IN (SELECT task FROM t)
+UNION ALL SELECT 'mapped_twice', count(*), count(*) = 0 FROM (SELECT task FROM c GROUP BY task HAVING count(*) > 1) UNION ALL SELECT 'unknown_verb', count(*), count(*) = 0 FROM c WHERE verb = 'dance'""")
+def con3_category_audit(spark, sf):
+    part = T.read(spark, sf, "part")
+    verbs = F.array(F.when(F.col("p_size") > 48, "dance").otherwise("grasp"))
+    categories = part.filter("p_size > 40").select(F.col("p_type").alias("task"), F.col("p_brand").alias("category"), verbs.alias("verbs"))
+    return U.audit_categories(part.filter("p_size < 45").select(F.col("p_type").alias("task")), categories, V.ACTIONS)
+
+
+@query("con4_series_audit", f"""WITH {FRAMES}, g AS (SELECT key, count(*) AS rows, count(DISTINCT frame) AS d, max(frame) AS last, count_if(x IS NULL) AS broken, avg((NOT valid)::INT) AS inv FROM f WHERE NOT (key = 3 AND frame = 5) GROUP BY key),
+n AS (SELECT key, count(*) + CASE WHEN key % 50 = 0 THEN 2 ELSE 0 END AS n FROM f WHERE key <> 4 GROUP BY key), b AS (SELECT * FROM g FULL JOIN n USING (key)),
+c AS (SELECT unnest([{{'check': 'paired', 'bad': rows IS NULL OR n IS NULL}}, {{'check': 'dense', 'bad': coalesce(d <> last + 1, TRUE)}}, {{'check': 'single', 'bad': coalesce(rows <> d, TRUE)}}, {{'check': 'length', 'bad': coalesce(abs(rows - n) > 1, TRUE)}},
+{{'check': 'finite', 'bad': coalesce(broken > 0, TRUE)}}, {{'check': 'invalid_share', 'bad': coalesce(inv > 0.2, TRUE)}}, {{'check': 'long_enough', 'bad': coalesce(rows < 52, TRUE)}}]) AS r FROM b)
+SELECT r.check AS check, count_if(r.bad)::BIGINT AS failing, count_if(r.bad) = 0 AS passed FROM c GROUP BY 1""")
+def con4_series_audit(spark, sf):
+    f = T.frames(spark, sf)
+    n = F.count(F.lit(1)) + F.when(F.first("key") % 50 == 0, 2).otherwise(0)
+    declared = f.filter("key <> 4").groupBy("key").agg(n.alias("n_frames"))
+    return U.audit_series(f.filter("NOT (key = 3 AND frame = 5)"), declared, most_invalid=0.2, least_frames=52)
+
+
 @query("drv3_sweep", f"""WITH {N}, c(config, span, advance) AS (VALUES ('s0_o33', 12, 8), ('s1_o33', 24, 16), ('s2_o33', 36, 24), ('s1_o00', 24, 24), ('s1_o50', 24, 12))
 SELECT config, sum(greatest(0, ceil((n_frames - span) / advance)) + 1)::BIGINT AS windows FROM n, c GROUP BY config""")
 def drv3_sweep(spark, sf):
