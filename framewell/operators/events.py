@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from .folds import fold_keys
 from .signals import line, whole
 
 
@@ -53,14 +53,11 @@ def prominences(x: np.ndarray) -> list[tuple[int, float]]:
 def prominent_minima(df: DataFrame, value: str, *, prominence: float) -> DataFrame:
     """EVT2, EVT4: minima at least as prominent: key, frame, depth (the value), prominence."""
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        x, frame = pdf[value].to_numpy(float), pdf["frame"].to_numpy()
-        got = [(int(frame[i]), float(x[i]), p) for i, p in prominences(-x) if p >= prominence] if len(x) > 2 else []
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]] * len(got), "frame": [g[0] for g in got], "depth": [g[1] for g in got], "prominence": [g[2] for g in got]})
+    def find(rows: list[tuple]) -> list[tuple]:
+        x = np.array([r[1] for r in rows], dtype=float)
+        return [(rows[i][0], float(x[i]), p) for i, p in prominences(-x) if p >= prominence] if len(x) > 2 else []
 
-    kind = df.schema["key"].dataType.simpleString()
-    return df.select("key", "frame", value).groupBy("key").applyInPandas(find, f"key {kind}, frame long, depth double, prominence double")
+    return fold_keys(df, ["frame", value], ["frame"], find, "frame long, depth double, prominence double")
 
 
 def grasp_release(df: DataFrame, *, aperture_speed: str, wrist_speed: str, masked: str, hand: str, threshold: float = V.APERTURE_SPEED, release_speed_max: float | None = None) -> DataFrame:
@@ -127,45 +124,42 @@ def thin_boundaries(frames: Sequence[int], rank: Sequence[tuple], least: int) ->
     return kept
 
 
-def drop_static(frames: Sequence[int], moving: np.ndarray) -> list[int]:
+def drop_static(frames: Sequence[int], moved: Sequence[int], last: tuple[int, int]) -> list[int]:
     """EVT11: places that stay: the leftmost boundary with no moving frame in the stretch on either side goes, and its neighbours are looked at anew.
 
-    ``moving`` has a flag for each frame of the series; stretches of fewer than two frames count as moving. Its running sum answers every stretch at once.
+    ``moved`` holds how many frames move before each boundary, and ``last`` the last frame and how many move before that; stretches of fewer than two frames count as moving.
     """
-    total = np.concatenate([[0], np.cumsum(moving)])
-    moved = lambda a, b: b - a < 2 or total[b] > total[a]
-    kept, n = list(range(len(frames))), len(moving)
+    edges = [(0, 0), *zip(frames, moved, strict=True), last]
+    kept = list(range(len(edges)))
+    lively = lambda a, b: edges[b][0] - edges[a][0] < 2 or edges[b][1] > edges[a][1]
     while True:
-        edges = [0, *(frames[i] for i in kept), n - 1]
-        bad = next((j for j in range(len(kept)) if not (moved(edges[j], edges[j + 1]) or moved(edges[j + 1], edges[j + 2]))), None)
+        bad = next((j for j in range(1, len(kept) - 1) if not (lively(kept[j - 1], kept[j]) or lively(kept[j], kept[j + 1]))), None)
         if bad is None:
-            return kept
+            return [k - 1 for k in kept[1:-1]]
         del kept[bad]
 
 
 def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, move: float = V.MOVE_SPEED, speed: str = "speed") -> DataFrame:
     """EVT8 to EVT13: fused boundaries of each key: key, frame, prio, magnitude; the series' first and last frames are added with prio 0.
 
-    ``candidates`` has key, frame, ord, prio and magnitude; ``series`` key, frame and ``speed``. The merge is native; the two loops run on one key's boundaries.
+    ``candidates`` has key, frame, ord, prio and magnitude; ``series`` key, frame (from 0) and ``speed``. The merge is native. A running count of moving frames answers every
+    stretch, so that the two loops see a key's boundaries only, never its frames.
     """
-    totals = series.groupBy("key").agg((F.max("frame")).alias("last"))
-    inner = merge_candidates(candidates, window=window).join(totals, "key").filter(F.col("frame").between(F.lit(least), F.col("last") - least))
-    kind = series.schema["key"].dataType.simpleString()
-    schema = f"key {kind}, frame long, prio int, magnitude double"
-
-    def thinned(c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
-        if not len(s):
-            return pd.DataFrame(columns=["key", "frame", "prio", "magnitude"])
-        c, s = c.sort_values("frame"), s.sort_values("frame")
-        c = c.iloc[thin_boundaries(c["frame"].tolist(), list(zip(c["prio"], c["magnitude"], strict=True)), least)]
-        c = c.iloc[drop_static(c["frame"].tolist(), s[speed].to_numpy() >= move)][["frame", "prio", "magnitude"]]
-        last = int(s["frame"].iloc[-1])
-        ends = pd.DataFrame({"frame": [0, last], "prio": [0, 0], "magnitude": [0.0, 0.0]})
-        out = pd.concat([ends.iloc[:1], c, ends.iloc[1:]])
-        out.insert(0, "key", s["key"].iloc[0])
-        return out
-
-    return inner.groupBy("key").cogroup(series.select("key", "frame", speed).groupBy("key")).applyInPandas(thinned, schema)
+    before = line().rowsBetween(Window.unboundedPreceding, -1)
+    counted = series.select("key", "frame", F.coalesce(F.sum((F.col(speed) >= move).cast("long")).over(before), F.lit(0)).alias("moved"))
+    totals = counted.groupBy("key").agg(F.max("frame").alias("last"), F.max("moved").alias("last_moved"))
+    inner = merge_candidates(candidates, window=window).join(counted, ["key", "frame"]).select("key", "frame", "prio", "magnitude", "moved")
+    ends = totals.select("key", F.col("last").alias("frame"), F.lit(-1).alias("prio"), F.lit(0.0).alias("magnitude"), F.col("last_moved").alias("moved"))
+    rows = inner.unionByName(ends)
+
+    def thinned(rows: list[tuple]) -> list[tuple]:
+        end = next(r for r in rows if r[1] < 0)
+        inside = [r for r in rows if r[1] >= 0 and least <= r[0] <= end[0] - least]
+        inside = [inside[i] for i in thin_boundaries([r[0] for r in inside], [r[1:3] for r in inside], least)]
+        inside = [inside[i] for i in drop_static([r[0] for r in inside], [r[3] for r in inside], (end[0], end[3]))]
+        return [(0, 0, 0.0), *(r[:3] for r in inside), (end[0], 0, 0.0)]
+
+    return fold_keys(rows, ["frame", "prio", "magnitude", "moved"], ["frame", "prio"], thinned, "frame long, prio int, magnitude double")
 
 
 def segments_between(boundaries: DataFrame, *, fps: float = V.FPS) -> DataFrame:

@@ -5,12 +5,14 @@ Segments have key, start, end, action, hand, object and confidence; other column
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from .folds import fold_keys
 
 _LABEL = ("action", "hand", "object", "confidence")
 _RANK = {c: i for i, c in enumerate(V.CONFIDENCES)}
@@ -57,11 +59,14 @@ def absorb(rows: list[dict], least: int) -> list[dict]:
 
 def enforce_min_length(df: DataFrame, *, least: int = 10) -> DataFrame:
     """INT5: short segments are absorbed by neighbours; keys are independent. The columns stay as they are."""
+    columns = [c for c in df.columns if c != "key"]
+    return _folded(df, columns, lambda rows: absorb(rows, least))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(absorb(pdf.sort_values(["start", "end"]).to_dict("records"), least), columns=pdf.columns)
 
-    return df.groupBy("key").applyInPandas(run, df.schema)
+def _folded(df: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]]) -> DataFrame:
+    """fold_keys for folds over dicts that keep the columns."""
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
+    return fold_keys(df, columns, ["start", "end"], lambda rows: [tuple(r[c] for c in columns) for r in fold([dict(zip(columns, r, strict=True)) for r in rows])], schema)
 
 
 def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE_GAP_S, name: Column | None = None) -> DataFrame:
@@ -132,10 +137,7 @@ def _one_article_less(text: str) -> str:
 def stitch(df: DataFrame, *, share: float = V.IOU) -> DataFrame:
     """INT9, INT10: overlapping candidates of windows become non-overlapping segments, key by key."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(stitch_rows(pdf.to_dict("records"), share), columns=pdf.columns)
-
-    return df.groupBy("key").applyInPandas(run, df.schema)
+    return _folded(df, [c for c in df.columns if c != "key"], lambda rows: stitch_rows(rows, share))
 
 
 def fallback(keys: DataFrame, segments: DataFrame) -> DataFrame:

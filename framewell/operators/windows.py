@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from .folds import fold_keys
 
 
 def sliding(df: DataFrame, n_frames: str = "n_frames", *, frames: int = V.WINDOW_FRAMES, skip: int = 1, overlap: float = 0.33) -> DataFrame:
@@ -68,16 +70,18 @@ def hand_over(tail: dict | None, rows: list[dict], w_start: int) -> tuple[list[d
 def fold_chunks(df: DataFrame) -> DataFrame:
     """WIN6, WIN7: segments of each key from its chunks' candidates (key, chunk, w_start, start, end, action, ongoing) in order; the tail is flushed at the end."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    columns = ["chunk", "w_start", "start", "end", "action", "ongoing"]
+
+    def run(rows: list[tuple]) -> list[tuple]:
         tail, out = None, []
-        for _, chunk in pdf.sort_values(["chunk", "start", "end"]).groupby("chunk", sort=True):
-            done, tail = hand_over(tail, chunk[["start", "end", "action", "ongoing"]].to_dict("records"), int(chunk["w_start"].iloc[0]))
+        for _, chunk in itertools.groupby(rows, key=lambda r: r[0]):
+            found = [dict(zip(columns, r, strict=True)) for r in chunk]
+            done, tail = hand_over(tail, found, found[0]["w_start"])
             out += done
         out += [tail] if tail is not None else []
-        return pd.DataFrame([{"key": pdf["key"].iloc[0], **{f: r[f] for f in ("start", "end", "action")}} for r in out], columns=["key", "start", "end", "action"])
+        return [(r["start"], r["end"], r["action"]) for r in out]
 
-    kind = df.schema["key"].dataType.simpleString()
-    return df.groupBy("key").applyInPandas(run, f"key {kind}, start long, end long, action string")
+    return fold_keys(df, columns, ["chunk", "start", "end"], run, "start long, end long, action string")
 
 
 def continuation(start: Column, text: Column) -> Column:

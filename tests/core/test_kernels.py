@@ -14,6 +14,7 @@ from framewell.operators import joins as J
 from framewell.operators import reports as R
 from framewell.operators import signals as G
 from framewell.operators import windows as W
+from framewell.operators.folds import fold_keys
 from framewell.plans import constraints as C
 from framewell.plans import labeling as L
 from hypothesis import given, settings
@@ -112,9 +113,8 @@ def test_merge_moves_with_the_winner(spark):
 def test_thinning_and_static_stretches():
     assert E.thin_boundaries([40, 60, 80], [(2, -0.05), (1, 0.5), (3, 0.2)], 30) == [0, 2]
     assert E.thin_boundaries([40, 60], [(2, -0.05), (2, -0.05)], 30) == [1]
-    moving = np.zeros(200, bool)
-    moving[100:150] = True
-    assert E.drop_static([30, 60, 120], moving) == [1, 2]
+    # Frames 100 to 149 of 200 move.
+    assert E.drop_static([30, 60, 120], [0, 0, 20], (199, 50)) == [1, 2]
 
 
 @settings(max_examples=200, deadline=None)
@@ -134,6 +134,17 @@ def test_fuse(spark):
     assert sorted(r["frame"] for r in fused.collect()) == [0, 40, 80, 119]
 
 
+def test_folds_see_whole_keys(spark):
+    rows = [(k, i, "x") for k in range(40) for i in range(k * 30 % 101)]
+    df = spark.createDataFrame(rows, "key long, i long, t string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = fold_keys(df, ["i", "t"], ["i"], lambda r: [(len(r), [x[0] for x in r] == list(range(len(r))))], "n long, ok boolean").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["key"]: (r["n"], r["ok"]) for r in got} == {k: (k * 30 % 101, True) for k in range(40) if k * 30 % 101}
+
+
 def test_segments_and_events(spark):
     bounds = spark.createDataFrame([("e", 0), ("e", 50), ("e", 99)], "key string, frame long")
     seg = E.segments_between(bounds)
