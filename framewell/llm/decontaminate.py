@@ -71,11 +71,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     small = places.limit(broadcast_shingles + 1).count() <= broadcast_shingles
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     rows = docs.select(F.col(id_col).alias("doc_id"), content_key(F.col(id_col), F.col(text_col)).alias("key"), shingle_hashes(words(F.col(text_col))).alias("bag"))
-    hits = rows.select("key", F.posexplode("bag").alias("place", "shingle")).join(sized(places), "shingle")
-    laid = hits.select("key", (F.col("place") - F.col("at")).alias("start"), "n").filter("start >= 0").distinct()
-    laid = laid.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("laid"))
-    found = rows.join(laid, "key").select("doc_id", "key", "bag", F.explode("laid").alias("w")).filter(F.col("w.start") + F.col("w.n") <= F.size("bag"))
-    windows = found.select("doc_id", "key", F.col("w.start").alias("start"), F.col("w.n").alias("n"), F.slice("bag", F.col("w.start") + 1, F.col("w.n")).alias("window"))
+    window = F.slice("bag", F.col("start") + 1, F.col("n")).alias("window")
+    if small:
+        # The table of places is in every task, so windows are cut where their document is scanned, and only they are shuffled.
+        hits = rows.select("*", F.posexplode("bag").alias("place", "shingle")).join(F.broadcast(places), "shingle").withColumn("start", F.col("place") - F.col("at"))
+        windows = hits.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("bag"))).select("doc_id", "key", "start", "n", window)
+    else:
+        hits = rows.select("key", F.posexplode("bag").alias("place", "shingle")).join(places, "shingle")
+        laid = hits.select("key", (F.col("place") - F.col("at")).alias("start"), "n").filter("start >= 0").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("laid"))
+        found = rows.join(laid, "key").select("doc_id", "key", "bag", F.explode("laid").alias("w")).select("doc_id", "key", "bag", "w.*")
+        windows = found.filter(F.col("start") + F.col("n") <= F.size("bag")).select("doc_id", "key", "start", "n", window)
     windows = windows.dropDuplicates(["key", "start", "n"]).withColumn("print", simhash(F.col("window")))
     index = items.select("item_id", "n", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"))).alias("b"), "bag").select("item_id", "n", "item_print", "bag", "b.block", "b.bits")
     probes = windows.withColumn("b", F.explode(blocks(F.col("print")))).select("doc_id", "key", "start", "n", "print", "window", "b.block", "b.bits")
