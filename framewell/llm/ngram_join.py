@@ -67,14 +67,14 @@ def sketch(docs: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """A document's published shingles and its m."""
+def prefix(shingles: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, int]:
+    """A document's published shingles and its m; ``mean`` is that of the counters, most of which is other shingles' noise."""
     size = len(shingles)
     seen = counts[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)]
     least = size - -(-percent * size // 100) + 1
     most = min(MOST_MATCHES, size - least + 1)
     order = np.lexsort((shingles, seen))[: least + most - 1]
-    cost = np.cumsum(np.maximum(seen[order] - counts.mean(), 1.0))[least - 1 :]
+    cost = np.cumsum(np.maximum(seen[order] - mean, 1.0))[least - 1 :]
     # At most a share 1/m of the entries read are documents that share m shingles.
     m = 1 + int(np.argmin(cost * (1.0 + VERIFY_COST / np.arange(1, most + 1) ** 2)))
     return shingles[order[: least + m - 1]], m
@@ -97,6 +97,7 @@ def _scan(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
+        mean = shared.value.mean()
         for batch in batches:
             keys, sizes, numbers, ms, prefixes = [], [], [], [], []
             for s in batch_shingles(batch.column(1), n):
@@ -105,7 +106,7 @@ def _scan(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
                 sizes.append(len(s))
                 numbers.append(_number(key) if key else None)
                 new = key is not None and key not in sent
-                p, m = prefix(s, shared.value, percent) if new else (None, None)
+                p, m = prefix(s, shared.value, mean, percent) if new else (None, None)
                 if new:
                     if len(sent) >= REMEMBERED:
                         sent.clear()
