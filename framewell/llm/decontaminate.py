@@ -61,9 +61,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     """(doc_id, key, item_id, similarity, start): every benchmark item that some window of a document repeats, with the best window's first word, from 0.
 
     A window has as many words as the item. Windows are laid where a shingle of the document also stands in an item of that length, at the item's place of it; a window without
-    a common shingle has similarity 0. A window's 64-bit SimHash is looked up by BLOCKS blocks, which finds every item of that length within RADIUS bits; candidates must then
+    a common shingle has similarity 0. Where a window would reach beyond an edge of the text it is moved inside, and a text shorter than the item is one window. A window's 64-bit SimHash is looked up by BLOCKS blocks, which finds every item of that length within RADIUS bits; candidates must then
     have a weighted similarity of ``similarity`` or more by their bags of SHINGLE-word shingles. An item of fewer than SHINGLE words has no shingle and is never found; neither
-    is anything in a null, empty or shorter text. Items with equal texts are all reported. key is content_key of id and text; rows that are equal in both are reported once.
+    is anything in a null or empty text. Items with equal texts are all reported. key is content_key of id and text; rows that are equal in both are reported once.
     """
     items = _items(benchmark, item_col, item_text_col)
     places = items.select("n", F.posexplode("bag").alias("at", "shingle")).distinct()
@@ -72,15 +72,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     rows = docs.select(F.col(id_col).alias("doc_id"), content_key(F.col(id_col), F.col(text_col)).alias("key"), shingle_hashes(words(F.col(text_col))).alias("bag"))
     window = F.slice("bag", F.col("start") + 1, F.col("n")).alias("window")
+    # A window that overhangs an edge is moved inside; a text of fewer shingles than the item is a window as a whole, unless it is too short for the similarity.
+    moved = F.greatest(F.lit(0), F.least(F.col("start"), F.size("bag") - F.col("n"))).alias("start")
+    enough = F.size("bag") / F.col("n") >= similarity
     if small:
         # The table of places is in every task, so windows are cut where their document is scanned, and only they are shuffled.
         hits = rows.select("*", F.posexplode("bag").alias("place", "shingle")).join(F.broadcast(places), "shingle").withColumn("start", F.col("place") - F.col("at"))
-        windows = hits.filter((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.size("bag"))).select("doc_id", "key", "start", "n", window)
+        windows = hits.filter(enough).withColumn("start", moved).select("doc_id", "key", "start", "n", window)
     else:
         hits = rows.select("key", F.posexplode("bag").alias("place", "shingle")).join(places, "shingle")
-        laid = hits.select("key", (F.col("place") - F.col("at")).alias("start"), "n").filter("start >= 0").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("laid"))
+        laid = hits.select("key", (F.col("place") - F.col("at")).alias("start"), "n").groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("laid"))
         found = rows.join(laid, "key").select("doc_id", "key", "bag", F.explode("laid").alias("w")).select("doc_id", "key", "bag", "w.*")
-        windows = found.filter(F.col("start") + F.col("n") <= F.size("bag")).select("doc_id", "key", "start", "n", window)
+        windows = found.filter(enough).withColumn("start", moved).select("doc_id", "key", "start", "n", window)
     windows = windows.dropDuplicates(["key", "start", "n"]).withColumn("print", simhash(F.col("window")))
     index = items.select("item_id", "n", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"))).alias("b"), "bag").select("item_id", "n", "item_print", "bag", "b.block", "b.bits")
     probes = windows.withColumn("b", F.explode(blocks(F.col("print")))).select("doc_id", "key", "start", "n", "print", "window", "b.block", "b.bits")

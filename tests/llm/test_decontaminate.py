@@ -63,6 +63,28 @@ def test_exact_and_near(spark):
     assert decontaminate.find_leaks(table.limit(0), bench).count() == decontaminate.find_leaks(table, bench.limit(0)).count() == 0
 
 
+def test_passages_cut_at_an_edge(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(12)]
+    docs = []
+    for i, text in items:
+        w, rest = text.split(), [word() for _ in range(30)]
+        # Begins or ends inside the item with one or two words missing, or is no more than a part of it.
+        docs += [(10 * i, " ".join(w[1 + i % 2 :] + rest)), (10 * i + 1, " ".join(rest + w[: -1 - i % 2])), (10 * i + 2, " ".join(w[:-1])), (10 * i + 3, " ".join(w[2:])), (10 * i + 4, " ".join(w[1:-1]))]
+        docs += [(10 * i + 5, " ".join(w[:20])), (10 * i + 6, " ".join(w[20:] + rest)), (10 * i + 7, " ".join(w[:6]))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(10 * i + k, i) for i, _ in items for k in range(5)}
+    assert {p for p in want if p[0] % 10 < 2} == brute(docs, items)
+    for bound in (decontaminate.BROADCAST_SHINGLES, 3):
+        leaks = decontaminate.find_leaks(table, bench, broadcast_shingles=bound).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in leaks} == want
+        found = {r["doc_id"]: (round(r["similarity"], 6), r["start"]) for r in leaks}
+        assert (found[0], found[1], found[2]) == ((round(35 / 37, 6), 0), (round(35 / 37, 6), 29), (round(35 / 36, 6), 0))
+    assert {r["doc_id"] for r in decontaminate.decontaminate(table, bench).collect()} == {d for d, _ in docs if d % 10 > 4}
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     rows = []
