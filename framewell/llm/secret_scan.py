@@ -30,8 +30,8 @@ _GUARDS = {
     "jwt": lambda t: F.instr(t, "eyJ") > 0,
     "pem": lambda t: F.instr(t, "-----BEGIN ") > 0,
 }
-#: A value is an example once this many owners, or this many repositories of one owner, hold it.
-MIN_OWNERS, MIN_REPOSITORIES = 3, 10
+#: A value is an example once this many owners hold it, or this many repositories of SEVERAL owners. Whatever a single owner holds is live-looking, however often it occurs.
+MIN_OWNERS, MIN_REPOSITORIES, SEVERAL = 3, 10, 2
 #: Copies of each widely held value, so that its rows meet in as many tasks.
 SALTS = 64
 #: What redact puts in place of a live-looking credential.
@@ -63,7 +63,7 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", owner_col: str = "s
     """One row for every row of ``docs``: ``keep``'s columns, key, and ``secrets``, an array of (start, rank, end, kind, value, example).
 
     key is content_key of repository, owner and text, for joining back: rows with equal keys get equal spans. example is true for values that ``min_owners``
-    distinct owners or ``min_repositories`` distinct repositories hold anywhere in the corpus, and false for owner-specific, live-looking ones.
+    distinct owners, or SEVERAL of them in ``min_repositories`` distinct repositories, hold anywhere in the corpus, and false for owner-specific, live-looking ones.
     The base kinds are leftmost non-overlapping matches that pass their length checks; they are in ``secrets`` whatever example says.
     A null or empty text has no spans; null owners are one owner, null repositories one repository. Repeated rows count once as holders.
     """
@@ -71,7 +71,8 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", owner_col: str = "s
     rows = docs.select(*keep, F.col(owner_col).alias("_owner"), F.col(repo_col).alias("_repo"), content_key(F.col(repo_col), F.col(owner_col), F.col(text_col)).alias("key"), candidates(text).alias("found"))
     # The scan is the costly part; its result is narrow, so it is written once and read three times.
     rows = table(rows.withColumn("hashes", F.array_distinct(F.transform("found", lambda s: F.xxhash64(s["value"])))))
-    shared = ownership(rows.filter(F.size("hashes") > 0), owner_col="_owner", repo_col="_repo").filter((F.col("owners") >= min_owners) | (F.col("repos") >= min_repositories))
+    several = (F.col("owners") >= SEVERAL) & (F.col("repos") >= min_repositories)
+    shared = ownership(rows.filter(F.size("hashes") > 0), owner_col="_owner", repo_col="_repo").filter((F.col("owners") >= min_owners) | several)
     shared = shared.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("example"))
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
     some = rows.filter(F.size("hashes") > 0).select("key", F.explode("hashes").alias("hash"), salt.alias("salt")).distinct()

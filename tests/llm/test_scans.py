@@ -98,6 +98,16 @@ def test_examples_and_live(spark):
     assert texts[3] == f"x {shared} y [SECRET]" and texts[0] == f"x {shared} y"
 
 
+def test_one_owner_is_no_example(spark):
+    alone, two = "password=oneownerskey", "token=heldbytwo99"
+    rows = [(i, f"x {alone} y", "src0") for i in range(25)] + [(100 + i, f"x {two} y", f"src{i % 2}") for i in range(12)] + [(200 + i, "x secret=fewcopies7 y", f"src{i % 2}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in secret_scan.digest(secret_scan.scan_secrets(docs, keep=("doc_id",))).collect()}
+    assert got == {d: (0, 1) if 100 <= d < 200 else (1, 0) for d, _, _ in rows}
+    texts = {r["doc_id"]: r["text"] for r in secret_scan.redact(docs).collect()}
+    assert texts == {d: t if 100 <= d < 200 else "x [SECRET] y" for d, t, _ in rows}
+
+
 def test_redact_keeps_rows(docs):
     out = secret_scan.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
