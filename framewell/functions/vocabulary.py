@@ -16,6 +16,7 @@ HANDS = ["left", "right", "both", "both_coordinating"]
 CONFIDENCES = ["low", "medium", "high"]  # by rank, from 0
 NEEDS_GRASP = ["grasp", "pick", "lift"]
 NEEDS_RELEASE = ["place", "put_down", "release", "drop"]
+EVENT_NEAR_FRAMES = 15
 GRASP_START_VERBS = ["pick", "grasp", "lift", "hold", "carry", "transfer", "insert", "remove", "open", "close", "adjust_grip"]
 RELEASE_END_VERBS = ["place", "put_down", "release", "drop", "insert", "pour", "stack", "push", "close", "transfer"]
 #: Priority of boundary sources in the merge of candidates.

@@ -160,3 +160,19 @@ def flagged(df: DataFrame, *, short_share: float = V.SHORT_SHARE) -> DataFrame:
     out = df.join(upper_median(df, length), "key")
     short = (F.col("upper_median") > 0) & (length < short_share * F.col("upper_median"))
     return out.withColumn("flags", S.flags([("short_segment", short), ("low_confidence", F.col("confidence") == "low")])).drop("upper_median")
+
+
+def cross_flagged(df: DataFrame, events: DataFrame, *, tolerance: int = V.EVENT_NEAR_FRAMES) -> DataFrame:
+    """FN11: flags kinematic_mismatch (a verb that needs a grasp or release, and none from ``tolerance`` frames before the start to as many behind the end), low_confidence and hand_disagreement.
+
+    ``events`` has key, frame and type, and ``df`` a boolean hand_disagreement. The first event from there on decides, found by one window over both, so that no pairs are made.
+    """
+    points = events.select("key", F.col("frame").alias("_at"), F.col("type").alias("_type"))
+    rows = df.withColumns({"_at": F.col("start") - tolerance, "_own": F.lit(True)}).unionByName(points, allowMissingColumns=True)
+    ahead = Window.partitionBy("key").orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
+    following = lambda kind: F.first(F.when(F.col("_type") == kind, F.col("_at")), ignorenulls=True).over(ahead)
+    rows = rows.withColumns({"_grasp": following("grasp"), "_release": following("release")}).filter("_own")
+    far = lambda at: F.coalesce(F.col(at) > F.col("end") + tolerance, F.lit(True))
+    mismatch = (F.col("action").isin(V.NEEDS_GRASP) & far("_grasp")) | (F.col("action").isin(V.NEEDS_RELEASE) & far("_release"))
+    named = [("kinematic_mismatch", mismatch), ("low_confidence", F.col("confidence") == "low"), ("hand_disagreement", F.col("hand_disagreement"))]
+    return rows.withColumn("flags", S.flags(named)).select(*[c for c in df.columns if c != "flags"], "flags")

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 
 
-def violations(df: DataFrame, *, least: int = 0) -> DataFrame:
+#: By how many seconds a time may differ from its frame's.
+TIME_TOLERANCE = 1e-6
+
+
+def violations(df: DataFrame, *, least: int = 0, fps: float = V.FPS) -> DataFrame:
     """CON1, CON2: (key, id, rule) for every broken rule of rows (key, id, start, end, action, hand, n_frames).
 
     Rules: known words; ids from 0 without gaps; the first row starts at 0 and the last ends on the last frame; each row starts where the one before ends; none is empty or
-    shorter than ``least``, unless the whole series is.
+    shorter than ``least``, unless the whole series is. Where the rows have them, a sentence is not blank, and start_time, end_time and duration are those of the frames at ``fps``.
     """
     line = Window.partitionBy("key").orderBy("id")
     place, before = F.row_number().over(line) - 1, F.lag("end").over(line)
@@ -27,6 +31,11 @@ def violations(df: DataFrame, *, least: int = 0) -> DataFrame:
         "empty": F.col("end") <= F.col("start"),
         "length": (F.col("end") - F.col("start") < least) & (F.col("n_frames") - 1 >= least),
     }
+    if "sentence" in df.columns:
+        rules["sentence"] = F.coalesce(F.trim("sentence"), F.lit("")).rlike(r"^\s*$")
+    for name, frames in (("start_time", F.col("start")), ("end_time", F.col("end")), ("duration", F.col("end") - F.col("start"))):
+        if name in df.columns:
+            rules[name] = F.coalesce(F.abs(F.col(name) - frames / fps) > TIME_TOLERANCE, F.lit(True))
     rows = df.withColumns({"_place": place, "_before": before, "_last": last})
     named = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
     return rows.select("key", "id", F.explode(named).alias("rule"))

@@ -295,3 +295,21 @@ def test_labeling(spark):
     assert got == {("e", 0): ("grasp", 1, False), ("e", 1): ("other", 3, True), ("g", 0): ("grasp", 1, False)}
     with pytest.raises(ValueError):
         L.ask(lambda p: "no json", "x", strict=True)
+
+
+def test_cross_flags(spark):
+    rows = [(1, 0, 100, "pick", "high", False), (1, 100, 200, "place", "low", True), (1, 200, 300, "drop", "high", None), (1, 300, 400, "pick", "high", False), (2, 0, 50, "lift", "high", False), (2, 50, 90, "stack", "high", True)]
+    segments = spark.createDataFrame(rows, "key long, start long, end long, action string, confidence string, hand_disagreement boolean")
+    # Inside and far from both ends, at the tolerance, one frame beyond it, and of the other type or key.
+    events = spark.createDataFrame([(1, 50, "grasp"), (1, 185, "release"), (1, 416, "grasp"), (1, 350, "release"), (3, 20, "grasp")], "key long, frame long, type string")
+    got = {(r["key"], r["start"]): r["flags"] for r in I.cross_flagged(segments, events).collect()}
+    assert got == {(1, 0): [], (1, 100): ["low_confidence", "hand_disagreement"], (1, 200): [], (1, 300): ["kinematic_mismatch"], (2, 0): ["kinematic_mismatch"], (2, 50): ["hand_disagreement"]}
+    later = {r["start"]: r["flags"] for r in I.cross_flagged(segments.filter("key = 1 AND start = 300"), events, tolerance=16).collect()}
+    assert later == {300: []}
+
+
+def test_sentences_and_times_are_checked(spark):
+    rows = [(1, 0, 0, 30, "Picks it.", 0.0, 1.0, 1.0), (1, 1, 30, 60, " \t", 1.0 + 5e-7, 2.0, 1.0), (1, 2, 60, 90, None, 2.0, 3.1, None)]
+    df = spark.createDataFrame([(*r, "pick", "left", 91) for r in rows], "key long, id int, start long, end long, sentence string, start_time double, end_time double, duration double, action string, hand string, n_frames long")
+    got = sorted((r["id"], r["rule"]) for r in C.violations(df, fps=30.0).collect())
+    assert got == [(1, "sentence"), (2, "duration"), (2, "end_time"), (2, "sentence")]
