@@ -30,6 +30,8 @@ BATCHES = 2
 FILTER_BITS = 1 << 26
 #: Entries that occur more often are compared by a shuffle of their windows' hashes instead of in one task: so many windows of one entry fit in a worker.
 HOT = 200_000
+#: Low bits of a gram's hash that hold its place instead; texts are anchored in pieces of fewer bytes than that counts.
+PLACE_BITS = 24
 #: Bytes of text that a task hashes at once, texts that it remembers in order to send the entries of equal ones once, and bytes of windows that it compares at once.
 CHUNK, REMEMBERED, COMPARED = 1 << 20, 200_000, 4 << 20
 _U = np.uint64
@@ -59,16 +61,19 @@ def anchored(raw: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     n = len(raw)
     if n < MATCH:
         return empty
+    low = _U((1 << PLACE_BITS) - 1)
+    if n > int(low):
+        raise ValueError(f"{n} bytes at once, where places have {PLACE_BITS} bits")
     total = _totals(raw)
     at = np.arange(n - GRAM + 1)
-    least = (_hash(total, at, at + GRAM) & ~_U(0xFFFFFF)) | at.astype(np.uint64)
+    least = (_hash(total, at, at + GRAM) & ~low) | at.astype(np.uint64)
     size = 1
     while size * 2 <= WIDTH:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < WIDTH:
         least = np.minimum(least[: len(least) - (WIDTH - size)], least[WIDTH - size :])
-    anchor = (least & _U(0xFFFFFF)).astype(np.int64)
+    anchor = (least & low).astype(np.int64)
     lengths = np.diff(starts)
     long = np.flatnonzero(lengths >= MATCH)
     windows = lengths[long] - MATCH + 1
@@ -87,18 +92,27 @@ def anchored(raw: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     return {"key": key, "text": text[new], "first": place[new], "last": place[last]}
 
 
-def _texts(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of rows of an Arrow binary column: the first row, their bytes, and where each begins, with the end last."""
+def _texts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of rows of an Arrow binary column: the first row, 0, their bytes, and where each begins, with the end last.
+
+    A text that is too long to hash at once comes in pieces, each with the place where it begins. They overlap by MATCH - 1 bytes, so that every window is in one piece.
+    """
     n = len(column)
     if not n:
         return
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    row = 0
+    row, most = 0, min(CHUNK, (1 << PLACE_BITS) - 1)
     while row < n:
-        stop = min(max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, side="right")) - 1), n)
-        yield row, raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
+        if ends[row + 1] - ends[row] > most:
+            for begin in range(int(ends[row]), int(ends[row + 1]) - MATCH + 1, most - MATCH + 1):
+                piece = raw[begin : min(begin + most, int(ends[row + 1]))]
+                yield row, begin - int(ends[row]), piece, np.array([0, len(piece)])
+            row += 1
+            continue
+        stop = min(max(row + 1, int(np.searchsorted(ends, ends[row] + most, side="right")) - 1), n)
+        yield row, 0, raw[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
 
 
@@ -120,7 +134,7 @@ def entries(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         for batch in batches:
-            for _, raw, starts in _texts(_fresh(batch, sent).column(1)):
+            for _, _, raw, starts in _texts(_fresh(batch, sent).column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(anchored(raw, starts)["key"].view(np.int64))], names=["key"])
 
     return texts.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -175,7 +189,7 @@ def _matched_windows(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
         bits, sent, contexts = shared.value.view(np.uint64), set(), set()
         for batch in batches:
             batch = _fresh(batch, sent)
-            for row, raw, starts in _texts(batch.column(1)):
+            for row, offset, raw, starts in _texts(batch.column(1)):
                 e = anchored(raw, starts)
                 bit = e["key"] & _U(FILTER_BITS - 1)
                 hit = np.flatnonzero((bits[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1))
@@ -193,7 +207,7 @@ def _matched_windows(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
                         contexts.add(x)
                         data.append(raw[b:c].tobytes())
                 names = batch.column(0).take(pa.array(e["text"][hit] + row))
-                columns = [pa.array(e["key"][hit].view(np.int64)), pa.array(context), names, pa.array((begin - starts[e["text"][hit]]).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(data, pa.binary())]
+                columns = [pa.array(e["key"][hit].view(np.int64)), pa.array(context), names, pa.array((begin - starts[e["text"][hit]] + offset).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "text_key", "first", "size", "data"])
 
     return texts.mapInArrow(run, _WINDOWS)

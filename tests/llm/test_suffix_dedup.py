@@ -60,6 +60,28 @@ def test_small_steps(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_texts_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 9)
+    rows = made(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert max(len((t or "").encode()) for _, t in rows) > 1 << 10
+    assert result(suffix_dedup.remove_repeats(docs)) == brute(rows)
+
+
+def test_text_beyond_16_mib(spark):
+    rng = random.Random(3)
+    shared = rng.randbytes(150).hex()
+    filler = rng.randbytes(9 << 20).hex()
+    early, late = 5_000, (1 << 24) + 700_000
+    long = filler[:early] + shared + filler[early:late] + shared + filler[late:]
+    docs = spark.createDataFrame([(1, long), (2, f"[{shared}]")], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in suffix_dedup.remove_repeats(docs).select("doc_id", "removed").collect()}
+    # Neighbours of the passage may be equal by chance, so the first and third may reach a little further.
+    assert len(got[1]) == 2 and got[2] == [(1, 301)]
+    for (a, b), start in zip(got[1], (early, late + 300), strict=True):
+        assert start - 4 <= a <= start and start + 300 <= b <= start + 304
+
+
 def test_levels_merge(spark):
     docs = spark.createDataFrame(made(4), "doc_id long, text string").selectExpr("unhex(md5(text)) AS text_key", "cast(coalesce(text, '') AS binary) AS data")
     index = suffix_dedup.Levels()
