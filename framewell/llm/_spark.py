@@ -31,6 +31,27 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: list[str], buckets: int, *, parts: list[str] | None = None) -> tuple[DataFrame, str]:
+    """Writes ``df`` into the shared folder as a table of ``buckets`` buckets, each sorted by ``by``, and reads it back, with its name. Joins of such tables by ``by`` shuffle nothing."""
+    name = f"framewell_{uuid.uuid4().hex}"
+    writer = df.write.bucketBy(buckets, *by).sortBy(*by).option("path", f"{shared_folder(df.sparkSession)}/{name}")
+    (writer.partitionBy(*parts) if parts else writer).saveAsTable(name)
+    return df.sparkSession.table(name), name
+
+
+def drop_table(name: str) -> None:
+    """Drops a table that ``bucketed`` has written, with its files."""
+    spark = SparkSession.active()
+    discard(spark, f"{shared_folder(spark)}/{name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def content_key(*parts: Column) -> Column:
     """128 bits of what ``parts`` hold; nulls and empty strings differ."""
     tagged = [F.when(p.isNull(), F.lit(1)).otherwise(F.lit(2)) for p in parts]

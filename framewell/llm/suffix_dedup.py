@@ -1,9 +1,10 @@
 """Removal of every byte that a long string repeated anywhere in the corpus covers.
 
 Every window of MATCH bytes has one anchor, the least hashed gram inside it, which its content alone decides; equal windows therefore have equal anchors. The suffixes that
-start at anchors are the index, about one for every 85 bytes. A window either holds the LEAD bytes before its anchor or reaches far behind it, so each anchor gives
-two entries, and only windows whose entry occurs again can repeat. Batches of documents become sorted levels of entries; a new batch is scanned against all levels for
-matches, and levels of equal size merge, so that an entry is rewritten a logarithmic number of times. Windows of matched entries are then compared in full.
+start at anchors, or LEAD bytes before them, are indexed, about one for every 40 bytes. A window either holds the LEAD bytes before its anchor or reaches far behind it, so it
+holds the first SHARED bytes of one of the two suffixes, and only windows whose suffix has that much in common with another can repeat. A batch of documents becomes a suffix
+array: its suffixes in order of their first bytes. It is merge-scanned against the arrays of all levels, where suffixes with a long common prefix stand side by side, and
+levels of equal size merge, so that a suffix is rewritten a logarithmic number of times. Windows of matched suffixes are then compared in full.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ from pyspark.sql import functions as F
 
 from . import _shingles
 from ._shingles import mix
-from ._spark import table
+from ._spark import bucketed, drop_table, table
 
 #: Bytes of a repeated string, of a gram, and of grams in a window of that length.
 MATCH, GRAM = 200, 32
 WIDTH = MATCH - GRAM + 1
 #: A window whose anchor lies at least so far in holds that many bytes before it; others hold more behind it.
 LEAD = WIDTH // 2
-#: Batches of the index, in the query.
-BATCHES = 2
-#: The filter of matched entries: of a fixed size, whatever the corpus; it only saves work.
-FILTER_BITS = 1 << 26
-#: Entries that occur more often are compared by a shuffle of their windows' hashes instead of in one task: so many windows of one entry fit in a worker.
-HOT = 200_000
+#: Bytes that two suffixes share if windows of theirs can be equal.
+SHARED = LEAD + GRAM
+#: Batches of the index, in the query: with eight, levels of four, two and one merge.
+BATCHES = 8
+#: Matched suffixes up to this many are looked up in a broadcast filter of eight bits for each; beyond, the texts are joined with theirs by a shuffle.
+FILTERED = 1 << 23
+#: Suffixes that occur more often are compared by a shuffle of their windows' hashes instead of in one task.
+HOT = 1_000
 #: Low bits of a gram's hash that hold its place instead; texts are anchored in pieces of fewer bytes than that counts.
 PLACE_BITS = 24
 #: Bytes of text that a task hashes at once, texts that it remembers in order to send the entries of equal ones once, and bytes of windows that it compares at once.
@@ -55,9 +58,12 @@ _PLAIN[65:91] = mix(_shingles._BYTES[65:91] + _U(1))
 
 
 def anchored(raw: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """The index entries of texts that lie one after the other in ``raw``: key, text, and the first and last window start that the entry stands for."""
+    """The suffixes of texts that lie one after the other in ``raw``: lead, key, text, and the first and last window start that the suffix stands for.
+
+    lead is the suffix's first eight bytes as a number in the bytes' order, and key the fingerprint of its first SHARED bytes.
+    """
     none = np.zeros(0, np.int64)
-    empty = {"key": none.astype(np.uint64), "text": none, "first": none, "last": none}
+    empty = {"lead": none, "key": none.astype(np.uint64), "text": none, "first": none, "last": none}
     n = len(raw)
     if n < MATCH:
         return empty
@@ -87,9 +93,11 @@ def anchored(raw: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     last = np.append(new[1:], len(text)) - 1
     a, front = anchor[new], lead[new]
     begin = np.where(front, a - LEAD, a)
-    end = np.where(front, a + GRAM, a + MATCH - LEAD + 1)
-    key = mix(_hash(total, begin, end) + front.astype(np.uint64))
-    return {"key": key, "text": text[new], "first": place[new], "last": place[last]}
+    key = mix(_hash(total, begin, begin + SHARED) + front.astype(np.uint64))
+    ahead = np.zeros(len(begin), dtype=np.uint64)
+    for k in range(8):
+        ahead = ahead << _U(8) | raw[begin + k]
+    return {"lead": (ahead ^ _U(1 << 63)).view(np.int64), "key": key, "text": text[new], "first": place[new], "last": place[last]}
 
 
 def _texts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,48 +136,82 @@ def _fresh(batch: pa.RecordBatch, sent: set[bytes]) -> pa.RecordBatch:
     return batch if len(keep) == batch.num_rows else batch.take(pa.array(keep, pa.int32()))
 
 
-def entries(texts: DataFrame) -> DataFrame:
-    """(key, n): the entries of a batch of texts (text_key, data), with how often each occurs."""
+def suffix_arrays(texts: DataFrame, batches: int, buckets: int) -> tuple[DataFrame, str]:
+    """(batch, lead, key, n): for every batch of texts (text_key, data) its distinct suffixes and how often each occurs, in a table of that name.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The suffixes of a batch are dealt to ``buckets`` arrays, each sorted by lead and key. One pass over the texts makes the arrays of all batches, and counts are added up in the
+    tasks first, so that a suffix in a third of all texts comes to its bucket in few rows.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
-        for batch in batches:
-            for _, _, raw, starts in _texts(_fresh(batch, sent).column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(anchored(raw, starts)["key"].view(np.int64))], names=["key"])
+        for part in parts:
+            fresh = _fresh(part, sent)
+            dealt = np.array([k[0] % batches for k in fresh.column(0).to_pylist()], dtype=np.int32)
+            for row, _, raw, starts in _texts(fresh.column(1)):
+                e = anchored(raw, starts)
+                batch = dealt[e["text"] + row]
+                order = np.lexsort((e["key"], e["lead"], batch))
+                lead, key, batch = e["lead"][order], e["key"][order], batch[order]
+                new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (lead[1:] != lead[:-1]) | (batch[1:] != batch[:-1])])) if len(key) else order
+                n = np.diff(np.append(new, len(key)))
+                yield pa.RecordBatch.from_arrays([pa.array(batch[new]), pa.array(lead[new]), pa.array(key[new].view(np.int64)), pa.array(n)], names=["batch", "lead", "key", "n"])
 
-    return texts.mapInArrow(run, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    counted = texts.mapInArrow(run, "batch int, lead long, key long, n long").repartition(buckets, "lead", "key").groupBy("batch", "lead", "key").agg(F.sum("n").alias("n"))
+    return bucketed(counted.select("lead", "key", "n", "batch"), ["lead", "key"], buckets, parts=["batch"])
 
 
 class Levels:
-    """The index family: tables of entries, each about twice as large as the next, and the entries that have been met twice or more."""
+    """The index family: suffix arrays, each about twice as large as the next, and the suffixes that have been met twice or more.
+
+    All arrays are dealt to the same buckets, so that a scan or a merge of two walks through a bucket of each in order, and nothing is shuffled.
+    """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.matched: DataFrame | None = None
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.levels: list[tuple[int, DataFrame, str | None]] = []
+        self.found: list[DataFrame] = []
+        self.merges = 0
 
-    def add(self, texts: DataFrame) -> None:
-        """Scans a batch's entries against every level, and then keeps them as a level of their own. Levels of equal size merge before the next batch comes."""
+    def add(self, array: DataFrame) -> None:
+        """Scans a batch's array (lead, key, n) against every level, and then keeps it as a level of its own. Levels of equal size merge before the next batch comes."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (size, small), (_, large) = self.levels.pop(), self.levels.pop()
-            self.levels.append((2 * size, table(large.unionByName(small).groupBy("key").agg(F.sum("n").alias("n")))))
-        batch = table(entries(texts))
-        found = batch.filter("n > 1")
-        for _, level in self.levels:
-            both = batch.join(level.select("key", F.col("n").alias("m")), "key").select("key", (F.col("n") + F.col("m")).alias("n"))
-            found = found.unionByName(both)
-        self.matched = found if self.matched is None else self.matched.unionByName(found)
-        self.levels.append((1, batch))
+            (size, small, name), (_, large, other) = self.levels.pop(), self.levels.pop()
+            both = large.join(small.withColumnRenamed("n", "m"), ["lead", "key"], "full_outer")
+            merged, new = bucketed(both.select("lead", "key", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n")), ["lead", "key"], self.buckets)
+            self._drop(name, other)
+            self.levels.append((2 * size, merged, new))
+            self.merges += 1
+        scanned = array
+        for _, level, _ in self.levels:
+            both = scanned.join(level.withColumnRenamed("n", "m"), ["lead", "key"], "left")
+            scanned = both.select("lead", "key", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"))
+        self.found.append(table(scanned.filter("n > 1").select("key", "n")))
+        self.levels.append((1, array, None))
 
     def repeated(self) -> DataFrame:
-        """(key, n): entries that occur more than once; n is at least a third of how often they do, for every level that an entry is in counts the batch again."""
-        return self.matched.groupBy("key").agg(F.max("n").alias("n"))
-
-
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each hashed key, FILTER_BITS in all."""
-    words = keys.select(F.pmod(F.col("key"), F.lit(FILTER_BITS)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+        """(key, n): suffixes that occur more than once, and how often: the scan of the last batch that has one counts all before."""
+        rows = self.found[0]
+        for more in self.found[1:]:
+            rows = rows.unionByName(more)
+        return rows.groupBy("key").agg(F.max("n").alias("n"))
+
+    def drop(self) -> None:
+        self._drop(*(name for _, _, name in self.levels))
+        self.levels = []
+
+    @staticmethod
+    def _drop(*names: str | None) -> None:
+        for name in names:
+            if name is not None:
+                drop_table(name)
+
+
+def _filter(keys: DataFrame, size: int) -> np.ndarray:
+    """A bit for each hashed key, ``size`` in all, a power of two."""
+    words = keys.select(F.pmod(F.col("key"), F.lit(size)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
     packed = words.groupBy((F.col("at") / 4096).cast("int").alias("part")).agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     for r in packed.toLocalIterator():
         out[r["at"]] = r["bits"]
     return out
@@ -178,21 +220,44 @@ def _filter(keys: DataFrame) -> np.ndarray:
 _WINDOWS = "key long, context long, text_key binary, first int, size int, data binary"
 
 
-def _matched_windows(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Rows (key, context, text_key, first, size, data) for the entries that pass the filter.
+def _matched_windows(texts: DataFrame, repeated: DataFrame, filtered: int) -> DataFrame:
+    """Rows (key, context, text_key, first, size, data) for the suffixes in ``repeated``, and for those that its filter takes for them.
 
-    data holds the bytes that the entry's windows cover, size of them from first on, and context is their hash; data is null where a task has sent the same before.
+    data holds the bytes that the suffix's windows cover, size of them from first on, and context is their hash; data is null where a task has sent the same before.
+    Up to ``filtered`` matched suffixes are found by a filter; more than that are joined with the texts' suffixes, gathered by text, and joined with the texts.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    known = repeated.count()
+    if known > filtered:
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: set[bytes] = set()
+            for batch in batches:
+                batch = _fresh(batch, sent)
+                for row, _, raw, starts in _texts(batch.column(1)):
+                    e = anchored(raw, starts)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(e["text"] + row)), pa.array(e["key"].view(np.int64))], names=["text_key", "key"])
+
+        held = texts.mapInArrow(place, "text_key binary, key long").join(repeated, "key", "left_semi")
+        texts = texts.join(held.groupBy("text_key").agg(F.collect_set("key").alias("held")), "text_key")
+        shared = None
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast(_filter(repeated, 1 << max(6, (8 * known).bit_length())))
+
+    def hits(batch: pa.RecordBatch, row: int, e: dict[str, np.ndarray]) -> np.ndarray:
+        if shared is None:
+            part = batch.column(2).slice(row, int(e["text"].max(initial=-1)) + 1)
+            return np.flatnonzero(np.isin(e["key"].view(np.int64), part.flatten().to_numpy(zero_copy_only=False)))
+        bits = shared.value.view(np.uint64)
+        bit = e["key"] & _U(64 * len(bits) - 1)
+        return np.flatnonzero((bits[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sent, contexts = shared.value.view(np.uint64), set(), set()
+        sent, contexts = set(), set()
         for batch in batches:
             batch = _fresh(batch, sent)
             for row, offset, raw, starts in _texts(batch.column(1)):
                 e = anchored(raw, starts)
-                bit = e["key"] & _U(FILTER_BITS - 1)
-                hit = np.flatnonzero((bits[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63))) & _U(1))
+                hit = hits(batch, row, e)
                 if not len(hit):
                     continue
                 begin, end = e["first"][hit], e["last"][hit] + MATCH
@@ -294,10 +359,11 @@ def _compare_hot(windows: DataFrame) -> DataFrame:
                 start = part.column("first").to_numpy()[piece] + place
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column("text_key").take(pa.array(piece)), pa.array(start.astype(np.int32))], names=["hash", "text_key", "start"])
 
+    # The counts are tables, so that the joins with them are between two shuffles, of which Spark splits the skewed parts.
     each = windows.filter("data IS NOT NULL").select("text_key", "first", "data").mapInArrow(run, "hash long, text_key binary, start int")
-    twice = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    some = each.join(twice.select("hash"), "hash").select("text_key", "start", (F.col("start") + MATCH).alias("stop"))
-    again = windows.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("context")
+    twice = table(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
+    some = each.join(twice, "hash").select("text_key", "start", (F.col("start") + MATCH).alias("stop"))
+    again = table(windows.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("context"))
     return some.unionByName(windows.join(again, "context").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop")))
 
 
@@ -306,22 +372,26 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
 
     A byte goes if a string of MATCH bytes that also starts elsewhere, in the same text or another, covers it; strings are judged on the input. Texts are UTF-8 bytes, a null
     text is empty, and matches stay within a text. Repeated rows are copies of each other. What is left of a text need not be whole characters. An empty table gives an empty one.
-    The corpus is indexed in ``batches`` batches; their number changes no result.
+    The corpus is indexed in ``batches`` batches of texts; their number changes no result. An array has as many buckets as a shuffle has partitions.
     """
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(*keep, data.alias("data"))
     rows = rows.withColumn("text_key", F.unhex(F.md5("data")))
     texts = rows.select("text_key", "data")
-    index = Levels()
+    index = Levels(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    arrays, name = suffix_arrays(texts, batches, index.buckets)
     for i in range(batches):
-        index.add(texts.filter(F.pmod(F.xxhash64("data"), F.lit(batches)) == i) if batches > 1 else texts)
+        index.add(arrays.filter(F.col("batch") == i).drop("batch"))
     repeated = table(index.repeated())
-    windows = _matched_windows(texts, _filter(repeated))
+    index.drop()
+    drop_table(name)
+    windows = _matched_windows(texts, repeated, FILTERED)
     hot = repeated.filter(F.col("n") > HOT).select("key")
     if hot.isEmpty():
         spans = _compare(windows)
     else:
-        # The hot keys are at most the entries over HOT; from their table's size the plan decides how to join them. The texts are scanned once more, which needs no disk.
+        # From the table's size the plan decides how to join the hot keys. The texts are scanned once more, which needs no disk.
+        hot = table(hot)
         spans = _compare(windows.join(hot, "key", "left_anti")).unionByName(_compare_hot(windows.join(hot, "key", "left_semi")))
     marks = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 from framewell.llm import queries, suffix_dedup
+from pyspark.sql import functions as F
 
 
 def brute(rows):
@@ -43,9 +44,10 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot,batches", [(200_000, 2), (3, 1), (200_000, 5)])
-def test_against_brute_force(spark, monkeypatch, hot, batches):
+@pytest.mark.parametrize("hot,batches,filtered", [(1000, 2, 1 << 23), (3, 1, 1 << 23), (1000, 5, 2), (3, 8, 2)])
+def test_against_brute_force(spark, monkeypatch, hot, batches, filtered):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FILTERED", filtered)
     rows = made(batches)
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n_bytes int").repartition(3)
     assert result(suffix_dedup.remove_repeats(docs, batches=batches)) == brute(rows)
@@ -82,14 +84,37 @@ def test_text_beyond_16_mib(spark):
         assert start - 4 <= a <= start and start + 300 <= b <= start + 304
 
 
+def arrays(spark, rows, batches):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("unhex(md5(text)) AS text_key", "cast(coalesce(text, '') AS binary) AS data").filter("text_key IS NOT NULL")
+    return suffix_dedup.suffix_arrays(docs, batches, 4)
+
+
 def test_levels_merge(spark):
-    docs = spark.createDataFrame(made(4), "doc_id long, text string").selectExpr("unhex(md5(text)) AS text_key", "cast(coalesce(text, '') AS binary) AS data")
-    index = suffix_dedup.Levels()
+    made_arrays, name = arrays(spark, made(4), 8)
+    index = suffix_dedup.Levels(4)
     sizes = []
-    for i in range(5):
-        index.add(docs.filter(f"pmod(xxhash64(data), 5) = {i}"))
-        sizes.append([s for s, _ in index.levels])
-    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1]]
+    for i in range(8):
+        index.add(made_arrays.filter(f"batch = {i}").drop("batch"))
+        sizes.append([s for s, _, _ in index.levels])
+    assert sizes == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1], [4, 2, 1, 1]] and index.merges == 4
+    every = made_arrays.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1")
+    assert sorted(map(tuple, index.repeated().collect())) == sorted(map(tuple, every.collect()))
+    # A scan joins the batch with the levels without a shuffle.
+    scan = made_arrays.filter("batch = 1").join(index.levels[0][1].withColumnRenamed("n", "m").hint("merge"), ["lead", "key"])
+    assert "Exchange" not in scan._jdf.queryExecution().executedPlan().toString()
+    index.drop()
+    suffix_dedup.drop_table(name)
+
+
+def test_arrays_are_in_order(spark):
+    rows = [(i, t) for i, t in made(2) if t]
+    made_arrays, name = arrays(spark, rows, 1)
+    whole = b"".join(t.encode() for _, t in rows)
+    for part in made_arrays.select("lead", "key", F.spark_partition_id().alias("p")).groupBy("p").agg(F.collect_list(F.struct("lead", "key")).alias("l")).collect():
+        leads = [(r["lead"], r["key"]) for r in part["l"]]
+        assert leads == sorted(leads)
+        assert all(((a + (1 << 63)).to_bytes(8, "big")) in whole for a, _ in leads)
+    suffix_dedup.drop_table(name)
 
 
 def test_query(spark, tiny):
