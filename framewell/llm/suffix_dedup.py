@@ -390,9 +390,9 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
     if hot.isEmpty():
         spans = _compare(windows)
     else:
-        # From the table's size the plan decides how to join the hot keys. The texts are scanned once more, which needs no disk.
+        # From the table's size the plan decides how to join the hot keys. The hot windows are a table, for three steps read them; a task has sent equal ones without bytes.
         hot = table(hot)
-        spans = _compare(windows.join(hot, "key", "left_anti")).unionByName(_compare_hot(windows.join(hot, "key", "left_semi")))
+        spans = _compare(windows.join(hot, "key", "left_anti")).unionByName(_compare_hot(table(windows.join(hot, "key", "left_semi"))))
     marks = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     notes = marks.join(copies, "text_key", "full_outer").select("text_key", "marks", F.col("copies").isNotNull().alias("copied"))
