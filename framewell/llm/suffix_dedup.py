@@ -33,6 +33,8 @@ BATCHES = 8
 FILTERED = 1 << 23
 #: Suffixes that occur more often are compared by a shuffle of their windows' hashes instead of in one task.
 HOT = 1_000
+#: Windows of such a suffix that are compared at once by the bytes that all of them hold.
+STRETCH = 11
 #: Low bits of a gram's hash that hold its place instead; texts are anchored in pieces of fewer bytes than that counts.
 PLACE_BITS = 24
 #: Bytes of text that a task hashes at once, texts that it remembers in order to send the entries of equal ones once, and bytes of windows that it compares at once.
@@ -58,12 +60,12 @@ _PLAIN[65:91] = mix(_shingles._BYTES[65:91] + _U(1))
 
 
 def anchored(raw: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """The suffixes of texts that lie one after the other in ``raw``: lead, key, text, and the first and last window start that the suffix stands for.
+    """The suffixes of texts that lie one after the other in ``raw``: lead, key, text, the first and last window start that the suffix stands for, and core, how far it begins behind the first.
 
     lead is the suffix's first eight bytes as a number in the bytes' order, and key the fingerprint of its first SHARED bytes.
     """
     none = np.zeros(0, np.int64)
-    empty = {"lead": none, "key": none.astype(np.uint64), "text": none, "first": none, "last": none}
+    empty = {"lead": none, "key": none.astype(np.uint64), "text": none, "first": none, "last": none, "core": none}
     n = len(raw)
     if n < MATCH:
         return empty
@@ -97,7 +99,7 @@ def anchored(raw: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     ahead = np.zeros(len(begin), dtype=np.uint64)
     for k in range(8):
         ahead = ahead << _U(8) | raw[begin + k]
-    return {"lead": (ahead ^ _U(1 << 63)).view(np.int64), "key": key, "text": text[new], "first": place[new], "last": place[last]}
+    return {"lead": (ahead ^ _U(1 << 63)).view(np.int64), "key": key, "text": text[new], "first": place[new], "last": place[last], "core": begin - place[new]}
 
 
 def _texts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -217,11 +219,11 @@ def _filter(keys: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-_WINDOWS = "key long, context long, text_key binary, first int, size int, data binary"
+_WINDOWS = "key long, context long, text_key binary, first int, size int, core int, data binary"
 
 
 def _matched_windows(texts: DataFrame, repeated: DataFrame, filtered: int) -> DataFrame:
-    """Rows (key, context, text_key, first, size, data) for the suffixes in ``repeated``, and for those that its filter takes for them.
+    """Rows (key, context, text_key, first, size, core, data) for the suffixes in ``repeated``, and for those that its filter takes for them.
 
     data holds the bytes that the suffix's windows cover, size of them from first on, and context is their hash; data is null where a task has sent the same before.
     Up to ``filtered`` matched suffixes are found by a filter; more than that are joined with the texts' suffixes, gathered by text, and joined with the texts.
@@ -272,8 +274,8 @@ def _matched_windows(texts: DataFrame, repeated: DataFrame, filtered: int) -> Da
                         contexts.add(x)
                         data.append(raw[b:c].tobytes())
                 names = batch.column(0).take(pa.array(e["text"][hit] + row))
-                columns = [pa.array(e["key"][hit].view(np.int64)), pa.array(context), names, pa.array((begin - starts[e["text"][hit]] + offset).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(data, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "text_key", "first", "size", "data"])
+                columns = [pa.array(e["key"][hit].view(np.int64)), pa.array(context), names, pa.array((begin - starts[e["text"][hit]] + offset).astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(e["core"][hit].astype(np.int32)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "text_key", "first", "size", "core", "data"])
 
     return texts.mapInArrow(run, _WINDOWS)
 
@@ -348,23 +350,58 @@ def _compare(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _SPAN)
 
 
+def _stretches(rows: DataFrame) -> DataFrame:
+    """(context, stretch, hash): for each STRETCH of a context's windows, counted back from its suffix, the fingerprint of the bytes that all windows of that stretch hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                core, data = part.column("core").to_numpy(), part.column("data").to_pylist()
+                sizes = np.array([len(d) for d in data], dtype=np.int64)
+                low, high = (core - (sizes - MATCH)) // STRETCH, core // STRETCH
+                row = np.repeat(np.arange(len(data)), high - low + 1)
+                stretch = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
+                begin = (np.cumsum(sizes) - sizes)[row] + core[row] - STRETCH * stretch
+                hashes = _hash(_totals(np.frombuffer(b"".join(data), dtype=np.uint8)), begin, begin + MATCH - STRETCH + 1)
+                hashes = mix(hashes ^ mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64)[row] + stretch.astype(np.uint64)))
+                yield pa.RecordBatch.from_arrays([part.column("context").take(pa.array(row)), pa.array(stretch.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["context", "stretch", "hash"])
+
+    return rows.mapInArrow(run, "context long, stretch int, hash long")
+
+
 def _compare_hot(windows: DataFrame) -> DataFrame:
-    """As _compare, for entries that occur very often: the hashes of their windows are counted by a shuffle, with partial sums, and joined back."""
+    """As _compare, for suffixes that occur very often.
+
+    A context that comes twice repeats as a whole. Of the distinct ones, stretches of windows whose common bytes occur once go first; the windows of the others are counted by
+    their hashes. All counts are partial sums, and tables, so that the joins with them are between two shuffles, of which Spark splits the skewed parts.
+    """
+    one = F.first(F.when(F.col("data").isNotNull(), F.struct("key", "text_key", "first", "core", "data")), ignorenulls=True)
+    contexts = table(windows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).select("context", "n", "one.*"))
+    again = table(contexts.filter("n > 1").select("context"))
+    whole = windows.join(again, "context").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
+    pieces = table(_stretches(contexts.select("context", "key", "core", "data")))
+    shared = table(pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"))
+    left = pieces.join(shared, "hash").groupBy("context").agg(F.collect_set("stretch").alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 hashes, piece, place = _window_hashes(part.column("data").to_pylist())
-                start = part.column("first").to_numpy()[piece] + place
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column("text_key").take(pa.array(piece)), pa.array(start.astype(np.int32))], names=["hash", "text_key", "start"])
-
-    # The counts are tables, so that the joins with them are between two shuffles, of which Spark splits the skewed parts.
-    each = windows.filter("data IS NOT NULL").select("text_key", "first", "data").mapInArrow(run, "hash long, text_key binary, start int")
-    twice = table(each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
-    some = each.join(twice, "hash").select("text_key", "start", (F.col("start") + MATCH).alias("stop"))
-    again = table(windows.groupBy("context").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("context"))
-    return some.unionByName(windows.join(again, "context").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop")))
+                stretch = (part.column("core").to_numpy()[piece] - place) // STRETCH
+                lists = part.column("stretches")
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                keep = np.flatnonzero(np.isin(piece * MATCH + stretch, owner * MATCH + lists.flatten().to_numpy()))
+                piece = piece[keep]
+                start = part.column("first").to_numpy()[piece] + place[keep]
+                columns = [pa.array(hashes[keep].view(np.int64)), part.column("n").take(pa.array(piece)), part.column("text_key").take(pa.array(piece)), pa.array(start.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "n", "text_key", "start"])
+
+    each = table(contexts.join(left, "context").select("n", "text_key", "first", "core", "data", "stretches").mapInArrow(run, "hash long, n long, text_key binary, start int"))
+    twice = table(each.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"))
+    some = each.filter("n = 1").join(twice, "hash").select("text_key", "start", (F.col("start") + MATCH).alias("stop"))
+    return some.unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batches: int = BATCHES) -> DataFrame:
