@@ -350,39 +350,54 @@ def _compare(windows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, _SPAN)
 
 
-def _stretches(rows: DataFrame) -> DataFrame:
-    """(context, stretch, hash): for each STRETCH of a context's windows, counted back from its suffix, the fingerprint of the bytes that all windows of that stretch hold."""
+_PIECE = "context long, n long, text_key binary, stretch int, shared long, whole long, start int, stop int"
+
+
+def _stretches(contexts: DataFrame) -> DataFrame:
+    """Each STRETCH of a context's windows, counted back from its suffix: from where to where it goes, the fingerprint of the bytes that all windows of that stretch hold, and that of all its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                core, data = part.column("core").to_numpy(), part.column("data").to_pylist()
+                core, first, data = part.column("core").to_numpy(), part.column("first").to_numpy(), part.column("data").to_pylist()
                 sizes = np.array([len(d) for d in data], dtype=np.int64)
                 low, high = (core - (sizes - MATCH)) // STRETCH, core // STRETCH
                 row = np.repeat(np.arange(len(data)), high - low + 1)
                 stretch = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
-                begin = (np.cumsum(sizes) - sizes)[row] + core[row] - STRETCH * stretch
-                hashes = _hash(_totals(np.frombuffer(b"".join(data), dtype=np.uint8)), begin, begin + MATCH - STRETCH + 1)
-                hashes = mix(hashes ^ mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64)[row] + stretch.astype(np.uint64)))
-                yield pa.RecordBatch.from_arrays([part.column("context").take(pa.array(row)), pa.array(stretch.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["context", "stretch", "hash"])
+                total, base = _totals(np.frombuffer(b"".join(data), dtype=np.uint8)), (np.cumsum(sizes) - sizes)[row]
+                tag = mix(part.column("key").to_numpy().astype(np.int64).view(np.uint64)[row] + stretch.astype(np.uint64))
+                begin = base + core[row] - STRETCH * stretch
+                shared = mix(tag ^ _hash(total, begin, begin + MATCH - STRETCH + 1))
+                start = np.maximum(core[row] - STRETCH * stretch - STRETCH + 1, 0)
+                stop = np.minimum(core[row] - STRETCH * stretch + MATCH, sizes[row])
+                whole = mix(tag ^ _hash(total, base + start, base + stop) ^ mix((core[row] - start).astype(np.uint64)))
+                same = [part.column(c).take(pa.array(row)) for c in ("context", "n", "text_key")]
+                made = [pa.array(stretch.astype(np.int32)), pa.array(shared.view(np.int64)), pa.array(whole.view(np.int64)), *(pa.array((first[row] + x).astype(np.int32)) for x in (start, stop))]
+                yield pa.RecordBatch.from_arrays([*same, *made], names=["context", "n", "text_key", "stretch", "shared", "whole", "start", "stop"])
+
+    return contexts.select("context", "n", "text_key", "key", "first", "core", "data").mapInArrow(run, _PIECE)
+
 
-    return rows.mapInArrow(run, "context long, stretch int, hash long")
+def _often(rows: DataFrame, column: str) -> DataFrame:
+    """Values that come twice or more, as a table."""
+    return table(rows.groupBy(column).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(column))
 
 
 def _compare_hot(windows: DataFrame) -> DataFrame:
     """As _compare, for suffixes that occur very often.
 
-    A context that comes twice repeats as a whole. Of the distinct ones, stretches of windows whose common bytes occur once go first; the windows of the others are counted by
-    their hashes. All counts are partial sums, and tables, so that the joins with them are between two shuffles, of which Spark splits the skewed parts.
+    A context that comes twice repeats as a whole. Of the distinct ones, stretches of windows whose shared bytes occur once are left out, and equal stretches repeat as a whole;
+    the windows of one of each of the others are counted by their hashes. All counts are partial sums, and tables, so that the joins with them are between two shuffles, of which
+    Spark splits the skewed parts.
     """
     one = F.first(F.when(F.col("data").isNotNull(), F.struct("key", "text_key", "first", "core", "data")), ignorenulls=True)
     contexts = table(windows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), one.alias("one")).select("context", "n", "one.*"))
-    again = table(contexts.filter("n > 1").select("context"))
-    whole = windows.join(again, "context").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
-    pieces = table(_stretches(contexts.select("context", "key", "core", "data")))
-    shared = table(pieces.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"))
-    left = pieces.join(shared, "hash").groupBy("context").agg(F.collect_set("stretch").alias("stretches"))
+    again = windows.join(table(contexts.filter("n > 1").select("context")), "context").select("text_key", F.col("first").alias("start"), (F.col("first") + F.col("size")).alias("stop"))
+    pieces = table(_stretches(contexts))
+    pieces = table(pieces.join(_often(pieces, "shared"), "shared"))
+    equal = pieces.filter("n = 1").join(_often(pieces, "whole"), "whole").select("text_key", "start", "stop")
+    left = pieces.groupBy("whole").agg(F.min(F.struct("context", "stretch")).alias("one")).groupBy("one.context").agg(F.collect_set("one.stretch").alias("stretches"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -399,9 +414,8 @@ def _compare_hot(windows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["hash", "n", "text_key", "start"])
 
     each = table(contexts.join(left, "context").select("n", "text_key", "first", "core", "data", "stretches").mapInArrow(run, "hash long, n long, text_key binary, start int"))
-    twice = table(each.groupBy("hash").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hash"))
-    some = each.filter("n = 1").join(twice, "hash").select("text_key", "start", (F.col("start") + MATCH).alias("stop"))
-    return some.unionByName(whole)
+    some = each.filter("n = 1").join(_often(each, "hash"), "hash").select("text_key", "start", (F.col("start") + MATCH).alias("stop"))
+    return some.unionByName(equal).unionByName(again)
 
 
 def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), batches: int = BATCHES) -> DataFrame:
