@@ -55,7 +55,7 @@ def test_exact_and_near(spark):
     want = brute(docs, items)
     sure = brute(docs, items, 0.88)
     assert sure <= got <= want and len(got) >= 0.95 * len(want)
-    again = decontaminate.find_leaks(table, bench, broadcast_shingles=3)
+    again = decontaminate.find_leaks(table, bench, broadcast_rows=3)
     assert {(r["doc_id"], r["item_id"]) for r in again.collect()} == got
     clean = decontaminate.decontaminate(table, bench)
     assert clean.columns == table.columns
@@ -77,14 +77,54 @@ def test_passages_cut_at_an_edge(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {(10 * i + k, i) for i, _ in items for k in range(5)}
     assert {p for p in want if p[0] % 10 < 2} == brute(docs, items)
-    for bound in (decontaminate.BROADCAST_SHINGLES, 3):
-        leaks = decontaminate.find_leaks(table, bench, broadcast_shingles=bound).collect()
+    for bound in (decontaminate.BROADCAST_ROWS, 3):
+        leaks = decontaminate.find_leaks(table, bench, broadcast_rows=bound).collect()
         assert {(r["doc_id"], r["item_id"]) for r in leaks} == want
         found = {r["doc_id"]: (round(r["similarity"], 6), r["start"]) for r in leaks}
         assert (found[0], found[1], found[2]) == ((round(35 / 37, 6), 0), (round(35 / 37, 6), 29), (round(35 / 36, 6), 0))
     assert {r["doc_id"] for r in decontaminate.decontaminate(table, bench).collect()} == {d for d, _ in docs if d % 10 > 4}
 
 
+def test_reordered_items(spark):
+    """A window counts by its bag of shingles, in whatever order they come."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=4))
+    items, docs = [], []
+    for i in range(12):
+        w = [word() for _ in range(rng.randint(60, 110))]
+        items.append((i, " ".join(w)))
+        turned = {0: w[len(w) // 2 :] + w[: len(w) // 2], 1: w[5:] + w[:5], 2: w[-1:] + w[:-1], 3: w[20:40] + w[:20] + w[40:]}
+        for k, t in turned.items():
+            docs.append((10 * i + k, " ".join([word() for _ in range(rng.randint(0, 40))] + t + [word() for _ in range(rng.randint(0, 40))])))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert len(want) > 36 and brute(docs, items, 0.85) <= got <= want
+
+
+def test_recall_at_the_threshold(spark):
+    """Of pairs whose similarity is only just enough, few are beyond the radius."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items, docs = [], []
+    for i in range(150):
+        w = [word() for _ in range(44)]
+        # 36 of 40 shingles stay: a similarity of 36 / 44.
+        items.append((i, " ".join(w)))
+        docs.append((i, " ".join([word() for _ in range(20)] + [word() for _ in range(4)] + w[4:] + [word() for _ in range(20)])))
+    want = brute(docs, items)
+    assert len(want) == 150
+    leaks = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert leaks.count() >= 148
+
+
+def test_repeated_shingles(spark):
+    items = [(1, "a b c d e a b c d e a b c d e x y z"), (2, " ".join(["echo"] * 30))]
+    docs = [(1, "a b c d e a b c d e a b c d e x y z"), (2, " ".join(["echo"] * 26)), (3, " ".join(["echo"] * 20)), (4, "a b c d e " * 9), (5, "long " * 30000 + items[0][1])]
+    leaks = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.collect()} == {(1, 1), (2, 2), (5, 1)}
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     rows = []
@@ -95,7 +135,7 @@ def test_blocks_guarantee_the_radius(spark):
             b ^= 1 << k
         rows.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
     df = spark.createDataFrame(rows, "a long, b long")
-    shared = F.size(F.array_intersect(decontaminate.blocks(F.col("a")), decontaminate.blocks(F.col("b"))))
+    shared = F.size(F.array_intersect(decontaminate.probes(F.col("a")), decontaminate.blocks(F.col("b"))))
     assert df.select(F.min(shared)).first()[0] >= 1
 
 
