@@ -15,20 +15,36 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset, as in tests."""
-    if (folder := spark.conf.get("spark.checkpoint.dir", None)) is not None:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder. A local session that has neither, as in tests, gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     name = spark.sparkContext.applicationId
     if name not in _own:
         _own[name] = tempfile.mkdtemp(prefix="framewell-")
     return _own[name]
 
 
-def table(df: DataFrame) -> DataFrame:
-    """Writes ``df`` into the shared folder and reads it back: a lineage cut that outlives the executors."""
+def spare(taken: list[str], name: str) -> str:
+    """``name``, or with underscores before it one that is not ``taken``, whatever the case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written into the shared folder and read back, and where it is: a lineage cut that outlives the executors."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def table(df: DataFrame) -> DataFrame:
+    """As ``stored``, for tables that a result reads, which stay."""
+    return stored(df)[0]
 
 
 def bucketed(df: DataFrame, by: list[str], buckets: int, *, parts: list[str] | None = None) -> tuple[DataFrame, str]:

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns of a conversation that one task and one rendered row hold at most, where turns are numbered apart.
+from ._spark import table
+
+#: Turns of a conversation that one rendered row holds at most.
 BLOCK = 256
+#: Parts in which equal turns of a conversation may be dealt.
+SALTS = 1024
 #: Marks around a turn, and what stands for them inside a text.
 OPEN, CLOSE, HIDDEN = "<|im_start|>", "<|im_end|>", "<im>"
 
@@ -27,7 +31,7 @@ def _positions(turns: DataFrame) -> DataFrame:
     counts = turns.groupBy("_conv", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_conv").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_conv", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_conv")).alias("_all"))
-    place = Window.partitionBy("_conv", "_block").orderBy("turn", "role", "text")
+    place = Window.partitionBy("_conv", "_block").orderBy("turn", "role", "text", "_salt")
     return turns.join(counts, ["_conv", "_block"]).withColumn("_at", F.col("_before") + F.row_number().over(place) - 1)
 
 
@@ -46,14 +50,15 @@ def _prefix_hashes(placed: DataFrame) -> DataFrame:
 
 
 def _prepared(turns: DataFrame) -> DataFrame:
+    """The turns as a table, dealt to ranges of (conversation, turn, role, text): ``_block`` is a row's range, so that a block is bounded however the turns are numbered."""
     conv = F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("n"))
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62)))
-    return turns.select("conv_id", "turn", "role", "text", conv.alias("_conv"), block.alias("_block"))
+    rows = turns.select("conv_id", "turn", "role", "text", conv.alias("_conv"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt"))
+    return table(rows.repartitionByRange("_conv", "turn", "role", "text", "_salt").withColumn("_block", F.spark_partition_id()))
 
 
-def maximal_conversations(turns: DataFrame) -> DataFrame:
-    """``_conv`` keys of the conversations that are no beginning of another; of equal ones the smallest conv_id's stays."""
-    hashes = _prefix_hashes(_positions(_prepared(turns)))
+def maximal_conversations(placed: DataFrame) -> DataFrame:
+    """``_conv`` keys of the conversations of _positions that are no beginning of another; of equal ones the smallest conv_id's stays."""
+    hashes = _prefix_hashes(placed)
     whole = hashes.filter("_last").groupBy("hash").agg(F.min(F.struct(F.col("conv_id").isNull(), F.col("conv_id"), F.col("_conv"))).alias("first"))
     beginnings = hashes.filter(~F.col("_last")).select("hash").distinct()
     return whole.join(beginnings, "hash", "left_anti").select(F.col("first._conv").alias("_conv"))
@@ -64,13 +69,14 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     ``turns`` has conv_id, turn, role and text; other columns play no part. Turns are ordered by turn, nulls first, then role and text. Two conversations are equal, and one
     begins another, by roles and texts alone; null and empty ones differ. Rows with a null conv_id are one conversation. A repeated row is one more turn. A conversation comes
-    in one row for each range of BLOCK turn numbers, which for most is a single one, so that no row or task holds an unbounded conversation. An empty table gives an empty one.
+    in one row for each BLOCK turns, which for most is a single one, so that no row or task holds an unbounded conversation, also where turns have equal or null numbers.
+    An empty table gives an empty one.
     """
-    placed = _positions(_prepared(turns)).join(maximal_conversations(turns), "_conv", "left_semi")
-    chunks = placed.groupBy("_conv", "_block").agg(
+    placed = _positions(_prepared(turns))
+    kept = placed.join(maximal_conversations(placed), "_conv", "left_semi").withColumn("chunk", F.floor(F.col("_at") / BLOCK).cast("int"))
+    chunks = kept.groupBy("_conv", "chunk").agg(
         F.first("conv_id").alias("conv_id"),
         F.first("_all").alias("n_turns"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", render_turn(F.col("role"), F.col("text")).alias("line")))), lambda x: x["line"]), "").alias("rendered"),
     )
-    order = Window.partitionBy("_conv").orderBy("_block")
-    return chunks.select("conv_id", (F.row_number().over(order) - 1).alias("chunk"), "n_turns", "rendered")
+    return chunks.select("conv_id", "chunk", "n_turns", "rendered")

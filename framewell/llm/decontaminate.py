@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import content_key, let, table
+from ._spark import content_key, let, spare, table
 
 #: Words of a shingle, the least similarity, and the most bits in which fingerprints of a window and an item may differ.
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 17
@@ -130,7 +130,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which find_leaks finds nothing, with all their columns."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", content_key(F.col(id_col), F.col(text_col)))
-    return keyed.join(leaks, "_key", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` in which find_leaks finds nothing, with all their columns, whatever their names; null and empty texts stay."""
+    key = spare(docs.columns, "key")
+    leaks = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("key").alias(key)).distinct()
+    keyed = docs.withColumn(key, content_key(F.col(id_col), F.col(text_col)))
+    return keyed.join(leaks, key, "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ Document frequencies cover all training rows; the classifier is fitted on a boun
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of hashed n-grams, and the lengths of n-grams.
 FEATURES, LENGTHS = 1 << 16, (1, 2, 3)
-#: The classifier is fitted on about this many training rows of each language, chosen by a hash of the row; whole texts are used. It learns so many languages, the commonest.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 1500, 200
+#: The classifier is fitted on about this many training rows of each language, and on SAMPLE_ROWS of all languages at most, chosen by a hash of the row; whole texts are used.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 100_000
 #: Odd multipliers that spread n-grams over the buckets.
 _MIX = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -132,40 +133,46 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def document_frequencies(rows: DataFrame) -> np.ndarray:
-    """In how many of all texts each bucket occurs; the last entry is the number of texts."""
+def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, dict[str, int]]:
+    """Of rows (lang, text), in one pass: in how many texts each bucket occurs, with the number of texts at the end, and how many texts each language has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(FEATURES, dtype=np.int64), 0
+        seen, langs = np.zeros(FEATURES, dtype=np.int64), Counter()
         for batch in batches:
-            for text in batch.column(0):
+            langs.update(batch.column(0).to_pylist())
+            for text in batch.column(1):
                 seen[features(text.as_py() or "")[0]] += 1
-                n += 1
-        at = np.append(np.flatnonzero(seen), FEATURES)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.append(seen, n)[at], pa.int64())], names=["feature", "n"])
+        at = np.flatnonzero(seen)
+        columns = [pa.array([*at.tolist(), *[None] * len(langs)], pa.int32()), pa.array([*[None] * len(at), *langs], pa.string()), pa.array([*seen[at].tolist(), *langs.values()], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["feature", "lang", "n"])
 
-    sums = rows.select("text").mapInArrow(count, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    out = np.zeros(FEATURES + 1, dtype=np.int64)
-    for r in sums.collect():  # FEATURES + 1 rows at most, whatever the corpus
-        out[r["feature"]] = r["n"]
-    return out
+    sums = rows.select("lang", "text").mapInArrow(count, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    out, sizes = np.zeros(FEATURES + 1, dtype=np.int64), {}
+    for r in sums.collect():  # one row for each bucket and language, whatever the corpus
+        if r["feature"] is None:
+            sizes[r["lang"]] = r["n"]
+        else:
+            out[r["feature"]] = r["n"]
+    out[-1] = sum(sizes.values())
+    return out, sizes
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learns from texts and non-null languages of rows outside the held-out fold.
 
-    Without such rows the model knows no language and predicts ``und``. With one language it always predicts that.
+    Every language is learned; counts cover all rows, and the fit a sample of at most ``sample`` rows a language and SAMPLE_ROWS in all. The model takes half a megabyte a language.
+    Without such rows the model knows no language and predicts ``und``. With one language it always predicts that. Repeated rows count as often as they come.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.pmod(F.xxhash64(F.col(id_col), text), F.lit(1 << 30)).alias("draw"))
-    df = document_frequencies(rows)
+    df, found = corpus_counts(rows)
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
     spark = docs.sparkSession
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n"))
+    most = min(sample, SAMPLE_ROWS // max(len(found), 1))
+    sizes = spark.createDataFrame([(lang, min(1.0, most / n)) for lang, n in found.items()], "lang string, share double")
     # A row joins the sample if its hash falls below its language's share. Copies of a text are drawn by themselves, so that many of them don't fill the sample.
-    chosen = rows.join(F.broadcast(sizes.select(F.col("lang"), share.alias("share"))), "lang").filter(F.col("draw") < F.col("share") * (1 << 30))
+    chosen = rows.join(F.broadcast(sizes), "lang").filter(F.col("draw") < F.col("share") * (1 << 30))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +197,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 def identify(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """Adds ``pred_col`` and ``score_col`` (0 to 1) to every row; only the text is an input.
 
-    A text that is null or has no letter gets ``und`` and 0. Texts are taken whole; equal texts get equal results. Columns named as the new ones are replaced.
+    A text that is null or has no letter gets ``und`` and 0. Texts are taken whole, however long; equal texts get equal results. Of languages that score alike the first in
+    order of names is taken. Columns named as the new ones are replaced; an empty table gives an empty one.
     """
     docs = docs.drop(pred_col, score_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -125,9 +125,9 @@ def _scan(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
 def _candidates(scanned: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between numbers of sets that may be similar; whatever is similar is connected by them."""
     posted = scanned.filter(F.col("m").isNotNull()).select(F.explode("prefix").alias("shingle"), "number")
-    group = Window.partitionBy("shingle")
-    posted = posted.withColumns({"low": F.min("number").over(group), "high": F.max("number").over(group)}).filter("low < high").select("shingle", "number").distinct()
-    posted = table(posted)
+    # A shingle that only one set publishes is left out. Its lowest and highest set are partial sums, so that a common one is never gathered.
+    ends = posted.groupBy("shingle").agg(F.min("number").alias("low"), F.max("number").alias("high")).filter("low < high").select("shingle")
+    posted = table(posted.join(ends, "shingle").distinct())
     facts = scanned.filter(F.col("m").isNotNull()).groupBy("number").agg(F.min("size").alias("size"), F.max("size").alias("most"), F.min("m").alias("m"))
     lists = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("low"))
     posted = posted.join(lists, "shingle")
@@ -265,13 +265,15 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` less near copies: of each component of similarity_components the row with the smallest id stays, one row of it if it is repeated.
 
-    Rows without words are no copies and stay. A component in which no row has an id keeps one row.
+    Rows without words are no copies and stay, as do null and empty texts. A component in which no row has an id keeps one row. Columns may have any names; very long texts
+    are taken whole.
     """
     some = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = docs.filter(some).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))).alias("first")
-    kept = _components(rows, words, percent).groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    hashed = docs.filter(some).withColumns({"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col).cast("string"))})
-    chosen = hashed.join(kept.withColumnsRenamed({"_id": "_kept", "_hash": "_kept_hash"}), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_kept_hash")), "left_semi")
-    chosen = chosen.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))).filter("_nth = 1")
-    return chosen.select(*docs.columns).unionByName(docs.filter(~some))
+    kept = _components(rows, words, percent).groupBy("component").agg(first).select(F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    hashed = docs.filter(some).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(F.col(text_col).cast("string")).alias("own_hash"))
+    chosen = hashed.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("hash")), "left_semi")
+    # Of rows that are equal in id and text one stays, found by a partial aggregate.
+    chosen = chosen.groupBy("own", "own_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return chosen.select("row.*").unionByName(docs.filter(~some))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import content_key, let, matches, spans_text, table
+from ._spark import content_key, let, matches, spans_text, spare, table
 
 #: Kinds in the order that breaks ties of the start. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "token", "jwt", "pem")
@@ -65,10 +65,12 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", owner_col: str = "s
     key is content_key of repository, owner and text, for joining back: rows with equal keys get equal spans. example is true for values that ``min_owners``
     distinct owners, or SEVERAL of them in ``min_repositories`` distinct repositories, hold anywhere in the corpus, and false for owner-specific, live-looking ones.
     The base kinds are leftmost non-overlapping matches that pass their length checks; they are in ``secrets`` whatever example says.
-    A null or empty text has no spans; null owners are one owner, null repositories one repository. Repeated rows count once as holders.
+    A null or empty text has no spans; null owners are one owner, null repositories one repository. Repeated rows count once as holders. Where ``keep`` has a column of
+    the name key or secrets, the new one gets an underscore before it. Very long texts are taken whole; an empty table gives an empty one.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*keep, F.col(owner_col).alias("_owner"), F.col(repo_col).alias("_repo"), content_key(F.col(repo_col), F.col(owner_col), F.col(text_col)).alias("key"), candidates(text).alias("found"))
+    kept = F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).alias("kept")
+    rows = docs.select(kept, F.col(owner_col).alias("_owner"), F.col(repo_col).alias("_repo"), content_key(F.col(repo_col), F.col(owner_col), F.col(text_col)).alias("key"), candidates(text).alias("found"))
     # The scan is the costly part; its result is narrow, so it is written once and read three times.
     rows = table(rows.withColumn("hashes", F.array_distinct(F.transform("found", lambda s: F.xxhash64(s["value"])))))
     several = (F.col("owners") >= SEVERAL) & (F.col("repos") >= min_repositories)
@@ -82,7 +84,8 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", owner_col: str = "s
         return s.withField("example", F.coalesce(F.array_contains(F.col("examples"), F.xxhash64(s["value"])), F.lit(False)))
 
     out = rows.join(examples, "key", "left")
-    return out.select(*keep, "key", F.transform("found", judged).alias("secrets"))
+    key, secrets = spare(list(keep), "key"), spare(list(keep), "secrets")
+    return out.select(*[F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep)], F.col("key").alias(key), F.transform("found", judged).alias(secrets))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -103,11 +106,12 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", mask: str = MASK) -> DataFrame:
     """``docs`` with every live-looking credential replaced by ``mask``; examples that many owners share stay. All rows and columns are kept.
 
-    Overlapping spans become one mask. Rows without such a span, and null texts, are unchanged.
+    Overlapping spans become one mask. Rows without such a span, and null texts, are unchanged. Columns may have any names.
     """
     found = scan_secrets(docs, text_col=text_col, owner_col=owner_col, repo_col=repo_col)
-    live = found.select("key", F.filter("secrets", lambda s: ~s["example"]).alias("live")).filter(F.size("live") > 0)
-    live = live.groupBy("key").agg(F.first("live").alias("live"))
+    key, spans = spare(docs.columns, "key"), spare(docs.columns, "live")
+    live = found.select(F.col("key").alias(key), F.filter("secrets", lambda s: ~s["example"]).alias(spans)).filter(F.size(spans) > 0)
+    live = live.groupBy(key).agg(F.first(spans).alias(spans))
     text = F.col(text_col)
 
     def masked(spans: Column) -> Column:
@@ -120,6 +124,6 @@ def redact(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source"
 
         return let(F.aggregate(spans, start, step), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, (a["at"] + 1).cast("int"))))
 
-    rows = docs.withColumn("_key", content_key(F.col(repo_col), F.col(owner_col), text))
-    out = rows.join(live.withColumnRenamed("key", "_key"), "_key", "left")
-    return out.withColumn(text_col, F.when(F.col("live").isNotNull(), masked(F.col("live"))).otherwise(text)).select(*docs.columns)
+    rows = docs.withColumn(key, content_key(F.col(repo_col), F.col(owner_col), text))
+    out = rows.join(live, key, "left")
+    return out.withColumn(text_col, F.when(F.col(spans).isNotNull(), masked(F.col(spans))).otherwise(text)).select(*docs.columns)

@@ -9,45 +9,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hash ranges within a source, ranges of the fractional rank, and phases of the sources.
+#: Hash ranges within a source, ranges of the fractional rank, and phases of the sources. Ranks up to 10**11 keep whole numbers in 64 bits with it, and a range holds 1/4096 of a source.
 RANGES = 4096
 
 
 def interleave_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id", source_col: str = "source", seed: int = 17, tie_cols: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``shard`` (int, 0 to n_shards - 1) and ``slot`` (long, gapless from 0 in each shard) to every row of ``docs``.
 
-    The shards' row counts differ by one at most. A row's place in its source follows md5(seed:id); equal ids are ordered by ``tie_cols``.
+    The shards' row counts differ by one at most. A row's place in its source follows md5(seed:id); equal ids are ordered by ``tie_cols``, which also stand in for a null id.
     The r-th of the n rows of a source stands at (r - phase) / n of the order, where the phase in (0, 1] comes from the source's own hash:
-    without it all sources of one row would meet at one point. A null source is a source of its own, a null id is hashed as an empty one.
-    Repeated rows are rows like others. Columns named shard or slot are replaced; an empty table gives an empty one.
+    without it all sources of one row would meet at one point. A null source is a source of its own. Texts play no part, however long.
+    Repeated rows are rows like others. Columns named shard or slot are replaced, others are kept whatever their names; an empty table gives an empty one.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     docs = docs.drop("shard", "slot")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.withColumns({"_source": key, "_order": order})
-    rows = rows.withColumn("_range", F.conv(F.substring("_order", 1, 3), 16, 10).cast("int"))
-
-    counts = rows.groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_source")).cast("binary")), 1, 3), 16, 10).cast("long") + 1
-    counts = counts.select("_source", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_source")).alias("_total"), phase.alias("_phase"))
-
-    # How many ranks of a source lie below each range of the fractional rank follows from its count alone.
-    sources = counts.groupBy("_source").agg(F.first("_total").alias("_total"), F.first("_phase").alias("_phase"))
-    below = F.expr(f"greatest(0L, ({RANGES}L * _total * _cut + _phase * {RANGES}L - 1) div ({RANGES}L * {RANGES}L))")
-    cuts = sources.select("_total", "_phase", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("_cut"))
-    cuts = cuts.groupBy("_cut").agg(F.sum(below).alias("_below"), F.sum("_total").alias("_all"))
-
-    ranked = rows.join(counts, ["_source", "_range"])
-    place = Window.partitionBy("_source", "_range").orderBy("_order", id_col, *tie_cols)
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.row_number().over(place))
-    part = f"({RANGES}L * _rank - _phase)"
-    ranked = ranked.withColumns({"_cut": F.expr(f"cast(({RANGES}L * {part}) div ({RANGES}L * _total) as int)"), "_share": F.expr(f"{part} / cast({RANGES}L * _total as double)")})
-
-    line = Window.partitionBy("_cut").orderBy("_share", "_source", "_rank")
-    placed = ranked.join(F.broadcast(cuts), "_cut").withColumn("_at", F.col("_below") + F.row_number().over(line) - 1)
-    placed = placed.withColumn("shard", F.expr(f"cast((_at * {n_shards}L) div _all as int)"))
-    placed = placed.withColumn("slot", F.expr(f"_at - (shard * _all + {n_shards - 1}L) div {n_shards}L"))
-    return placed.select(*docs.columns, "shard", "slot")
+    ties = F.concat_ws(":", F.lit(""), *[F.col(c).cast("string") for c in tie_cols])
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), ties)).cast("binary"))
+    named = [F.col(c).alias(f"tie{i}") for i, c in enumerate((id_col, *tie_cols))]
+    rows = docs.select(F.struct("*").alias("row"), *named, key.alias("source"), order.alias("order"))
+    rows = rows.withColumn("range", F.conv(F.substring("order", 1, 3), 16, 10).cast("int"))
+
+    counts = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    phase = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("source")).cast("binary")), 1, 3), 16, 10).cast("long") + 1
+    counts = counts.select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("source")).alias("total"), phase.alias("phase"))
+
+    place = Window.partitionBy("source", "range").orderBy("order", *[f"tie{i}" for i in range(len(named))])
+    ranked = rows.join(counts, ["source", "range"]).withColumn("rank", F.col("before") + F.row_number().over(place))
+    part = f"({RANGES}L * rank - phase)"
+    ranked = ranked.withColumns({"cut": F.expr(f"cast(({RANGES}L * {part}) div ({RANGES}L * total) as int)"), "share": F.expr(f"{part} / cast({RANGES}L * total as double)")})
+
+    # How many ranks lie below each range of the fractional rank follows from the sources' counts: those of equal count and phase lie alike.
+    alike = counts.select("source", "total", "phase").distinct().groupBy("total", "phase").agg(F.count(F.lit(1)).alias("sources"))
+    below = F.expr(f"sources * greatest(0L, ({RANGES}L * total * cut + phase * {RANGES}L - 1) div ({RANGES}L * {RANGES}L))")
+    cuts = alike.select("*", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("cut"))
+    cuts = cuts.groupBy("cut").agg(F.sum(below).alias("below"), F.sum(F.col("sources") * F.col("total")).alias("all"))
+
+    line = Window.partitionBy("cut").orderBy("share", "source", "rank")
+    placed = ranked.join(F.broadcast(cuts), "cut").withColumn("at", F.col("below") + F.row_number().over(line) - 1)
+    placed = placed.withColumn("shard", F.expr(f"cast((at * {n_shards}L) div all as int)"))
+    placed = placed.withColumn("slot", F.expr(f"at - (shard * all + {n_shards - 1}L) div {n_shards}L"))
+    return placed.select("row.*", "shard", "slot")

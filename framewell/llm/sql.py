@@ -13,8 +13,7 @@ OP1 = f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
          octet_length(encode(coalesce(text, ''))) + 8 AS size,
-         coalesce('s' || source, 'n') AS src,
-         md5('17:' || coalesce(doc_id::VARCHAR, '')) AS ord
+         coalesce('s' || source, 'n') AS src
   FROM documents
 ), e AS (
   SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 2 * (size - 8)),
@@ -22,7 +21,7 @@ WITH d AS (
          lambda a, x: xor(a >> 4, {_TABLE}[xor(a & 15, x) + 1])), 4294967295::BIGINT) AS text_crc32
   FROM d
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY src ORDER BY ord, doc_id, text_crc32, size) AS rk,
+  SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, ':' || text_crc32 || ':' || size)), doc_id, text_crc32, size) AS rk,
          count(*) OVER (PARTITION BY src) AS total,
          ('0x' || substr(md5('17:' || src), 1, 3))::BIGINT + 1 AS phase
   FROM e
@@ -43,11 +42,13 @@ WITH c AS (
   SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM c)
 ), m AS (
   SELECT min(conv_id) AS conv_id, l FROM c WHERE l NOT IN (SELECT l FROM p) GROUP BY l
+), k AS (
+  SELECT conv_id, l, unnest(range(0, (len(l) + 255) // 256)) AS chunk FROM m
 )
-SELECT conv_id, 0 AS chunk, len(l)::BIGINT AS n_turns,
-       array_to_string(list_transform(l, lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) ||
+SELECT conv_id, chunk::INTEGER AS chunk, len(l)::BIGINT AS n_turns,
+       array_to_string(list_transform(l[chunk * 256 + 1:chunk * 256 + 256], lambda x: '<|im_start|>' || coalesce(x.role, 'unknown') || chr(10) ||
          replace(replace(coalesce(x.text, ''), '<|im_start|>', '<im>'), '<|im_end|>', '<im>') || '<|im_end|>' || chr(10)), '') AS rendered
-FROM m
+FROM k
 """
 
 ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1, "op4_chat": OP4}

@@ -57,6 +57,27 @@ def test_long_conversations_come_in_chunks(spark, monkeypatch):
     assert out.filter("conv_id = 300").count() == 25 and out.filter("conv_id = 301").count() == 0
 
 
+def test_equal_turn_numbers(spark):
+    """Turns with equal or null numbers are as bounded as others."""
+    rows = [*((1, 0, "user", f"t{i:05}") for i in range(1500)), *((2, None, "user", f"n{i:05}") for i in range(700)), *((3, 7, "user", "same") for _ in range(600))]
+    out = chat.format_chats(spark.createDataFrame([(*r, "x") for r in rows], KINDS).repartition(6))
+    assert result(out) == brute(rows)
+    assert out.count() == 6 + 3 + 3 and max(r["rendered"].count(chat.OPEN) for r in out.collect()) == chat.BLOCK
+
+
+def test_sql_of_long_conversations(spark, tmp_path):
+    import duckdb
+    from framewell.llm import sql
+
+    rows = [*((1, i, "user", f"t{i}") for i in range(600)), *((2, i, "user", f"t{i}") for i in range(512)), *((3, i, None, None) for i in range(256))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns.write.parquet(f"{tmp_path}/conversations")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations/*.parquet'")
+    want = con.execute(f"SELECT conv_id, chunk, n_turns, rendered FROM ({sql.OP4})").fetchall()
+    assert sorted(want) == sorted(map(tuple, chat.format_chats(turns).select("conv_id", "chunk", "n_turns", "rendered").collect())) and len(want) == 4
+
+
 def test_query(spark, tiny):
     rows = [tuple(r[c] for c in ("conv_id", "turn", "role", "text")) for r in spark.read.parquet(f"{tiny}/conversations.parquet").collect()]
     assert result(queries.op4_chat(spark, tiny)) == brute(rows)

@@ -70,3 +70,44 @@ def test_odd_rows_pass_the_stages(spark, tiny):
     assert corpus_pipeline.secrets(spark, docs, tiny).count() == len(rows)
     assert corpus_pipeline.benchmark_leaks(spark, docs, tiny).count() == len(rows)
     assert corpus_pipeline.tokens(spark, docs, tiny).count() == len(rows)
+
+
+def test_language_stage_of_odd_rows(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    extra = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "en", None, 0), (-3, "12 34", "en", "s", 5), (None, "the and of the with that was", None, None, 3)], docs.schema)
+    more = docs.unionByName(extra).withColumns({"lang_pred": F.lit("mine"), "score": F.lit(7)})
+    kept = corpus_pipeline.language(spark, more, tiny)
+    assert kept.columns == more.columns and {(r["lang_pred"], r["score"]) for r in kept.select("lang_pred", "score").distinct().collect()} == {("mine", 7)}
+    assert {r["doc_id"] for r in kept.filter("doc_id < 0 OR doc_id IS NULL").collect()} == {None}
+    # Without labels nothing is learned, and documents with letters stay.
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, bare, tiny).count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+
+
+def test_stages_on_an_empty_table(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, tiny)
+        assert out.count() == 0, name
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+
+
+def test_secrets_stage_against_brute_force(spark, tiny, tmp_path):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    found = {(r["doc_id"], r["spans"]): r for r in queries.op8_secrets(spark, tiny).collect()}
+    spans = {d: [tuple(map(int, x.split(":")[1:])) for x in s.split(",") if x] for d, s in found}
+    live = {r["doc_id"]: (r["n_live"], r["n_example"]) for r in found.values()}
+    out = {r["doc_id"]: r for r in corpus_pipeline.secrets(spark, docs, tiny).collect()}
+    for r in docs.collect():
+        text, got = r["text"], out[r["doc_id"]]
+        if live[r["doc_id"]][0] == 0:
+            assert got["text"] == text
+        elif live[r["doc_id"]][1] == 0:
+            at, parts = 0, []
+            for a, b in sorted(spans[r["doc_id"]]):
+                if a >= at:
+                    parts += [text[at:a], "[SECRET]"]
+                at = max(at, b)
+            assert got["text"] == "".join(parts) + text[at:]
+        assert got["n_chars"] == (None if text is None else len(got["text"]))

@@ -1,6 +1,7 @@
 """Sharding, personal data and secrets against plain Python."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -149,3 +150,39 @@ def test_sharding_query_digests(spark, tiny):
     for r in queries.op1_sharding(spark, tiny).collect():
         raw = (texts[r["doc_id"]] or "").encode()
         assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+
+
+def test_clashing_columns(spark):
+    rows = [(1, "password=hunter22", "a", 5, "k", "h"), (2, None, "b", 6, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, live int, key string, hashes string")
+    out = secret_scan.redact(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "[SECRET]", "a", 5, "k", "h"), rows[1]]
+    found = secret_scan.scan_secrets(docs, keep=("doc_id", "key", "hashes", "live"))
+    assert found.columns == ["doc_id", "key", "hashes", "live", "_key", "secrets"] and {r["key"] for r in found.collect()} == {"k", None}
+    both = docs.withColumns({"pii": F.lit(1), "source": F.lit("s"), "range": F.lit(0), "order": F.lit("x"), "row": F.lit(2), "at": F.lit(3)})
+    shards = sharding.interleave_shards(both, 2)
+    assert shards.columns == [*both.columns, "shard", "slot"] and {(r["range"], r["order"], r["row"], r["at"]) for r in shards.collect()} == {(0, "x", 2, 3)}
+    assert pii.find_pii(both).count() == 2
+
+
+def test_ownership_against_brute_force(spark):
+    """Who is live and who an example, of many values and owners."""
+    rng = random.Random(9)
+    values = [f"secretvalue{i:03}" for i in range(60)]
+    rows = []
+    for i in range(400):
+        some = [v for k, v in enumerate(values) if rng.random() < (0.002, 0.01, 0.05)[k % 3]]
+        rows.append((i if rng.random() < 0.95 else None, " ".join(f"token={v}" for v in some), rng.choice(["a", "a", "a", "b", "c", None]) if i % 2 else "a"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    owners, repos = {}, {}
+    for d, text, source in rows:
+        for v in re.findall("token=(\\w+)", text):
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add((source, d))
+    example = {v for v in owners if len(owners[v]) >= 3 or len(owners[v]) >= 2 and len(repos[v]) >= 10}
+    assert 0 < len(example) < len(owners)
+    want = sorted((str(d), sum(v not in example for v in re.findall("token=(\\w+)", t)), sum(v in example for v in re.findall("token=(\\w+)", t))) for d, t, _ in rows)
+    got = secret_scan.digest(secret_scan.scan_secrets(docs, keep=("doc_id",))).collect()
+    assert sorted((str(r["doc_id"]), r["n_live"], r["n_example"]) for r in got) == want
+    texts = sorted(r["text"] for r in secret_scan.redact(docs).collect())
+    assert texts == sorted(" ".join(f"token={v}" if v in example else "[SECRET]" for v in re.findall("token=(\\w+)", t)) for _, t, _ in rows)
