@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -91,23 +91,29 @@ def priority(source: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[v for k, p in V.PRIORITY.items() for v in (F.lit(k), F.lit(p))]), source), F.lit(0))
 
 
-def merge_candidates(df: DataFrame, *, window: int = V.MERGE_WINDOW) -> DataFrame:
-    """EVT8: candidates (key, frame, ord, prio, magnitude) in order; one within ``window`` frames of the last kept one competes with it, and the better stays, the earlier of equals.
+def merge_near(rows: Iterable[tuple], window: int) -> Iterator[tuple]:
+    """EVT8 for one key's candidates (frame, prio, magnitude, and more) in order: one within ``window`` frames of the one that is held competes with it; the better is held on,
+    the earlier of equals. Only one is ever held."""
+    held: tuple | None = None
+    for row in rows:
+        if held is None or row[0] - held[0] > window:
+            if held is not None:
+                yield held
+            held = row
+        elif row[1:3] > held[1:3]:
+            held = row
+    if held is not None:
+        yield held
 
-    The kept frame moves when a better candidate wins, so this is a fold: a native one over each key's sorted candidates.
-    """
-    row = F.struct("frame", "ord", "prio", "magnitude")
-    kept = F.array().cast("array<struct<frame:bigint,ord:int,prio:int,magnitude:double>>")
 
-    def step(out: Column, c: Column) -> Column:
-        near = (F.size(out) > 0) & (c["frame"] - F.try_element_at(out, F.lit(-1))["frame"] <= window)
-        better = (c["prio"] > F.try_element_at(out, F.lit(-1))["prio"]) | ((c["prio"] == F.try_element_at(out, F.lit(-1))["prio"]) & (c["magnitude"] > F.try_element_at(out, F.lit(-1))["magnitude"]))
-        swapped = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(c))
-        return F.when(~near, F.concat(out, F.array(c))).when(better, swapped).otherwise(out)
+def merge_candidates(df: DataFrame, *, window: int = V.MERGE_WINDOW) -> DataFrame:
+    """EVT8: candidates (key, frame, ord, prio, magnitude) without those that a better one within ``window`` frames of the last kept one displaces.
 
-    typed = df.select("key", F.col("frame").cast("long"), F.col("ord").cast("int"), F.col("prio").cast("int"), F.col("magnitude").cast("double"))
-    folded = typed.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("all")).select("key", F.explode(F.aggregate("all", kept, step)).alias("c"))
-    return folded.select("key", "c.*")
+    The kept frame moves when a better candidate wins, so this is a fold, over each key's sorted candidates.
+    """
+    typed = df.select("key", F.col("frame").cast("long"), F.col("prio").cast("int"), F.col("magnitude").cast("double"), F.col("ord").cast("int"))
+    out = fold_keys(typed, ["frame", "prio", "magnitude", "ord"], ["frame", "ord", "prio", "magnitude"], lambda rows: list(merge_near(rows, window)), "frame long, prio int, magnitude double, ord int")
+    return out.select("key", "frame", "ord", "prio", "magnitude")
 
 
 def thin_boundaries(frames: Sequence[int], rank: Sequence[tuple], least: int) -> list[int]:
@@ -125,47 +131,52 @@ def thin_boundaries(frames: Sequence[int], rank: Sequence[tuple], least: int) ->
 
 
 def drop_static(frames: Sequence[int], moved: Sequence[int], last: tuple[int, int]) -> list[int]:
-    """EVT11: places that stay: the leftmost boundary with no moving frame in the stretch on either side goes, and its neighbours are looked at anew.
+    """EVT11: places that stay: a boundary goes if no frame moves in the stretch on either side of it.
 
     ``moved`` holds how many frames move before each boundary, and ``last`` the last frame and how many move before that; stretches of fewer than two frames count as moving.
+    A boundary that goes joins two static stretches to a static one, so that its neighbours stand as before, and one look at each is enough.
     """
     edges = [(0, 0), *zip(frames, moved, strict=True), last]
-    kept = list(range(len(edges)))
-    lively = lambda a, b: edges[b][0] - edges[a][0] < 2 or edges[b][1] > edges[a][1]
-    while True:
-        bad = next((j for j in range(1, len(kept) - 1) if not (lively(kept[j - 1], kept[j]) or lively(kept[j], kept[j + 1]))), None)
-        if bad is None:
-            return [k - 1 for k in kept[1:-1]]
-        del kept[bad]
+    lively = [b[0] - a[0] < 2 or b[1] > a[1] for a, b in zip(edges, edges[1:], strict=False)]
+    return [i for i in range(len(frames)) if lively[i] or lively[i + 1]]
 
 
 def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, move: float = V.MOVE_SPEED, speed: str = "speed") -> DataFrame:
-    """EVT8 to EVT13: fused boundaries of each key: key, frame, prio, magnitude; the series' first and last frames are added with prio 0.
+    """EVT8 to EVT13: fused boundaries of each key: key, frame, prio, magnitude, source; the series' first and last frames are added with prio 0.
 
-    ``candidates`` has key, frame, ord, prio and magnitude; ``series`` key, frame (from 0) and ``speed``. The merge is native. A running count of moving frames answers every
-    stretch, so that the two loops see a key's boundaries only, never its frames.
+    ``candidates`` has key, frame, ord, prio, magnitude, and source if it is known; ``series`` key, frame (from 0) and ``speed``. A running count of moving frames answers every
+    stretch, so that one fold sees a key's candidates only, never its frames.
     """
     before = line().rowsBetween(Window.unboundedPreceding, -1)
     counted = series.select("key", "frame", F.coalesce(F.sum((F.col(speed) >= move).cast("long")).over(before), F.lit(0)).alias("moved"))
     totals = counted.groupBy("key").agg(F.max("frame").alias("last"), F.max("moved").alias("last_moved"))
-    inner = merge_candidates(candidates, window=window).join(counted, ["key", "frame"]).select("key", "frame", "prio", "magnitude", "moved")
-    ends = totals.select("key", F.col("last").alias("frame"), F.lit(-1).alias("prio"), F.lit(0.0).alias("magnitude"), F.col("last_moved").alias("moved"))
-    rows = inner.unionByName(ends)
+    source = F.col("source") if "source" in candidates.columns else F.lit(None).cast("string")
+    typed = candidates.select("key", F.col("frame").cast("long"), F.col("ord").cast("int"), F.col("prio").cast("int"), F.col("magnitude").cast("double"), source.alias("source"))
+    inner = typed.join(counted, ["key", "frame"])
+    ends = totals.select("key", F.col("last").alias("frame"), F.lit(-1).alias("ord"), F.lit(-1).alias("prio"), F.lit(0.0).alias("magnitude"), F.lit(None).cast("string").alias("source"), F.col("last_moved").alias("moved"))
 
-    def thinned(rows: list[tuple]) -> list[tuple]:
+    def fused(rows: list[tuple]) -> list[tuple]:
         end = next(r for r in rows if r[1] < 0)
-        inside = [r for r in rows if r[1] >= 0 and least <= r[0] <= end[0] - least]
+        inside = [r for r in merge_near((r for r in rows if r[1] >= 0), window) if least <= r[0] <= end[0] - least]
         inside = [inside[i] for i in thin_boundaries([r[0] for r in inside], [r[1:3] for r in inside], least)]
-        inside = [inside[i] for i in drop_static([r[0] for r in inside], [r[3] for r in inside], (end[0], end[3]))]
-        return [(0, 0, 0.0), *(r[:3] for r in inside), (end[0], 0, 0.0)]
+        inside = [inside[i] for i in drop_static([r[0] for r in inside], [r[4] for r in inside], (end[0], end[4]))]
+        return [(0, 0, 0.0, "episode_start"), *(r[:4] for r in inside), (end[0], 0, 0.0, "episode_end")]
 
-    return fold_keys(rows, ["frame", "prio", "magnitude", "moved"], ["frame", "prio"], thinned, "frame long, prio int, magnitude double")
+    columns = ["frame", "prio", "magnitude", "source", "moved"]
+    ordered = inner.unionByName(ends).select("key", *columns, "ord")
+    return fold_keys(ordered, [*columns, "ord"], ["frame", "ord", "prio", "magnitude"], fused, "frame long, prio int, magnitude double, source string")
 
 
 def segments_between(boundaries: DataFrame, *, fps: float = V.FPS) -> DataFrame:
-    """EVT14 without events: a segment from every boundary to the next: key, id, start, end, start_time, end_time, duration; empty ones are skipped (EVT16)."""
+    """EVT14 without events: a segment from every boundary to the next: key, id, start, end, start_time, end_time, duration; empty ones are skipped (EVT16).
+
+    Where boundaries have a source, segments have start_source and end_source; what else a boundary has goes to the segment on its right.
+    """
     order = Window.partitionBy("key").orderBy("frame")
-    pairs = boundaries.withColumn("end", F.lead("frame").over(order)).filter("end > frame").withColumnRenamed("frame", "start")
+    pairs = boundaries.withColumn("end", F.lead("frame").over(order))
+    if "source" in boundaries.columns:
+        pairs = pairs.withColumn("end_source", F.lead("source").over(order)).withColumnRenamed("source", "start_source")
+    pairs = pairs.filter("end > frame").withColumnRenamed("frame", "start")
     number = (F.row_number().over(Window.partitionBy("key").orderBy("start")) - 1).cast("long")
     return pairs.withColumns({"id": number, "start_time": S.seconds(F.col("start"), fps), "end_time": S.seconds(F.col("end"), fps), "duration": F.bround((F.col("end") - F.col("start")) / fps, 4)})
 

@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def frames_inside(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """``frames`` (key, frame, and more) with the id of the segment (key, id, start, end; closed) that holds each; a frame where one ends and the next starts comes twice."""
+    rest = [c for c in frames.columns if c not in ("key", "frame")]
+    marks = segments.select("key", F.col("start").alias("frame"), F.struct("id", "end").alias("_s"), F.lit(0).alias("_o"))
+    line = Window.partitionBy("key").orderBy("frame", "_o")
+    rows = marks.unionByName(frames.withColumn("_o", F.lit(1)), allowMissingColumns=True)
+    now = F.last("_s", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    # The segment before is the one of the last frame before this one's start.
+    rows = rows.withColumn("_now", now).withColumn("_last", F.when(F.col("_o") == 0, F.lag("_now").over(line)))
+    rows = rows.withColumn("_before", F.last(F.when(F.col("_o") == 0, F.struct(F.col("frame").alias("at"), F.col("_last").alias("s"))), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    held = F.array_compact(F.array(F.when(F.col("frame") <= F.col("_now.end"), F.col("_now.id")), F.when((F.col("_before.at") == F.col("frame")) & (F.col("_before.s.end") == F.col("frame")), F.col("_before.s.id"))))
+    return rows.filter("_o = 1").select("key", "frame", *rest, F.explode(held).alias("id"))
+
+
 def activity(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """FN8: for each segment (key, id, start, end; closed) and side: score in units of the series' medians, and whether it moved at all.
 
-    ``frames`` has key, frame, and speed and aperture speed of both sides. Frames find their segments by an equi-join on the key with a range; a frame on a shared end is in two.
+    ``frames`` has key, frame, and speed and aperture speed of both sides. Segments touch and don't overlap, so a frame's is the last that starts at or before it, found by one
+    window; a frame on a shared end belongs to the segment before as well.
     """
-    medians = frames.groupBy("key").agg(*[F.median(F.abs(c)).alias(f"m_{c}") for c in ("speed_left", "speed_right", "aperture_left", "aperture_right")])
-    inside = frames.join(segments.select("key", "id", "start", "end"), "key").filter(F.col("frame").between(F.col("start"), F.col("end")))
-    means = inside.groupBy("key", "id").agg(*[F.avg(F.abs(c)).alias(c) for c in ("speed_left", "speed_right", "aperture_left", "aperture_right")]).join(medians, "key")
+    names = ("speed_left", "speed_right", "aperture_left", "aperture_right")
+    medians = frames.groupBy("key").agg(*[F.median(F.abs(c)).alias(f"m_{c}") for c in names])
+    inside = frames_inside(segments, frames.select("key", "frame", *names))
+    means = inside.groupBy("key", "id").agg(*[F.avg(F.abs(c)).alias(c) for c in names]).join(medians, "key")
 
     def score(side: str) -> Column:
         return F.col(f"speed_{side}") / F.greatest(F.col(f"m_speed_{side}"), F.lit(0.01)) + F.col(f"aperture_{side}") / F.greatest(F.col(f"m_aperture_{side}"), F.lit(0.005))

@@ -5,7 +5,9 @@ Segments have key, start, end, action, hand, object and confidence; other column
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import heapq
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -14,10 +16,16 @@ from ..functions import scalars as S
 from ..functions import vocabulary as V
 from .folds import fold_keys
 
-_LABEL = ("action", "hand", "object", "confidence")
+#: Columns that a label decides, and those that the first and the last of joined segments and all of them give, where a table has them.
+_SAYS = ("action", "hand", "object", "confidence", "sentence", "style_id", "hand_disagreement")
+_FIRST, _LAST, _ALL = ("start_source",), ("end_source", "transition_after"), ("events",)
 _RANK = {c: i for i, c in enumerate(V.CONFIDENCES)}
 
 
+def _of(df: DataFrame, names: tuple[str, ...]) -> list[str]:
+    return [c for c in names if c in df.columns]
+
+
 def order() -> WindowSpec:
     """A key's segments in order."""
     return Window.partitionBy("key").orderBy("start", "end")
@@ -25,6 +33,7 @@ def order() -> WindowSpec:
 
 def merge_adjacent(df: DataFrame, *, fps: float = V.FPS, gap_s: float = V.MERGE_GAP_S, keep_events_apart: bool = False) -> DataFrame:
     """INT3, INT4: neighbours with equal action, object and hand less than gap_s apart become one; the most confident member's labels stay, the earliest of equals.
+    Its source is the first member's, what ends it the last one's, and events are those of all.
 
     ``keep_events_apart``: a segment that starts at a grasp or release (``start_source``) never joins the one before. Being mergeable is an equality of neighbours and a gap
     to the neighbour's end, so merged segments are islands and need no fold.
@@ -35,26 +44,42 @@ def merge_adjacent(df: DataFrame, *, fps: float = V.FPS, gap_s: float = V.MERGE_
     if keep_events_apart:
         joins &= ~F.col("start_source").isin("grasp", "release")
     islands = df.withColumn("_island", F.sum(F.coalesce((~joins).cast("int"), F.lit(1))).over(order())).withColumn("_nth", F.row_number().over(order()))
-    best = F.max_by(F.struct("action", "hand", "object", "confidence"), F.struct(S.rank_of(F.col("confidence")), -F.col("_nth"))).alias("best")
-    last = F.max_by("end", "_nth").alias("end")
-    merged = islands.groupBy("key", "_island").agg(F.min("start").alias("start"), last, best, F.first("n_frames").alias("n_frames"), F.count(F.lit(1)).alias("members"))
-    return merged.select("key", "start", "end", "best.*", "n_frames", "members")
+    best = F.max_by(F.struct(*_of(df, _SAYS)), F.struct(S.rank_of(F.col("confidence")), -F.col("_nth"))).alias("best")
+    edges = [F.min_by(c, "_nth").alias(c) for c in _of(df, _FIRST)] + [F.max_by(c, "_nth").alias(c) for c in ("end", *_of(df, _LAST))]
+    lists = [F.flatten(F.array_sort(F.collect_list(F.struct("_nth", c)))[c]).alias(c) for c in _of(df, _ALL)]
+    merged = islands.groupBy("key", "_island").agg(F.min("start").alias("start"), best, *edges, *lists, F.first("n_frames").alias("n_frames"), F.count(F.lit(1)).alias("members"))
+    return merged.select("key", "start", "end", "best.*", *_of(df, _FIRST + _LAST + _ALL), "n_frames", "members")
+
+
+def joined(left: dict, right: dict, says: dict) -> dict:
+    """Two neighbours as one: the labels of ``says``, the outer bounds, sources and events of both."""
+    outer = {c: left[c] for c in ("start", *_FIRST) if c in left} | {c: right[c] for c in ("end", *_LAST) if c in right}
+    return says | outer | {c: [*left[c], *right[c]] for c in _ALL if c in left}
 
 
 def absorb(rows: list[dict], least: int) -> list[dict]:
     """INT5 for one key's rows: the first shortest of those under ``least`` joins its more confident neighbour, the longer and then the left of equals; of the two the more
-    confident one's labels stay, the longer and then the left of equals. Ends when none is short or one is left."""
-    weight = lambda r: (_RANK[r["confidence"]], r["end"] - r["start"])
-    rows = [dict(r) for r in rows]
-    while len(rows) > 1:
-        i = min(range(len(rows)), key=lambda k: rows[k]["end"] - rows[k]["start"])
-        if rows[i]["end"] - rows[i]["start"] >= least:
-            break
-        left, right = rows[i - 1] if i else None, rows[i + 1] if i + 1 < len(rows) else None
-        a = i - 1 if right is None or (left is not None and weight(left) >= weight(right)) else i
-        pair = rows[a], rows[a + 1]
-        rows[a : a + 2] = [{**(pair[0] if weight(pair[0]) >= weight(pair[1]) else pair[1]), "start": pair[0]["start"], "end": pair[1]["end"]}]
-    return rows
+    confident one's labels stay, the longer and then the left of equals. Ends when none is short or one is left. A heap holds the lengths, and rows know their neighbours."""
+    rows: list[dict | None] = list(rows)
+    weight = lambda i: (_RANK[rows[i]["confidence"]], rows[i]["end"] - rows[i]["start"])
+    n = len(rows)
+    before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r["end"] - r["start"], i) for i, r in enumerate(rows)]
+    heapq.heapify(heap)
+    while n > 1 and heap and heap[0][0] < least:
+        length, i = heapq.heappop(heap)
+        if rows[i] is None or rows[i]["end"] - rows[i]["start"] != length:
+            continue  # joined since it was put there
+        left, right = before[i], after[i]
+        a = left if right == len(rows) or (left >= 0 and weight(left) >= weight(right)) else i
+        b = after[a]
+        rows[a] = joined(rows[a], rows[b], rows[a] if weight(a) >= weight(b) else rows[b])
+        rows[b], after[a] = None, after[b]
+        if after[b] < len(rows):
+            before[after[b]] = a
+        heapq.heappush(heap, (rows[a]["end"] - rows[a]["start"], a))
+        n -= 1
+    return [r for r in rows if r is not None]
 
 
 def enforce_min_length(df: DataFrame, *, least: int = 10) -> DataFrame:
@@ -63,16 +88,17 @@ def enforce_min_length(df: DataFrame, *, least: int = 10) -> DataFrame:
     return _folded(df, columns, lambda rows: absorb(rows, least))
 
 
-def _folded(df: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]]) -> DataFrame:
+def _folded(df: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]], order: tuple[str, ...] | list[str] = ("start", "end")) -> DataFrame:
     """fold_keys for folds over dicts that keep the columns."""
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-    return fold_keys(df, columns, ["start", "end"], lambda rows: [tuple(r[c] for c in columns) for r in fold([dict(zip(columns, r, strict=True)) for r in rows])], schema)
+    return fold_keys(df, columns, list(order), lambda rows: [tuple(r[c] for c in columns) for r in fold([dict(zip(columns, r, strict=True)) for r in rows])], schema)
 
 
-def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE_GAP_S, name: Column | None = None) -> DataFrame:
+def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE_GAP_S, name: Column | None = None, idle_source: str = "idle_gap") -> DataFrame:
     """INT6, INT7: gaps over idle_gap_s become idle segments; shorter ones go to the segment before, or after at the start; the same holds up to the last frame.
 
     Gaps are known from the neighbours, so every segment is stretched and gives at most one idle row before it, and the last one a row after it. ``name``: the key as text.
+    Labelled rows keep their sentences, sources and events; idle ones get an idle sentence, ``idle_source`` on both sides and no events.
     """
     limit = idle_gap_s * fps
     name = F.col("key").cast("string") if name is None else name
@@ -82,12 +108,17 @@ def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE
     lead_gap, tail_gap = F.col("start") - F.col("_prev"), F.col("_next") - F.col("end")
     start = F.when(F.col("_first") & (lead_gap > 0) & (lead_gap <= limit), F.col("_prev")).otherwise(F.col("start"))
     end = F.when((tail_gap > 0) & (tail_gap <= limit), F.col("_next")).otherwise(F.col("end"))
-    own = F.struct(start.alias("start"), end.alias("end"), "action", "hand", "object", "confidence", F.lit("label").alias("source"))
-    idle = lambda a, b: F.struct(a.alias("start"), b.alias("end"), F.lit("idle").alias("action"), F.lit("both").alias("hand"), F.lit("none").alias("object"), F.lit("high").alias("confidence"), F.lit("idle_gap").alias("source"))
+    idle_values = {"action": "idle", "hand": "both", "object": "none", "confidence": "high", "style_id": -1, "hand_disagreement": False, **dict.fromkeys(("start_source", "end_source"), idle_source)}
+    rides = _of(df, _SAYS + _FIRST + _LAST + _ALL)
+    kinds = {f.name: f.dataType for f in df.schema}
+    blank = [(F.array() if c in _ALL else F.lit(idle_values.get(c))).cast(kinds[c]).alias(c) for c in rides]
+    own = F.struct(start.alias("start"), end.alias("end"), *rides, F.lit("label").alias("source"))
+    idle = lambda a, b: F.struct(a.alias("start"), b.alias("end"), *blank, F.lit("idle_gap").alias("source"))
     pieces = F.array_compact(F.array(F.when(lead_gap > limit, idle(F.col("_prev"), F.col("start"))), own, F.when(F.col("_last") & (tail_gap > limit), idle(F.col("end"), end_frame))))
     out = rows.select("key", "n_frames", F.explode(pieces).alias("s")).select("key", "n_frames", "s.*")
     number = (F.row_number().over(order()) - 1).cast("long")
-    return out.withColumn("id", number).withColumn("sentence", F.when(F.col("source") == "idle_gap", S.idle_sentence(name, F.col("id"))))
+    said = F.col("sentence") if "sentence" in df.columns else F.lit(None).cast("string")
+    return out.withColumn("id", number).withColumn("sentence", F.when(F.col("source") == "idle_gap", S.idle_sentence(name, F.col("id"))).otherwise(said))
 
 
 def clamp_overlaps(df: DataFrame) -> DataFrame:
@@ -97,47 +128,73 @@ def clamp_overlaps(df: DataFrame) -> DataFrame:
     return sane.withColumn("start", F.greatest("start", F.coalesce(reach, F.col("start")))).filter("end > start")
 
 
-def stitch_rows(rows: list[dict], share: float) -> list[dict]:
-    """INT9, INT10 for one key's candidates. First, candidates in order join the first cluster of the same action, hand and object that they overlap by ``share`` of the common
-    span; clusters grow, and a strictly more confident candidate gives its labels. Then clusters in order extend the one before (same label), are dropped (contained), or both
-    are cut at the middle of the overlap."""
-    label = lambda r: (r["action"], _one_article_less(r["object"]), r["hand"])
-    clusters: list[dict] = []
-    for c in sorted(rows, key=lambda r: (r["start"], r["end"])):
-        for k in clusters:
-            span = max(k["end"], c["end"]) - min(k["start"], c["start"])
-            if label(k) == label(c) and span > 0 and max(0, min(k["end"], c["end"]) - max(k["start"], c["start"])) / span >= share:
-                if _RANK[c["confidence"]] > _RANK[k["confidence"]]:
-                    k |= {f: c[f] for f in _LABEL}
-                k |= {"start": min(k["start"], c["start"]), "end": max(k["end"], c["end"])}
+def _label(row: dict) -> tuple[str, str]:
+    """What tells candidates apart: the action and the object, not the hand."""
+    name = row["object"].lower().strip()
+    return row["action"], next((name[len(a) :] for a in ("the ", "a ", "an ") if name.startswith(a)), name)
+
+
+def _surer(row: dict, other: dict) -> dict:
+    """What ``other`` says if it is strictly more confident than ``row``, else what that says."""
+    return {c: (other if _RANK[other["confidence"]] > _RANK[row["confidence"]] else row)[c] for c in _SAYS if c in row}
+
+
+def clusters(rows: list[dict], share: float) -> list[dict]:
+    """INT9: each candidate, in order, goes to the oldest cluster of its label that it overlaps by ``share`` of the common span, or founds one. Clusters are kept by label, for
+    others cannot match; one that takes a candidate covers both, so the order counts."""
+    kept: dict[tuple[str, str], list[dict]] = defaultdict(list)
+    founded: list[dict] = []
+    for row in rows:
+        alike = kept[_label(row)]
+        for home in alike:
+            low, high = min(home["start"], row["start"]), max(home["end"], row["end"])
+            common = min(home["end"], row["end"]) - max(home["start"], row["start"])
+            if high > low and max(common, 0) / (high - low) >= share:
+                home.update(_surer(home, row), start=low, end=high)
                 break
         else:
-            clusters.append(dict(c))
-    out: list[dict] = []
-    for c in sorted(clusters, key=lambda r: (r["start"], r["end"])):
-        p = out[-1] if out else None
-        if p is not None and c["start"] < p["end"]:
-            if label(p) == label(c):
-                more = {f: c[f] for f in _LABEL} if _RANK[c["confidence"]] > _RANK[p["confidence"]] else {}
-                p |= {"end": max(p["end"], c["end"]), **more}
-                continue
-            if c["end"] <= p["end"]:
-                continue
-            p["end"] = c["start"] = min(max((c["start"] + p["end"]) // 2, p["start"] + 1), c["end"] - 1)
-        if c["end"] > c["start"]:
-            out.append(c)
-    return out
-
-
-def _one_article_less(text: str) -> str:
-    text = text.lower().strip()
-    return next((text[len(a) :] for a in ("the ", "a ", "an ") if text.startswith(a)), text)
+            alike.append(dict(row))
+            founded.append(alike[-1])
+    return sorted(founded, key=lambda r: (r["start"], r["end"]))
+
+
+def resolved(rows: list[dict]) -> Iterator[dict]:
+    """INT10: sorted rows without overlaps. Only the last one is open: a row that begins inside it extends it (same label), lies within it and goes, or meets it half way."""
+    last: dict | None = None
+    for row in rows:
+        if last is None or row["start"] >= last["end"]:
+            if last is not None:
+                yield last
+            last = row
+        elif _label(row) == _label(last):
+            last = last | _surer(last, row) | {"end": max(last["end"], row["end"])}
+        elif row["end"] > last["end"]:
+            half = (row["start"] + last["end"]) // 2
+            cut = min(max(half, last["start"] + 1), row["end"] - 1)
+            yield last | {"end": cut}
+            last = row | {"start": cut}
+    if last is not None:
+        yield last
 
 
 def stitch(df: DataFrame, *, share: float = V.IOU) -> DataFrame:
-    """INT9, INT10: overlapping candidates of windows become non-overlapping segments, key by key."""
+    """INT9, INT10: overlapping candidates of windows become non-overlapping segments, key by key. Empty candidates play no part; equal spans are taken by label, hand and confidence."""
+    columns = [c for c in df.columns if c != "key"]
+    return _folded(df.filter("end > start"), columns, lambda rows: list(resolved(clusters(rows, share))), order=["start", "end", "action", "object", "hand", "confidence"])
 
-    return _folded(df, [c for c in df.columns if c != "key"], lambda rows: stitch_rows(rows, share))
+
+def same_label_overlaps(df: DataFrame, *, share: float = V.IOU) -> DataFrame:
+    """JN8: pairs of candidates of one key with the same action and object whose overlap is ``share`` of the common span or more: key, id, other, iou. ``df`` has a unique id.
+
+    Pairs share a bucket of the width of the key's longest candidate, or lie in neighbouring ones, so that it is an equi-join and not every pair of a key.
+    """
+    label = S.strip_article(F.col("object"))
+    rows = df.withColumns({"_object": label, "_width": F.max(F.col("end") - F.col("start")).over(Window.partitionBy("key", "action", label))})
+    rows = rows.withColumn("_bucket", F.floor(F.col("start") / F.greatest(F.col("_width"), F.lit(1))))
+    a = rows.select("key", "action", "_object", "_bucket", "id", "start", "end")
+    b = rows.select("key", "action", "_object", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"), F.col("id").alias("other"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    pairs = a.join(b, ["key", "action", "_object", "_bucket"]).filter(F.col("id") < F.col("other"))
+    return pairs.withColumn("iou", S.iou(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))).filter(F.col("iou") >= share).select("key", "id", "other", "iou")
 
 
 def fallback(keys: DataFrame, segments: DataFrame) -> DataFrame:

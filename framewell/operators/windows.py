@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from .folds import fold_keys
 
 
 def sliding(df: DataFrame, n_frames: str = "n_frames", *, frames: int = V.WINDOW_FRAMES, skip: int = 1, overlap: float = 0.33) -> DataFrame:
@@ -68,20 +65,23 @@ def hand_over(tail: dict | None, rows: list[dict], w_start: int) -> tuple[list[d
 
 
 def fold_chunks(df: DataFrame) -> DataFrame:
-    """WIN6, WIN7: segments of each key from its chunks' candidates (key, chunk, w_start, start, end, action, ongoing) in order; the tail is flushed at the end."""
-
-    columns = ["chunk", "w_start", "start", "end", "action", "ongoing"]
+    """WIN6, WIN7: segments of each key from its chunks' candidates (key, chunk, w_start, start, end, action, ongoing) in order; the tail is flushed at the end.
 
-    def run(rows: list[tuple]) -> list[tuple]:
-        tail, out = None, []
-        for _, chunk in itertools.groupby(rows, key=lambda r: r[0]):
-            found = [dict(zip(columns, r, strict=True)) for r in chunk]
-            done, tail = hand_over(tail, found, found[0]["w_start"])
-            out += done
-        out += [tail] if tail is not None else []
-        return [(r["start"], r["end"], r["action"]) for r in out]
-
-    return fold_keys(df, columns, ["chunk", "start", "end"], run, "start long, end long, action string")
+    The same segments as hand_over gives chunk by chunk. Within a chunk starts are moved to the furthest end so far. A chunk's first candidate continues what the chunk before
+    left open if it begins before its own chunk, so continued segments are islands: each takes the first one's start and the last one's words and end.
+    """
+    line = Window.partitionBy("key", "chunk").orderBy("start", "end")
+    whole = Window.partitionBy("key").orderBy("chunk", "_nth")
+    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumns({"_nth": F.row_number().over(line), "_reach": reach, "_open": F.col("start") < F.col("w_start")})
+    rows = rows.withColumn("start", F.greatest("start", F.coalesce("_reach", "start"))).filter("end > start")
+    tail = F.col("ongoing") & F.coalesce(F.lead("chunk").over(whole) != F.col("chunk"), F.lit(True))
+    rows = rows.withColumn("_tail", tail)
+    goes_on = F.coalesce((F.col("_nth") == 1) & F.col("_open") & F.lag("_tail").over(whole), F.lit(False))
+    rows = rows.withColumn("_island", F.sum((~goes_on).cast("int")).over(whole))
+    at = F.struct("chunk", "_nth")
+    out = rows.groupBy("key", "_island").agg(F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.max_by("action", at).alias("action"))
+    return out.select("key", "start", "end", "action")
 
 
 def continuation(start: Column, text: Column) -> Column:

@@ -11,28 +11,41 @@ from ..operators import intervals as I
 from ..operators import signals as G
 
 
-def propose_segments(series: DataFrame, *, fps: float = V.FPS, least: int = V.MIN_SEGMENT, window: int = V.MERGE_WINDOW, pause_speed: float = V.PAUSE_SPEED_MAX, prominence: float = V.PAUSE_PROMINENCE, gaze_floor: float = V.GAZE_FLOOR, move: float = V.MOVE_SPEED) -> DataFrame:
-    """EVT15: segments of series (key, frame, speed, turn, masked): pauses in ``speed`` and shifts in ``turn`` become candidates, which are fused into boundaries."""
-    pauses = E.prominent_minima(series, "speed", prominence=prominence).filter(F.col("depth") < pause_speed)
-    open_frames = series.filter(~F.col("masked")).select("key", "frame")
-    pauses = pauses.join(open_frames, ["key", "frame"]).select("key", "frame", (-F.col("depth")).alias("magnitude"), F.lit(V.PRIORITY["pause"]).alias("prio"))
-    gaze = E.gaze_shifts(series, "turn", floor=gaze_floor).withColumn("prio", F.lit(V.PRIORITY["gaze"]))
-    fused = E.fuse(E.union_candidates(pauses, gaze), series, window=window, least=least, move=move)
-    return E.segments_between(fused, fps=fps)
-
-
-def assemble(labels: DataFrame, *, fps: float = V.FPS, least: int = 10, absorb: bool = True, keep_events_apart: bool = False) -> DataFrame:
-    """INT14: merge, absorb, fill and flag: the finished rows of each key, with ids, times, sentence for idle ones, and flags."""
-    merged = I.merge_adjacent(labels, fps=fps, keep_events_apart=keep_events_apart)
+def propose_segments(series: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, least: int = V.MIN_SEGMENT, window: int = V.MERGE_WINDOW, pause_speed: float = V.PAUSE_SPEED_MAX, prominence: float = V.PAUSE_PROMINENCE, gaze_floor: float = V.GAZE_FLOOR, move: float = V.MOVE_SPEED) -> DataFrame:
+    """EVT15: segments of series (key, frame, speed, turn, masked_left, masked_right) with start_source and end_source.
+
+    EVT4: pauses in ``speed`` are candidates unless the wrists of both hands are masked there. Grasps and releases (``events``: key, frame, type, magnitude) are, and shifts in
+    ``turn``, which no mask concerns. EVT6, EVT7: in this order, each with its source's priority, they are fused into boundaries.
+    """
+    seen = series.filter(~(F.col("masked_left") & F.col("masked_right"))).select("key", "frame")
+    pauses = E.prominent_minima(series, "speed", prominence=prominence).filter(F.col("depth") < pause_speed).join(seen, ["key", "frame"])
+    parts = [pauses.select("key", "frame", (-F.col("depth")).alias("magnitude"), F.lit("pause").alias("source"))]
+    if events is not None:
+        parts.append(events.select("key", "frame", "magnitude", F.col("type").alias("source")))
+    parts.append(E.gaze_shifts(series, "turn", floor=gaze_floor).withColumn("source", F.lit("gaze")))
+    candidates = E.union_candidates(*parts).withColumn("prio", E.priority(F.col("source")))
+    fused = E.fuse(candidates, series, window=window, least=least, move=move)
+    segments = E.segments_between(fused, fps=fps)
+    return segments if events is None else E.events_inside(segments, events)
+
+
+def assemble(labels: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, least: int = 10, absorb: bool = True, keep_events_apart: bool = False, merge_gap_s: float = V.MERGE_GAP_S, idle_gap_s: float = V.IDLE_GAP_S, idle_source: str = "idle_gap") -> DataFrame:
+    """INT14: merge, absorb, fill and flag: the finished rows of each key, with ids, times, sentences, sources and flags.
+
+    With ``events`` (key, frame, type) flags are FN11's, for labels with hand_disagreement; without, they are FN12's.
+    """
+    merged = I.merge_adjacent(labels, fps=fps, gap_s=merge_gap_s, keep_events_apart=keep_events_apart)
     if absorb:
         merged = I.enforce_min_length(merged, least=least)
-    out = I.flagged(I.insert_idle(merged, fps=fps))
+    filled = I.insert_idle(merged, fps=fps, idle_gap_s=idle_gap_s, idle_source=idle_source)
+    out = I.flagged(filled) if events is None else I.cross_flagged(filled, events)
     return out.withColumns({"start_time": F.col("start") / fps, "end_time": F.col("end") / fps, "duration": (F.col("end") - F.col("start")) / fps})
 
 
 def annotations(rows: DataFrame) -> DataFrame:
     """FN13: one nested row for each key, with the ids that need review."""
-    item = F.struct("id", "action", "hand", "object", "sentence", "start", "end", "start_time", "end_time", "duration", "confidence", "flags")
+    sources = [c for c in ("start_source", "end_source", "style_id") if c in rows.columns]
+    item = F.struct("id", "action", "hand", "object", "sentence", "start", "end", "start_time", "end_time", "duration", *sources, "confidence", "flags")
     review = F.array_compact(F.collect_list(F.when(F.size("flags") > 0, F.col("id"))))
     return rows.groupBy("key").agg(F.first("n_frames").alias("n_frames"), F.array_sort(F.collect_list(item)).alias("subtasks"), F.array_sort(review).alias("review_queue"))
 

@@ -39,8 +39,8 @@ SEGMENTS = FRAMES + """, fr AS (
   SELECT key, start, coalesce(lead(start) OVER (PARTITION BY key ORDER BY run), last) AS "end",
          CASE WHEN kind IN ('view', 'click') THEN 'reach' WHEN kind = 'purchase' THEN 'grasp' ELSE 'place' END AS action,
          CASE WHEN x < 20 THEN 'left' ELSE 'right' END AS hand, CASE WHEN x < 60 THEN 'the cup' ELSE 'cup' END AS object,
-         CASE WHEN x < 15 THEN 'low' WHEN x < 50 THEN 'medium' ELSE 'high' END AS confidence, kind AS start_source,
-         max(last) OVER (PARTITION BY key) + 1 AS n_frames
+         CASE WHEN x < 15 THEN 'low' WHEN x < 50 THEN 'medium' ELSE 'high' END AS confidence, kind || ' ' || start AS sentence, kind AS start_source,
+         coalesce(lead(kind) OVER (PARTITION BY key ORDER BY run), 'episode_end') AS end_source, max(last) OVER (PARTITION BY key) + 1 AS n_frames
   FROM rr
 ), s AS (SELECT * FROM s0 WHERE "end" > start)"""
 PEAKS = """, pk0 AS (
@@ -51,6 +51,83 @@ PEAKS = """, pk0 AS (
 ), pk AS (SELECT key, ((a + b) // 2)::BIGINT AS frame, x AS height FROM pk2 WHERE x > p AND x > n)"""
 
 
+_CRC = [0] * 16
+for _i in range(16):
+    _c = _i
+    for _ in range(4):
+        _c = (_c >> 1) ^ (0xEDB88320 if _c & 1 else 0)
+    _CRC[_i] = _c
+
+
+def crc32_sql(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, four bits at a time."""
+    digits = f"list_transform(range(0, 2 * length({text})), lambda i: ('0x' || substr(hex(encode({text})), (i // 2 * 2 + 2 - i % 2)::INT, 1))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, x: xor(a >> 4, {_CRC}[xor(a & 15, x) + 1])), 4294967295::BIGINT)"
+
+
+def peaks_sql(name: str, source: str) -> str:
+    """CTEs up to ``name`` (key, frame, height): the peaks of ``source`` (key, frame, x)."""
+    return f"""{name}_0 AS (SELECT *, sum(CASE WHEN x = p THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY frame) AS r FROM (SELECT key, frame, x, lag(x) OVER (PARTITION BY key ORDER BY frame) AS p FROM {source})),
+{name}_1 AS (SELECT key, r, min(frame) AS a, max(frame) AS b, any_value(x) AS x FROM {name}_0 GROUP BY key, r),
+{name}_2 AS (SELECT *, lag(x) OVER (PARTITION BY key ORDER BY r) AS p, lead(x) OVER (PARTITION BY key ORDER BY r) AS n FROM {name}_1),
+{name} AS (SELECT key, ((a + b) // 2)::BIGINT AS frame, x AS height FROM {name}_2 WHERE x > p AND x > n)"""
+
+
+def minima_sql(name: str, source: str, prominence: float) -> str:
+    """CTEs up to ``name`` (key, frame, depth, prominence): the minima of ``source`` by the definition of prominence."""
+    return f"""{name}_n AS (SELECT key, frame, -x AS x FROM {source}), {peaks_sql(f"{name}_p", f"{name}_n")},
+{name}_e AS (SELECT *, coalesce((SELECT max(g.frame) FROM {name}_n g WHERE g.key = p.key AND g.frame < p.frame AND g.x > p.height), -1) AS l,
+  coalesce((SELECT min(g.frame) FROM {name}_n g WHERE g.key = p.key AND g.frame > p.frame AND g.x > p.height), 1000000000) AS r FROM {name}_p p),
+{name}_b AS (SELECT *, greatest((SELECT min(g.x) FROM {name}_n g WHERE g.key = e.key AND g.frame > l AND g.frame <= e.frame), (SELECT min(g.x) FROM {name}_n g WHERE g.key = e.key AND g.frame >= e.frame AND g.frame < r)) AS base FROM {name}_e e),
+{name} AS (SELECT key, frame, -height AS depth, height - base AS prominence FROM {name}_b WHERE height - base >= {prominence})"""
+
+
+def fuse_sql(window: int, least: int, move: float) -> str:
+    """CTEs up to ``fused`` (key, frame, prio, magnitude, source) from ``cand`` (key, frame, ord, prio, magnitude, source) and ``f`` (x is the speed): merged, thinned, and lively."""
+    return f"""cr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY frame, ord, prio, magnitude) AS rn FROM cand),
+mt AS (
+  SELECT key, rn, frame AS kf, prio AS kp, magnitude AS km, source AS ks, NULL::BIGINT AS of, NULL::INT AS op, NULL::DOUBLE AS om, NULL::VARCHAR AS os FROM cr WHERE rn = 1
+  UNION ALL
+  SELECT key, rn, CASE WHEN far OR wins THEN frame ELSE kf END, CASE WHEN far OR wins THEN prio ELSE kp END, CASE WHEN far OR wins THEN magnitude ELSE km END, CASE WHEN far OR wins THEN source ELSE ks END,
+         CASE WHEN far THEN kf END, CASE WHEN far THEN kp END, CASE WHEN far THEN km END, CASE WHEN far THEN ks END
+  FROM (SELECT c.*, t.kf, t.kp, t.km, t.ks, c.frame - t.kf > {window} AS far, (c.prio, c.magnitude) > (t.kp, t.km) AS wins FROM mt t JOIN cr c ON c.key = t.key AND c.rn = t.rn + 1)
+), ml AS (SELECT key, max(rn) AS rn FROM cr GROUP BY key),
+mg AS (SELECT key, of AS frame, op AS prio, om AS magnitude, os AS source FROM mt WHERE of IS NOT NULL UNION ALL SELECT mt.key, kf, kp, km, ks FROM mt JOIN ml ON ml.key = mt.key AND ml.rn = mt.rn),
+ft AS (SELECT key, max(frame) AS last FROM f GROUP BY key),
+ti AS (SELECT key, list({{'f': frame, 'p': prio, 'm': magnitude, 's': source}} ORDER BY frame) AS l FROM mg JOIN ft USING (key) WHERE frame BETWEEN {least} AND last - {least} GROUP BY key),
+th AS (
+  SELECT key, l, coalesce(list_position(list_transform(range(1, len(l)), lambda i: l[i + 1].f - l[i].f < {least}), TRUE), 0) AS j FROM ti
+  UNION ALL
+  SELECT key, l, coalesce(list_position(list_transform(range(1, len(l)), lambda i: l[i + 1].f - l[i].f < {least}), TRUE), 0)
+  FROM (SELECT key, list_filter(l, lambda x, i: i <> CASE WHEN (l[j].p, l[j].m) <= (l[j + 1].p, l[j + 1].m) THEN j ELSE j + 1 END) AS l FROM th WHERE j > 0)
+), tb AS (SELECT key, unnest(l, recursive := true) FROM th WHERE j = 0),
+ts AS (SELECT *, coalesce(lag(f) OVER w, 0) AS b, coalesce(lead(f) OVER w, last) AS e FROM tb JOIN ft USING (key) WINDOW w AS (PARTITION BY key ORDER BY f)),
+fused AS (
+  SELECT key, f AS frame, p AS prio, m AS magnitude, s AS source FROM ts
+  WHERE f - b < 2 OR e - f < 2 OR EXISTS (SELECT 1 FROM f g WHERE g.key = ts.key AND g.frame >= b AND g.frame < e AND g.x >= {move})
+  UNION ALL SELECT key, 0, 0, 0.0, 'episode_start' FROM ft UNION ALL SELECT key, last, 0, 0.0, 'episode_end' FROM ft
+)"""
+
+
+def absorb_sql(source: str, least: int) -> str:
+    """CTEs up to ``ab`` (key, start, end, and labels): the rows of ``source`` after INT5."""
+    span, rank = "x.\"end\" - x.start", "CASE x.confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+    weights = f"list_transform(l, lambda x: ({rank}) * 1000000 + {span})"
+    shortest = f"list_position(list_transform(l, lambda x: {span}), list_min(list_transform(l, lambda x: {span})))"
+    go = f"len(l) > 1 AND list_min(list_transform(l, lambda x: {span})) < {least}"
+    fields = ("action", "hand", "object", "confidence", "sentence")
+    says = ", ".join(f"'{c}': CASE WHEN w[a] >= w[a + 1] THEN l[a].{c} ELSE l[a + 1].{c} END" for c in fields)
+    row = "{'start': l[a].start, 'end': l[a + 1].\"end\", " + says + ", 'start_source': l[a].start_source, 'end_source': l[a + 1].end_source, 'n_frames': l[a].n_frames}"
+    first = "{'start': start, 'end': \"end\", " + ", ".join(f"'{c}': {c}" for c in fields) + ", 'start_source': start_source, 'end_source': end_source, 'n_frames': n_frames}"
+    return f"""ar AS (
+  SELECT key, list({first} ORDER BY start, "end") AS l FROM {source} GROUP BY key
+  UNION ALL
+  SELECT key, list_concat(l[1:a - 1], [{row}], l[a + 2:]) FROM (
+    SELECT key, l, w, CASE WHEN i = len(l) OR (i > 1 AND w[greatest(i - 1, 1)] >= w[least(i + 1, len(l))]) THEN i - 1 ELSE i END AS a FROM (SELECT key, l, {weights} AS w, {shortest} AS i FROM ar WHERE {go})
+  )
+), ab AS (SELECT key, unnest(l, recursive := true) FROM ar WHERE NOT ({go}))"""
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
@@ -138,7 +215,7 @@ def evt1_peaks(spark, sf):
     return E.peaks(T.frames(spark, sf), "x", 50)
 
 
-@query("evt2_prominent_minima")
+@query("evt2_prominent_minima", f"WITH {FRAMES}, {minima_sql('mn', 'f', 20.0)} SELECT key, frame, depth, prominence FROM mn")
 def evt2_prominent_minima(spark, sf):
     return E.prominent_minima(T.frames(spark, sf), "x", prominence=20.0)
 
@@ -169,7 +246,7 @@ def evt5_gaze_shifts(spark, sf):
 def _candidates(spark, sf):
     f = T.frames(spark, sf).filter("valid")
     prio = F.when(F.col("kind") == "purchase", 4).when(F.col("kind") == "click", 3).when(F.col("kind") == "view", 2).otherwise(1)
-    return f.select("key", "frame", F.lit(0).alias("ord"), prio.alias("prio"), F.col("x").alias("magnitude"))
+    return f.select("key", "frame", F.lit(0).alias("ord"), prio.alias("prio"), F.col("x").alias("magnitude"), F.col("kind").alias("source"))
 
 
 @query("evt8_merge_candidates", f"""WITH RECURSIVE {FRAMES}, c AS (
@@ -187,7 +264,8 @@ def evt8_merge_candidates(spark, sf):
     return E.merge_candidates(_candidates(spark, sf), window=4)
 
 
-@query("evt13_fuse")
+@query("evt13_fuse", f"""WITH RECURSIVE {FRAMES}, cand AS (SELECT key, frame, 0 AS ord, CASE kind WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END AS prio, x AS magnitude, kind AS source FROM f WHERE valid),
+{fuse_sql(4, 5, 60.0)} SELECT key, frame, prio, magnitude, source FROM fused""")
 def evt13_fuse(spark, sf):
     return E.fuse(_candidates(spark, sf), T.frames(spark, sf), window=4, least=5, move=60.0, speed="x")
 
@@ -205,11 +283,41 @@ def evt14_segments(spark, sf):
     return E.events_inside(segments, events).select("key", "id", "start", "end", "start_time", "end_time", "duration", F.size("events_inside").cast("long").alias("inside"))
 
 
-@query("evt15_propose_segments")
+EVENTS = """o_ AS (SELECT key, frame, x, valid, CASE WHEN b IS NULL THEN a - x WHEN a IS NULL THEN x - b ELSE (a - b) / 2 END AS v FROM (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM f WINDOW w AS (PARTITION BY key ORDER BY frame))),
+oc AS (SELECT key, frame, -v AS x FROM o_), oo AS (SELECT key, frame, v AS x FROM o_), """ + peaks_sql("gc", "oc") + ", " + peaks_sql("go", "oo") + """,
+ev AS (SELECT p.key, p.frame, type, height AS magnitude FROM (SELECT *, 'grasp' AS type FROM gc UNION ALL SELECT *, 'release' FROM go) p JOIN o_ ON o_.key = p.key AND o_.frame = p.frame WHERE height >= 10 AND valid AND (type = 'grasp' OR x <= 60))"""
+CANDIDATES = f"""{minima_sql("mn", "f", 10.0)}, {EVENTS}, hr AS (SELECT key, frame, x / 2 AS x FROM f), {peaks_sql("hp", "hr")}, hl AS (SELECT key, greatest(quantile_cont(x, 0.9), 20.0) AS lim FROM hr GROUP BY key),
+cand AS (
+  SELECT mn.key, mn.frame, 0 AS ord, 2 AS prio, -depth AS magnitude, 'pause' AS source FROM mn JOIN f ON f.key = mn.key AND f.frame = mn.frame WHERE depth < 20 AND (valid OR x < 10)
+  UNION ALL SELECT key, frame, 1, CASE type WHEN 'release' THEN 4 ELSE 3 END, magnitude, type FROM ev
+  UNION ALL SELECT key, frame, 2, 1, height, 'gaze' FROM hp JOIN hl USING (key) WHERE height >= lim
+)"""
+
+
+def _proposed(spark, sf):
+    f = T.frames(spark, sf)
+    series = f.select("key", "frame", F.col("x").alias("speed"), (F.col("x") / 2).alias("turn"), (~F.col("valid")).alias("masked_left"), (F.col("x") >= 10).alias("masked_right"))
+    events = E.grasp_release(_apertures(spark, sf), aperture_speed="opening", wrist_speed="x", masked="masked", hand="left", threshold=10, release_speed_max=60)
+    return A.propose_segments(series, events, least=5, window=4, pause_speed=20.0, prominence=10.0, gaze_floor=20.0, move=60.0)
+
+
+@query("evt15_propose_segments", f"""WITH RECURSIVE {FRAMES}, {CANDIDATES}, {fuse_sql(4, 5, 60.0)},
+sg AS (SELECT * FROM (SELECT key, frame AS start, lead(frame) OVER w AS "end", source AS start_source, lead(source) OVER w AS end_source FROM fused WINDOW w AS (PARTITION BY key ORDER BY frame)) WHERE "end" > start)
+SELECT key, row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS id, start, "end", start_source, end_source, round_even(("end" - start) / 30.0::DOUBLE, 4) AS duration,
+       coalesce((SELECT string_agg(type || ' ' || frame, ',' ORDER BY frame, type) FROM ev WHERE ev.key = sg.key AND frame >= start AND frame < "end"), '') AS events FROM sg""")
 def evt15_propose_segments(spark, sf):
-    f = T.frames(spark, sf).select("key", "frame", F.col("x").alias("speed"), (F.col("x") / 2).alias("turn"), (~F.col("valid")).alias("masked"))
-    out = A.propose_segments(f, least=5, window=4, pause_speed=20.0, prominence=10.0, gaze_floor=20.0, move=60.0)
-    return out.select("key", "id", "start", "end", "duration")
+    inside = F.array_join(F.transform("events_inside", lambda e: F.concat_ws(" ", e["type"], e["frame"].cast("string"))), ",")
+    return _proposed(spark, sf).select("key", "id", "start", "end", "start_source", "end_source", "duration", inside.alias("events"))
+
+
+@query("evt6_candidates", f"WITH {FRAMES}, {CANDIDATES} SELECT key, frame, ord, prio, magnitude, source FROM cand")
+def evt6_candidates(spark, sf):
+    f = T.frames(spark, sf)
+    pauses = E.prominent_minima(f, "x", prominence=10.0).filter("depth < 20").join(f.filter("valid OR x < 10").select("key", "frame"), ["key", "frame"])
+    events = E.grasp_release(_apertures(spark, sf), aperture_speed="opening", wrist_speed="x", masked="masked", hand="left", threshold=10, release_speed_max=60)
+    gaze = E.gaze_shifts(f.withColumn("turn", F.col("x") / 2), "turn", floor=20.0)
+    parts = [pauses.select("key", "frame", (-F.col("depth")).alias("magnitude"), F.lit("pause").alias("source")), events.select("key", "frame", "magnitude", F.col("type").alias("source")), gaze.withColumn("source", F.lit("gaze"))]
+    return E.union_candidates(*parts).select("key", "frame", "ord", E.priority(F.col("source")).alias("prio"), "magnitude", "source")
 
 
 # Joins.
@@ -393,9 +501,9 @@ def int1_normal_names(spark, sf):
 
 MERGED = SEGMENTS + """, mi AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end") AS nth, CASE WHEN start - lag("end") OVER w < 15 AND action = lag(action) OVER w AND hand = lag(hand) OVER w THEN 0 ELSE 1 END AS cut
   FROM s WINDOW w AS (PARTITION BY key ORDER BY start, "end")
-), mj AS (SELECT *, sum(cut) OVER (PARTITION BY key ORDER BY nth) AS island, CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS rank FROM mi
-), m AS (SELECT key, min(start) AS start, arg_max("end", nth) AS "end", any_value(action) AS action, any_value(hand) AS hand, arg_max(object, rank * 1000000 - nth) AS object, arg_max(confidence, rank * 1000000 - nth) AS confidence, any_value(n_frames) AS n_frames, count(*) AS members
-  FROM mj GROUP BY key, island)"""
+), mj AS (SELECT *, sum(cut) OVER (PARTITION BY key ORDER BY nth) AS island, CASE confidence WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END * 1000000 - nth AS best FROM mi
+), m AS (SELECT key, min(start) AS start, arg_max("end", nth) AS "end", any_value(action) AS action, any_value(hand) AS hand, arg_max(object, best) AS object, arg_max(confidence, best) AS confidence, arg_max(sentence, best) AS sentence,
+  arg_min(start_source, nth) AS start_source, arg_max(end_source, nth) AS end_source, any_value(n_frames) AS n_frames, count(*) AS members FROM mj GROUP BY key, island)"""
 
 
 @query("int4_merge_adjacent", f"WITH {MERGED} SELECT * FROM m")
@@ -403,26 +511,39 @@ def int4_merge_adjacent(spark, sf):
     return I.merge_adjacent(T.segments(spark, sf))
 
 
-@query("int5_min_length")
+@query("int5_min_length", f"WITH RECURSIVE {MERGED}, {absorb_sql('m', 3)} SELECT * FROM ab")
 def int5_min_length(spark, sf):
-    return I.enforce_min_length(I.merge_adjacent(T.segments(spark, sf)), least=3)
+    return I.enforce_min_length(I.merge_adjacent(T.segments(spark, sf)).drop("members"), least=3)
 
 
 def _gappy(spark, sf):
     return T.segments(spark, sf).filter("start_source <> 'signup' AND start_source <> 'view'")
 
 
-@query("int6_insert_idle", f"""WITH {SEGMENTS}, k AS (SELECT *, lag("end") OVER w AS pe, lead(start) OVER w AS ns FROM s WHERE start_source NOT IN ('signup', 'view') WINDOW w AS (PARTITION BY key ORDER BY start, "end")),
-o AS (
-  SELECT key, CASE WHEN pe IS NULL AND start BETWEEN 1 AND 3 THEN 0 ELSE start END AS start, CASE WHEN coalesce(ns, n_frames - 1) - "end" BETWEEN 1 AND 3 THEN coalesce(ns, n_frames - 1) ELSE "end" END AS "end", action, 'label' AS source FROM k
-  UNION ALL SELECT key, coalesce(pe, 0), start, 'idle', 'idle_gap' FROM k WHERE start - coalesce(pe, 0) > 3
-  UNION ALL SELECT key, "end", n_frames - 1, 'idle', 'idle_gap' FROM k WHERE ns IS NULL AND n_frames - 1 - "end" > 3)
-SELECT key, row_number() OVER (PARTITION BY key ORDER BY start, "end") - 1 AS id, start, "end", action, source FROM o""")
+def idle_sql(source: str, gap: int) -> str:
+    """CTEs up to ``idled``: the rows of ``source`` after INT6 and INT7, with ids."""
+    said = f"['{V.IDLE_SENTENCES[0]}', '{V.IDLE_SENTENCES[1]}', '{V.IDLE_SENTENCES[2]}']"
+    idle = "'idle', 'both', 'none', 'high', NULL, 'idle_gap', 'idle_gap', n_frames, 'idle_gap'"
+    return f"""ik AS (SELECT *, lag("end") OVER w AS pe, lead(start) OVER w AS ns FROM {source} WINDOW w AS (PARTITION BY key ORDER BY start, "end")),
+io AS (
+  SELECT key, CASE WHEN pe IS NULL AND start BETWEEN 1 AND {gap} THEN 0 ELSE start END AS start, CASE WHEN coalesce(ns, n_frames - 1) - "end" BETWEEN 1 AND {gap} THEN coalesce(ns, n_frames - 1) ELSE "end" END AS "end",
+         action, hand, object, confidence, sentence, start_source, end_source, n_frames, 'label' AS source FROM ik
+  UNION ALL SELECT key, coalesce(pe, 0), start, {idle} FROM ik WHERE start - coalesce(pe, 0) > {gap}
+  UNION ALL SELECT key, "end", n_frames - 1, {idle} FROM ik WHERE ns IS NULL AND n_frames - 1 - "end" > {gap}),
+ii AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end") - 1 AS id FROM io),
+ic AS (SELECT key, {crc32_sql("k")} AS crc FROM (SELECT DISTINCT key, key::VARCHAR AS k FROM {source})),
+idled AS (SELECT ii.* EXCLUDE (sentence), CASE WHEN source = 'label' THEN sentence ELSE {said}[(crc + id) % 3 + 1] END AS sentence FROM ii JOIN ic USING (key))"""
+
+
+GAPPY = """gp AS (SELECT * FROM s WHERE start_source NOT IN ('signup', 'view'))"""
+
+
+@query("int6_insert_idle", f"""WITH {SEGMENTS}, {GAPPY}, {idle_sql("gp", 3)} SELECT key, id, start, "end", action, source, start_source, end_source, sentence FROM idled""")
 def int6_insert_idle(spark, sf):
-    return I.insert_idle(_gappy(spark, sf), idle_gap_s=0.1).select("key", "id", "start", "end", "action", "source")
+    return I.insert_idle(_gappy(spark, sf), idle_gap_s=0.1).select("key", "id", "start", "end", "action", "source", "start_source", "end_source", "sentence")
 
 
-@query("int7_idle_sentences")
+@query("int7_idle_sentences", f"""WITH {SEGMENTS}, {GAPPY}, {idle_sql("gp", 3)} SELECT key, id, sentence FROM idled WHERE source = 'idle_gap'""")
 def int7_idle_sentences(spark, sf):
     return I.insert_idle(_gappy(spark, sf), idle_gap_s=0.1).filter("source = 'idle_gap'").select("key", "id", "sentence")
 
@@ -438,11 +559,52 @@ def int8_iou(spark, sf):
     return iv.select("key", "action", "start", F.round(S.iou(F.col("start"), F.col("end"), F.col("ps"), F.col("pe")), 6).alias("iou"))
 
 
-@query("int9_stitch")
+def stitch_sql(share: float) -> str:
+    """CTEs up to ``st``: the candidates of ``iv`` (key, start, end, action, hand, obj, object, sentence, confidence) after INT9 and INT10."""
+    rank = lambda c: f"CASE {c} WHEN 'low' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
+    said = ("action", "hand", "object", "sentence", "confidence")
+    grown = "{'start': least(k.start, c.start), 'end': greatest(k.\"end\", c.\"end\"), 'nth': k.nth, " + ", ".join(f"'{x}': CASE WHEN {rank('c.confidence')} > {rank('k.confidence')} THEN c.{x} ELSE k.{x} END" for x in said) + "}"
+    fits = f"(greatest(least(k.\"end\", c.\"end\") - greatest(k.start, c.start), 0) / (greatest(k.\"end\", c.\"end\") - least(k.start, c.start))::DOUBLE >= {share})"
+    row = "{'start': start, 'end': \"end\", 'nth': nth, " + ", ".join(f"'{x}': {x}" for x in said) + "}"
+    keep = lambda c: ", ".join(f"CASE WHEN {c} THEN {x} ELSE p_{x} END" for x in said)
+    return f"""sn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end", action, object, hand, confidence) AS nth FROM iv WHERE "end" > start),
+sr AS (SELECT key, action AS act, obj, nth, {row} AS c, row_number() OVER (PARTITION BY key, action, obj ORDER BY nth) AS rn FROM sn),
+sc AS (
+  SELECT key, act, obj, rn, [c] AS l FROM sr WHERE rn = 1
+  UNION ALL
+  SELECT key, act, obj, rn, CASE WHEN j = 0 THEN list_append(l, c) ELSE list_transform(l, lambda k, i: CASE WHEN i = j THEN {grown} ELSE k END) END
+  FROM (SELECT sr.*, l, coalesce(list_position(list_transform(l, lambda k: {fits}), TRUE), 0) AS j FROM sc JOIN sr ON sr.key = sc.key AND sr.act = sc.act AND sr.obj = sc.obj AND sr.rn = sc.rn + 1)
+), sl AS (SELECT key, act, obj, max(rn) AS rn FROM sr GROUP BY ALL),
+so AS (SELECT key, obj, unnest(l, max_depth := 2) FROM sc JOIN sl USING (key, act, obj, rn)),
+sq AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end", nth) AS rn FROM so),
+sp AS (
+  SELECT key, rn, start AS p_start, "end" AS p_end, obj AS p_obj, {", ".join(f"{x} AS p_{x}" for x in said)}, NULL::BIGINT AS o_start, NULL::BIGINT AS o_end, {", ".join(f"NULL::VARCHAR AS o_{x}" for x in said)} FROM sq WHERE rn = 1
+  UNION ALL
+  SELECT key, rn, CASE WHEN free THEN start WHEN same OR inside THEN p_start ELSE cut END, CASE WHEN free THEN "end" WHEN same THEN greatest(p_end, "end") WHEN inside THEN p_end ELSE "end" END, CASE WHEN free OR NOT (same OR inside) THEN obj ELSE p_obj END,
+         {keep(f"free OR (same AND {rank('confidence')} > {rank('p_confidence')}) OR NOT (same OR inside)")},
+         CASE WHEN free OR NOT (same OR inside) THEN p_start END, CASE WHEN free THEN p_end WHEN NOT (same OR inside) THEN cut END, {", ".join(f"CASE WHEN free OR NOT (same OR inside) THEN p_{x} END" for x in said)}
+  FROM (SELECT q.*, p.* EXCLUDE (key, rn), q.start >= p_end AS free, q.action = p_action AND q.obj = p_obj AS same, q."end" <= p_end AS inside, least(greatest((q.start + p_end) // 2, p_start + 1), q."end" - 1) AS cut
+        FROM sp p JOIN sq q ON q.key = p.key AND q.rn = p.rn + 1)
+), sz AS (SELECT key, max(rn) AS rn FROM sq GROUP BY key),
+st AS (SELECT key, o_start AS start, o_end AS "end", {", ".join(f"o_{x} AS {x}" for x in said)} FROM sp WHERE o_start IS NOT NULL
+  UNION ALL SELECT sp.key, p_start, p_end, {", ".join(f"p_{x}" for x in said)} FROM sp JOIN sz ON sz.key = sp.key AND sz.rn = sp.rn)"""
+
+
+CLUSTERED = FRAMES + """, iv AS (SELECT key, frame AS start, (frame + 1 + floor(x / 50))::BIGINT AS "end", kind AS action, CASE WHEN frame % 2 = 0 THEN 'left' ELSE 'both' END AS hand, CASE WHEN frame % 3 = 0 THEN 'The cup' ELSE 'cup' END AS object, 'cup' AS obj,
+  kind || ' ' || frame AS sentence, CASE WHEN x < 15 THEN 'low' WHEN x < 50 THEN 'medium' ELSE 'high' END AS confidence FROM f)"""
+
+
+@query("int9_stitch", f"WITH RECURSIVE {CLUSTERED}, {stitch_sql(0.3)} SELECT * FROM st")
 def int9_stitch(spark, sf):
     return I.stitch(T.intervals(spark, sf), share=0.3)
 
 
+@query("jn8_same_label_overlaps", f"""WITH {CLUSTERED} SELECT a.key, a.start AS id, b.start AS other, round(greatest(least(a."end", b."end") - greatest(a.start, b.start), 0) / (greatest(a."end", b."end") - least(a.start, b.start))::DOUBLE, 6) AS iou
+FROM iv a JOIN iv b ON a.key = b.key AND a.action = b.action AND a.start < b.start WHERE greatest(least(a."end", b."end") - greatest(a.start, b.start), 0) / (greatest(a."end", b."end") - least(a.start, b.start))::DOUBLE >= 0.2""")
+def jn8_same_label_overlaps(spark, sf):
+    return I.same_label_overlaps(T.intervals(spark, sf).withColumn("id", F.col("start")), share=0.2).withColumn("iou", F.round("iou", 6))
+
+
 @query("int12_clamp", f"""WITH {INTERVALS}, g AS (SELECT *, max("end") OVER (PARTITION BY key ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM iv)
 SELECT key, greatest(start, coalesce(reach, start)) AS start, "end", action FROM g WHERE "end" > greatest(start, coalesce(reach, start))""")
 def int12_clamp(spark, sf):
@@ -456,10 +618,21 @@ def int13_fallback(spark, sf):
     return I.fallback(keys, T.segments(spark, sf).filter(F.col("end") - F.col("start") > 5)).select("key", "start", "end", "action", "confidence")
 
 
-@query("int14_assemble")
+@query("int14_assemble", f"""WITH RECURSIVE {MERGED}, {absorb_sql('m', 3)}, {idle_sql('ab', 3)}, um AS (SELECT key, list_sort(list("end" - start))[count(*) // 2 + 1] AS med FROM idled GROUP BY key)
+SELECT key, id, start, "end", action, hand, object, confidence, sentence, start_source, end_source, round(start / 30.0::DOUBLE, 6) AS start_time, round(("end" - start) / 30.0::DOUBLE, 6) AS duration,
+       concat_ws(',', CASE WHEN med > 0 AND ("end" - start) < 0.34 * med THEN 'short_segment' END, CASE WHEN confidence = 'low' THEN 'low_confidence' END) AS flags FROM idled JOIN um USING (key)""")
 def int14_assemble(spark, sf):
-    out = A.assemble(T.segments(spark, sf), least=3)
-    return out.select("key", "id", "start", "end", "action", "confidence", F.array_join("flags", ",").alias("flags"))
+    out = A.assemble(T.segments(spark, sf), least=3, idle_gap_s=0.1)
+    return out.select("key", "id", "start", "end", "action", "hand", "object", "confidence", "sentence", "start_source", "end_source", *[F.round(c, 6).alias(c) for c in ("start_time", "duration")], F.array_join("flags", ",").alias("flags"))
+
+
+@query("fn11_cross_flags", f"""WITH {MERGED}, {idle_sql('m', 3)}, ev AS (SELECT key, frame, CASE WHEN kind = 'purchase' THEN 'grasp' ELSE 'release' END AS type FROM f WHERE kind = 'purchase' OR (kind = 'signup' AND x > 40))
+SELECT key, id, concat_ws(',', CASE WHEN (action = 'grasp' AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.key = idled.key AND type = 'grasp' AND frame BETWEEN start - 2 AND "end" + 2)) OR (action = 'place' AND NOT EXISTS (SELECT 1 FROM ev WHERE ev.key = idled.key AND type = 'release' AND frame BETWEEN start - 2 AND "end" + 2)) THEN 'kinematic_mismatch' END,
+  CASE WHEN confidence = 'low' THEN 'low_confidence' END, CASE WHEN source = 'label' AND hand = 'left' AND start % 2 = 1 THEN 'hand_disagreement' END) AS flags FROM idled""")
+def fn11_cross_flags(spark, sf):
+    rows = I.insert_idle(I.merge_adjacent(T.segments(spark, sf)), idle_gap_s=0.1).withColumn("hand_disagreement", (F.col("source") == "label") & (F.col("hand") == "left") & (F.col("start") % 2 == 1))
+    events = T.frames(spark, sf).filter("kind = 'purchase' OR (kind = 'signup' AND x > 40)").select("key", "frame", F.when(F.col("kind") == "purchase", "grasp").otherwise("release").alias("type"))
+    return I.cross_flagged(rows, events, tolerance=2).select("key", "id", F.array_join("flags", ",").alias("flags"))
 
 
 FLAGGED = MERGED + """, um AS (SELECT key, list_sort(list("end" - start))[count(*) // 2 + 1] AS med FROM m GROUP BY key),
@@ -512,7 +685,12 @@ def chunked(spark: SparkSession, sf: str) -> DataFrame:
     return iv.select("key", "chunk", "w_start", F.when((F.col("start") % 16 == 0) & (F.col("key") % 2 == 0), F.col("start") - 2).otherwise(F.col("start")).alias("start"), "end", "action", (F.col("end") >= F.col("w_start") + 14).alias("ongoing"))
 
 
-@query("win6_open_tail")
+@query("win6_open_tail", f"""WITH {FRAMES}, iv AS (SELECT key, frame AS start, frame // 16 AS chunk, least(frame + 1 + floor(x / 50), frame // 16 * 16 + 15)::BIGINT AS "end", kind AS action FROM f),
+c0 AS (SELECT key, chunk, chunk * 16 AS w_start, CASE WHEN start % 16 = 0 AND key % 2 = 0 THEN start - 2 ELSE start END AS start, "end", action, "end" >= chunk * 16 + 14 AS ongoing FROM iv WHERE "end" > start AND (start % 16 < 4 OR start % 16 > 10)),
+c1 AS (SELECT *, row_number() OVER w AS nth, greatest(start, coalesce(max("end") OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start)) AS clear, start < w_start AS early FROM c0 WINDOW w AS (PARTITION BY key, chunk ORDER BY start, "end")),
+c2 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY chunk, nth) AS rn, ongoing AND coalesce(lead(chunk) OVER (PARTITION BY key ORDER BY chunk, nth) <> chunk, TRUE) AS tail FROM c1 WHERE "end" > clear),
+c3 AS (SELECT *, sum(CASE WHEN nth = 1 AND early AND before THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY rn) AS island FROM (SELECT *, coalesce(lag(tail) OVER (PARTITION BY key ORDER BY rn), FALSE) AS before FROM c2))
+SELECT key, arg_min(clear, rn) AS start, arg_max("end", rn) AS "end", arg_max(action, rn) AS action FROM c3 GROUP BY key, island""")
 def win6_open_tail(spark, sf):
     return W.fold_chunks(chunked(spark, sf))
 
@@ -641,7 +819,8 @@ def fn1_embedded_json(spark, sf):
     return T.read(spark, sf, "events").select("event_id", S.embedded_json(raw, "k int")["k"].alias("k"))
 
 
-@query("fn2_styles")
+@query("fn2_styles", f"""WITH {SEGMENTS}, n AS (SELECT key, 'series/' || key AS name, 'series/' || key || '|embodiment' AS body FROM (SELECT DISTINCT key FROM s)), c AS (SELECT key, {crc32_sql("name")} AS a, {crc32_sql("body")} AS b FROM n)
+SELECT key, (row_number() OVER (PARTITION BY key ORDER BY start, "end") - 1)::INT AS id, ((a + row_number() OVER (PARTITION BY key ORDER BY start, "end") - 1) % 6)::INT AS style_id, CASE WHEN b % 10000 / 10000 < 0.40 THEN 'arm' ELSE 'hand' END AS embodiment FROM s JOIN c USING (key)""")
 def fn2_styles(spark, sf):
     name = F.concat(F.lit("series/"), F.col("key"))
     s = T.segments(spark, sf).withColumn("id", F.row_number().over(I.order()) - 1)
@@ -670,8 +849,7 @@ def fn8_hand_activity(spark, sf):
 SELECT key, id, avg((abs(apart - mean) < 0.15 * mean)::INT) > 0.70 AS joint_carry FROM a JOIN m USING (key, id) GROUP BY 1, 2""")
 def fn9_joint_carry(spark, sf):
     f = T.frames(spark, sf).select("key", "frame", (F.col("x") + 100).alias("apart"))
-    inside = f.join(T.segments(spark, sf).select("key", F.col("start").alias("id"), "start", "end"), "key").filter(F.col("frame").between(F.col("start"), F.col("end")))
-    return H.carried_together(inside.select("key", "id", "apart"))
+    return H.carried_together(H.frames_inside(T.segments(spark, sf).withColumn("id", F.col("start")), f))
 
 
 @query("fn10_hand_decision", f"""WITH {HANDS} SELECT key, id, CASE WHEN active_left AND NOT active_right THEN 'left' WHEN active_right AND NOT active_left THEN 'right' WHEN NOT active_left AND NOT active_right THEN CASE WHEN score_left >= score_right THEN 'left' ELSE 'right' END

@@ -33,20 +33,23 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("x") < 20, "left").otherwise("right").alias("hand"),
         F.when(F.col("x") < 60, "the cup").otherwise("cup").alias("object"),
         F.when(F.col("x") < 15, "low").when(F.col("x") < 50, "medium").otherwise("high").alias("confidence"),
+        F.concat_ws(" ", "kind", F.col("start").cast("string")).alias("sentence"),
         F.col("kind").alias("start_source"),
+        F.coalesce(F.lead("kind").over(after), F.lit("episode_end")).alias("end_source"),
         (total + 1).alias("n_frames"),
     ).filter("end > start")
 
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping labelled candidates: key, start, end, action, hand, object and confidence, from every event."""
+    """Overlapping labelled candidates: key, start, end, action, hand, object, sentence and confidence, from every event; many differ in hand and article only."""
     f = frames(spark, sf_dir)
     return f.select(
         "key",
         F.col("frame").alias("start"),
         (F.col("frame") + 1 + F.floor(F.col("x") / 50)).alias("end"),
         F.col("kind").alias("action"),
-        F.lit("both").alias("hand"),
-        F.lit("cup").alias("object"),
+        F.when(F.col("frame") % 2 == 0, "left").otherwise("both").alias("hand"),
+        F.when(F.col("frame") % 3 == 0, "The cup").otherwise("cup").alias("object"),
+        F.concat_ws(" ", "kind", F.col("frame").cast("string")).alias("sentence"),
         F.when(F.col("x") < 15, "low").when(F.col("x") < 50, "medium").otherwise("high").alias("confidence"),
     )

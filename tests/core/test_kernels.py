@@ -21,11 +21,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-LABEL = "key string, start long, end long, action string, hand string, object string, confidence string, start_source string, n_frames long"
+LABEL = "key string, start long, end long, action string, hand string, object string, confidence string, sentence string, start_source string, end_source string, n_frames long"
 
 
 def labels(spark, rows, n, key="e", source="label"):
-    return spark.createDataFrame([(key, a, b, act, hand, "cup", conf, source, n) for a, b, act, hand, conf in rows], LABEL)
+    return spark.createDataFrame([(key, a, b, act, hand, "cup", conf, f"{act} from {a}", source, f"to {b}", n) for a, b, act, hand, conf in rows], LABEL)
 
 
 def spans(df, *cols):
@@ -203,6 +203,59 @@ def test_absorbing():
     assert [(r["start"], r["end"], r["n"]) for r in I.absorb(rows, 10)] == [(0, 36, "A"), (36, 80, "D")]
 
 
+SPANS = st.lists(st.tuples(st.integers(1, 12), st.sampled_from(V.CONFIDENCES)), min_size=1, max_size=14)
+
+
+@settings(max_examples=200, deadline=None)
+@given(SPANS, st.integers(1, 15))
+def test_absorbing_restarts(drawn, least):
+    rows, at = [], 0
+    for i, (size, confidence) in enumerate(drawn):
+        rows.append({"start": at, "end": at + size, "confidence": confidence, "start_source": f"s{i}", "end_source": f"e{i}", "events": [i]})
+        at += size
+    want = [dict(r) for r in rows]
+    weight = lambda r: (V.CONFIDENCES.index(r["confidence"]), r["end"] - r["start"])
+    while len(want) > 1 and min(r["end"] - r["start"] for r in want) < least:
+        i = min(range(len(want)), key=lambda k: want[k]["end"] - want[k]["start"])
+        sides = [k for k in (i - 1, i + 1) if 0 <= k < len(want)]
+        a, b = sorted((i, max(sides, key=lambda k: (weight(want[k]), -k))))
+        x, y = want[a], want[b]
+        says = x if weight(x) >= weight(y) else y
+        want[a : b + 1] = [{"start": x["start"], "end": y["end"], "confidence": says["confidence"], "start_source": x["start_source"], "end_source": y["end_source"], "events": x["events"] + y["events"]}]
+    assert I.absorb(rows, least) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=12), st.data())
+def test_static_stretches_restart(gaps, data):
+    frames = np.cumsum(gaps).tolist()
+    last = (frames[-1] if frames else 0) + 3
+    moving = data.draw(st.lists(st.booleans(), min_size=last, max_size=last))
+    before = [sum(moving[:f]) for f in frames]
+    kept = list(range(len(frames)))
+    lively = lambda a, b: b - a < 2 or any(moving[a:b])
+    while True:
+        edges = [0, *(frames[k] for k in kept), last]
+        bad = [j for j in range(len(kept)) if not lively(edges[j], edges[j + 1]) and not lively(edges[j + 1], edges[j + 2])]
+        if not bad:
+            break
+        del kept[bad[0]]
+    assert E.drop_static(frames, before, (last, sum(moving))) == kept
+
+
+def test_joined_rows_keep_what_is_theirs(spark):
+    df = labels(spark, [(0, 30, "grasp", "left", "low"), (30, 60, "grasp", "left", "high"), (60, 64, "place", "left", "low")], 100)
+    df = df.withColumn("events", F.array(F.struct(F.col("start").alias("frame"), F.lit("grasp").alias("type"))))
+    merged = I.merge_adjacent(df)
+    got = spans(merged, "start", "sentence", "start_source", "end_source", "events")
+    assert [(a, b, c, d, [x["frame"] for x in e]) for a, b, c, d, e in got] == [(0, "grasp from 30", "label", "to 60", [0, 30]), (60, "place from 60", "label", "to 64", [60])]
+    short = spans(I.enforce_min_length(merged, least=10), "start", "end", "sentence", "start_source", "end_source", "events")
+    assert [(*r[:5], [x["frame"] for x in r[5]]) for r in short] == [(0, 64, "grasp from 30", "label", "to 64", [0, 30, 60])]
+    filled = spans(I.insert_idle(merged, idle_gap_s=0.5), "start", "action", "sentence", "start_source", "end_source")
+    assert filled[:2] == [(0, "grasp", "grasp from 30", "label", "to 60"), (60, "place", "place from 60", "label", "to 64")]
+    assert filled[2][1] == "idle" and filled[2][2] in V.IDLE_SENTENCES and filled[2][3:] == ("idle_gap", "idle_gap")
+
+
 def test_idle(spark):
     rows = [(20, 60, "grasp", "left", "high"), (80, 120, "grasp", "left", "high"), (160, 200, "grasp", "left", "high")]
     assert spans(I.insert_idle(labels(spark, rows, 300)), "start", "end", "source") == [(0, 80, "label"), (80, 120, "label"), (120, 160, "idle_gap"), (160, 200, "label"), (200, 299, "idle_gap")]
@@ -225,10 +278,16 @@ def test_assembled_rows_are_valid(spark, drawn):
 
 def test_stitching():
     rows = [{"start": a, "end": b, "action": act, "hand": "both", "object": o, "confidence": c} for a, b, act, o, c in ((0, 50, "grasp", "cup", "medium"), (10, 60, "grasp", "the cup", "high"), (55, 90, "place", "cup", "high"), (60, 70, "lift", "cup", "low"))]
-    got = [(r["start"], r["end"], r["action"], r["object"]) for r in I.stitch_rows(rows, 0.5)]
+    got = [(r["start"], r["end"], r["action"], r["object"]) for r in I.resolved(I.clusters(sorted(rows, key=lambda r: (r["start"], r["end"])), 0.5))]
     assert got == [(0, 57, "grasp", "the cup"), (57, 90, "place", "cup")]
 
 
+def test_stitching_looks_past_hands():
+    rows = [{"start": a, "end": b, "action": "grasp", "hand": h, "object": o, "confidence": c, "sentence": s} for a, b, h, o, c, s in ((0, 50, "left", "cup", "low", "x"), (5, 55, "both", "The cup", "high", "y"))]
+    assert list(I.resolved(I.clusters(rows, 0.5))) == [{"start": 0, "end": 55, "action": "grasp", "hand": "both", "object": "The cup", "confidence": "high", "sentence": "y"}]
+    assert list(I.resolved(I.clusters(rows, 0.99))) == [{"start": 0, "end": 55, "action": "grasp", "hand": "both", "object": "The cup", "confidence": "high", "sentence": "y"}]
+
+
 def step(a, b, action, ongoing=False):
     return {"start": a, "end": b, "action": action, "ongoing": ongoing}
 
