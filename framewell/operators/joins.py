@@ -76,6 +76,21 @@ def missing(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     return left.select(on).distinct().join(right.select(on).distinct(), on, "left_anti")
 
 
+def verdicts_of_subtasks(verdicts: DataFrame, subtasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """JN12: verdicts (key, id, and axes) with the subtasks (key, id, and more) that they judge, and the keys of verdicts without any annotation, which are reported."""
+    absent = verdicts.select("key").distinct().join(subtasks.select("key").distinct(), "key", "left_anti")
+    return verdicts.join(subtasks, ["key", "id"]), absent
+
+
+def unblind(votes: DataFrame, letters: DataFrame) -> DataFrame:
+    """JN13: votes (key, best, worst: letters) with the configurations that stood behind their letters (key, letter, config); a letter that the key lacks gives NULL."""
+    out = votes
+    for side in ("best", "worst"):
+        named = letters.select("key", F.col("letter").alias(side), F.col("config").alias(f"{side}_config"))
+        out = out.join(named, ["key", side], "left")
+    return out
+
+
 def unknown_verbs(df: DataFrame, verbs: str, allowed: list[str]) -> DataFrame:
     """JN15: rows with verbs outside a vocabulary, and which."""
     return df.withColumn("unknown", F.array_except(verbs, F.array(*map(F.lit, allowed)))).filter("size(unknown) > 0")

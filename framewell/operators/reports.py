@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions import vocabulary as V
 from .joins import hit_counts
 
 
@@ -87,7 +88,54 @@ def boundary_f1(boundaries: DataFrame, keys: DataFrame, tolerance: int) -> DataF
 
 
 def tally(df: DataFrame, best: str, worst: str) -> DataFrame:
-    """AGG15, JN13: best, worst and net votes of each configuration, where a row counts if both its votes are valid."""
+    """AGG15: best, worst and net votes of each configuration, where a row counts if both its votes are valid."""
     valid = df.filter(F.col(best).isNotNull() & F.col(worst).isNotNull())
     votes = valid.select(F.explode(F.array(F.struct(F.col(best).alias("config"), F.lit(1).alias("b"), F.lit(0).alias("w")), F.struct(F.col(worst).alias("config"), F.lit(0).alias("b"), F.lit(1).alias("w")))).alias("v"))
     return votes.groupBy("v.config").agg(F.sum("v.b").alias("best"), F.sum("v.w").alias("worst"), F.sum(F.col("v.b") - F.col("v.w")).alias("net"))
+
+
+def verb_agreement(df: DataFrame) -> DataFrame:
+    """AGG6: of segments (action, start_source, end_source) that begin with a grasp, and of those that end with a release, how many have a verb that fits: side, agreement, n."""
+    facts = F.array(
+        F.struct(F.lit("grasp_start").alias("side"), (F.col("start_source") == "grasp").alias("counts"), F.col("action").isin(V.GRASP_START_VERBS).alias("fits")),
+        F.struct(F.lit("release_end").alias("side"), (F.col("end_source") == "release").alias("counts"), F.col("action").isin(V.RELEASE_END_VERBS).alias("fits")),
+    )
+    return df.select(F.explode(facts).alias("f")).filter("f.counts").groupBy("f.side").agg(F.round(rate(F.col("f.fits")), 6).alias("agreement"), F.count(F.lit(1)).alias("n"))
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """AGG7: subtasks (key, action, flags), how many a key, the share with flags, and the verbs' counts, the commonest first."""
+    by_verb = rows.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("flags") > 0).alias("bad"))
+    sums = by_verb.agg(F.sum("n").alias("subtasks"), F.sum("bad").alias("bad"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "action"))).alias("verbs"))
+    keys = rows.agg(F.count_distinct("key").alias("keys"))
+    named = F.transform("verbs", lambda v: F.concat_ws(" ", v["action"], (-v["n"]).cast("string")))
+    out = sums.join(F.broadcast(keys), F.lit(True))
+    return out.select("subtasks", F.round(F.col("subtasks") / F.col("keys"), 6).alias("per_key"), F.round(F.col("bad") / F.col("subtasks"), 6).alias("flagged"), F.array_join(named, ",").alias("verbs"))
+
+
+def config_metrics(windows: DataFrame, subtasks: DataFrame, *, fps: float = V.FPS) -> DataFrame:
+    """AGG11: for each configuration what its windows (config, key, windows, candidates, stitched, wall_s) cost and what its subtasks (config, key, start, end, action, confidence,
+    flags) are like: seconds a window, how much stitching merged, subtasks a key, upper median duration, idle share of frames, verbs and their entropy, and doubtful shares."""
+    cost = windows.groupBy("config").agg(*[F.sum(c).alias(c) for c in ("windows", "candidates", "stitched", "wall_s")])
+    length = F.col("end") - F.col("start")
+    like = subtasks.groupBy("config").agg(
+        F.round(F.count(F.lit(1)) / F.count_distinct("key"), 6).alias("per_key"),
+        F.round(F.sum(F.when(F.col("action") == "idle", length).otherwise(0)) / F.greatest(F.sum(length), F.lit(1)), 6).alias("idle_share"),
+        F.count_distinct("action").alias("verbs"),
+        F.round(rate(F.col("confidence") == "low"), 6).alias("low_confidence"),
+        F.round(rate(F.size("flags") > 0), 6).alias("flagged"),
+    )
+    nth = Window.partitionBy("config").orderBy("length")
+    ranked = subtasks.select("config", length.alias("length")).withColumns({"_i": F.row_number().over(nth) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("config"))})
+    median = ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2)).select("config", F.round(F.col("length") / fps, 6).alias("median_s"))
+    out = cost.join(like, "config").join(median, "config").join(entropy(subtasks, ["config"], "action"), "config")
+    paid = F.round(F.col("wall_s") / F.greatest("windows", F.lit(1)), 6).alias("s_per_window")
+    merged = F.round(1 - F.col("stitched") / F.greatest("candidates", F.lit(1)), 6).alias("merge_ratio")
+    return out.select("config", "windows", paid, merged, "per_key", "median_s", "idle_share", "verbs", "bits", "low_confidence", "flagged")
+
+
+def throughput(runs: DataFrame) -> DataFrame:
+    """AGG16: of runs (status, segments, wall_s) how many were done, skipped and failed, and the segments a minute of those done."""
+    done = F.col("status") == "done"
+    minutes = F.sum(F.when(done, F.col("wall_s"))) / 60
+    return runs.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("done", "skipped", "failed")], F.round(F.sum(F.when(done, F.col("segments"))) / minutes, 6).alias("segments_per_minute"))

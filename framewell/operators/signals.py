@@ -104,17 +104,40 @@ def runs(df: DataFrame, mask: str) -> DataFrame:
     return numbered.groupBy("key", "_island").agg(F.min("frame").alias("start"), (F.max("frame") + 1).alias("stop")).drop("_island")
 
 
-def sanity(df: DataFrame, position: list[str], valid: str) -> DataFrame:
-    """SIG13, SIG14: for each key its frames, range, median and 95th percentile of steps, invalid share and longest invalid run, in one pass and one join of sums."""
+def combined_speed(left: Column, right: Column) -> Column:
+    """SIG9: the faster hand's speed."""
+    return F.greatest(left, right)
+
+
+def hand_masks(wrist: Column, thumb: Column, index: Column) -> dict[str, Column]:
+    """SIG10: a hand's masks from those of its joints: mask_wrist for the wrist's signals, mask_pinch for the aperture, which needs both fingertips, and mask_any for reports only."""
+    return {"mask_wrist": wrist, "mask_pinch": thumb | index, "mask_any": wrist | thumb | index}
+
+
+def sanity(df: DataFrame, position: list[str], valid: str, *, confidence: str | None = None, camera: list[str] | None = None, height: str | None = None) -> DataFrame:
+    """SIG13, SIG14: for each key its frames, range, median and 95th percentile of steps, invalid share and longest invalid run, in one pass and one join of sums.
+
+    With ``confidence`` its least, median and greatest value, NaN left out; with ``camera`` the length of its way; with ``height``, a coordinate of the camera less that of the
+    wrists, whether the camera's median is above.
+    """
     stepped = speed(df, position, fps=1.0, into="step")
     low, high = F.least(*position) if len(position) > 1 else F.col(position[0]), F.greatest(*position) if len(position) > 1 else F.col(position[0])
-    stats = stepped.groupBy("key").agg(
+    stats = [
         F.count(F.lit(1)).alias("frames"),
         F.min(low).alias("low"),
         F.max(high).alias("high"),
         F.percentile("step", 0.5).alias("median_step"),
         F.percentile("step", 0.95).alias("p95_step"),
         F.avg((~F.col(valid)).cast("double")).alias("invalid_share"),
-    )
+    ]
+    if confidence:
+        known = F.nanvl(F.col(confidence).cast("double"), F.lit(None).cast("double"))
+        stats += [F.min(known).alias("confidence_min"), F.median(known).alias("confidence_median"), F.max(known).alias("confidence_max")]
+    if camera:
+        square = sum((F.pow(F.col(c) - F.lag(c).over(line()), 2) for c in camera), F.lit(0.0))
+        stepped = stepped.withColumn("_way", F.sqrt(square))
+        stats.append(F.sum("_way").alias("camera_travel"))
+    if height:
+        stats.append((F.median(height) > 0).alias("camera_above"))
     longest = runs(df.withColumn("_bad", ~F.col(valid)), "_bad").groupBy("key").agg(F.max(F.col("stop") - F.col("start")).alias("longest_invalid"))
-    return stats.join(longest, "key", "left").fillna(0, ["longest_invalid"])
+    return stepped.groupBy("key").agg(*stats).join(longest, "key", "left").fillna(0, ["longest_invalid"])

@@ -50,8 +50,15 @@ def annotations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.first("n_frames").alias("n_frames"), F.array_sort(F.collect_list(item)).alias("subtasks"), F.array_sort(review).alias("review_queue"))
 
 
+def boundary_mirror(subtasks: DataFrame, *, fps: float = V.FPS) -> DataFrame:
+    """SNK3: boundaries from labelled rows (key, id, start, n_frames): frame 0, the starts of all but the first row, and the last frame: key, frame, time, to four places."""
+    inner = subtasks.filter("id > 0").select("key", F.col("start").alias("frame"))
+    ends = subtasks.groupBy("key").agg(F.max("n_frames").alias("n")).select("key", F.explode(F.array(F.lit(0).cast("long"), F.col("n") - 1)).alias("frame"))
+    return inner.unionByName(ends).withColumn("time", F.bround(F.col("frame") / fps, 4))
+
+
 def signals(series: DataFrame, position: list[str], rotation: str, *, fps: float = V.FPS) -> DataFrame:
-    """SIG1 to SIG12 for one tracked point and one rotation: gaps filled, then smoothed speed and turning, and the time axis."""
+    """SIG3 to SIG8 and SIG12 for one tracked point and one rotation: gaps filled, then smoothed speed and turning, and the time axis."""
     filled = series
     for p in position:
         filled = G.fill_gaps(filled, p, "valid", into=f"{p}_f", mask="masked")

@@ -207,6 +207,26 @@ def sig14_sanity(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("median_step", "p95_step", "invalid_share")})
 
 
+@query("sig9_combined_speed", f"WITH {FRAMES} SELECT key, frame, greatest(x / 100, CASE WHEN valid THEN x / 50 ELSE 0 END) AS speed FROM f")
+def sig9_combined_speed(spark, sf):
+    f = T.frames(spark, sf)
+    return f.select("key", "frame", G.combined_speed(F.col("x") / 100, F.when(F.col("valid"), F.col("x") / 50).otherwise(0.0)).alias("speed"))
+
+
+@query("sig10_masks", f"WITH {FRAMES} SELECT key, frame, NOT valid AS mask_wrist, x > 60 OR x < 5 AS mask_pinch, NOT valid OR x > 60 OR x < 5 AS mask_any FROM f")
+def sig10_masks(spark, sf):
+    f = T.frames(spark, sf)
+    return f.withColumns(G.hand_masks(~F.col("valid"), F.col("x") > 60, F.col("x") < 5)).select("key", "frame", "mask_wrist", "mask_pinch", "mask_any")
+
+
+@query("sig14_camera", f"""WITH {POSES}, g AS (SELECT key, frame, e, lag(e) OVER (PARTITION BY key ORDER BY frame) AS q FROM p)
+SELECT key, round(min(e[6]), 6) AS confidence_min, round(median(e[6]), 6) AS confidence_median, round(max(e[6]), 6) AS confidence_max, round(sum(sqrt((e[1] - q[1]) ** 2 + (e[2] - q[2]) ** 2)), 4) AS camera_travel, median(e[2] - e[5]) > 0 AS camera_above FROM g GROUP BY key""")
+def sig14_camera(spark, sf):
+    poses = _poses(spark, sf).withColumns({"valid": F.lit(True), "up": F.col("p1") - F.col("p4")})
+    out = G.sanity(poses, ["p3"], "valid", confidence="p5", camera=["p0", "p1"], height="up")
+    return out.select("key", *[F.round(f"confidence_{c}", 6).alias(f"confidence_{c}") for c in ("min", "median", "max")], F.round("camera_travel", 4).alias("camera_travel"), "camera_above")
+
+
 # Events and boundaries.
 
 
@@ -323,10 +343,11 @@ def evt6_candidates(spark, sf):
 # Joins.
 
 
-@query("jn1_unpaired", """SELECT c_custkey AS custkey, 'a' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT DISTINCT o_custkey, 'b' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")
+@query("jn1_unpaired", """WITH b AS (SELECT DISTINCT o_custkey + 40 AS custkey FROM orders), a AS (SELECT c_custkey AS custkey FROM customer)
+SELECT custkey, 'a' AS side FROM a WHERE custkey NOT IN (SELECT custkey FROM b) UNION ALL SELECT custkey, 'b' FROM b WHERE custkey NOT IN (SELECT custkey FROM a)""")
 def jn1_unpaired(spark, sf):
-    return J.unpaired(T.read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")), T.read(spark, sf, "orders").select(F.col("o_custkey").alias("custkey")), ["custkey"])
+    """Orders' customers are moved on, so that both sides have keys of their own."""
+    return J.unpaired(T.read(spark, sf, "customer").select(F.col("c_custkey").alias("custkey")), T.read(spark, sf, "orders").select((F.col("o_custkey") + 40).alias("custkey")), ["custkey"])
 
 
 @query("jn2_dimension", "SELECT s_suppkey, s_nationkey, n_name, n_regionkey FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 7) n ON s_nationkey = n_nationkey")
@@ -375,9 +396,29 @@ def jn11_in_all(spark, sf):
     return J.in_all(rows, "c_nationkey", "o_orderpriority")
 
 
-@query("jn14_missing", "SELECT DISTINCT p_partkey AS partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("jn12_verdicts", f"""WITH {SEGMENTS}, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end") - 1 AS id FROM s), v AS (SELECT key + 40 AS key, frame AS id, x > 30 AS ok FROM f WHERE frame < 9)
+SELECT v.key, v.id, ok, action, 'judged' AS status FROM v JOIN q ON q.key = v.key AND q.id = v.id UNION ALL SELECT DISTINCT key, NULL, NULL::BOOLEAN, NULL, 'missing' FROM v WHERE key NOT IN (SELECT key FROM q)""")
+def jn12_verdicts(spark, sf):
+    subtasks = T.segments(spark, sf).withColumn("id", (F.row_number().over(I.order()) - 1).cast("long"))
+    verdicts = T.frames(spark, sf).filter("frame < 9").select((F.col("key") + 40).alias("key"), F.col("frame").alias("id"), (F.col("x") > 30).alias("ok"))
+    judged, absent = J.verdicts_of_subtasks(verdicts, subtasks)
+    return judged.select("key", "id", "ok", "action", F.lit("judged").alias("status")).unionByName(absent.withColumn("status", F.lit("missing")), allowMissingColumns=True)
+
+
+@query("jn13_unblind", """WITH v AS (SELECT p_partkey AS key, chr(65 + (p_size % 4)::INT) AS best, chr(65 + (p_size % 3)::INT) AS worst FROM part), l AS (SELECT p_partkey AS key, chr(65 + i::INT) AS letter, 'config ' || (i + p_partkey) % 3 AS config FROM part, range(3) r(i))
+SELECT v.key, v.best, v.worst, a.config AS best_config, b.config AS worst_config FROM v LEFT JOIN l a ON a.key = v.key AND a.letter = best LEFT JOIN l b ON b.key = v.key AND b.letter = worst""")
+def jn13_unblind(spark, sf):
+    part = T.read(spark, sf, "part")
+    letter = lambda n: F.char((F.lit(65) + n).cast("long"))
+    votes = part.select(F.col("p_partkey").alias("key"), letter(F.col("p_size") % 4).alias("best"), letter(F.col("p_size") % 3).alias("worst"))
+    letters = part.select(F.col("p_partkey").alias("key"), F.explode(F.array(*map(F.lit, range(3)))).alias("i"))
+    letters = letters.select("key", letter(F.col("i")).alias("letter"), F.concat(F.lit("config "), ((F.col("i") + F.col("key")) % 3).cast("string")).alias("config"))
+    return J.unblind(votes, letters)
+
+
+@query("jn14_missing", "SELECT DISTINCT p_partkey AS partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def jn14_missing(spark, sf):
-    return J.missing(T.read(spark, sf, "part").select(F.col("p_partkey").alias("partkey")), T.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("partkey")), "partkey")
+    return J.missing(T.read(spark, sf, "part").select(F.col("p_partkey").alias("partkey")), T.read(spark, sf, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("partkey")), "partkey")
 
 
 @query("jn15_unknown_verbs", f"""WITH {SEGMENTS} SELECT key, string_agg(DISTINCT action, ' ' ORDER BY action) AS verbs, 'place' AS unknown FROM s GROUP BY key HAVING bool_or(action = 'place')""")
@@ -437,10 +478,11 @@ def sel10_review_order(spark, sf):
     return P.review_order(rows, "s_nationkey", "s_suppkey", "flagged", 20)
 
 
-@query("sel11_folder", "SELECT event_type, CASE WHEN count(DISTINCT user_id) = 1 THEN min(user_id)::VARCHAR ELSE 'mixed_tasks' END AS folder FROM events GROUP BY 1")
+@query("sel11_folder", "SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'category ' || user_id % 3 WHEN count(DISTINCT event_type) = 1 THEN min(event_type) ELSE 'mixed_tasks' END AS folder FROM events WHERE value > 60 GROUP BY 1")
 def sel11_folder(spark, sf):
-    counts = T.read(spark, sf, "events").groupBy("event_type").agg(F.count_distinct("user_id").alias("n"), F.min("user_id").cast("string").alias("one"))
-    return counts.select("event_type", P.folder_name(F.lit(None).cast("string"), F.col("n"), F.col("one")).alias("folder"))
+    counts = T.read(spark, sf, "events").filter("value > 60").groupBy("user_id").agg(F.count_distinct("event_type").alias("n"), F.min("event_type").alias("one"))
+    category = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("category "), (F.col("user_id") % 3).cast("string")))
+    return counts.select("user_id", P.folder_name(category, F.col("n"), F.col("one")).alias("folder"))
 
 
 @query("sel13_valid_candidates", f"""WITH {FRAMES}, c AS (SELECT key, frame AS start, least(frame + 1 + floor(x / 50), 16 * (frame // 16) + 15)::BIGINT AS "end" FROM f WHERE kind IN ('view', 'click'))
@@ -731,16 +773,33 @@ def agg5_naming(spark, sf):
     return R.naming_inconsistent(T.read(spark, sf, "part").withColumnRenamed("p_brand", "key"), "p_name")
 
 
-@query("agg6_verb_agreement", f"""WITH {SEGMENTS} SELECT action, round(avg((start_source = 'purchase')::INT) , 6) AS agreement, count(*) AS n FROM s WHERE action IN ('grasp', 'reach') GROUP BY action""")
+_SOURCED = """so AS (SELECT * EXCLUDE (start_source, end_source), CASE start_source WHEN 'purchase' THEN 'grasp' ELSE start_source END AS start_source, CASE end_source WHEN 'signup' THEN 'release' ELSE end_source END AS end_source FROM s)"""
+
+
+@query("agg6_verb_agreement", f"""WITH {SEGMENTS}, {_SOURCED} SELECT 'grasp_start' AS side, round(avg((action = 'grasp')::INT), 6) AS agreement, count(*) AS n FROM so WHERE start_source = 'grasp' HAVING count(*) > 0
+UNION ALL SELECT 'release_end', round(avg((action = 'place')::INT), 6), count(*) FROM so WHERE end_source = 'release' HAVING count(*) > 0""")
 def agg6_verb_agreement(spark, sf):
-    s = T.segments(spark, sf).filter(F.col("action").isin(*V.GRASP_START_VERBS, "reach"))
-    return s.groupBy("action").agg(F.round(R.rate(F.col("start_source") == "purchase"), 6).alias("agreement"), F.count(F.lit(1)).alias("n"))
+    named = lambda c, kind, name: F.when(F.col(c) == kind, name).otherwise(F.col(c))
+    return R.verb_agreement(T.segments(spark, sf).withColumns({"start_source": named("start_source", "purchase", "grasp"), "end_source": named("end_source", "signup", "release")}))
 
 
-@query("agg7_summary", f"""WITH {FLAGGED} SELECT count(*) AS subtasks, round(count(*) / count(DISTINCT key)::DOUBLE, 6) AS per_key, round(avg((short OR lowc)::INT), 6) AS flagged FROM fl""")
+@query("agg7_summary", f"""WITH {FLAGGED}, v AS (SELECT action, count(*) AS n FROM fl GROUP BY 1) SELECT count(*) AS subtasks, round(count(*) / count(DISTINCT key)::DOUBLE, 6) AS per_key, round(avg((short OR lowc)::INT), 6) AS flagged,
+(SELECT string_agg(action || ' ' || n, ',' ORDER BY n DESC, action) FROM v) AS verbs FROM fl""")
 def agg7_summary(spark, sf):
-    rows = I.flagged(I.merge_adjacent(T.segments(spark, sf)))
-    return rows.agg(F.count(F.lit(1)).alias("subtasks"), F.round(F.count(F.lit(1)) / F.count_distinct("key"), 6).alias("per_key"), F.round(R.rate(F.size("flags") > 0), 6).alias("flagged"))
+    return R.summary(I.flagged(I.merge_adjacent(T.segments(spark, sf))))
+
+
+@query("agg16_throughput", """WITH r AS (SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'done' END AS status, event_id % 7 AS segments, value AS wall_s FROM events)
+SELECT count_if(status = 'done')::BIGINT AS done, count_if(status = 'skipped')::BIGINT AS skipped, count_if(status = 'failed')::BIGINT AS failed, round(sum(segments) FILTER (status = 'done') / (sum(wall_s) FILTER (status = 'done') / 60), 6) AS segments_per_minute FROM r""")
+def agg16_throughput(spark, sf):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "skipped").otherwise("done")
+    return R.throughput(T.read(spark, sf, "events").select(status.alias("status"), (F.col("event_id") % 7).alias("segments"), F.col("value").alias("wall_s")))
+
+
+@query("snk3_boundary_mirror", f"""WITH {SEGMENTS}, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end") AS nth FROM s), b AS (SELECT key, start AS frame FROM q WHERE nth > 1 UNION ALL SELECT DISTINCT key, 0 FROM q UNION ALL SELECT key, max(n_frames) - 1 FROM q GROUP BY key)
+SELECT key, frame, round_even(frame / 30.0::DOUBLE, 4) AS time FROM b""")
+def snk3_boundary_mirror(spark, sf):
+    return A.boundary_mirror(T.segments(spark, sf).withColumn("id", F.row_number().over(I.order()) - 1))
 
 
 def _verdicts(spark, sf):
@@ -766,20 +825,19 @@ def agg10_calibration(spark, sf):
     return R.judged(_verdicts(spark, sf).withColumn("flagged", F.coalesce("toxic", F.lit(0)) > 0), ["flagged"], "ok")
 
 
-@query("agg11_config_metrics", f"""WITH {SEGMENTS}, c AS (SELECT key % 5 AS config, *, "end" - start AS len FROM s)
-SELECT config, count(DISTINCT key) AS keys, round(count(*) / count(DISTINCT key)::DOUBLE, 6) AS per_key, list_sort(list(len))[count(*) // 2 + 1] AS upper_median, round(sum(CASE WHEN action = 'place' THEN len ELSE 0 END) / sum(len)::DOUBLE, 6) AS place_share,
-count(DISTINCT action) AS verbs, round(avg((confidence = 'low')::INT), 6) AS low FROM c GROUP BY config""")
+@query("agg11_config_metrics", f"""WITH {SEGMENTS}, w AS (SELECT key % 5 AS config, key, count(DISTINCT frame // 16) AS windows, count(*) AS candidates, count(*) FILTER (valid) AS stitched, sum(x) AS wall_s FROM f GROUP BY 1, 2),
+c AS (SELECT key % 5 AS config, key, "end" - start AS len, CASE WHEN action = 'place' THEN 'idle' ELSE action END AS action, confidence = 'low' AS low, hand = 'left' AS bad FROM s),
+h AS (SELECT config, sum(n)::DOUBLE AS t, sum(n * log2(n)) AS z FROM (SELECT config, action, count(*) AS n FROM c GROUP BY 1, 2) GROUP BY 1),
+cw AS (SELECT config, sum(windows)::BIGINT AS windows, round(sum(wall_s) / sum(windows), 6) AS s_per_window, round(1 - sum(stitched) / sum(candidates)::DOUBLE, 6) AS merge_ratio FROM w GROUP BY 1),
+cs AS (SELECT config, round(count(*) / count(DISTINCT key)::DOUBLE, 6) AS per_key, round(list_sort(list(len))[count(*) // 2 + 1] / 30.0::DOUBLE, 6) AS median_s, round(sum(CASE WHEN action = 'idle' THEN len ELSE 0 END) / sum(len)::DOUBLE, 6) AS idle_share,
+  count(DISTINCT action) AS verbs, round(avg(low::INT), 6) AS low_confidence, round(avg(bad::INT), 6) AS flagged FROM c GROUP BY 1)
+SELECT config, windows, s_per_window, merge_ratio, per_key, median_s, idle_share, verbs, round(log2(t) - z / t, 6) AS bits, low_confidence, flagged FROM cw JOIN cs USING (config) JOIN h USING (config)""")
 def agg11_config_metrics(spark, sf):
-    c = T.segments(spark, sf).withColumns({"config": F.col("key") % 5, "len": F.col("end") - F.col("start")})
-    median = I.upper_median(c.drop("key").withColumnRenamed("config", "key"), F.col("len")).withColumnRenamed("key", "config")
-    out = c.groupBy("config").agg(
-        F.count_distinct("key").alias("keys"),
-        F.round(F.count(F.lit(1)) / F.count_distinct("key"), 6).alias("per_key"),
-        F.round(F.sum(F.when(F.col("action") == "place", F.col("len")).otherwise(0)) / F.sum("len"), 6).alias("place_share"),
-        F.count_distinct("action").alias("verbs"),
-        F.round(R.rate(F.col("confidence") == "low"), 6).alias("low"),
-    )
-    return out.join(median, "config")
+    config = (F.col("key") % 5).alias("config")
+    windows = T.frames(spark, sf).groupBy(config, "key").agg(F.count_distinct(F.floor(F.col("frame") / 16)).alias("windows"), F.count(F.lit(1)).alias("candidates"), F.count_if("valid").alias("stitched"), F.sum("x").alias("wall_s"))
+    action = F.when(F.col("action") == "place", "idle").otherwise(F.col("action")).alias("action")
+    flags = F.when(F.col("hand") == "left", F.array(F.lit("left"))).otherwise(F.array().cast("array<string>")).alias("flags")
+    return R.config_metrics(windows, T.segments(spark, sf).select(config, "key", "start", "end", action, "confidence", flags))
 
 
 @query("agg12_entropy", f"""WITH {SEGMENTS}, c AS (SELECT key % 5 AS config, action, count(*) AS n FROM s GROUP BY 1, 2), t AS (SELECT config, sum(n)::DOUBLE AS t, sum(n * log2(n)) AS w FROM c GROUP BY 1) SELECT config, round(log2(t) - w / t, 6) AS bits FROM t""")
@@ -860,17 +918,23 @@ def fn10_hand_decision(spark, sf):
     return a.select("key", "id", hand.alias("hand"))
 
 
-@query("fn7_kinematic_summary", f"""WITH {FRAMES} SELECT key, CASE WHEN sum(x) / 1000 < 3 THEN 'short' ELSE 'long' END AS kind, CASE WHEN sum(x) / 100000 < 0.05 THEN 'mostly static' ELSE 'moved' END AS motion FROM f GROUP BY key""")
+@query("fn7_kinematic_summary", f"""WITH {FRAMES}, t AS (SELECT key, sum(x) / 20000 AS way, coalesce(string_agg('grasp at ' || frame, ', ' ORDER BY frame) FILTER (kind = 'purchase' AND frame < 20), '') AS events FROM f GROUP BY key)
+SELECT key, CASE WHEN way < 0.05 THEN 'mostly static' ELSE printf('moved %.2f m', way) END || CASE WHEN events = '' THEN '' ELSE '; ' || events END AS summary FROM t""")
 def fn7_kinematic_summary(spark, sf):
-    total = T.frames(spark, sf).groupBy("key").agg(F.sum("x").alias("t"))
-    summary = H.kinematic_summary(F.col("t") / 100000, F.array().cast("array<string>"))
-    return total.select("key", F.when(F.col("t") / 1000 < 3, "short").otherwise("long").alias("kind"), F.regexp_replace(summary, " [0-9.]+ m$", "").alias("motion"))
+    seen = F.when((F.col("kind") == "purchase") & (F.col("frame") < 20), F.col("frame"))
+    total = T.frames(spark, sf).groupBy("key").agg((F.sum("x") / 20000).alias("way"), F.array_sort(F.collect_list(seen)).alias("at"))
+    events = F.transform("at", lambda f: F.concat(F.lit("grasp at "), f.cast("string")))
+    return total.select("key", H.kinematic_summary(F.col("way"), events).alias("summary"))
+
+
+_WORDS = "; ".join(f"{g}: {', '.join(a)}" for g, a in V.ACTION_GROUPS.items())
 
 
-@query("fn6_prompts", f"""WITH {SEGMENTS} SELECT key, start, 'What happens from frame ' || start || ' to ' || "end" || '?' AS opening FROM s""")
+@query("fn6_prompts", f"""WITH {SEGMENTS} SELECT key, start, 'What happens from frame ' || start || ' to ' || "end" || '? Answer as JSON with action, hand, object, sentence, confidence. Actions are {_WORDS}.' || CASE WHEN hand = 'left' THEN ' Hint: ' || kind || ' with ' || object ELSE '' END AS prompt
+FROM (SELECT *, start_source AS kind FROM s)""")
 def fn6_prompts(spark, sf):
-    p = L.prompts(T.segments(spark, sf))
-    return p.select("key", "start", F.substring_index("prompt", "?", 1).alias("o")).select("key", "start", F.concat("o", F.lit("?")).alias("opening"))
+    hint = F.when(F.col("hand") == "left", F.concat_ws(" ", "start_source", F.lit("with"), "object"))
+    return L.prompts(T.segments(spark, sf).withColumn("hint", hint), hint="hint").select("key", "start", "prompt")
 
 
 @query("con2_violations", f"""WITH {SEGMENTS}, r AS (SELECT *, row_number() OVER w - 1 AS place, lag("end") OVER w AS before, lead(start) OVER w IS NULL AS last FROM s WHERE start_source <> 'view' WINDOW w AS (PARTITION BY key ORDER BY start))

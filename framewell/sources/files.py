@@ -49,20 +49,33 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return episodes.select("episode", "e.episode_ok", F.explode_outer("e.segments").alias("segment", "s")).select("episode", "episode_ok", F.col("segment").cast("int").alias("segment"), "s.boundary", "s.label", "s.sentence")
 
 
-def write_annotations(valid: DataFrame, rejected: DataFrame, folder: str, *, partition: str | None = None) -> None:
-    """SNK1 to SNK6, SNK8: valid annotations as JSON, and the others in a quarantine table that is appended to."""
-    out = valid.write.mode("overwrite")
-    (out.partitionBy(partition) if partition else out).json(f"{folder}/annotations")
+def write_annotations(valid: DataFrame, rejected: DataFrame, folder: str, *, partition: str | None = None, mirror: str | None = None) -> None:
+    """SNK1, SNK2, SNK4, SNK6: valid annotations (or boundaries, or labels) as JSON, and the others in a quarantine table that is appended to. ``mirror``, SNK5: a second folder."""
+    for place in (folder, *([mirror] if mirror else [])):
+        out = valid.write.mode("overwrite")
+        (out.partitionBy(partition) if partition else out).json(f"{place}/annotations")
     rejected.write.mode("append").parquet(f"{folder}/quarantine")
 
 
+def write_report(report: DataFrame, folder: str) -> None:
+    """SNK8, SNK11: the rows of an audit, or of a sweep's configurations, as JSON in one file: they are as many as there are checks or configurations."""
+    report.coalesce(1).write.mode("overwrite").json(folder)
+
+
+def with_task_config(episodes: DataFrame, overrides: DataFrame, defaults: dict[str, Any]) -> DataFrame:
+    """SRC12: episodes (task, and more) with the parameters of ``defaults``, over which a task's row of ``overrides`` (task, and some of them) goes; a task without one keeps them."""
+    given = [c for c in defaults if c in overrides.columns]
+    joined = episodes.join(overrides.select("task", *[F.col(c).alias(f"_{c}") for c in given]), "task", "left")
+    return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), F.lit(v)) if c in given else F.lit(v) for c, v in defaults.items()}).drop(*[f"_{c}" for c in given])
+
+
 def debug_sample(df: DataFrame, n: int) -> DataFrame:
     """SNK7: a bounded capture for debugging; the n is the operator's."""
     return df.limit(n)
 
 
 class PoseSource(DataSource):
-    """SRC4 to SRC7: rows (episode, frame, joint, m, conf) of HDF5 pose files, one partition for each file; needs h5py where it runs.
+    """SRC4: rows (episode, frame, joint, m, conf) of HDF5 pose files, one partition for each file; needs h5py where it runs.
 
     Options: paths, comma-separated; joints, comma-separated.
     """

@@ -81,6 +81,13 @@ def test_files(spark, tmp_path):
     valid = spark.createDataFrame([("a", 1)], "key string, n int")
     files.write_annotations(valid, valid.limit(0), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/annotations")).count() == 1
+    files.write_annotations(valid, valid.limit(0), str(tmp_path / "out"), mirror=str(tmp_path / "mirror"))
+    assert spark.read.json(str(tmp_path / "mirror/annotations")).count() == 1
+    files.write_report(valid, str(tmp_path / "report"))
+    assert len(list((tmp_path / "report").glob("part-*.json"))) == 1
+    overrides = spark.createDataFrame([("lid", 0.3)], "task string, speed double")
+    got = files.with_task_config(spark.createDataFrame([("lid", 1), ("cup", 2)], "task string, idx int"), overrides, {"speed": 0.08, "least": 30})
+    assert sorted(map(tuple, got.collect())) == [("cup", 2, 0.08, 30), ("lid", 1, 0.3, 30)]
 
 
 def test_entry_without_llm(tmp_path):
