@@ -31,5 +31,5 @@ MAX_GAP, SMOOTH_WINDOW, SMOOTH_DEGREE = 10, 15, 3
 PAUSE_PROMINENCE, PAUSE_SPEED_MAX, APERTURE_SPEED = 0.05, 0.08, 0.15
 GAZE_PERCENTILE, GAZE_FLOOR = 90, 0.25
 MERGE_WINDOW, MIN_SEGMENT, MOVE_SPEED = 15, 30, 0.15
-MERGE_GAP_S, IDLE_GAP_S, SHORT_SHARE, NEAR_FRAMES = 0.5, 1.0, 0.34, 15
+MERGE_GAP_S, IDLE_GAP_S, SHORT_SHARE = 0.5, 1.0, 0.34
 WINDOW_FRAMES, STORY, IOU = 48, 3, 0.5

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 from .folds import fold_keys
-from .signals import line, whole
+from .signals import line
 
 
 def peaks(df: DataFrame, value: str, height: float | Column | None = None) -> DataFrame:
@@ -190,8 +190,3 @@ def events_inside(segments: DataFrame, events: DataFrame) -> DataFrame:
     lists = placed.groupBy("key", F.col("segment.start").alias("start")).agg(F.array_sort(F.collect_list("event")).alias("events_inside"))
     none = F.array().cast(lists.schema["events_inside"].dataType)
     return segments.join(lists, ["key", "start"], "left").withColumn("events_inside", F.coalesce("events_inside", none))
-
-
-def last_frames(df: DataFrame) -> Column:
-    """The last frame of each series, for tables with one row per frame."""
-    return F.max("frame").over(whole())

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,16 +16,6 @@ Labeler = Callable[[str], str]
 FALLBACK = {"action": "other", "hand": "both", "object": "none", "sentence": "unlabelled", "confidence": "low"}
 
 
-@dataclass
-class Replay:
-    """A Labeler that answers from stored responses, for tests and repeated runs."""
-
-    responses: dict[str, str] = field(default_factory=dict)
-
-    def __call__(self, prompt: str) -> str:
-        return self.responses[prompt]
-
-
 def parse(text: str) -> dict | None:
     """FN1, SEL15: the object between the outer braces if its words are known and its texts are not empty, else None."""
     try:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 VERDICTS = "map<string,struct<episode_ok:boolean,note:string,segments:map<string,struct<boundary:boolean,label:boolean,sentence:boolean,note:string>>>>"
 
@@ -74,43 +72,6 @@ def debug_sample(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-class PoseSource(DataSource):
-    """SRC4: rows (episode, frame, joint, m, conf) of HDF5 pose files, one partition for each file; needs h5py where it runs.
-
-    Options: paths, comma-separated; joints, comma-separated.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "pose"
-
-    def schema(self) -> str:
-        return "episode string, frame int, joint string, m array<float>, conf float"
-
-    def reader(self, schema: Any) -> DataSourceReader:
-        return _PoseReader(self.options)
-
-
-class _PoseReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.paths, self.joints = options["paths"].split(","), options["joints"].split(",")
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import h5py
-
-        path = partition.value
-        episode = "/".join(path.rsplit("/", 2)[-2:]).rsplit(".", 1)[0]
-        with h5py.File(path, "r") as f:
-            for joint in self.joints:
-                poses = f[f"transforms/{joint}"]
-                conf = f.get(f"confidences/{joint}")
-                for frame in range(len(poses)):
-                    yield episode, frame, joint, poses[frame].ravel().tolist(), None if conf is None else float(conf[frame])
-
-
 def missing_keys(present: DataFrame, required: list[str]) -> DataFrame:
     """SRC7: required keys that a file (episode, keys) lacks."""
     return present.select("episode", F.array_except(F.array(*map(F.lit, required)), F.col("keys")).alias("missing")).filter("size(missing) > 0")

@@ -24,6 +24,16 @@ from pyspark.sql import functions as F
 LABEL = "key string, start long, end long, action string, hand string, object string, confidence string, sentence string, start_source string, end_source string, n_frames long"
 
 
+class Replay:
+    """A Labeler that answers from stored responses."""
+
+    def __init__(self, responses):
+        self.responses = responses
+
+    def __call__(self, prompt):
+        return self.responses[prompt]
+
+
 def labels(spark, rows, n, key="e", source="label"):
     return spark.createDataFrame([(key, a, b, act, hand, "cup", conf, f"{act} from {a}", source, f"to {b}", n) for a, b, act, hand, conf in rows], LABEL)
 
@@ -348,7 +358,7 @@ def test_labeling(spark):
     segments = spark.createDataFrame([("e", 0, "one"), ("e", 1, "two"), ("g", 0, "three")], "key string, id long, prompt string")
 
     def make():
-        return L.Replay({"one": f"```json\n{answer}\n```", "Before: takes it\ntwo": "no json", "three": answer})
+        return Replay({"one": f"```json\n{answer}\n```", "Before: takes it\ntwo": "no json", "three": answer})
 
     got = {(r["key"], r["id"]): (r["action"], r["attempts"], r["fell_back"]) for r in L.label_segments(segments, make, wait_s=0).collect()}
     assert got == {("e", 0): ("grasp", 1, False), ("e", 1): ("other", 3, True), ("g", 0): ("grasp", 1, False)}
