@@ -155,7 +155,8 @@ class Codec:
             at += size
         source.append(len(raw))
         if m.trim_spaces:
-            keep = [i for i, c in enumerate(out) if c != 32 or (i and out[i - 1] != 32 and bytes(out[i:]).strip(b" "))]
+            end = len(out.rstrip(b" "))
+            keep = [i for i, c in enumerate(out) if c != 32 or (0 < i < end and out[i - 1] != 32)]
             out, source = bytearray(out[i] for i in keep), [source[i] for i in keep] + [source[keep[-1] + 1] if keep else 0]
         mark = SPACE.encode()
         final, origin = bytearray(), []

@@ -1,6 +1,8 @@
 """The codec against the sentencepiece library, and spans against exact round trips."""
 
+import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -86,3 +88,22 @@ def test_odd_rows(spark):
     assert [g for g in got if g[0] is not None] == [(1, [2], ""), (1, [2], ""), (2, [2], "")]
     assert next(g for g in got if g[0] is None)[2] == "a b"
     assert sentencepiece_codec.encode(docs.limit(0), PATH).count() == 0
+
+
+def test_texts_of_a_megabyte(both):
+    own, lib = both
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choices("abcdeé日", k=rng.randint(1, 9))) for _ in range(200_000))
+    assert len(text.encode()) > 1 << 20
+    ids = own.encode(text)[0].tolist()
+    assert ids == [*lib.encode(text), 2] and own.decode(ids) == lib.decode(ids[:-1])
+
+
+def test_trimmed_spaces():
+    own = sentencepiece_codec.Codec(open(PATH, "rb").read())
+    own.model.charmap, own.longest, own.model.trim_spaces = {b"A": b"a"}, 1, True
+    assert own.normalise("  bA   c  ")[0] == "▁ba▁c" and own.normalise("   ")[0] == ""
+    begin = time.monotonic()
+    assert own.normalise("ab  " * 60_000)[0] == "▁ab" * 60_000
+    # A copy of the rest at every space took many times as long.
+    assert time.monotonic() - begin < 20
