@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,10 +15,8 @@ from ._spark import table
 
 #: Vectors in a shard, which bounds an index row and the memory of a task, and the fewest shards of a large table.
 SHARD_ROWS, LEAST_SHARDS = 32768, 6
-#: Queries that search a shard in one task.
-QUERY_BLOCK = 8192
-#: Neighbours of a node in the upper levels and in the lowest one, and of these, those in thinned-out node sets; candidates for neighbours.
-M, M0, FAR, CANDIDATES = 16, 40, 4, 56
+#: Neighbours of a node in the upper levels and in the lowest one; candidates for neighbours.
+M, M0, CANDIDATES = 16, 40, 56
 #: Each level holds one of so many nodes of the one below.
 THIN = 16
 #: Nodes that a search keeps in the lowest level, and in those above.
@@ -59,56 +58,57 @@ def _nearest(queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, pool: np
     return pool[np.take_along_axis(at, order, 1)], np.take_along_axis(got, order, 1)
 
 
-def _link(vectors: np.ndarray, nodes: np.ndarray, m: int) -> np.ndarray:
-    """Neighbours of ``nodes`` among themselves, positions in ``vectors``: near ones by the selection rule, some in ever thinner subsets, then links back."""
-    n = len(nodes)
-    out = np.full((n, m), -1, np.int32)
-    if n < 2:
-        return out
-    far, sets, size = [], [], n // 4
-    while size >= 8 and len(sets) < FAR:
-        sets.append(nodes[:size])
-        size //= 4
-    half = max(m // 2 - len(sets), 4)
-    near = np.full((n, half), -1, np.int32)
-    for at in range(0, n, BLOCK):
-        own = nodes[at : at + BLOCK]
-        ids, sims = _nearest(vectors[own], own, vectors, nodes, CANDIDATES)
-        picked = _select(ids, sims, vectors, half)
-        near[at : at + len(own), : picked.shape[1]] = picked
-        far.append(np.stack([_nearest(vectors[own], own, vectors, s, 1)[0][:, 0] for s in sets], 1) if sets else np.zeros((len(own), 0), np.int32))
-    links = np.concatenate([near, np.concatenate(far).astype(np.int32)], 1)
-    source = np.repeat(nodes, links.shape[1])
-    target = links.ravel()
-    ok = (target >= 0) & (target != source)
-    source, target = source[ok], target[ok]
-    place = np.full(len(vectors), -1, np.int64)
-    place[nodes] = np.arange(n)
-    # Forward links first, then links back, the nearest first; doubles go.
-    sims = np.concatenate([np.einsum("ij,ij->i", vectors[source[i : i + 65536]], vectors[target[i : i + 65536]]) for i in range(0, len(source), 65536)] or [np.zeros(0)])
-    a, b = np.concatenate([source, target]), np.concatenate([target, source])
-    back, s = np.repeat([0, 1], len(source)), np.concatenate([sims, sims])
-    _, first = np.unique(a.astype(np.int64) * len(vectors) + b, return_index=True)
-    a, b, back, s = a[first], b[first], back[first], s[first]
-    order = np.lexsort((-s, back, a))
-    a, b = a[order], b[order]
-    begin = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    rank = np.arange(len(a)) - np.repeat(begin, np.diff(np.append(begin, len(a))))
-    keep = rank < m
-    out[place[a[keep]], rank[keep]] = b[keep]
-    return out
+def _level(vectors: np.ndarray, size: int, m: int, upper: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One level with the first ``size`` nodes, below the levels ``upper`` (lowest first): its nodes and their neighbours.
+
+    Nodes are inserted in order, up to BLOCK at once and never more than there are already. A new node searches the graph as it stands, chooses half of its m neighbours among
+    what it finds and among the nodes inserted with it by the selection rule, and keeps them; the other half are the nearest of those that chose it.
+    """
+    nodes, half = np.arange(size, dtype=np.int32), m // 2
+    links, back = np.full((size, m), -1, np.int32), np.full((size, m - half), -np.inf, np.float32)
+    begin = 0
+    while begin < size:
+        own = nodes[begin : min(size, begin + max(min(begin, BLOCK), 1))]
+        ids, sims = _nearest(vectors[own], own, vectors, own, min(half, len(own)))
+        sims = np.where(ids == own[:, None], -np.inf, sims)
+        if begin:
+            graph = Graph(vectors, [(nodes[:begin], links[:begin]), *upper])
+            start = _descend(graph, vectors[own])
+            start = np.concatenate([np.where(start < begin, start, -1), np.broadcast_to(nodes[: min(begin, 4)], (len(own), min(begin, 4)))], 1)
+            found, near = _beam(graph, 0, vectors[own], start, CANDIDATES)
+            ids, sims = np.concatenate([ids, found], 1), np.concatenate([sims, near], 1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :CANDIDATES]
+        chosen = _select(np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), vectors, half)
+        links[own, : chosen.shape[1]] = chosen
+        begin += len(own)
+
+        target, source = chosen.ravel(), np.repeat(own, chosen.shape[1])
+        new = target >= 0
+        new[new] = ~(links[target[new], :half] == source[new, None]).any(1)
+        target, source = target[new], source[new]
+        near = np.einsum("ij,ij->i", vectors[target], vectors[source])
+        order = np.lexsort((-near, target))
+        target, source, near = target[order], source[order], near[order]
+        touched, first, counts = np.unique(target, return_index=True, return_counts=True)
+        rank = np.arange(len(target)) - np.repeat(first, counts)
+        keep, row = rank < m - half, np.repeat(np.arange(len(touched)), counts)
+        ids, sims = np.full((len(touched), m - half), -1, np.int32), np.full((len(touched), m - half), -np.inf, np.float32)
+        ids[row[keep], rank[keep]], sims[row[keep], rank[keep]] = source[keep], near[keep]
+        ids, sims = np.concatenate([links[touched, half:], ids], 1), np.concatenate([back[touched], sims], 1)
+        order = np.argsort(-sims, axis=1, kind="stable")[:, : m - half]
+        links[touched, half:], back[touched] = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+    return nodes, links
 
 
 def build(vectors: np.ndarray) -> Graph:
-    """The graph of a shard. Positions are a random order, so that a level's nodes are the first ones."""
-    n, levels = len(vectors), []
-    size = n
-    while True:
-        nodes = np.arange(size, dtype=np.int32)
-        levels.append((nodes, _link(vectors, nodes, M0 if not levels else M)))
-        if size <= 2 * THIN:
-            return Graph(vectors, levels)
-        size = math.ceil(size / THIN)
+    """The graph of a shard, built by insertion from the top level down. Positions are a random order, so that a level's nodes are the first ones."""
+    sizes = [len(vectors)]
+    while sizes[-1] > 2 * THIN:
+        sizes.append(math.ceil(sizes[-1] / THIN))
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(len(sizes) - 1, -1, -1):
+        levels.insert(0, _level(vectors, sizes[at], M if at else M0, levels))
+    return Graph(vectors, levels)
 
 
 def _beam(graph: Graph, level: int, queries: np.ndarray, start: np.ndarray, ef: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +140,18 @@ def _beam(graph: Graph, level: int, queries: np.ndarray, start: np.ndarray, ef:
         new = np.where((at >= 0)[:, :, None], links[at], -1).reshape(b, -1)
 
 
-def search(graph: Graph, queries: np.ndarray, ef: int = EF) -> tuple[np.ndarray, np.ndarray]:
-    """Descends from the top level, keeping EF_UPPER nodes, and returns the ef nearest found in the lowest."""
+def _descend(graph: Graph, queries: np.ndarray) -> np.ndarray:
+    """Where to start in the lowest level: from the top level's nodes down, keeping EF_UPPER of each level."""
     top = graph.levels[-1][0]
-    start = np.broadcast_to(top, (len(queries), len(top))).copy()
+    start = np.broadcast_to(top, (len(queries), len(top)))
     for level in range(len(graph.levels) - 1, 0, -1):
         start = _beam(graph, level, queries, start, EF_UPPER)[0]
-    return _beam(graph, 0, queries, start, ef)
+    return start
+
+
+def search(graph: Graph, queries: np.ndarray, ef: int = EF) -> tuple[np.ndarray, np.ndarray]:
+    """The ef nearest found in the lowest level, and their similarities, nearest first."""
+    return _beam(graph, 0, queries, _descend(graph, queries), ef)
 
 
 def _numbers(col: str) -> Column:
@@ -161,7 +166,8 @@ def nearest(data: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     Nearness is the inner product in double precision. Rows whose vector is null, empty, zero or holds null or non-finite components take no part, nor do rows with
     null ids or of another length than most. A row with the query's own id is no candidate. Equal (id, vector) rows count once. Equal vectors are one node of the graph
     with its k + 1 smallest ids, of which no more can be among a query's k nearest; they are picked in two steps, so that one vector may be a third of all rows.
-    Fewer candidates than k give fewer rows; an empty table gives none. Shards have SHARD_ROWS nodes at most, and every query searches every shard.
+    Fewer candidates than k give fewer rows; an empty table gives none. Shards have about SHARD_ROWS nodes at most, every query searches every shard, and a
+    shard's index is sent once, to the task that streams through its queries.
     """
     spark = data.sparkSession
     kind = np.float64 if dict(data.dtypes)[vector_col] == "array<double>" else np.float32
@@ -192,49 +198,50 @@ def nearest(data: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "vectors": [raw.tobytes()], "rest": [rest.astype(np.float32).tobytes()], "ids": [ids.tobytes()], "counts": [[len(x) for x in pdf["ids"]]], "sizes": [sizes], "links": [flat.tobytes()]})
 
     index = table(nodes.groupBy("shard").applyInPandas(indexed, "shard int, vectors binary, rest binary, ids binary, counts array<int>, sizes array<int>, links binary"))
-    blocks = math.ceil(asked.count() / QUERY_BLOCK)
-    if not blocks:
-        return spark.createDataFrame([], schema)
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    asked = asked.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", every(shards))
-
-    def found(q: pd.DataFrame, ix: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(q) or not len(ix):
-            return empty
-        row = ix.iloc[0]
-        raw = np.frombuffer(row["vectors"], dtype=kind).reshape(-1, d)
-        levels, at, flat = [], 0, np.frombuffer(row["links"], dtype=np.int32)
-        for size in row["sizes"]:
-            width = M0 if not levels else M
-            levels.append((np.arange(size, dtype=np.int32), flat[at : at + size * width].reshape(size, width)))
-            at += size * width
-        graph = Graph(np.concatenate([raw, np.frombuffer(row["rest"], dtype=np.float32)[:, None]], 1).astype(np.float32), levels)
-        ends = np.cumsum(row["counts"])
-        ids = np.frombuffer(row["ids"], dtype=np.int64)
-        q, out = q.sort_values("query_id"), []
-        for begin in range(0, len(q), BLOCK):
-            part = q.iloc[begin : begin + BLOCK]
-            vectors = np.array(part["v"].tolist(), dtype=kind)
-            got, _ = search(graph, np.concatenate([vectors, np.zeros((len(part), 1))], 1).astype(np.float32), max(ef, 2 * k))
-            for query, vector, at in zip(part["query_id"], vectors, got, strict=True):
-                at = at[at >= 0]
-                score = (raw[at].astype(np.float64) * vector.astype(np.float64)).sum(1)
-                best = np.argsort(-score, kind="stable")
-                # Nodes that tie with the last needed one stay: their ids decide.
-                at, score = at[best], score[best]
-                cut = score >= score[min(len(at) - 1, k)]
-                at, score = at[cut], score[cut]
-                member = np.concatenate([ids[ends[i] - row["counts"][i] : ends[i]] for i in at])
-                score = np.repeat(score, [row["counts"][i] for i in at])
-                other = member != query
-                member, score = member[other], score[other]
-                order = np.lexsort((member, -score))[:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": member[order], "score": score[order]}))
-        return pd.concat(out) if out else empty
-
-    each = index.withColumn("block", every(blocks))
-    hits = asked.groupBy("shard", "block").cogroup(each.groupBy("shard", "block")).applyInPandas(found, "query_id long, vec_id long, score double")
+    stream = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"))
+    stream = index.withColumn("part", F.lit(0)).unionByName(stream, allowMissingColumns=True)
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = raw = ids = counts = ends = None
+        for pdf in batches:
+            for whole in (x for _, x in pdf.groupby(["shard", "part"])):
+                if whole["part"].iloc[0] == 0:
+                    row = whole.iloc[0]
+                    raw = np.frombuffer(row["vectors"], dtype=kind).reshape(-1, d)
+                    levels, at, flat = [], 0, np.frombuffer(row["links"], dtype=np.int32)
+                    for size in row["sizes"]:
+                        width = M0 if not levels else M
+                        levels.append((np.arange(size, dtype=np.int32), flat[at : at + size * width].reshape(size, width)))
+                        at += size * width
+                    graph = Graph(np.concatenate([raw, np.frombuffer(row["rest"], dtype=np.float32)[:, None]], 1).astype(np.float32), levels)
+                    ids, counts = np.frombuffer(row["ids"], dtype=np.int64), np.asarray(row["counts"])
+                    ends, shard = np.cumsum(counts), row["shard"]
+                    continue
+                if graph is None or whole["shard"].iloc[0] != shard:
+                    continue  # a shard without nodes
+                for begin in range(0, len(whole), BLOCK):
+                    part = whole.iloc[begin : begin + BLOCK]
+                    vectors = np.array(part["v"].tolist(), dtype=kind)
+                    got, _ = search(graph, np.concatenate([vectors, np.zeros((len(part), 1))], 1).astype(np.float32), max(ef, 2 * k))
+                    out = []
+                    for query, vector, at in zip(part["query_id"], vectors, got, strict=True):
+                        at = at[at >= 0]
+                        score = (raw[at].astype(np.float64) * vector.astype(np.float64)).sum(1)
+                        best = np.argsort(-score, kind="stable")
+                        # Nodes that tie with the last needed one stay: their ids decide.
+                        at, score = at[best], score[best]
+                        cut = score >= score[min(len(at) - 1, k)]
+                        at, score = at[cut], score[cut]
+                        member = np.concatenate([ids[ends[i] - counts[i] : ends[i]] for i in at])
+                        score = np.repeat(score, counts[at])
+                        other = member != query
+                        member, score = member[other], score[other]
+                        order = np.lexsort((member, -score))[:k]
+                        out.append(pd.DataFrame({"query_id": np.int64(query), "vec_id": member[order], "score": score[order]}))
+                    yield pd.concat(out)
+
+    # A task holds one shard's index at a time, read once, and streams through the queries behind it.
+    hits = stream.repartitionById(shards, "shard").sortWithinPartitions("shard", "part").mapInPandas(found, "query_id long, vec_id long, score double")
     line = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return hits.withColumn("rank", F.row_number().over(line)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
