@@ -2,11 +2,13 @@
 
 Each document publishes a prefix of its shingles in order of their frequency over the corpus. A prefix of the least length shares one shingle with that of every similar
 document; one that is longer by m - 1 shares m. Every document picks the m whose estimated candidates cost least, and a pair becomes a candidate when it shares as many
-prefix shingles as the smaller m of the two. Candidates are gathered in groups, whose texts' shingle sets are compared exactly.
+prefix shingles as the smaller m of the two. Candidates that form small groups are compared in one task a group. In large ones, pairs are verified one by one, and what very common
+shingles tie is compared block by block, less what a first comparison with a few of the group has connected already. All comparisons are exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,58 +21,70 @@ from ._graph import components
 from ._shingles import batch_shingles, batch_words, mix, runs
 from ._spark import table
 
-#: Counters of the frequency sketch and of the filter of candidates: both are of a fixed size, whatever the corpus, and only save work.
-SKETCH, FILTER_BITS = 1 << 20, 1 << 23
+#: Least and most counters of the frequency sketch, and bytes of text for each; least and most bits of the filter of candidates, and bits for each. Both only save work.
+SKETCH, FILTER_BITS = (1 << 20, 1 << 24, 512), (1 << 20, 1 << 27, 16)
 #: The largest m, and what comparing a candidate costs against reading one entry of a posting list.
 MOST_MATCHES, VERIFY_COST = 4, 50.0
 #: A shingle in more prefixes than this ties its documents into one group instead of giving pairs.
 HOT = 64
-#: Documents in a block of a group; a task compares two blocks.
-BLOCK = 512
+#: Documents in a block of a group; a task compares two blocks. Documents of a larger group that all others are compared with first, about so many.
+BLOCK, PIVOTS = 512, 64
 #: Sets that a task remembers in order to send the prefix of equal ones once.
 REMEMBERED = 200_000
 #: Ids from here on stand for classes of which no row has an id.
 NAMELESS = 1 << 62
 
 
+def _power(wanted: float, bounds: tuple[int, int, int]) -> int:
+    """The power of two that is ``wanted`` or more, within ``bounds``."""
+    return min(max(1 << math.ceil(math.log2(max(wanted, 1))), bounds[0]), bounds[1])
+
+
 def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How often shingles occur in the whole corpus, by SKETCH hashed counters."""
+    """How often shingles occur in the whole corpus, by hashed counters, of which there are more for more text."""
+    size = _power((docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / SKETCH[2], SKETCH)
     parts = 256
-    width = SKETCH // parts
+    width = size // parts
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SKETCH, dtype=np.int64)
+        seen, waiting, held = np.zeros(size, dtype=np.uint32), [], 0
         for batch in batches:
             for _, hashes, begin in batch_words(batch.column(0)):
                 keep = np.ones(max(len(hashes) - n + 1, 0), dtype=bool)
                 for k in range(1, n):  # no run goes on into the next text
                     at = begin[1:-1] - k
                     keep[at[(at >= 0) & (at < len(keep))]] = False
-                seen += np.bincount((runs(hashes, n)[keep] & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        rows = [np.minimum(p, 0xFFFFFFFF).astype(np.uint32).tobytes() for p in seen.reshape(parts, width)]
+                waiting.append((runs(hashes, n)[keep] & np.uint64(size - 1)).astype(np.int64))
+                held += len(waiting[-1])
+                if held >= size // 8:
+                    seen += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
+                    waiting, held = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
+        rows = [p.tobytes() for p in seen.reshape(parts, width)]
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
 
     def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in groups:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                now = np.frombuffer(counts, dtype=np.uint32 if len(counts) == 4 * width else np.int64)
-                sums[part] = sums.get(part, np.zeros(width, np.int64)) + now
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
+                sums[part] = sums.get(part, np.zeros(width, np.int64)) + np.frombuffer(counts, dtype=np.uint32)
+        rows = [np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes() for v in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(rows, pa.binary())], names=["part", "counts"])
 
-    # A task streams through the arrays of its parts and holds one sum for each; all of them are SKETCH counters, whatever the corpus.
+    # A task streams through the arrays of its parts and holds one sum for each; all of them are the sketch's counters, whatever the corpus.
     schema = "part int, counts binary"
     sums = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
-    out = np.zeros((parts, width), dtype=np.int64)
+    out = np.zeros((parts, width), dtype=np.uint32)
     for r in sums.toLocalIterator():
-        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+        out[r["part"]] = np.frombuffer(r["counts"], dtype=np.uint32)
     return out.ravel()
 
 
 def prefix(shingles: np.ndarray, counts: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, int]:
     """A document's published shingles and its m; ``mean`` is that of the counters, most of which is other shingles' noise."""
     size = len(shingles)
-    seen = counts[(shingles & np.uint64(SKETCH - 1)).astype(np.int64)]
+    seen = counts[(shingles & np.uint64(len(counts) - 1)).astype(np.int64)]
     least = size - -(-percent * size // 100) + 1
     most = min(MOST_MATCHES, size - least + 1)
     order = np.lexsort((shingles, seen))[: least + most - 1]
@@ -123,7 +137,7 @@ def _scan(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFram
 
 
 def _candidates(scanned: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between numbers of sets that may be similar; whatever is similar is connected by them."""
+    """Edges (a, b, hot) between numbers of sets: pairs that may be similar, and ties of the sets that publish a hot shingle. Similar sets are a pair, or connected by ties."""
     posted = scanned.filter(F.col("m").isNotNull()).select(F.explode("prefix").alias("shingle"), "number")
     # A shingle that only one set publishes is left out. Its lowest and highest set are partial sums, so that a common one is never gathered.
     ends = posted.groupBy("shingle").agg(F.min("number").alias("low"), F.max("number").alias("high")).filter("low < high").select("shingle")
@@ -138,14 +152,15 @@ def _candidates(scanned: DataFrame, percent: int) -> DataFrame:
     close = (percent * F.col("size_a") <= 100 * F.col("most_b")) & (percent * F.col("size_b") <= 100 * F.col("most_a"))
     pairs = left.join(right, "shingle").filter((F.col("a") < F.col("b")) & close)
     pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(F.least("m_a", "m_b")).alias("m")).filter("n >= m")
-    return pairs.select("a", "b").union(hot)
+    return pairs.select("a", "b", F.lit(False).alias("hot")).union(hot.select("a", "b", F.lit(True)))
 
 
 def _filter(numbers: DataFrame) -> np.ndarray:
-    """A bit for each hashed number, FILTER_BITS in all."""
-    words = numbers.select(F.pmod(F.col("number"), F.lit(FILTER_BITS)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
+    """A bit for each hashed number, of so many bits that few other numbers pass; beyond the most, more sets are sent than need be, each once."""
+    size = _power(numbers.count() * FILTER_BITS[2], FILTER_BITS)
+    words = numbers.select(F.pmod(F.col("number"), F.lit(size)).alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits"))
     packed = words.groupBy((F.col("at") / 512).cast("int").alias("part")).agg(F.collect_list("at").alias("at"), F.collect_list("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out = np.zeros(size // 64, dtype=np.int64)
     for r in packed.toLocalIterator():
         out[r["at"]] = r["bits"]
     return out
@@ -163,7 +178,7 @@ def _sets(docs: DataFrame, n: int, wanted: np.ndarray) -> DataFrame:
                 if len(s):
                     key = _key(s)
                     number = _number(key)
-                    bit = number % FILTER_BITS
+                    bit = number % (64 * len(bits))
                     if key not in sent and int(bits[bit // 64]) >> (bit % 64) & 1:
                         if len(sent) >= REMEMBERED:
                             sent.clear()
@@ -199,23 +214,23 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join all similar sets of each group; sets have node, grp, blocks and shingles. A task compares two blocks and sends a spanning forest."""
-    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
-    placed = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
+def _similar(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``left`` are similar to which of ``right``."""
+    shared = overlaps(left, right)
+    sizes = [np.array([len(s) for s in x]) for x in (left, right)]
+    return 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the left and the right sets of each task; rows have task, node, shingles, on_left and on_right. A task sends a spanning forest of them."""
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        sides = [pdf[pdf["block"] == x] for x in (i, j)]
-        sets = [[np.frombuffer(s, dtype=np.uint64) for s in x["shingles"]] for x in sides]
-        nodes = [x["node"].to_numpy() for x in sides]
-        if not len(nodes[0]) or not len(nodes[1]):
+        sides = [pdf[pdf[x]] for x in ("on_left", "on_right")]
+        if not len(sides[0]) or not len(sides[1]):
             return pd.DataFrame({"a": [], "b": []})
-        shared = overlaps(*sets)
-        sizes = [np.array([len(s) for s in x]) for x in sets]
-        hit = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+        hit = _similar(*[[np.frombuffer(s, dtype=np.uint64) for s in x["shingles"]] for x in sides], percent)
+        nodes = [x["node"].to_numpy() for x in sides]
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -231,19 +246,85 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
                 out.append((x, y))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return placed.groupBy("grp", "i", "j").applyInPandas(compare, "a long, b long")
+    return rows.select("task", "node", "shingles", "on_left", "on_right").groupBy("task").applyInPandas(compare, "a long, b long")
+
+
+def _pivot_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets of large groups with some of their group, about PIVOTS of it. Sets have node, grp, n (those in the group) and shingles."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    task = lambda i: F.struct("grp", i.alias("i")).alias("task")
+    left = sets.select(task(F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")), "node", "shingles", F.lit(True).alias("on_left"), F.lit(False).alias("on_right"))
+    pivots = sets.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / PIVOTS)) == 0).withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return _compared(left.union(pivots.select(task(F.col("i")), "node", "shingles", F.lit(False), F.lit(True))), percent)
+
+
+def _block_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join the similar sets of each group; sets have node, grp, n (those in the group), size, label and shingles.
+
+    Sets with one label, unless it is empty, are connected already. Those of large groups are laid into classes of sizes, of which only neighbours can hold similar sets,
+    and each class and label into blocks. Every two blocks that may hold a link not known yet are compared.
+    """
+    base = max(math.log(100 / percent), 0.01) * (1 + 1e-6)
+    sets = sets.withColumn("class", F.when(F.col("n") > BLOCK, F.floor(F.log("size") / base)).otherwise(0).cast("int"))
+    cells = sets.groupBy("grp", "label", "class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sets = sets.join(cells, ["grp", "label", "class"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    own = cells.select("grp", F.struct("class", "label").alias("x"), F.col("blocks").alias("of_x"), F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("near"))
+    other = cells.select("grp", F.struct("class", "label").alias("y"), F.col("blocks").alias("of_y"), F.col("class").alias("near"))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    unknown = (F.col("x") <= F.col("y")) & ((F.col("x.label") != F.col("y.label")) | (F.col("x.label") == ""))
+    pairs = own.join(other, ["grp", "near"]).filter(unknown).withColumn("i", every("of_x")).withColumn("j", every("of_y")).filter((F.col("x") < F.col("y")) | (F.col("i") <= F.col("j")))
+    task = F.struct("grp", "x", "i", "y", "j")
+    same = (F.col("x") == F.col("y")) & (F.col("i") == F.col("j"))
+    places = F.when(same, F.array(F.struct(F.col("x").alias("cell"), F.col("i").alias("block"), F.lit(True).alias("on_left"), F.lit(True).alias("on_right")))).otherwise(
+        F.array(F.struct(F.col("x").alias("cell"), F.col("i").alias("block"), F.lit(True).alias("on_left"), F.lit(False).alias("on_right")), F.struct(F.col("y").alias("cell"), F.col("j").alias("block"), F.lit(False).alias("on_left"), F.lit(True).alias("on_right")))
+    )
+    tasks = pairs.select("grp", task.alias("task"), F.explode(places).alias("p")).select("grp", "task", "p.cell.class", "p.cell.label", "p.block", "p.on_left", "p.on_right")
+    return _compared(sets.join(tasks, ["grp", "label", "class", "block"]), percent)
+
+
+def _pair_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: numbers) whose sets (number, node, shingles) are similar, as nodes."""
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hit = []
+            for x, y in zip(pdf["left"], pdf["right"], strict=True):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                hit.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield pd.DataFrame({"a": pdf["own"][hit], "b": pdf["other"][hit]})
+
+    left = sets.select(F.col("number").alias("a"), F.col("node").alias("own"), F.col("shingles").alias("left"))
+    right = sets.select(F.col("number").alias("b"), F.col("node").alias("other"), F.col("shingles").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("own", "other", "left", "right").mapInPandas(compare, "a long, b long")
 
 
 def _components(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, text_hash, size, and component of every row of ``rows`` (doc_id, text); component is a node, NAMELESS or more where no row has an id, and null without a set."""
     scanned = table(_scan(rows, words, percent, sketch(rows, words)))
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("key"), F.lit(NAMELESS - 1))
-    classes = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node"), F.min("number").alias("number"))
-    groups = table(components(_candidates(scanned, percent)).select(F.col("node").alias("number"), F.col("component").alias("grp")))
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    members = classes.join(groups.join(sizes, "grp"), "number").select("key", "node", "grp", "blocks")
-    sets = _sets(rows, words, _filter(groups)).join(members, "key").dropDuplicates(["key"])
-    links = table(_links(sets.select("grp", "blocks", "node", "shingles"), percent))
+    classes = scanned.filter(F.col("key").isNotNull()).groupBy("key").agg(F.coalesce(F.min("doc_id"), F.min(nameless)).alias("node"), F.min("number").alias("number"), F.min("size").alias("size"))
+    edges = table(_candidates(scanned, percent))
+    reached = table(components(edges.select("a", "b")).select(F.col("node").alias("number"), F.col("component").alias("grp")))
+    sizes = reached.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sets = _sets(rows, words, _filter(reached)).join(classes.join(reached.select("number"), "number"), "key").dropDuplicates(["key"])
+    small = reached.join(sizes.filter(F.col("n") <= BLOCK), "grp").withColumn("label", F.lit(""))
+    if sizes.filter(F.col("n") > BLOCK).isEmpty():
+        links = table(_block_links(sets.join(small, "number"), percent))
+    else:
+        # What candidates connect is too much for one task: only what hot shingles tie is compared as groups, and the other candidates as pairs.
+        sets = table(sets)
+        large = table(reached.join(sizes.filter(F.col("n") > BLOCK), "grp").select("number"))
+        wide = table(edges.join(large, edges["a"] == large["number"], "left_semi"))
+        tied = table(components(wide.filter("hot").select("a", "b")).select(F.col("node").alias("number"), F.col("component").alias("grp")))
+        tied = tied.join(tied.groupBy("grp").agg(F.count(F.lit(1)).alias("n")), "grp")
+        first = table(_pivot_links(sets.join(tied.filter(F.col("n") > BLOCK), "number"), percent))
+        known = components(first).select("node", F.col("component").cast("string").alias("known"))
+        members = sets.join(tied, "number").join(known, "node", "left").withColumn("label", F.coalesce("known", F.lit(""))).drop("known")
+        cold = wide.filter("NOT hot").join(tied.select(F.col("number").alias("a"), F.col("grp").alias("of_a")), "a", "left").join(tied.select(F.col("number").alias("b"), F.col("grp").alias("of_b")), "b", "left")
+        cold = cold.filter(F.coalesce(F.col("of_a") != F.col("of_b"), F.lit(True))).select("a", "b")
+        grouped = sets.join(small, "number").unionByName(members)
+        links = table(first.union(_block_links(grouped, percent)).union(_pair_links(cold, sets, percent)))
     named = classes.join(components(links), "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return scanned.select("doc_id", "text_hash", "size", "key").join(named, "key", "left")
 
@@ -254,7 +335,8 @@ def similarity_components(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     Words are runs of anything but ASCII white space, A-Z lower-cased. A document's set holds its distinct runs of ``words`` words; with fewer words, the whole sequence.
     Two documents link when their sets' intersection is at least ``percent`` per cent of the union. Null texts and texts without words have no set, link with nothing and are
     their own component. Equal sets are one class, compared once. Rows that share a doc_id are one node. A row with a null doc_id takes its component's smallest id, or null.
-    No part of a group is dropped: shingles in very many prefixes tie their documents into groups, which are compared in blocks of BLOCK by BLOCK.
+    No part of a group is dropped: shingles in very many prefixes tie their documents into groups, which are compared in blocks of BLOCK by BLOCK, but for blocks whose sizes
+    differ too much, or whose documents are known to be connected.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = _components(rows, words, percent)

@@ -51,7 +51,7 @@ def test_odd_rows(spark):
     assert ngram_join.similarity_components(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot,block", [(32, 512), (4, 16)])
+@pytest.mark.parametrize("hot,block", [(32, 512), (4, 16), (1000, 16)])
 def test_groups_of_copies(spark, monkeypatch, hot, block):
     monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
