@@ -8,11 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, lang_id, ngram_join, pii, secret_scan, sentencepiece_codec, sharding, suffix_dedup
+from . import align, ann, chat, decontaminate, lang_id, licenses, merkle, ngram_join, pii, secret_scan, sentencepiece_codec, sharding, suffix_dedup
 
 
-#: The tokenizer of the encoding query.
-PIECE_MODEL = "piece_bpe_32k.model"
+#: The tokenizers of the encoding and alignment queries.
+PIECE_MODEL, BYTE_MODEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,4 +67,24 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language, op10_suffix_dedup)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = align.align(_read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
+    return align.digest(align.scored(aligned))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan_licenses(_read(spark, sf_dir, "documents")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    leaf = merkle.row_digest([F.col(c) for c in names])
+    altered = merkle.row_digest([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in names])
+    hit = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0) & F.col("n_chars").isNotNull()
+    proofs = merkle.manifest(docs, leaf, keep={"doc_id": F.col("doc_id"), "tampered": F.when(hit, altered)}).proofs()
+    out = proofs.withColumn("folded_root", merkle.folded(F.coalesce("row.tampered", "leaf"), F.col("path")))
+    return out.select("row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_sentencepiece, op4_chat, op5_pii, op6_ngram_join, op7_neighbours, op8_secrets, op9_language, op10_suffix_dedup, op11_alignment, op12_licenses, op13_merkle)}
