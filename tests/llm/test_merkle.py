@@ -87,7 +87,7 @@ def test_three_rounds(spark):
     docs = spark.range(70_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("lang"), F.lit("clash").alias("leaf"), F.lit("clash").alias("path"))
     proofs = M.manifest(docs, M.row_digest([F.col("doc_id")]), keep={"root": F.col("doc_id")}).proofs()
     levels = climb([leaf_of((i,)) for i in range(70_000)])
-    got = proofs.select("row.root", "leaf", "root", M.folded(F.col("leaf"), F.col("path")).alias("whole"), M.folded(F.lit("0" * 64), F.col("path")).alias("forged"), F.size("path").alias("steps"), M.proof_digest(F.col("path")).alias("proof"))
+    got = proofs.select(F.col("row.root").alias("doc_id"), "leaf", "root", M.folded(F.col("leaf"), F.col("path")).alias("whole"), M.folded(F.lit("0" * 64), F.col("path")).alias("forged"), F.size("path").alias("steps"), M.proof_digest(F.col("path")).alias("proof"))
     assert got.count() == 70_000
     assert got.filter("whole <> root").count() == 0 and got.filter("forged = root").count() == 0 and got.filter("steps <> 17").count() == 0
     rows = {r[0]: r for r in got.collect()}
