@@ -141,11 +141,11 @@ def drop_static(frames: Sequence[int], moved: Sequence[int], last: tuple[int, in
     return [i for i in range(len(frames)) if lively[i] or lively[i + 1]]
 
 
-def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, move: float = V.MOVE_SPEED, speed: str = "speed") -> DataFrame:
+def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, move: float = V.MOVE_SPEED, speed: str = "speed", errors: bool = False) -> DataFrame:
     """EVT8 to EVT13: fused boundaries of each key: key, frame, prio, magnitude, source; the series' first and last frames are added with prio 0.
 
     ``candidates`` has key, frame, ord, prio, magnitude, and source if it is known; ``series`` key, frame (from 0) and ``speed``. A running count of moving frames answers every
-    stretch, so that one fold sees a key's candidates only, never its frames.
+    stretch, so that one fold sees a key's candidates only, never its frames. ``errors`` as in fold_keys.
     """
     before = line().rowsBetween(Window.unboundedPreceding, -1)
     counted = series.select("key", "frame", F.coalesce(F.sum((F.col(speed) >= move).cast("long")).over(before), F.lit(0)).alias("moved"))
@@ -164,19 +164,19 @@ def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WIND
 
     columns = ["frame", "prio", "magnitude", "source", "moved"]
     ordered = inner.unionByName(ends).select("key", *columns, "ord")
-    return fold_keys(ordered, [*columns, "ord"], ["frame", "ord", "prio", "magnitude"], fused, "frame long, prio int, magnitude double, source string")
+    return fold_keys(ordered, [*columns, "ord"], ["frame", "ord", "prio", "magnitude"], fused, "frame long, prio int, magnitude double, source string", errors=errors)
 
 
 def segments_between(boundaries: DataFrame, *, fps: float = V.FPS) -> DataFrame:
     """EVT14 without events: a segment from every boundary to the next: key, id, start, end, start_time, end_time, duration; empty ones are skipped (EVT16).
 
-    Where boundaries have a source, segments have start_source and end_source; what else a boundary has goes to the segment on its right.
+    Where boundaries have a source, segments have start_source and end_source; what else a boundary has goes to the segment on its right. Rows with an error stay as they are.
     """
     order = Window.partitionBy("key").orderBy("frame")
     pairs = boundaries.withColumn("end", F.lead("frame").over(order))
     if "source" in boundaries.columns:
         pairs = pairs.withColumn("end_source", F.lead("source").over(order)).withColumnRenamed("source", "start_source")
-    pairs = pairs.filter("end > frame").withColumnRenamed("frame", "start")
+    pairs = pairs.filter("end > frame OR error IS NOT NULL" if "error" in boundaries.columns else "end > frame").withColumnRenamed("frame", "start")
     number = (F.row_number().over(Window.partitionBy("key").orderBy("start")) - 1).cast("long")
     return pairs.withColumns({"id": number, "start_time": S.seconds(F.col("start"), fps), "end_time": S.seconds(F.col("end"), fps), "duration": F.bround((F.col("end") - F.col("start")) / fps, 4)})
 

@@ -14,10 +14,22 @@ from pyspark.sql import DataFrame
 Fold = Callable[[list[tuple]], list[tuple]]
 
 
-def fold_keys(df: DataFrame, columns: Sequence[str], order: Sequence[str], fold: Fold, schema: str) -> DataFrame:
-    """For each ``key`` of ``df``, which must not be null, what ``fold`` makes of its rows' ``columns`` in ``order``: rows of key and ``schema``."""
+def fold_keys(df: DataFrame, columns: Sequence[str], order: Sequence[str], fold: Fold, schema: str, *, errors: bool = False) -> DataFrame:
+    """For each ``key`` of ``df``, which must not be null, what ``fold`` makes of its rows' ``columns`` in ``order``: rows of key and ``schema``.
+
+    DRV2: with ``errors`` there is a column ``error`` besides. A key whose fold raises gives one row with the exception's text there and nulls elsewhere, and the other keys go on.
+    """
     kind = df.schema["key"].dataType.simpleString()
     names = ["key", *(part.split()[0] for part in schema.split(", "))]
+    if errors:
+        schema, blank = f"{schema}, error string", (None,) * (len(names) - 1)
+        names, plain = [*names, "error"], fold
+
+        def fold(rows: list[tuple]) -> list[tuple]:
+            try:
+                return [(*r, None) for r in plain(rows)]
+            except Exception as e:
+                return [(*blank, repr(e))]
 
     def folded(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         keys = pdf["key"].to_numpy()

@@ -82,16 +82,16 @@ def absorb(rows: list[dict], least: int) -> list[dict]:
     return [r for r in rows if r is not None]
 
 
-def enforce_min_length(df: DataFrame, *, least: int = 10) -> DataFrame:
-    """INT5: short segments are absorbed by neighbours; keys are independent. The columns stay as they are."""
+def enforce_min_length(df: DataFrame, *, least: int = 10, errors: bool = False) -> DataFrame:
+    """INT5: short segments are absorbed by neighbours; keys are independent. The columns stay as they are; ``errors`` as in fold_keys."""
     columns = [c for c in df.columns if c != "key"]
-    return _folded(df, columns, lambda rows: absorb(rows, least))
+    return _folded(df, columns, lambda rows: absorb(rows, least), errors=errors)
 
 
-def _folded(df: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]], order: tuple[str, ...] | list[str] = ("start", "end")) -> DataFrame:
+def _folded(df: DataFrame, columns: list[str], fold: Callable[[list[dict]], list[dict]], order: tuple[str, ...] | list[str] = ("start", "end"), errors: bool = False) -> DataFrame:
     """fold_keys for folds over dicts that keep the columns."""
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
-    return fold_keys(df, columns, list(order), lambda rows: [tuple(r[c] for c in columns) for r in fold([dict(zip(columns, r, strict=True)) for r in rows])], schema)
+    return fold_keys(df, columns, list(order), lambda rows: [tuple(r[c] for c in columns) for r in fold([dict(zip(columns, r, strict=True)) for r in rows])], schema, errors=errors)
 
 
 def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE_GAP_S, name: Column | None = None, idle_source: str = "idle_gap") -> DataFrame:

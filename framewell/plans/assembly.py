@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions import vocabulary as V
 from ..operators import events as E
 from ..operators import intervals as I
 from ..operators import signals as G
 
 
-def propose_segments(series: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, least: int = V.MIN_SEGMENT, window: int = V.MERGE_WINDOW, pause_speed: float = V.PAUSE_SPEED_MAX, prominence: float = V.PAUSE_PROMINENCE, gaze_floor: float = V.GAZE_FLOOR, move: float = V.MOVE_SPEED) -> DataFrame:
+def propose_segments(series: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, least: int = V.MIN_SEGMENT, window: int = V.MERGE_WINDOW, pause_speed: float = V.PAUSE_SPEED_MAX, prominence: float = V.PAUSE_PROMINENCE, gaze_floor: float = V.GAZE_FLOOR, move: float = V.MOVE_SPEED, errors: bool = False) -> DataFrame:
     """EVT15: segments of series (key, frame, speed, turn, masked_left, masked_right) with start_source and end_source.
 
     EVT4: pauses in ``speed`` are candidates unless the wrists of both hands are masked there. Grasps and releases (``events``: key, frame, type, magnitude) are, and shifts in
-    ``turn``, which no mask concerns. EVT6, EVT7: in this order, each with its source's priority, they are fused into boundaries.
+    ``turn``, which no mask concerns. EVT6, EVT7: in this order, each with its source's priority, they are fused into boundaries. ``errors`` as in fold_keys.
     """
     seen = series.filter(~(F.col("masked_left") & F.col("masked_right"))).select("key", "frame")
     pauses = E.prominent_minima(series, "speed", prominence=prominence).filter(F.col("depth") < pause_speed).join(seen, ["key", "frame"])
@@ -24,7 +25,7 @@ def propose_segments(series: DataFrame, events: DataFrame | None = None, *, fps:
         parts.append(events.select("key", "frame", "magnitude", F.col("type").alias("source")))
     parts.append(E.gaze_shifts(series, "turn", floor=gaze_floor).withColumn("source", F.lit("gaze")))
     candidates = E.union_candidates(*parts).withColumn("prio", E.priority(F.col("source")))
-    fused = E.fuse(candidates, series, window=window, least=least, move=move)
+    fused = E.fuse(candidates, series, window=window, least=least, move=move, errors=errors)
     segments = E.segments_between(fused, fps=fps)
     return segments if events is None else E.events_inside(segments, events)
 
@@ -37,6 +38,11 @@ def assemble(labels: DataFrame, events: DataFrame | None = None, *, fps: float =
     merged = I.merge_adjacent(labels, fps=fps, gap_s=merge_gap_s, keep_events_apart=keep_events_apart)
     if absorb:
         merged = I.enforce_min_length(merged, least=least)
+    return finish(merged, events, fps=fps, idle_gap_s=idle_gap_s, idle_source=idle_source)
+
+
+def finish(merged: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE_GAP_S, idle_source: str = "idle_gap") -> DataFrame:
+    """INT14 from merged and absorbed rows on: gaps filled, rows flagged, times added."""
     filled = I.insert_idle(merged, fps=fps, idle_gap_s=idle_gap_s, idle_source=idle_source)
     out = I.flagged(filled) if events is None else I.cross_flagged(filled, events)
     return out.withColumns({"start_time": F.col("start") / fps, "end_time": F.col("end") / fps, "duration": (F.col("end") - F.col("start")) / fps})
@@ -50,6 +56,23 @@ def annotations(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.first("n_frames").alias("n_frames"), F.array_sort(F.collect_list(item)).alias("subtasks"), F.array_sort(review).alias("review_queue"))
 
 
+def boundary_record(segments: DataFrame, *, fps: float = V.FPS) -> DataFrame:
+    """SNK1: one row for each key from its segments (key, id, start, end, sources, n_frames): its boundaries with times and sources, the last frame among them, and its segments."""
+    item = F.struct("id", "start", "end", S.seconds(F.col("start"), fps).alias("start_time"), S.seconds(F.col("end"), fps).alias("end_time"), "start_source", "end_source")
+    at = lambda frame, source: F.struct(frame.alias("frame"), S.seconds(frame, fps).alias("time"), source.alias("source"))
+    grouped = segments.groupBy("key").agg(F.max("n_frames").alias("n_frames"), F.array_sort(F.collect_list(item)).alias("segments"))
+    starts = F.transform("segments", lambda s: at(s["start"], s["start_source"]))
+    last = F.element_at("segments", -1)
+    return grouped.select("key", "n_frames", F.lit(fps).alias("fps"), F.concat(starts, F.array(at(last["end"], last["end_source"]))).alias("boundaries"), "segments")
+
+
+def label_record(labels: DataFrame, *, fps: float = V.FPS) -> DataFrame:
+    """SNK2: one row for each key from its labelled segments: each segment's span and sources, its label, and how many attempts that took."""
+    label = F.struct("action", "hand", "object", "sentence", "confidence").alias("label")
+    item = F.struct("id", "start", "end", "start_source", "end_source", label, "attempts", "fell_back")
+    return labels.groupBy("key").agg(F.max("n_frames").alias("n_frames"), F.array_sort(F.collect_list(item)).alias("segments")).select("key", "n_frames", F.lit(fps).alias("fps"), "segments")
+
+
 def boundary_mirror(subtasks: DataFrame, *, fps: float = V.FPS) -> DataFrame:
     """SNK3: boundaries from labelled rows (key, id, start, n_frames): frame 0, the starts of all but the first row, and the last frame: key, frame, time, to four places."""
     inner = subtasks.filter("id > 0").select("key", F.col("start").alias("frame"))

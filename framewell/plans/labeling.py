@@ -41,10 +41,11 @@ def ask(labeler: Labeler, prompt: str, *, attempts: int = 3, wait_s: float = 2.0
     return dict(FALLBACK), attempts, True
 
 
-def label_segments(segments: DataFrame, make: Callable[[], Labeler], *, story: int = V.STORY, attempts: int = 3, wait_s: float = 2.0) -> DataFrame:
-    """UDF1 to UDF6: labels the segments (key, id, prompt) of each key in order, each prompt with the last few sentences before it.
+def label_segments(segments: DataFrame, make: Callable[[], Labeler], *, story: int = V.STORY, attempts: int = 3, wait_s: float = 2.0, strict: bool = False) -> DataFrame:
+    """UDF3 to UDF6: labels the segments (key, id, prompt) of each key in order, each prompt with the last few sentences before it.
 
     ``make`` gives a worker its Labeler. A key's segments depend on each other, keys do not. Adds action, hand, object, sentence, confidence, attempts and fell_back.
+    DRV2: with ``strict`` there is no fallback: a segment without a usable answer gives a row with ``error`` and no label, and ends its own key's labelling only.
     """
     kind = segments.schema["key"].dataType.simpleString()
 
@@ -52,12 +53,17 @@ def label_segments(segments: DataFrame, make: Callable[[], Labeler], *, story: i
         labeler, told, out = make(), [], []
         for r in pdf.sort_values("id").to_dict("records"):
             prompt = "\n".join([*(f"Before: {t}" for t in told[-story:]), r["prompt"]])
-            label, tries, fell = ask(labeler, prompt, attempts=attempts, wait_s=wait_s)
+            try:
+                label, tries, fell = ask(labeler, prompt, attempts=attempts, wait_s=wait_s, strict=strict)
+            except Exception as e:
+                out.append({"key": r["key"], "id": r["id"], **dict.fromkeys(FALLBACK), "attempts": attempts, "fell_back": False, "error": repr(e)})
+                break
             told.append(label["sentence"])
-            out.append({"key": r["key"], "id": r["id"], **label, "attempts": tries, "fell_back": fell})
-        return pd.DataFrame(out)
+            out.append({"key": r["key"], "id": r["id"], **label, "attempts": tries, "fell_back": fell, "error": None})
+        return pd.DataFrame(out)[[c for c in names if strict or c != "error"]]
 
-    schema = f"key {kind}, id long, action string, hand string, object string, sentence string, confidence string, attempts int, fell_back boolean"
+    names = ["key", "id", *FALLBACK, "attempts", "fell_back", "error"]
+    schema = f"key {kind}, id long, action string, hand string, object string, sentence string, confidence string, attempts int, fell_back boolean" + ", error string" * strict
     return segments.select("key", "id", "prompt").groupBy("key").applyInPandas(run, schema)
 
 

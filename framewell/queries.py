@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,7 +21,9 @@ from .operators import windows as W
 from .plans import assembly as A
 from .plans import audit as U
 from .plans import constraints as C
+from .plans import driver as D
 from .plans import labeling as L
+from .sources import commits
 from .sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,10 +317,14 @@ cand AS (
 )"""
 
 
-def _proposed(spark, sf):
+def _series(spark, sf):
     f = T.frames(spark, sf)
     series = f.select("key", "frame", F.col("x").alias("speed"), (F.col("x") / 2).alias("turn"), (~F.col("valid")).alias("masked_left"), (F.col("x") >= 10).alias("masked_right"))
-    events = E.grasp_release(_apertures(spark, sf), aperture_speed="opening", wrist_speed="x", masked="masked", hand="left", threshold=10, release_speed_max=60)
+    return series, E.grasp_release(_apertures(spark, sf), aperture_speed="opening", wrist_speed="x", masked="masked", hand="left", threshold=10, release_speed_max=60)
+
+
+def _proposed(spark, sf):
+    series, events = _series(spark, sf)
     return A.propose_segments(series, events, least=5, window=4, pause_speed=20.0, prominence=10.0, gaze_floor=20.0, move=60.0)
 
 
@@ -937,11 +944,16 @@ def fn6_prompts(spark, sf):
     return L.prompts(T.segments(spark, sf).withColumn("hint", hint), hint="hint").select("key", "start", "prompt")
 
 
-@query("con2_violations", f"""WITH {SEGMENTS}, r AS (SELECT *, row_number() OVER w - 1 AS place, lag("end") OVER w AS before, lead(start) OVER w IS NULL AS last FROM s WHERE start_source <> 'view' WINDOW w AS (PARTITION BY key ORDER BY start))
-SELECT key, place::INT AS id, rule FROM (SELECT *, unnest(list_filter([CASE WHEN place = 0 AND start <> 0 THEN 'start' END, CASE WHEN start <> before THEN 'contiguous' END, CASE WHEN last AND "end" <> n_frames - 1 THEN 'end' END, CASE WHEN "end" - start < 2 AND n_frames - 1 >= 2 THEN 'length' END], lambda x: x IS NOT NULL)) AS rule FROM r)""")
+@query("con2_violations", f"""WITH {SEGMENTS}, r AS (SELECT *, row_number() OVER w - 1 AS place, lag("end") OVER w AS before, lead(start) OVER w IS NULL AS last FROM s WHERE start_source <> 'view' WINDOW w AS (PARTITION BY key ORDER BY start)),
+b AS (SELECT key, place, n_frames, last, before, confidence, CASE WHEN place % 7 <> 3 THEN action END AS action, CASE WHEN place % 5 <> 2 THEN hand END AS hand, start, CASE WHEN place % 11 <> 4 THEN "end" END AS "end", lag(CASE WHEN place % 11 <> 4 THEN "end" END) OVER (PARTITION BY key ORDER BY place) AS bf FROM r)
+SELECT key, place::INT AS id, rule FROM (SELECT *, unnest(list_filter([CASE WHEN action IS NULL THEN 'action' END, CASE WHEN hand IS NULL THEN 'hand' END, CASE WHEN place = 0 AND start <> 0 THEN 'start' END, CASE WHEN place > 0 AND (bf IS NULL OR start <> bf) THEN 'contiguous' END, CASE WHEN last AND ("end" IS NULL OR "end" <> n_frames - 1) THEN 'end' END,
+  CASE WHEN "end" IS NULL THEN 'empty' END, CASE WHEN ("end" IS NULL OR "end" - start < 2) AND n_frames - 1 >= 2 THEN 'length' END], lambda x: x IS NOT NULL)) AS rule FROM b) UNION ALL SELECT DISTINCT key, NULL, 'no_rows' FROM f WHERE key NOT IN (SELECT key FROM r)""")
 def con2_violations(spark, sf):
+    """Actions, hands and ends are null here and there, and keys without any row left are asked for."""
     rows = T.segments(spark, sf).filter("start_source <> 'view'").withColumn("id", F.row_number().over(Window.partitionBy("key").orderBy("start")) - 1)
-    return C.violations(rows, least=2)
+    some = lambda c, every, place: F.when(F.col("id") % every != place, F.col(c))
+    rows = rows.withColumns({"action": some("action", 7, 3), "hand": some("hand", 5, 2), "end": some("end", 11, 4)}).drop("sentence")
+    return C.violations(rows, least=2, keys=T.frames(spark, sf).select("key"))
 
 
 @query("snk4_quarantine", f"""WITH {SEGMENTS}, r AS (SELECT *, lag("end") OVER (PARTITION BY key ORDER BY start) AS before FROM s WHERE NOT (start_source = 'view' AND key % 3 = 0)), l AS (SELECT key, min(start) AS a, max("end") AS b, max(n_frames) AS n, count_if(start <> before) AS gaps FROM r GROUP BY key)
@@ -974,6 +986,50 @@ def con4_series_audit(spark, sf):
     return U.audit_series(f.filter("NOT (key = 3 AND frame = 5)"), declared, most_invalid=0.2, least_frames=52)
 
 
+def _answers(prompt: str) -> str:
+    """A labeler that answers by the first frame that the prompt names, and breaks down at some."""
+    start = int(prompt.rsplit("from frame ", 1)[1].split(" ", 1)[0])
+    if start % 41 == 37:
+        raise RuntimeError("no model")
+    action, hand = ("reach", "grasp", "place")[start % 3], "none" if start % 43 == 40 else ("left", "right")[start % 2]
+    return json.dumps({"action": action, "hand": hand, "object": "the cup" if start % 4 else "cup", "sentence": f"step at {start}", "confidence": ("low", "medium", "high")[start % 3]})
+
+
+def _levels(spark, sf):
+    return D.Levels(spark, commits.shared_folder(spark), lambda: _answers, least=8, idle_gap_s=0.1, propose={"least": 5, "window": 4, "pause_speed": 20.0, "prominence": 10.0, "gaze_floor": 20.0, "move": 60.0}, label={"wait_s": 0.0, "attempts": 2})
+
+
+LEVELS = f"""{CANDIDATES}, {fuse_sql(4, 5, 60.0)},
+sg AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start) - 1 AS id FROM (SELECT key, frame AS start, lead(frame) OVER w AS "end", source AS start_source, lead(source) OVER w AS end_source FROM fused WINDOW w AS (PARTITION BY key ORDER BY frame)) WHERE "end" > start),
+lost AS (SELECT DISTINCT key FROM sg WHERE start % 41 = 37), size AS (SELECT key, max(frame) + 1 AS n_frames FROM f GROUP BY key),
+s AS (SELECT sg.*, n_frames, ['reach', 'grasp', 'place'][start % 3 + 1] AS action, CASE WHEN start % 43 = 40 THEN 'none' ELSE ['left', 'right'][start % 2 + 1] END AS hand, CASE WHEN start % 4 = 0 THEN 'cup' ELSE 'the cup' END AS object, 'step at ' || start AS sentence, ['low', 'medium', 'high'][start % 3 + 1] AS confidence
+  FROM sg JOIN size USING (key) WHERE key NOT IN (SELECT key FROM lost)){MERGED[len(SEGMENTS):]}, {absorb_sql('m', 8)}, {idle_sql('ab', 3)}, um AS (SELECT key, list_sort(list("end" - start))[count(*) // 2 + 1] AS med FROM idled GROUP BY key),
+wrong AS (SELECT DISTINCT key FROM idled WHERE hand NOT IN ('left', 'right', 'both', 'both_coordinating'))"""
+
+
+@query("drv1_levels", f"""WITH RECURSIVE {FRAMES}, {LEVELS}
+SELECT key, id, start, "end", action, hand, object, confidence, sentence, start_source, end_source, round(start / 30.0::DOUBLE, 6) AS start_time, concat_ws(',', CASE WHEN med > 0 AND ("end" - start) < 0.34 * med THEN 'short_segment' END, CASE WHEN confidence = 'low' THEN 'low_confidence' END) AS flags
+FROM idled JOIN um USING (key) WHERE key NOT IN (SELECT key FROM wrong)""")
+def drv1_levels(spark, sf):
+    """Half of the keys in one run, all in the next, and a third one that has nothing to add."""
+    levels, (series, events) = _levels(spark, sf), _series(spark, sf)
+    levels.run(series, events, keys=series.filter("key % 2 = 0"))
+    for _ in range(2):
+        levels.run(series, events)
+    out = levels.stores["annotations"].read()
+    return out.select("key", "id", "start", "end", "action", "hand", "object", "confidence", "sentence", "start_source", "end_source", F.round("start_time", 6).alias("start_time"), F.array_join("flags", ",").alias("flags"))
+
+
+@query("drv2_status", f"""WITH RECURSIVE {FRAMES}, {LEVELS}, k AS (SELECT key, key % 2 = 0 AS even, key IN (SELECT key FROM lost) AS l, key IN (SELECT key FROM lost) OR key IN (SELECT key FROM wrong) AS w FROM size)
+SELECT 1 AS run, 'boundaries' AS level, count_if(even)::BIGINT AS done, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM k UNION ALL SELECT 1, 'labels', count_if(even AND NOT l), 0, count_if(even AND l) FROM k UNION ALL SELECT 1, 'annotations', count_if(even AND NOT w), 0, count_if(even AND w) FROM k
+UNION ALL SELECT 2, 'boundaries', count_if(NOT even), count_if(even), 0 FROM k UNION ALL SELECT 2, 'labels', count_if(NOT even AND NOT l), count_if(even AND NOT l), count_if(l) FROM k UNION ALL SELECT 2, 'annotations', count_if(NOT even AND NOT w), count_if(even AND NOT w), count_if(w) FROM k""")
+def drv2_status(spark, sf):
+    """What became of the keys in a run over half of them and one over all: those that failed are tried again, and fail no other."""
+    levels, (series, events) = _levels(spark, sf), _series(spark, sf)
+    first = levels.run(series, events, keys=series.filter("key % 2 = 0")).withColumn("run", F.lit(1))
+    return first.unionByName(levels.run(series, events).withColumn("run", F.lit(2)))
+
+
 @query("drv3_sweep", f"""WITH {N}, c(config, span, advance) AS (VALUES ('s0_o33', 12, 8), ('s1_o33', 24, 16), ('s2_o33', 36, 24), ('s1_o00', 24, 24), ('s1_o50', 24, 12))
 SELECT config, sum(greatest(0, ceil((n_frames - span) / advance)) + 1)::BIGINT AS windows FROM n, c GROUP BY config""")
 def drv3_sweep(spark, sf):
