@@ -4,77 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 from .folds import fold_keys
-from .signals import line
+from .prominence import with_prominence
+from .signals import line, whole
 
 
-def peaks(df: DataFrame, value: str, height: float | Column | None = None) -> DataFrame:
-    """EVT1: strict local maxima of ``value``: key, frame, height; the middle of a plateau, rounded down. The first and last runs are never peaks; height is inclusive."""
-    x = F.col(value)
-    new = F.coalesce((x != F.lag(x).over(line())).cast("int"), F.lit(1))
-    keep = [c for c in df.columns if c not in ("key", "frame")]
-    flat = df.withColumn("_run", F.sum(new).over(line())).groupBy("key", "_run").agg(F.min("frame").alias("a"), F.max("frame").alias("b"), F.first(value).alias("height"), *[F.first(c).alias(f"_{c}") for c in keep])
-    order = Window.partitionBy("key").orderBy("_run")
-    flat = flat.withColumns({"_before": F.lag("height").over(order), "_after": F.lead("height").over(order)}).filter((F.col("height") > F.col("_before")) & (F.col("height") > F.col("_after")))
-    if height is not None:
-        flat = flat.filter(F.col("height") >= height)
-    return flat.select("key", S.midpoint(F.col("a"), F.col("b")).alias("frame"), "height")
-
-
-def prominences(x: np.ndarray) -> list[tuple[int, float]]:
-    """EVT2: places of peaks and their prominence: height over the higher of the two lowest points before a higher sample or the end.
+def mark_peaks(df: DataFrame, values: Sequence[str]) -> DataFrame:
+    """EVT1: ``df`` with ``<value>_peak`` for each of ``values``: whether the frame is a strict local maximum, of a plateau its middle, rounded down. The first and last runs are never peaks.
 
-    Two passes with a stack of falling values, each carrying the lowest point since the value before it: linear in the length.
+    Two passes over each key's frames, one in each direction, serve all values: no grouping, no join, and no exchange if ``df`` is dealt by key.
     """
-    n = len(x)
+    back = Window.partitionBy("key").orderBy(F.desc("frame"))
+    neighbours = {f"_{side}_{v}": f(v).over(line()) for v in values for side, f in (("p", F.lag), ("n", F.lead))}
+    out = df.withColumns(neighbours)
 
-    def lows(values: np.ndarray) -> np.ndarray:
-        out, stack = np.empty(n), []
-        for i, v in enumerate(values):
-            low = v
-            while stack and stack[-1][0] <= v:
-                low = min(low, stack.pop()[1])
-            out[i] = low
-            stack.append((v, low))
-        return out
+    def edge(v: str, side: str) -> Column:
+        beside = F.col(f"_{side}_{v}")
+        return F.last(F.when(F.coalesce(F.col(v) != beside, F.lit(True)), F.struct(F.col("frame").alias("at"), beside.alias("x"))), ignorenulls=True)
 
-    base = np.maximum(lows(x), lows(x[::-1])[::-1])
-    edge = np.flatnonzero(np.diff(x) != 0)
-    starts, stops = np.append(0, edge + 1), np.append(edge, n - 1)
-    return [(int(a + b) // 2, float(x[a] - base[(a + b) // 2])) for a, b in zip(starts, stops, strict=True) if a > 0 and b < n - 1 and x[a] > x[a - 1] and x[b] > x[b + 1]]
+    so_far = (Window.unboundedPreceding, 0)
+    out = out.withColumns({f"_a_{v}": edge(v, "p").over(line().rowsBetween(*so_far)) for v in values})
+    out = out.withColumns({f"_b_{v}": edge(v, "n").over(back.rowsBetween(*so_far)) for v in values})
+    peak = lambda v: (F.col(v) > F.col(f"_a_{v}.x")) & (F.col(v) > F.col(f"_b_{v}.x")) & (F.col("frame") == S.midpoint(F.col(f"_a_{v}.at"), F.col(f"_b_{v}.at")))
+    return out.withColumns({f"{v}_peak": F.coalesce(peak(v), F.lit(False)) for v in values}).drop(*neighbours, *[f"_{e}_{v}" for e in "ab" for v in values])
 
 
-def prominent_minima(df: DataFrame, value: str, *, prominence: float) -> DataFrame:
-    """EVT2, EVT4: minima at least as prominent: key, frame, depth (the value), prominence."""
+def peaks(df: DataFrame, value: str, height: float | Column | None = None) -> DataFrame:
+    """EVT1: strict local maxima of ``value``: key, frame, height, which is at least ``height`` where that is given."""
+    found = mark_peaks(df, [value]).filter(F.col(f"{value}_peak"))
+    if height is not None:
+        found = found.filter(F.col(value) >= height)
+    return found.select("key", "frame", F.col(value).alias("height"))
 
-    def find(rows: list[tuple]) -> list[tuple]:
-        x = np.array([r[1] for r in rows], dtype=float)
-        return [(rows[i][0], float(x[i]), p) for i, p in prominences(-x) if p >= prominence] if len(x) > 2 else []
 
-    return fold_keys(df, ["frame", value], ["frame"], find, "frame long, depth double, prominence double")
+def prominent_minima(df: DataFrame, value: str, *, prominence: float, longest: int | None = None) -> DataFrame:
+    """EVT2, EVT4: minima at least as prominent: key, frame, depth (the value), prominence. ``longest`` is the greatest frame, if known."""
+    marked = mark_peaks(df.select("key", "frame", F.col(value).alias("depth"), (-F.col(value)).alias("_low")), ["_low"])
+    return with_prominence(marked, "_low", "_low_peak", ["depth"], longest=longest).filter(F.col("prominence") >= prominence)
 
 
 def grasp_release(df: DataFrame, *, aperture_speed: str, wrist_speed: str, masked: str, hand: str, threshold: float = V.APERTURE_SPEED, release_speed_max: float | None = None) -> DataFrame:
     """EVT3: closing peaks are grasps and opening ones releases, unless the pinch is masked; a release by a fast wrist is dropped where a limit is set."""
-    closing = peaks(df.withColumn("_s", -F.col(aperture_speed)), "_s", threshold).withColumn("type", F.lit("grasp"))
-    opening = peaks(df, aperture_speed, threshold).withColumn("type", F.lit("release"))
-    facts = df.select("key", "frame", F.col(masked).alias("_masked"), F.col(wrist_speed).alias("_wrist"))
-    found = closing.unionByName(opening).join(facts, ["key", "frame"]).filter(~F.col("_masked"))
-    if release_speed_max:
-        found = found.filter((F.col("type") == "grasp") | (F.col("_wrist") <= release_speed_max))
-    return found.select("key", "frame", F.lit(hand).alias("hand"), "type", F.col("height").alias("magnitude"))
+    facts = df.select("key", "frame", F.col(masked).alias("_masked"), F.col(wrist_speed).alias("_wrist"), F.col(aperture_speed).alias("_open"), (-F.col(aperture_speed)).alias("_close"))
+    marked = mark_peaks(facts, ["_open", "_close"]).filter(~F.col("_masked"))
+    slow = F.col("_wrist") <= release_speed_max if release_speed_max else F.lit(True)
+    event = lambda kind, c, more: F.when(F.col(f"{c}_peak") & (F.col(c) >= threshold) & more, F.struct(F.lit(kind).alias("type"), F.col(c).alias("magnitude")))
+    found = marked.select("key", "frame", F.explode(F.array_compact(F.array(event("grasp", "_close", F.lit(True)), event("release", "_open", slow)))).alias("e"))
+    return found.select("key", "frame", F.lit(hand).alias("hand"), "e.type", "e.magnitude")
+
+
+def gaze_limit(value: str, *, percentile: float = V.GAZE_PERCENTILE / 100, floor: float = V.GAZE_FLOOR) -> Column:
+    """EVT5: how high a peak of ``value`` must be: the series' own percentile, or the floor."""
+    return F.greatest(F.percentile(value, percentile).over(whole()), F.lit(floor))
 
 
 def gaze_shifts(df: DataFrame, value: str, *, percentile: float = V.GAZE_PERCENTILE / 100, floor: float = V.GAZE_FLOOR) -> DataFrame:
     """EVT5: peaks at or above the series' own percentile and the floor."""
-    limits = df.groupBy("key").agg(F.greatest(F.percentile(value, percentile), F.lit(floor)).alias("limit"))
-    return peaks(df.select("key", "frame", value), value).join(limits, "key").filter("height >= limit").select("key", "frame", F.col("height").alias("magnitude"))
+    limited = df.select("key", "frame", value).withColumn("_limit", gaze_limit(value, percentile=percentile, floor=floor))
+    return peaks(limited, value, F.col("_limit")).withColumnRenamed("height", "magnitude")
 
 
 def union_candidates(*parts: DataFrame) -> DataFrame:
@@ -141,19 +133,14 @@ def drop_static(frames: Sequence[int], moved: Sequence[int], last: tuple[int, in
     return [i for i in range(len(frames)) if lively[i] or lively[i + 1]]
 
 
-def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, move: float = V.MOVE_SPEED, speed: str = "speed", errors: bool = False) -> DataFrame:
-    """EVT8 to EVT13: fused boundaries of each key: key, frame, prio, magnitude, source; the series' first and last frames are added with prio 0.
-
-    ``candidates`` has key, frame, ord, prio, magnitude, and source if it is known; ``series`` key, frame (from 0) and ``speed``. A running count of moving frames answers every
-    stretch, so that one fold sees a key's candidates only, never its frames. ``errors`` as in fold_keys.
-    """
+def moved_before(speed: str, move: float = V.MOVE_SPEED) -> Column:
+    """How many frames of the key move before each one, which tells for any two frames whether one between them moves."""
     before = line().rowsBetween(Window.unboundedPreceding, -1)
-    counted = series.select("key", "frame", F.coalesce(F.sum((F.col(speed) >= move).cast("long")).over(before), F.lit(0)).alias("moved"))
-    totals = counted.groupBy("key").agg(F.max("frame").alias("last"), F.max("moved").alias("last_moved"))
-    source = F.col("source") if "source" in candidates.columns else F.lit(None).cast("string")
-    typed = candidates.select("key", F.col("frame").cast("long"), F.col("ord").cast("int"), F.col("prio").cast("int"), F.col("magnitude").cast("double"), source.alias("source"))
-    inner = typed.join(counted, ["key", "frame"])
-    ends = totals.select("key", F.col("last").alias("frame"), F.lit(-1).alias("ord"), F.lit(-1).alias("prio"), F.lit(0.0).alias("magnitude"), F.lit(None).cast("string").alias("source"), F.col("last_moved").alias("moved"))
+    return F.coalesce(F.sum((F.col(speed) >= move).cast("long")).over(before), F.lit(0))
+
+
+def fuse_counted(rows: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, errors: bool = False) -> DataFrame:
+    """EVT8 to EVT13: as ``fuse``, for candidates that come with ``moved`` and a row with ord -1 for each key's last frame."""
 
     def fused(rows: list[tuple]) -> list[tuple]:
         end = next(r for r in rows if r[1] < 0)
@@ -163,8 +150,21 @@ def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WIND
         return [(0, 0, 0.0, "episode_start"), *(r[:4] for r in inside), (end[0], 0, 0.0, "episode_end")]
 
     columns = ["frame", "prio", "magnitude", "source", "moved"]
-    ordered = inner.unionByName(ends).select("key", *columns, "ord")
-    return fold_keys(ordered, [*columns, "ord"], ["frame", "ord", "prio", "magnitude"], fused, "frame long, prio int, magnitude double, source string", errors=errors)
+    return fold_keys(rows.select("key", *columns, "ord"), [*columns, "ord"], ["frame", "ord", "prio", "magnitude"], fused, "frame long, prio int, magnitude double, source string", errors=errors)
+
+
+def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WINDOW, least: int = V.MIN_SEGMENT, move: float = V.MOVE_SPEED, speed: str = "speed", errors: bool = False) -> DataFrame:
+    """EVT8 to EVT13: fused boundaries of each key: key, frame, prio, magnitude, source; the series' first and last frames are added with prio 0.
+
+    ``candidates`` has key, frame, ord, prio, magnitude, and source if it is known; ``series`` key, frame (from 0) and ``speed``. A running count of moving frames answers every
+    stretch, so that one fold sees a key's candidates only, never its frames. ``errors`` as in fold_keys.
+    """
+    counted = series.select("key", "frame", moved_before(speed, move).alias("moved"))
+    totals = counted.groupBy("key").agg(F.max("frame").alias("last"), F.max("moved").alias("last_moved"))
+    source = F.col("source") if "source" in candidates.columns else F.lit(None).cast("string")
+    typed = candidates.select("key", F.col("frame").cast("long"), F.col("ord").cast("int"), F.col("prio").cast("int"), F.col("magnitude").cast("double"), source.alias("source"))
+    ends = totals.select("key", F.col("last").alias("frame"), F.lit(-1).alias("ord"), F.lit(-1).alias("prio"), F.lit(0.0).alias("magnitude"), F.lit(None).cast("string").alias("source"), F.col("last_moved").alias("moved"))
+    return fuse_counted(typed.join(counted, ["key", "frame"]).unionByName(ends), window=window, least=least, errors=errors)
 
 
 def segments_between(boundaries: DataFrame, *, fps: float = V.FPS) -> DataFrame:

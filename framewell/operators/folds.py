@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 Fold = Callable[[list[tuple]], list[tuple]]
 
@@ -56,4 +57,6 @@ def fold_keys(df: DataFrame, columns: Sequence[str], order: Sequence[str], fold:
         if held:
             yield from folded(pd.concat(held))
 
-    return df.select("key", *columns).repartition("key").sortWithinPartitions("key", *order).mapInPandas(run, f"key {kind}, {schema}")
+    # A window deals and sorts rows by key only where they aren't already, which repartition would do once more.
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(*order))
+    return df.select("key", *columns).withColumn("_nth", nth).mapInPandas(run, f"key {kind}, {schema}")

@@ -6,6 +6,7 @@ Segments have key, start, end, action, hand, object and confidence; other column
 from __future__ import annotations
 
 import heapq
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -139,62 +140,96 @@ def _surer(row: dict, other: dict) -> dict:
     return {c: (other if _RANK[other["confidence"]] > _RANK[row["confidence"]] else row)[c] for c in _SAYS if c in row}
 
 
+def common_share(a: dict, b: dict) -> float:
+    """The overlap of two spans by the length that both cover together."""
+    low, high = min(a["start"], b["start"]), max(a["end"], b["end"])
+    return max(min(a["end"], b["end"]) - max(a["start"], b["start"]), 0) / (high - low) if high > low else -1.0
+
+
+def place_in(alike: list[dict], row: dict, share: float) -> dict | None:
+    """INT9 for one candidate among the clusters of its label, oldest first: the first one that it overlaps by ``share`` takes it, and grows; None if it founds one, which is added.
+
+    Candidates come by start, so a cluster of which less than ``share`` lies beyond this start can take no later one, whatever its end, and leaves the list.
+    """
+    at = row["start"]
+    alike[:] = [c for c in alike if c["end"] - at >= share * (c["end"] - c["start"])]
+    for home in alike:
+        if common_share(home, row) >= share:
+            home.update(_surer(home, row), start=min(home["start"], at), end=max(home["end"], row["end"]))
+            return home
+    alike.append(row)
+    return None
+
+
 def clusters(rows: list[dict], share: float) -> list[dict]:
     """INT9: each candidate, in order, goes to the oldest cluster of its label that it overlaps by ``share`` of the common span, or founds one. Clusters are kept by label, for
-    others cannot match; one that takes a candidate covers both, so the order counts."""
-    kept: dict[tuple[str, str], list[dict]] = defaultdict(list)
-    founded: list[dict] = []
-    for row in rows:
-        alike = kept[_label(row)]
-        for home in alike:
-            low, high = min(home["start"], row["start"]), max(home["end"], row["end"])
-            common = min(home["end"], row["end"]) - max(home["start"], row["start"])
-            if high > low and max(common, 0) / (high - low) >= share:
-                home.update(_surer(home, row), start=low, end=high)
-                break
-        else:
-            alike.append(dict(row))
-            founded.append(alike[-1])
+    others cannot match, as long as they can take more; one that takes a candidate covers both, so the order counts."""
+    alive: dict[tuple[str, str], list[dict]] = defaultdict(list)
+    founded = [own for row in rows if place_in(alive[_label(row)], own := dict(row), share) is None]
     return sorted(founded, key=lambda r: (r["start"], r["end"]))
 
 
+def met(last: dict, row: dict) -> tuple[dict | None, dict]:
+    """INT10 for the open row and the next one: what is finished of the open one, and which is open now.
+
+    A row that begins inside the open one extends it (same label), lies within it and goes, or meets it half way.
+    """
+    if row["start"] >= last["end"]:
+        return last, row
+    if _label(row) == _label(last):
+        return None, last | _surer(last, row) | {"end": max(last["end"], row["end"])}
+    if row["end"] <= last["end"]:
+        return None, last
+    half = (row["start"] + last["end"]) // 2
+    cut = min(max(half, last["start"] + 1), row["end"] - 1)
+    return last | {"end": cut}, row | {"start": cut}
+
+
 def resolved(rows: list[dict]) -> Iterator[dict]:
-    """INT10: sorted rows without overlaps. Only the last one is open: a row that begins inside it extends it (same label), lies within it and goes, or meets it half way."""
+    """INT10: sorted rows without overlaps. Only the last one is open."""
     last: dict | None = None
     for row in rows:
-        if last is None or row["start"] >= last["end"]:
-            if last is not None:
-                yield last
-            last = row
-        elif _label(row) == _label(last):
-            last = last | _surer(last, row) | {"end": max(last["end"], row["end"])}
-        elif row["end"] > last["end"]:
-            half = (row["start"] + last["end"]) // 2
-            cut = min(max(half, last["start"] + 1), row["end"] - 1)
-            yield last | {"end": cut}
-            last = row | {"start": cut}
+        done, last = (None, row) if last is None else met(last, row)
+        if done is not None:
+            yield done
     if last is not None:
         yield last
 
 
+def stitch_order(columns: list[str]) -> list[str]:
+    """The order of candidates: by span, then by what they say, then by all other columns."""
+    first = ["start", "end", "action", "object", "hand", "confidence"]
+    return first + sorted(set(columns) - set(first))
+
+
 def stitch(df: DataFrame, *, share: float = V.IOU) -> DataFrame:
-    """INT9, INT10: overlapping candidates of windows become non-overlapping segments, key by key. Empty candidates play no part; equal spans are taken by label, hand and confidence."""
+    """INT9, INT10: overlapping candidates of windows become non-overlapping segments, key by key. Empty candidates play no part; equal spans are taken by label, hand, confidence and
+    then all else that they have, so that the order of rows in the table doesn't matter."""
     columns = [c for c in df.columns if c != "key"]
-    return _folded(df.filter("end > start"), columns, lambda rows: list(resolved(clusters(rows, share))), order=["start", "end", "action", "object", "hand", "confidence"])
+    return _folded(df.filter("end > start"), columns, lambda rows: list(resolved(clusters(rows, share))), order=stitch_order(columns))
 
 
 def same_label_overlaps(df: DataFrame, *, share: float = V.IOU) -> DataFrame:
-    """JN8: pairs of candidates of one key with the same action and object whose overlap is ``share`` of the common span or more: key, id, other, iou. ``df`` has a unique id.
+    """JN8: pairs of candidates of one key with the same action and object whose overlap is ``share`` (above 0) of the common span or more: key, id, other, iou. ``df`` has a unique id.
 
-    Pairs share a bucket of the width of the key's longest candidate, or lie in neighbouring ones, so that it is an equi-join and not every pair of a key.
+    A pair's lengths differ by a factor of 1 / share at most, and both hold a common frame. So a candidate stands, at the level of its length's binary logarithm, in the one or two
+    cells of that width which it touches, and looks up the cells that it touches at its own level and the few below: an equi-join, in which a long candidate meets no short ones.
     """
-    label = S.strip_article(F.col("object"))
-    rows = df.withColumns({"_object": label, "_width": F.max(F.col("end") - F.col("start")).over(Window.partitionBy("key", "action", label))})
-    rows = rows.withColumn("_bucket", F.floor(F.col("start") / F.greatest(F.col("_width"), F.lit(1))))
-    a = rows.select("key", "action", "_object", "_bucket", "id", "start", "end")
-    b = rows.select("key", "action", "_object", F.explode(F.array(F.col("_bucket") - 1, F.col("_bucket"), F.col("_bucket") + 1)).alias("_bucket"), F.col("id").alias("other"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    pairs = a.join(b, ["key", "action", "_object", "_bucket"]).filter(F.col("id") < F.col("other"))
-    return pairs.withColumn("iou", S.iou(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))).filter(F.col("iou") >= share).select("key", "id", "other", "iou")
+    if share <= 0:
+        raise ValueError("share must be above 0")
+    label, reach = S.strip_article(F.col("object")), math.ceil(math.log2(1 / share)) + 1
+    rows = df.filter("end > start").select("key", "action", label.alias("_object"), "id", "start", "end", (F.length(F.bin(F.col("end") - F.col("start"))) - 1).alias("_level"))
+    cell = lambda at, level: F.call_function("shiftright", at, level)
+    names = ["key", "action", "_object", "_level", "_cell"]
+    standing = rows.select("*", F.explode(F.sequence(cell(F.col("start"), F.col("_level")), cell(F.col("end") - 1, F.col("_level")))).alias("_cell"))
+    lower = rows.withColumn("_own", F.col("_level")).withColumn("_level", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_level") - reach), F.col("_level"))))
+    asking = lower.select("*", F.explode(F.sequence(cell(F.col("start"), F.col("_level")), cell(F.col("end") - 1, F.col("_level")))).alias("_cell"))
+    asking = asking.select(*names, "_own", F.col("id").alias("other"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
+    begins = F.greatest("start", "b_start")
+    once = (cell(begins, F.col("_level")) == F.col("_cell")) & ((F.col("_own") > F.col("_level")) | (F.col("id") < F.col("other")))
+    pairs = standing.join(asking, names).filter(once & (F.col("id") != F.col("other")))
+    pairs = pairs.withColumn("iou", S.iou(F.col("start"), F.col("end"), F.col("b_start"), F.col("b_end"))).filter(F.col("iou") >= share)
+    return pairs.select("key", F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "iou")
 
 
 def fallback(keys: DataFrame, segments: DataFrame) -> DataFrame:

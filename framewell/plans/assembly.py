@@ -10,23 +10,39 @@ from ..functions import vocabulary as V
 from ..operators import events as E
 from ..operators import intervals as I
 from ..operators import signals as G
+from ..operators.prominence import with_prominence
 
 
-def propose_segments(series: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, least: int = V.MIN_SEGMENT, window: int = V.MERGE_WINDOW, pause_speed: float = V.PAUSE_SPEED_MAX, prominence: float = V.PAUSE_PROMINENCE, gaze_floor: float = V.GAZE_FLOOR, move: float = V.MOVE_SPEED, errors: bool = False) -> DataFrame:
+def propose_segments(series: DataFrame, events: DataFrame | None = None, *, fps: float = V.FPS, least: int = V.MIN_SEGMENT, window: int = V.MERGE_WINDOW, pause_speed: float = V.PAUSE_SPEED_MAX, prominence: float = V.PAUSE_PROMINENCE, gaze_floor: float = V.GAZE_FLOOR, move: float = V.MOVE_SPEED, errors: bool = False, longest: int | None = None) -> DataFrame:
     """EVT15: segments of series (key, frame, speed, turn, masked_left, masked_right) with start_source and end_source.
 
     EVT4: pauses in ``speed`` are candidates unless the wrists of both hands are masked there. Grasps and releases (``events``: key, frame, type, magnitude) are, and shifts in
-    ``turn``, which no mask concerns. EVT6, EVT7: in this order, each with its source's priority, they are fused into boundaries. ``errors`` as in fold_keys.
+    ``turn``, which no mask concerns. EVT6, EVT7: in this order, each with its source's priority, they are fused into boundaries. ``errors`` as in fold_keys,
+    ``longest`` as in with_prominence.
+
+    Peaks of both signals, the masks, and the running count of moving frames come from one pass over the series; events meet that count by a join.
     """
-    seen = series.filter(~(F.col("masked_left") & F.col("masked_right"))).select("key", "frame")
-    pauses = E.prominent_minima(series, "speed", prominence=prominence).filter(F.col("depth") < pause_speed).join(seen, ["key", "frame"])
-    parts = [pauses.select("key", "frame", (-F.col("depth")).alias("magnitude"), F.lit("pause").alias("source"))]
+    facts = series.select("key", F.col("frame").cast("long").alias("frame"), F.col("speed").cast("double").alias("speed"), (-F.col("speed").cast("double")).alias("_low"), F.col("turn").cast("double").alias("turn"), (~(F.col("masked_left") & F.col("masked_right"))).alias("seen"))
+    facts = facts.withColumns({"limit": E.gaze_limit("turn", floor=gaze_floor), "moved": E.moved_before("speed", move), "last": F.max("frame").over(G.whole())})
+    marked = E.mark_peaks(facts, ["_low", "turn"])
+    pause = F.col("_low_peak") & (F.col("speed") < pause_speed) & F.col("seen")
+    # Frames that are no candidates go no further than their blocks.
+    kept = marked.withColumns({"_gaze": F.col("turn_peak") & (F.col("turn") >= F.col("limit")), "_pause": F.coalesce(pause, F.lit(False)), "_end": F.col("frame") == F.col("last")})
+    wanted = with_prominence(kept.withColumn("_top", F.col("_pause") | F.col("_gaze") | F.col("_end")), "_low", "_top", ["_pause", "_gaze", "_end", "speed", "turn", "moved"], longest=longest)
+    candidate = lambda when, order, prio, magnitude, source: F.when(when, F.struct(F.lit(order).alias("ord"), prio.cast("int").alias("prio"), magnitude.alias("magnitude"), source.cast("string").alias("source")))
+    named = lambda source: E.priority(F.lit(source))
+    of_frame = F.array_compact(
+        F.array(
+            candidate(F.col("_pause") & (F.col("prominence") >= prominence), 0, named("pause"), F.col("speed") * -1, F.lit("pause")),
+            candidate(F.col("_gaze"), 2, named("gaze"), F.col("turn"), F.lit("gaze")),
+            candidate(F.col("_end"), -1, F.lit(-1), F.lit(0.0), F.lit(None)),
+        )
+    )
+    rows = wanted.select("key", "frame", "moved", F.explode(of_frame).alias("c")).select("key", "frame", "moved", "c.*")
     if events is not None:
-        parts.append(events.select("key", "frame", "magnitude", F.col("type").alias("source")))
-    parts.append(E.gaze_shifts(series, "turn", floor=gaze_floor).withColumn("source", F.lit("gaze")))
-    candidates = E.union_candidates(*parts).withColumn("prio", E.priority(F.col("source")))
-    fused = E.fuse(candidates, series, window=window, least=least, move=move, errors=errors)
-    segments = E.segments_between(fused, fps=fps)
+        own = events.select("key", F.col("frame").cast("long").alias("frame"), F.lit(1).alias("ord"), E.priority(F.col("type")).cast("int").alias("prio"), F.col("magnitude").cast("double").alias("magnitude"), F.col("type").alias("source"))
+        rows = rows.unionByName(own.join(facts.select("key", "frame", "moved"), ["key", "frame"]))
+    segments = E.segments_between(E.fuse_counted(rows, window=window, least=least, errors=errors), fps=fps)
     return segments if events is None else E.events_inside(segments, events)
 
 

@@ -15,6 +15,7 @@ from .operators import hands as H
 from .operators import intervals as I
 from .operators import joins as J
 from .operators import reports as R
+from .operators import restitch as RS
 from .operators import selection as P
 from .operators import signals as G
 from .operators import windows as W
@@ -616,7 +617,7 @@ def stitch_sql(share: float) -> str:
     fits = f"(greatest(least(k.\"end\", c.\"end\") - greatest(k.start, c.start), 0) / (greatest(k.\"end\", c.\"end\") - least(k.start, c.start))::DOUBLE >= {share})"
     row = "{'start': start, 'end': \"end\", 'nth': nth, " + ", ".join(f"'{x}': {x}" for x in said) + "}"
     keep = lambda c: ", ".join(f"CASE WHEN {c} THEN {x} ELSE p_{x} END" for x in said)
-    return f"""sn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end", action, object, hand, confidence) AS nth FROM iv WHERE "end" > start),
+    return f"""sn AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY start, "end", action, object, hand, confidence, sentence) AS nth FROM iv WHERE "end" > start),
 sr AS (SELECT key, action AS act, obj, nth, {row} AS c, row_number() OVER (PARTITION BY key, action, obj ORDER BY nth) AS rn FROM sn),
 sc AS (
   SELECT key, act, obj, rn, [c] AS l FROM sr WHERE rn = 1
@@ -744,6 +745,31 @@ def win6_open_tail(spark, sf):
     return W.fold_chunks(chunked(spark, sf))
 
 
+def windowed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates of windows of 24 frames that advance by 16: late ones come again in the next window, some begin before their own; and all windows of each key."""
+    iv = T.intervals(spark, sf)
+    late = F.col("start") % 16 >= 10
+    w = F.floor(F.col("start") / 16)
+    iv = iv.withColumn("w", F.explode(F.when(late, F.array(w, w + 1)).otherwise(F.array(w)))).withColumn("w_start", F.col("w") * 16)
+    start = F.when(F.col("start") % 16 == 0, F.greatest(F.lit(0), F.col("start") - 5)).otherwise(F.col("start"))
+    cands = iv.withColumns({"end": F.col("end") + (F.col("w_start") > F.col("start")).cast("long"), "start": start}).filter("key % 9 <> 4 OR w <> 1")
+    last = cands.groupBy("key").agg(F.max("w").alias("m"))
+    windows = last.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("w")).withColumn("w_start", F.col("w") * 16)
+    return cands.select("key", "w", "w_start", *RS.COLUMNS), windows
+
+
+@query("win5_stories", f"""WITH RECURSIVE {FRAMES}, c0 AS (SELECT key, frame, unnest(CASE WHEN frame % 16 >= 10 THEN [frame // 16, frame // 16 + 1] ELSE [frame // 16] END) AS w, (frame + 1 + floor(x / 50))::BIGINT AS "end", kind AS action, CASE WHEN frame % 2 = 0 THEN 'left' ELSE 'both' END AS hand,
+  CASE WHEN frame % 3 = 0 THEN 'The cup' ELSE 'cup' END AS object, kind || ' ' || frame AS sentence, CASE WHEN x < 15 THEN 'low' WHEN x < 50 THEN 'medium' ELSE 'high' END AS confidence FROM f),
+c1 AS (SELECT key, w, CASE WHEN frame % 16 = 0 THEN greatest(0, frame - 5) ELSE frame END AS start, "end" + CASE WHEN w * 16 > frame THEN 1 ELSE 0 END AS "end", action, hand, object, 'cup' AS obj, sentence, confidence FROM c0 WHERE key % 9 <> 4 OR w <> 1),
+ws AS (SELECT key, unnest(range(0, m + 1)) AS w FROM (SELECT key, max(w) AS m FROM c1 GROUP BY key)),
+iv AS (SELECT ws.key * 100000 + ws.w AS key, c1.* EXCLUDE (key, w) FROM ws JOIN c1 ON c1.key = ws.key AND c1.w < ws.w), {stitch_sql(0.3)},
+l AS (SELECT key, 'frames ' || start || '-' || "end" || ': ' || action || ', ' || sentence AS line, row_number() OVER (PARTITION BY key ORDER BY start) AS i, count(*) OVER (PARTITION BY key) AS n FROM st),
+t AS (SELECT key, string_agg(line, chr(10) ORDER BY i) AS story FROM l WHERE i > n - 3 GROUP BY key)
+SELECT ws.key, w, coalesce(story, '') AS story FROM ws LEFT JOIN t ON t.key = ws.key * 100000 + w""")
+def win5_stories(spark, sf):
+    return RS.restitched(*windowed(spark, sf), share=0.3)
+
+
 @query("win8_continuation", f"""WITH {SEGMENTS} SELECT key, start, CASE WHEN hand = 'left' THEN 'A step began at frame ' || start || ' and was still going on: ' || action || '. If it goes on, report it again with that start.' END AS note FROM s""")
 def win8_continuation(spark, sf):
     return T.segments(spark, sf).select("key", "start", W.continuation(F.when(F.col("hand") == "left", F.col("start")), F.col("action")).alias("note"))
