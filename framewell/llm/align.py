@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
 import os
 import string
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,15 @@ from ._spark import table
 from .sentencepiece_codec import BYTE, SPACE, Model
 
 #: Units that a worker remembers, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 200_000, 40
+CACHE_UNITS, CACHE_CHARS = 150_000, 40
 #: Rows of an Arrow batch, and bytes of text in a block, whose pairs of ids are counted and looked up together.
 BATCH_ROWS, BLOCK_BYTES = 200, 8 << 20
 #: A pair of ids as one number: A's shifted by this, and B's.
 SHIFT = 32
-#: The alignment of a unit: tokens of A and of B, groups, pairs, ends and bytes.
-Unit = tuple[int, int, str, bytes, np.ndarray, int]
+#: Fixed value: how byte-level pre-tokenizers split a text.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The alignment of a unit: tokens of A and of B, groups, pairs, their number, ends and bytes.
+Unit = tuple[int, int, str, bytes, int, tuple[int, ...], int]
 
 
 def byte_table() -> dict[str, int]:
@@ -57,66 +61,98 @@ class Aligner:
         of = byte_table()
         self.bytes_a = [bytes(of[c] for c in self.a.id_to_token(i)) if all(c in of for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.text_a, self.text_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
+        self.quick = self._ranked(path_a)
         self.seen: dict[str, Unit | bool] = {}
+        self.before: dict[str, Unit | bool] = {}
 
-    def unit(self, text: str) -> Unit | bool:
-        """The alignment of a space and ``text``; False if the tokens' bytes differ from theirs.
+    def _ranked(self, path: str) -> Callable[[str], list[int]] | None:
+        """A faster encoder for A's vocabulary, if its ids follow the order of its merges, so that ranks give the same tokens; it is used on letters whose classes never change."""
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer") and not model.get("ignore_merges")
+        if not plain or [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merged))}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def unit(self, text: str, b: list[int]) -> Unit | bool:
+        """The alignment of a space and ``text``, of which ``b`` are B's ids; False if the tokens' bytes differ from theirs.
 
         Ends of both are looked up by byte; the common ones, sorted, slice both lists into groups. In a slice only the last tokens end together, and so they are its link.
         """
-        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
-        raw = b" " + text.encode()
+        spaced = " " + text
+        a = self.quick(spaced) if self.quick and max(text, default="") < "\u0250" else self.a.encode(spaced, add_special_tokens=False).ids
+        raw = spaced.encode()
         parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
         if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
             return False
-        ends_a = {end: i + 1 for i, end in enumerate(itertools.accumulate(map(len, parts_a)))}
-        ends_b = {end: i + 1 for i, end in enumerate(itertools.accumulate(map(len, parts_b)))}
+        ends_a = dict(zip(itertools.accumulate(map(len, parts_a)), range(1, len(a) + 1), strict=True))
+        ends_b = dict(zip(itertools.accumulate(map(len, parts_b)), range(1, len(b) + 1), strict=True))
         common = sorted(ends_a.keys() & ends_b.keys())
-        groups, pairs, i, j = [], [], 0, 0
+        names_a, names_b = [self.text_a[x] for x in a], [self.text_b[y] for y in b]
+        groups, pairs, i, j = [], array("q"), 0, 0
         for end in common:
             x, y = ends_a[end], ends_b[end]
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
+            groups.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
             pairs.append(a[x - 1] << SHIFT | b[y - 1])
             i, j = x, y
-        return len(a), len(b), ";".join(groups), np.array(pairs, np.int64).tobytes(), np.array(common, np.int64), len(raw)
+        return len(a), len(b), ";".join(groups), pairs.tobytes(), len(pairs), tuple(common), len(raw)
 
-    def units(self, text: str) -> list[Unit | bool]:
+    def cut(self, text: str) -> list[str]:
         """A text's units. Single spaces part them if a letter, a digit or plain punctuation stands on both sides; all other spaces stay inside."""
         chunks = text.split(" ")
-        found = [self.seen.get(c) for c in chunks]
-        if None not in found:
-            return found
-        found, at = [], 0
+        plain = [c[:1] in _SURE and c[-1:] in _SURE or _plain(c[:1]) and _plain(c[-1:]) for c in chunks]
+        if all(plain):
+            return chunks
+        out, at = [], 0
         while at < len(chunks):
             to = at + 1
             while to < len(chunks) and not (_plain(chunks[to - 1][-1:]) and _plain(chunks[to][:1])):
                 to += 1
-            joined = " ".join(chunks[at:to])
-            got = self.seen.get(joined)
-            if got is None:
-                got = self.unit(joined)
-                if to == at + 1 and len(joined) <= CACHE_CHARS and _plain(joined[:1]) and _plain(joined[-1:]):
-                    if len(self.seen) >= CACHE_UNITS:
-                        self.seen.clear()
-                    self.seen[joined] = got
-            found.append(got)
+            out.append(" ".join(chunks[at:to]))
             at = to
-        return found
-
-    def document(self, text: str | None, with_ends: bool) -> tuple:
-        """Tokens of A and B, groups, their number, distinct pairs, how often each occurs, and the groups' ends, if asked for; of a text that is not aligned, nothing."""
-        units = self.units(text) if text else [False]
-        if False in units:
-            return 0, 0, "", 0, _NONE, _NONE, _NONE
-        n_a, n_b, groups, pairs, ends, sizes = zip(*units, strict=True)
-        links = np.frombuffer(b"".join(pairs), np.int64)
-        distinct, times = np.unique(links, return_counts=True)
-        starts = np.cumsum([0, *sizes[:-1]])
-        return sum(n_a), sum(n_b), ";".join(groups), len(links), distinct, times, np.concatenate([e + s for e, s in zip(ends, starts, strict=True)]) if with_ends else _NONE
+        return out
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Aligns the units of ``texts`` that are not remembered."""
+        if len(self.seen) > CACHE_UNITS:
+            self.before, self.seen = {k: v for k, v in self.seen.items() if len(k) <= CACHE_CHARS}, {}
+        new = []
+        for unit in set(itertools.chain.from_iterable(texts)) - self.seen.keys():
+            if (old := self.before.get(unit)) is None:
+                new.append(unit)
+            else:
+                self.seen[unit] = old
+        for unit, b in zip(new, self.b.encode(new, num_threads=1) if new else [], strict=True):
+            self.seen[unit] = self.unit(unit, b)
+
+    def documents(self, texts: list[str | None], with_ends: bool) -> list[tuple]:
+        """For each text, tokens of A and B, groups, their number, distinct pairs, how often each occurs, and the groups' ends, if asked for; of one that is not aligned, nothing."""
+        cut = [self.cut(t) if t else [] for t in texts]
+        self.learn(cut)
+        out = []
+        for names in cut:
+            units = list(map(self.seen.__getitem__, names))
+            if not units or False in units:
+                out.append((0, 0, "", 0, _NONE, _NONE, _NONE))
+                continue
+            n_a, n_b, groups, pairs, n, ends, sizes = zip(*units, strict=True)
+            distinct, times = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
+            where = _NONE
+            if with_ends:
+                where = np.fromiter(itertools.chain.from_iterable(ends), np.int64) + np.repeat(np.cumsum((0, *sizes[:-1])), n)
+            out.append((sum(n_a), sum(n_b), ";".join(groups), sum(n), distinct, times, where))
+        return out
 
 
 _NONE = np.zeros(0, np.int64)
 _PUNCTUATION = frozenset(string.punctuation)
+_SURE = frozenset(string.ascii_letters + string.digits + string.punctuation)
 
 
 def _plain(c: str) -> bool:
@@ -147,7 +183,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, id_cols: tuple[str, ...]
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
                 texts = part.column(1).to_pylist()
-                n_a, n_b, groups, n_groups, *lists = zip(*(use.document(t, with_ends) for t in texts), strict=True)
+                n_a, n_b, groups, n_groups, *lists = zip(*use.documents(texts, with_ends), strict=True)
                 blocks = (np.cumsum([read, *(len(t or "") for t in texts)])[:-1] // BLOCK_BYTES) + first
                 read += sum(len(t or "") for t in texts)
                 arrays = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), np.concatenate(x).astype(np.int64)) for x in lists]

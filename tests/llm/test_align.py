@@ -76,7 +76,7 @@ def test_units_are_independent():
     lib_a, lib_b = use.a, use.b
     for c in [*map(chr, range(1, 0x250)), *map(chr, range(0x2000, 0x2070)), "　", "﻿", "日", "😀", "ก"]:
         for text in (f"a {c} b", f"a{c} {c}b", f"1 {c}", f"{c} 'x"):
-            got, want = use.document(text, True), tokens(lib_a, lib_b, text)
+            got, want = use.documents([text], True)[0], tokens(lib_a, lib_b, text)
             if want is None:
                 assert got[:4] == (0, 0, "", 0)
             else:
@@ -85,6 +85,24 @@ def test_units_are_independent():
                 assert [int(i) for i in got[2].replace(";", ",").replace("|", ",").split(",")] != [] and got[2].count(";") == len(cuts) - 1
 
 
+def test_both_encoders_agree(monkeypatch):
+    """Ranks give the same tokens as merges, on units of all letters that they are used for, and forgetting changes nothing."""
+    import random
+
+    use, draw = align.Aligner(A, B), random.Random(3)
+    assert use.quick
+    letters = [chr(c) for c in range(33, 0x250)]
+    units = ["".join(draw.choices(letters if draw.random() < 0.5 else "abcdefghijklmnopqrstuvwxyz'.,A1", k=draw.randint(1, 14))) for _ in range(20_000)]
+    for u in units:
+        assert use.quick(" " + u) == use.a.encode(" " + u, add_special_tokens=False).ids
+    texts = [" ".join(draw.choices(units[:500], k=30)) for _ in range(60)]
+    whole = align.Aligner(A, B).documents(texts, True)
+    monkeypatch.setattr(align, "CACHE_UNITS", 20)
+    few = align.Aligner(A, B)
+    for t, w in zip(texts, whole, strict=True):
+        assert str(few.documents([t], True)[0]) == str(w)
+
+
 def test_long_text_and_blocks(spark, monkeypatch):
     """Blocks of a few bytes give the same counts; a text of a megabyte is one row."""
     rows = [(i, f"the house of number {i % 7} and the tree") for i in range(60)] + [(99, "word and word " * 80_000)]
