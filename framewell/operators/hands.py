@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
+
 
 def frames_inside(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """``frames`` (key, frame, and more) with the id of the segment (key, id, start, end; closed) that holds each; a frame where one ends and the next starts comes twice."""
@@ -20,21 +22,40 @@ def frames_inside(segments: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.filter("_o = 1").select("key", "frame", *rest, F.explode(held).alias("id"))
 
 
+def inside_sums(segments: DataFrame, frames: DataFrame, values: dict[str, Column], steps: dict[str, Column] | None = None) -> DataFrame:
+    """For each segment (key, id, start, end; closed) ``frames``, how many frames lie in it, and the sums of ``values`` over them; of ``steps``, which lead from the frame before, without the first frame's.
+
+    Running sums over the key's frames, read at both ends in one window over frames and ends, so that no frame meets a segment: a start stands before its frame, for steps behind it,
+    and an end behind its own. Sums are differences of doubles, good to about 15 digits of the whole series' sum.
+    """
+    steps = steps or {}
+    mark = lambda frame, order, value, step: F.struct(F.col(frame).alias("frame"), F.lit(order).alias("_o"), F.lit(value).alias("_sv"), F.lit(step).alias("_ss"))
+    ends = F.array(mark("start", 0, -1, 0), *([mark("start", 2, 0, -1)] if steps else []), mark("end", 2, 1, 1))
+    marks = segments.select("key", "id", F.explode(ends).alias("m")).select("key", "id", "m.*")
+    of_values = {"frames": F.lit(1.0), **values}
+    named = {f"_{n}": c.cast("double") for n, c in {**of_values, **steps}.items()}
+    rows = frames.select("key", "frame", F.lit(1).alias("_o"), *[c.alias(n) for n, c in named.items()])
+    so_far = Window.partitionBy("key").orderBy("frame", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumns({n: F.coalesce(F.sum(n).over(so_far), F.lit(0.0)) for n in named})
+    sums = [F.sum(F.col("_sv" if n in of_values else "_ss") * F.col(f"_{n}")).alias(n) for n in (*of_values, *steps)]
+    return both.filter("_o <> 1").groupBy("key", "id").agg(*sums)
+
+
 def activity(segments: DataFrame, frames: DataFrame) -> DataFrame:
     """FN8: for each segment (key, id, start, end; closed) and side: score in units of the series' medians, and whether it moved at all.
 
-    ``frames`` has key, frame, and speed and aperture speed of both sides. Segments touch and don't overlap, so a frame's is the last that starts at or before it, found by one
-    window; a frame on a shared end belongs to the segment before as well.
+    ``frames`` has key, frame, and speed and aperture speed of both sides. A segment without any frame has no row.
     """
     names = ("speed_left", "speed_right", "aperture_left", "aperture_right")
     medians = frames.groupBy("key").agg(*[F.median(F.abs(c)).alias(f"m_{c}") for c in names])
-    inside = frames_inside(segments, frames.select("key", "frame", *names))
-    means = inside.groupBy("key", "id").agg(*[F.avg(F.abs(c)).alias(c) for c in names]).join(medians, "key")
+    sums = inside_sums(segments, frames, {c: F.abs(c) for c in names}).filter("frames > 0")
+    means = sums.select("key", "id", *[(F.col(c) / F.col("frames")).alias(c) for c in names]).join(medians, "key")
 
     def score(side: str) -> Column:
         return F.col(f"speed_{side}") / F.greatest(F.col(f"m_speed_{side}"), F.lit(0.01)) + F.col(f"aperture_{side}") / F.greatest(F.col(f"m_aperture_{side}"), F.lit(0.005))
 
-    active = lambda side: (F.col(f"speed_{side}") > 0.04) | (F.col(f"aperture_{side}") > 0.04)
+    # A mean that is the limit but for the rounding of sums doesn't exceed it.
+    active = lambda side: (F.col(f"speed_{side}") > 0.04 + 1e-9) | (F.col(f"aperture_{side}") > 0.04 + 1e-9)
     return means.select("key", "id", score("left").alias("score_left"), score("right").alias("score_right"), active("left").alias("active_left"), active("right").alias("active_right"))
 
 
@@ -59,7 +80,19 @@ def decide(score_left: Column, score_right: Column, active_left: Column, active_
     )
 
 
-def kinematic_summary(path: Column, events: Column) -> Column:
-    """FN7: a sentence on how far a hand moved and what it did."""
-    moved = F.when(path < 0.05, F.lit("mostly static")).otherwise(F.format_string("moved %.2f m", path))
-    return F.concat(moved, F.when(F.size(events) > 0, F.concat(F.lit("; "), F.array_join(events, ", "))).otherwise(""))
+def coordination(hand: Column, handover: Column) -> Column:
+    """FN10: how both hands work together, if they do."""
+    return F.when(hand == "both_coordinating", F.when(handover, "handover").otherwise("joint_carry"))
+
+
+def kinematic_summary(hand: Column, together: Column, paths: dict[str, Column], events: Column, fps: float = V.FPS) -> Column:
+    """FN7: what a prompt tells of a segment's motion: the active hand, and for each hand of ``paths`` how far it went and its events (frame, type, hand), with times. Fixed formats."""
+
+    def side(name: str, path: Column) -> Column:
+        own = F.filter(events, lambda e: e["hand"] == name)
+        moved = F.when(path < 0.05, F.lit("mostly static")).otherwise(F.format_string("moved %.2fm", path))
+        told = F.transform(own, lambda e: F.format_string("%s event at %.1fs", e["type"], e["frame"] / fps))
+        return F.concat(F.lit(f"{name.capitalize()} hand: "), F.array_join(F.concat(F.array(moved), told), ", "), F.lit("."))
+
+    how = F.coalesce(F.concat(F.lit(" ("), together, F.lit(")")), F.lit(""))
+    return F.concat_ws(" ", F.concat(F.lit("Active hand (computed from motion): "), hand, how, F.lit(".")), *[side(n, p) for n, p in paths.items()])

@@ -239,11 +239,26 @@ def fallback(keys: DataFrame, segments: DataFrame) -> DataFrame:
     return segments.select(*whole.columns).unionByName(whole)
 
 
-def upper_median(df: DataFrame, value: Column) -> DataFrame:
-    """AGG18: for each key the upper median: the element at n div 2 of the sorted values."""
-    nth = Window.partitionBy("key").orderBy("_v")
-    ranked = df.select("key", value.alias("_v")).withColumns({"_i": F.row_number().over(nth) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("key"))})
-    return ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2)).select("key", F.col("_v").alias("upper_median"))
+def upper_median(df: DataFrame, value: Column, by: list[str] | None = None, *, width: int = 4096) -> DataFrame:
+    """AGG18: for each key, or group of ``by``, the upper median of whole numbers: the element at n div 2 of the sorted values. Nulls are no values.
+
+    Selection in two steps instead of a sort: how often each value occurs is counted in every task before it is dealt; counts by ranges of ``width`` values tell which range holds the
+    middle, and the counts of that range tell which value does. A group of any size is spread, and what meets in one row are its ranges, or ``width`` values.
+    """
+    by = by or ["key"]
+
+    def nth(entries: Column, at: Column) -> Column:
+        """The entry (v, k), by v, that holds the element ``at`` when each stands for k, and which of its own that is."""
+        start = F.struct(F.lit(0).cast("long").alias("below"), F.lit(None).cast("struct<v:bigint,rest:bigint>").alias("hit"))
+        within = lambda s, e: F.when(s["below"] + e["k"] > at, F.struct(e["v"].alias("v"), (at - s["below"]).alias("rest")))
+        return F.aggregate(F.array_sort(entries), start, lambda s, e: F.struct((s["below"] + e["k"]).alias("below"), F.coalesce(s["hit"], within(s, e)).alias("hit")))["hit"]
+
+    listed = F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_k").alias("k")))
+    counts = df.select(*by, value.cast("long").alias("_v")).filter("_v IS NOT NULL").groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_k"))
+    ranges = counts.groupBy(*by, F.floor(F.col("_v") / width).alias("_r")).agg(F.sum("_k").alias("_k")).withColumnRenamed("_r", "_v")
+    middle = ranges.groupBy(*by).agg(listed.alias("_l"), F.sum("_k").alias("_n")).select(*by, nth(F.col("_l"), F.floor(F.col("_n") / 2)).alias("_m"))
+    inside = counts.join(middle, by).filter(F.floor(F.col("_v") / width) == F.col("_m.v"))
+    return inside.groupBy(*by).agg(listed.alias("_l"), F.first("_m.rest").alias("_rest")).select(*by, nth(F.col("_l"), F.col("_rest"))["v"].alias("upper_median"))
 
 
 def flagged(df: DataFrame, *, short_share: float = V.SHORT_SHARE) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import vocabulary as V
+from .intervals import upper_median
 from .joins import hit_counts
 
 
 def segment_stats(df: DataFrame, *, fps: float) -> DataFrame:
-    """AGG1: for each key its segments, their rate a minute, shortest, median and longest duration, and coverage."""
+    """AGG1: for each key its segments, their rate a minute, shortest, median and longest duration, coverage, and how many boundaries each source gave (``sources``, by name),
+    if the segments have a start_source: starts after the series' first frame, as the end of one segment is the start of the next."""
     length = F.col("end") - F.col("start")
     out = df.groupBy("key").agg(
         F.count(F.lit(1)).alias("segments"),
@@ -22,7 +24,12 @@ def segment_stats(df: DataFrame, *, fps: float) -> DataFrame:
         F.max("n_frames").alias("n_frames"),
     )
     rate, coverage = F.col("segments") / (F.col("n_frames") / fps / 60), F.col("_covered") / (F.col("n_frames") - 1)
-    return out.select("key", "segments", F.round(rate, 6).alias("per_minute"), *[F.round(c, 6).alias(c) for c in ("shortest", "median", "longest")], F.round(coverage, 6).alias("coverage"))
+    stats = out.select("key", "segments", F.round(rate, 6).alias("per_minute"), *[F.round(c, 6).alias(c) for c in ("shortest", "median", "longest")], F.round(coverage, 6).alias("coverage"))
+    if "start_source" not in df.columns:
+        return stats
+    counts = df.filter("start > 0").groupBy("key", "start_source").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("start_source", "n")))).alias("sources"))
+    return stats.join(named, "key", "left").withColumn("sources", F.coalesce("sources", F.create_map().cast("map<string,bigint>")))
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -125,9 +132,7 @@ def config_metrics(windows: DataFrame, subtasks: DataFrame, *, fps: float = V.FP
         F.round(rate(F.col("confidence") == "low"), 6).alias("low_confidence"),
         F.round(rate(F.size("flags") > 0), 6).alias("flagged"),
     )
-    nth = Window.partitionBy("config").orderBy("length")
-    ranked = subtasks.select("config", length.alias("length")).withColumns({"_i": F.row_number().over(nth) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy("config"))})
-    median = ranked.filter(F.col("_i") == F.floor(F.col("_n") / 2)).select("config", F.round(F.col("length") / fps, 6).alias("median_s"))
+    median = upper_median(subtasks, length, ["config"]).select("config", F.round(F.col("upper_median") / fps, 6).alias("median_s"))
     out = cost.join(like, "config").join(median, "config").join(entropy(subtasks, ["config"], "action"), "config")
     paid = F.round(F.col("wall_s") / F.greatest("windows", F.lit(1)), 6).alias("s_per_window")
     merged = F.round(1 - F.col("stitched") / F.greatest("candidates", F.lit(1)), 6).alias("merge_ratio")

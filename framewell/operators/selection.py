@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,11 +34,47 @@ def pick_spread(df: DataFrame, done: DataFrame, group: str, key: str, n: int, *,
     return nth.orderBy(*order).limit(n).drop("_draw", "_i")
 
 
+def take_turns(pools: list[list[tuple]], n: int) -> list[tuple]:
+    """SEL10 for two pools of (group, item), shuffled: in turn each gives its first item of a group that neither has given yet, else its first item; n in all, or all there are.
+
+    In a pool, items of groups that have been seen go behind the others, each time in the order in which they stand.
+    """
+    seen: set = set()
+    out: list[tuple] = []
+    while len(out) < n and any(pools):
+        for i, pool in enumerate(pools):
+            if pool and len(out) < n:
+                pools[i] = [x for x in pool if x[0] not in seen] + [x for x in pool if x[0] in seen]
+                picked = pools[i].pop(0)
+                out.append(picked)
+                seen.add(picked[0])
+    return out
+
+
 def review_order(df: DataFrame, group: str, key: str, flagged: str, n: int, *, seed: int = 42) -> DataFrame:
-    """SEL10: flagged and clean keys in turn, groups not yet seen first within each class; by ranks instead of a growing set of seen groups."""
-    drawn = df.withColumn("_draw", draw(seed, key)).withColumn("_seen", F.row_number().over(Window.partitionBy(flagged, group).orderBy("_draw", key)))
-    turn = F.row_number().over(Window.partitionBy(flagged).orderBy("_seen", "_draw", key))
-    return drawn.withColumn("turn", turn).orderBy("turn", F.desc(flagged)).limit(n).drop("_draw", "_seen")
+    """SEL10: n keys for review, flagged and clean ones in turn, of groups not yet seen as long as there are any: the rows with ``turn``, from 1.
+
+    Of each class, n picks need at most the first n keys of each of the 2 n groups that come first in the shuffle: n groups may have been seen by then, and a class with more still has
+    fresh ones. So tasks keep their own first n of each group and class, and what is left, 4 n * n rows at most, is picked in one.
+    """
+    drawn = df.withColumn("_draw", draw(seed, key)).filter(F.col(flagged).isNotNull())
+    firsts = drawn.groupBy(flagged, group).agg(F.min(F.struct("_draw", key)).alias("_first"))
+    groups = [firsts.filter(F.col(flagged) == side).orderBy("_first").limit(2 * n) for side in (True, False)]
+    wanted = groups[0].unionByName(groups[1]).select(F.col(flagged).alias("_f"), F.col(group).alias("_g"))
+    nth = F.row_number().over(Window.partitionBy(flagged, group).orderBy("_draw", key))
+    few = drawn.withColumn("_nth", nth).filter(F.col("_nth") <= n).join(F.broadcast(wanted), (F.col(flagged) == F.col("_f")) & F.col(group).eqNullSafe(F.col("_g")), "left_semi")
+    rows = few.select(F.col(flagged).alias("f"), F.col(group).cast("string").alias("g"), "_draw", F.col(key).alias("k"))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat([pd.DataFrame(columns=["f", "g", "_draw", "k"]), *batches]).sort_values(["_draw", "k"])
+        pools = [[(None if r.g is None else r.g, r.k) for r in pdf[pdf["f"] == side].itertuples()] for side in (True, False)]
+        out = take_turns(pools, n)
+        if out:
+            yield pd.DataFrame({"k": [k for _, k in out], "turn": range(1, len(out) + 1)})
+
+    kind = df.schema[key].dataType.simpleString()
+    turns = rows.coalesce(1).mapInPandas(pick, f"k {kind}, turn int")
+    return df.join(F.broadcast(turns.withColumnRenamed("k", "_k")), F.col(key) == F.col("_k")).drop("_k")
 
 
 def folder_name(category: Column, tasks: Column, first_task: Column) -> Column:

@@ -477,10 +477,18 @@ def sel9_pick_round_robin(spark, sf):
     return P.pick_spread(T.read(spark, sf, "customer").select("c_nationkey", "c_custkey"), done, "c_nationkey", "c_custkey", 40, seed=7, round_robin=True)
 
 
-@query("sel10_review_order", """WITH d AS (SELECT s_nationkey, s_suppkey, s_acctbal < 3000 AS flagged, md5('42:' || s_suppkey) AS h FROM supplier),
-o AS (SELECT *, row_number() OVER (PARTITION BY flagged, s_nationkey ORDER BY h, s_suppkey) AS seen FROM d),
-t AS (SELECT *, row_number() OVER (PARTITION BY flagged ORDER BY seen, h, s_suppkey) AS turn FROM o)
-SELECT s_nationkey, s_suppkey, flagged, turn::INT AS turn FROM t ORDER BY turn, flagged DESC LIMIT 20""")
+@query("sel10_review_order", """WITH RECURSIVE d AS (SELECT s_nationkey AS g, s_suppkey AS k, s_acctbal < 3000 AS flagged, md5('42:' || s_suppkey) AS h FROM supplier),
+r AS (
+  SELECT 0::BIGINT AS step, []::STRUCT(g BIGINT, k BIGINT, step BIGINT)[] AS picks
+  UNION ALL
+  SELECT step + 1, CASE WHEN count(k) = 0 THEN picks ELSE list_append(picks, {'g': arg_min(g, place)::BIGINT, 'k': arg_min(k, place)::BIGINT, 'step': step}) END
+  FROM (
+    SELECT step, picks, g, k, CASE WHEN met IS NULL THEN '0' ELSE '1' || printf('%06d', 900000 - (met + 1 + CASE WHEN (met + 1) % 2 <> step % 2 THEN 1 ELSE 0 END)) END || h || printf('%012d', k) AS place
+    FROM (SELECT r.step, r.picks, d.g, d.k, d.h, list_min(list_transform(list_filter(r.picks, lambda p: p.g = d.g), lambda p: p.step)) AS met
+          FROM r LEFT JOIN d ON d.flagged = (r.step % 2 = 0) AND NOT list_contains(list_transform(r.picks, lambda p: p.k), d.k::BIGINT) WHERE len(r.picks) < 20 AND r.step < 80)
+  ) GROUP BY step, picks
+), z AS (SELECT picks FROM r ORDER BY step DESC LIMIT 1), t AS (SELECT unnest(picks) AS p, generate_subscripts(picks, 1) AS turn FROM z)
+SELECT d.g AS s_nationkey, d.k AS s_suppkey, d.flagged, turn::INT AS turn FROM t JOIN d ON d.k = p.k""")
 def sel10_review_order(spark, sf):
     rows = T.read(spark, sf, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal") < 3000).alias("flagged"))
     return P.review_order(rows, "s_nationkey", "s_suppkey", "flagged", 20)
@@ -778,10 +786,12 @@ def win8_continuation(spark, sf):
 # Reports.
 
 
-@query("agg1_segment_stats", f"""WITH {SEGMENTS} SELECT key, count(*) AS segments, round(count(*) / (max(n_frames) / 30.0::DOUBLE / 60), 6) AS per_minute, round(min("end" - start) / 30.0::DOUBLE, 6) AS shortest, round(median(("end" - start) / 30.0::DOUBLE), 6) AS median,
-round(max("end" - start) / 30.0::DOUBLE, 6) AS longest, round(sum("end" - start) / (max(n_frames) - 1)::DOUBLE, 6) AS coverage FROM s GROUP BY key""")
+@query("agg1_segment_stats", f"""WITH {SEGMENTS}, so AS (SELECT key, string_agg(start_source || ' ' || n, ',' ORDER BY start_source) AS sources FROM (SELECT key, start_source, count(*) AS n FROM s WHERE start > 0 GROUP BY 1, 2) GROUP BY key)
+SELECT key, count(*) AS segments, round(count(*) / (max(n_frames) / 30.0::DOUBLE / 60), 6) AS per_minute, round(min("end" - start) / 30.0::DOUBLE, 6) AS shortest, round(median(("end" - start) / 30.0::DOUBLE), 6) AS median,
+round(max("end" - start) / 30.0::DOUBLE, 6) AS longest, round(sum("end" - start) / (max(n_frames) - 1)::DOUBLE, 6) AS coverage, coalesce(any_value(sources), '') AS sources FROM s LEFT JOIN so USING (key) GROUP BY key""")
 def agg1_segment_stats(spark, sf):
-    return R.segment_stats(T.segments(spark, sf), fps=V.FPS)
+    out = R.segment_stats(T.segments(spark, sf), fps=V.FPS)
+    return out.withColumn("sources", F.array_join(F.transform(F.map_entries("sources"), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))), ","))
 
 
 @query("agg2_histogram", f"WITH {SEGMENTS} SELECT action AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM s)::DOUBLE, 6) AS share FROM s GROUP BY action")
@@ -951,13 +961,29 @@ def fn10_hand_decision(spark, sf):
     return a.select("key", "id", hand.alias("hand"))
 
 
-@query("fn7_kinematic_summary", f"""WITH {FRAMES}, t AS (SELECT key, sum(x) / 20000 AS way, coalesce(string_agg('grasp at ' || frame, ', ' ORDER BY frame) FILTER (kind = 'purchase' AND frame < 20), '') AS events FROM f GROUP BY key)
-SELECT key, CASE WHEN way < 0.05 THEN 'mostly static' ELSE printf('moved %.2f m', way) END || CASE WHEN events = '' THEN '' ELSE '; ' || events END AS summary FROM t""")
+DECIDED = HANDS + """, dc AS (SELECT ac.*, CASE WHEN active_left AND NOT active_right THEN 'left' WHEN active_right AND NOT active_left THEN 'right' WHEN NOT active_left AND NOT active_right THEN CASE WHEN score_left >= score_right THEN 'left' ELSE 'right' END
+WHEN score_left > 3 * score_right THEN 'left' WHEN score_right > 3 * score_left THEN 'right' WHEN id % 2 = 0 OR id % 5 = 0 THEN 'both_coordinating' ELSE 'both' END AS hand FROM ac)"""
+
+
+@query("fn7_kinematic_summary", f"""WITH {DECIDED}, st AS (SELECT key, frame, abs(x - lag(x) OVER w) / 997.3::DOUBLE AS l, abs(x - lag(x) OVER w) / 3011.7::DOUBLE AS r FROM f WINDOW w AS (PARTITION BY key ORDER BY frame)),
+pa AS (SELECT s.key, s.start AS id, coalesce(sum(l), 0) AS l, coalesce(sum(r), 0) AS r FROM s LEFT JOIN st ON st.key = s.key AND frame > start AND frame <= "end" GROUP BY 1, 2),
+ev AS (SELECT key, frame, CASE WHEN kind = 'purchase' THEN 'grasp' ELSE 'release' END AS type, CASE WHEN x < 40 THEN 'left' ELSE 'right' END AS hand FROM f WHERE kind IN ('purchase', 'signup')),
+ti AS (SELECT s.key, s.start AS id, ev.hand, string_agg(printf('%s event at %.1fs', type, frame / 30.0::DOUBLE), ', ' ORDER BY frame, type) AS told FROM s JOIN ev ON ev.key = s.key AND frame >= start AND frame < "end" GROUP BY 1, 2, 3),
+sd AS (SELECT key, id, 'Left hand: ' || CASE WHEN l < 0.05 THEN 'mostly static' ELSE printf('moved %.2fm', l) END || coalesce(', ' || (SELECT told FROM ti WHERE ti.key = pa.key AND ti.id = pa.id AND hand = 'left'), '') || '.' AS lt,
+  'Right hand: ' || CASE WHEN r < 0.05 THEN 'mostly static' ELSE printf('moved %.2fm', r) END || coalesce(', ' || (SELECT told FROM ti WHERE ti.key = pa.key AND ti.id = pa.id AND hand = 'right'), '') || '.' AS rt FROM pa)
+SELECT key, id, 'Active hand (computed from motion): ' || hand || CASE WHEN hand <> 'both_coordinating' THEN '' WHEN id % 2 = 0 THEN ' (handover)' ELSE ' (joint_carry)' END || '. ' || lt || ' ' || rt AS summary FROM dc JOIN sd USING (key, id)""")
 def fn7_kinematic_summary(spark, sf):
-    seen = F.when((F.col("kind") == "purchase") & (F.col("frame") < 20), F.col("frame"))
-    total = T.frames(spark, sf).groupBy("key").agg((F.sum("x") / 20000).alias("way"), F.array_sort(F.collect_list(seen)).alias("at"))
-    events = F.transform("at", lambda f: F.concat(F.lit("grasp at "), f.cast("string")))
-    return total.select("key", H.kinematic_summary(F.col("way"), events).alias("summary"))
+    f, segments = T.frames(spark, sf), T.segments(spark, sf).withColumn("id", F.col("start"))
+    line = Window.partitionBy("key").orderBy("frame")
+    step = f.select("key", "frame", F.abs(F.col("x") - F.lag("x").over(line)).alias("step"))
+    paths = H.inside_sums(segments, step, {}, {"left": F.col("step") / 997.3, "right": F.col("step") / 3011.7})
+    kind = F.when(F.col("kind") == "purchase", "grasp").otherwise("release")
+    events = f.filter("kind IN ('purchase', 'signup')").select("key", "frame", kind.alias("type"), F.col("x").alias("magnitude"), F.when(F.col("x") < 40, "left").otherwise("right").alias("hand"))
+    a = H.activity(segments, _two_hands(spark, sf))
+    hand = H.decide(F.col("score_left"), F.col("score_right"), F.col("active_left"), F.col("active_right"), F.col("id") % 2 == 0, F.col("id") % 5 == 0)
+    rows = E.events_inside(segments, events).join(a.select("key", "id", hand.alias("decided")), ["key", "id"]).join(paths, ["key", "id"])
+    text = H.kinematic_summary(F.col("decided"), H.coordination(F.col("decided"), F.col("id") % 2 == 0), {"left": F.col("left"), "right": F.col("right")}, F.col("events_inside"))
+    return rows.select("key", "id", text.alias("summary"))
 
 
 _WORDS = "; ".join(f"{g}: {', '.join(a)}" for g, a in V.ACTION_GROUPS.items())

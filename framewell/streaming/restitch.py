@@ -27,16 +27,16 @@ class _Map(MutableMapping):
         self.state = state
 
     def __getitem__(self, k: int) -> Any:
-        return json.loads(self.state.get_value((k,))[0])
+        return json.loads(self.state.getValue((k,))[0])
 
     def __setitem__(self, k: int, v: Any) -> None:
-        self.state.update_value((k,), (json.dumps(v),))
+        self.state.updateValue((k,), (json.dumps(v),))
 
     def __delitem__(self, k: int) -> None:
-        self.state.remove_key((k,))
+        self.state.removeKey((k,))
 
     def __contains__(self, k: object) -> bool:
-        return self.state.contains_key((k,))
+        return self.state.containsKey((k,))
 
     def __iter__(self) -> Iterator[int]:
         return (k[0] for k in self.state.keys())

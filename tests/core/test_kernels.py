@@ -11,6 +11,7 @@ from framewell.operators import events as E
 from framewell.operators import hands as H
 from framewell.operators import intervals as I
 from framewell.operators import joins as J
+from framewell.operators import prominence
 from framewell.operators import reports as R
 from framewell.operators import signals as G
 from framewell.operators import windows as W
@@ -89,13 +90,10 @@ def test_joint_valid(spark):
 
 def test_peaks(spark):
     assert sorted(r["frame"] for r in E.peaks(series(spark, [0, 2, 1, 3, 3, 1, 5]), "x").collect()) == [1, 3]
-    assert dict(E.prominences(np.array([0.0, 3, 1, 5, 2, 4, 0]))) == {1: 2, 3: 5, 5: 2}
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 6), max_size=40))
-def test_prominences_by_their_definition(values):
-    x = np.array(values, float)
+def prominences(x):
+    """Places of peaks and their prominence, by the definition."""
     want = {}
     i = 1
     while i < len(x) - 1:
@@ -106,9 +104,30 @@ def test_prominences_by_their_definition(values):
             m = (i + j - 1) // 2
             left = next((k for k in range(m - 1, -1, -1) if x[k] > x[m]), -1)
             right = next((k for k in range(m + 1, len(x)) if x[k] > x[m]), len(x))
-            want[m] = x[m] - max(x[left + 1 : m + 1].min(), x[m:right].min())
+            want[m] = x[m] - max(min(x[left + 1 : m + 1]), min(x[m:right]))
         i = j
-    assert dict(E.prominences(x) if len(x) > 2 else []) == want
+    return want
+
+
+@pytest.mark.parametrize("block", [2, 3, 64])
+def test_prominences_by_their_definition(spark, monkeypatch, block):
+    """Many random series, with plateaus, slopes and one high end, through one to seven levels of blocks."""
+    monkeypatch.setattr(prominence, "BLOCK", block)
+    draw = np.random.default_rng(block)
+    all_series = [draw.integers(0, 7, draw.integers(0, 60)).tolist() for _ in range(60)]
+    all_series += [list(range(40)), list(range(40, 0, -1)), [i % 2 * i for i in range(90)], [i % 2 * (90 - i) for i in range(90)], [5] * 20, [9] + [i % 3 for i in range(70)] + [9], []]
+    rows = [(k, f, -float(x)) for k, values in enumerate(all_series) for f, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "key long, frame long, x double")
+    want = {(k, f, float(p)) for k, values in enumerate(all_series) for f, p in prominences(values).items()}
+    for longest in (None, 89):
+        got = E.prominent_minima(df, "x", prominence=0.0, longest=longest).collect()
+        assert {(r["key"], r["frame"], r["prominence"]) for r in got} == want and len(got) == len(want)
+        assert all(r["depth"] == -all_series[r["key"]][r["frame"]] for r in got)
+
+
+def test_prominence_stays_in_the_jvm(spark):
+    plan = E.prominent_minima(series(spark, [1.0, 0, 2]), "x", prominence=0.0)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
 def candidates(spark, rows):
