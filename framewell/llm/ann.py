@@ -17,6 +17,8 @@ from ._spark import table
 SHARD_ROWS, LEAST_SHARDS = 32768, 6
 #: Neighbours of a node in the upper levels and in the lowest one; candidates for neighbours.
 M, M0, CANDIDATES = 16, 40, 56
+#: By how many powers of two the lengths of a shard's vectors may differ.
+SPREAD = 2
 #: Each level holds one of so many nodes of the one below.
 THIN = 16
 #: Nodes that a search keeps in the lowest level, and in those above.
@@ -160,6 +162,22 @@ def _numbers(col: str) -> Column:
     return F.col(col).isNotNull() & (F.size(col) > 0) & ~F.coalesce(bad, F.lit(True)) & F.exists(col, lambda x: x != 0)
 
 
+def _length(col: str) -> Column:
+    """The binary logarithm of a vector's length, by its largest component, so that no square overflows."""
+    most = F.array_max(F.transform(col, lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate(col, F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / most, 2))
+    return F.log2(most) + F.log2(square) / 2
+
+
+def lifted(raw: np.ndarray) -> np.ndarray:
+    """Rows in units of the longest one, with a last coordinate that makes all lengths equal, so that the largest inner product is also the least distance; in single precision."""
+    most = np.abs(raw).max()
+    unit = raw.astype(np.float64) / most
+    square = np.einsum("ij,ij->i", unit, unit)
+    rest = np.sqrt(np.maximum(square.max() - square, 0.0))
+    return (np.concatenate([unit, rest[:, None]], 1) / np.sqrt(square.max())).astype(np.float32)
+
+
 def nearest(data: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", ef: int = EF) -> DataFrame:
     """For each query (query_id, vector) its k nearest rows of ``data`` found: query_id, rank (int, from 1), vec_id and score (double), nearest first, ties to smaller ids.
 
@@ -167,37 +185,42 @@ def nearest(data: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
     null ids or of another length than most. A row with the query's own id is no candidate. Equal (id, vector) rows count once. Equal vectors are one node of the graph
     with its k + 1 smallest ids, of which no more can be among a query's k nearest; they are picked in two steps, so that one vector may be a third of all rows.
     Fewer candidates than k give fewer rows; an empty table gives none. Shards have about SHARD_ROWS nodes at most, every query searches every shard, and a
-    shard's index is sent once, to the task that streams through its queries.
+    shard's index is sent once, to the task that streams through its queries. A shard's vectors have lengths within a factor of 2 ** SPREAD, counted from the median
+    length, and are lifted to their own longest: very long or short vectors elsewhere don't blur what tells them apart.
     """
     spark = data.sparkSession
     kind = np.float64 if dict(data.dtypes)[vector_col] == "array<double>" else np.float32
     rows = data.filter(_numbers(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     asked = queries.filter(_numbers("vector") & F.col("query_id").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("v")).distinct()
-    stats = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)).alias("norm")).orderBy(F.desc("n"), "d").limit(1).collect()
+    stats = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(_length("v"), 0.5).alias("middle")).orderBy(F.desc("n"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not stats:
         return spark.createDataFrame([], schema)
-    d, n, norm = stats[0]
+    d, n, middle = stats[0]
     rows, asked = rows.filter(F.size("v") == d), asked.filter(F.size("v") == d)
 
     hashed = rows.withColumns({"a": F.xxhash64("v"), "b": F.xxhash64(F.reverse("v"), F.lit(1)), "salt": F.pmod(F.xxhash64("id"), F.lit(256))}).dropDuplicates(["id", "a", "b"])
     few = lambda df, *keys: df.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).filter(F.col("r") <= k + 1).drop("r")
     nodes = few(few(hashed, "a", "b", "salt"), "a", "b").groupBy("a", "b").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v"))
-    shards = max(math.ceil(n / SHARD_ROWS), min(LEAST_SHARDS, math.ceil(n / 1024)))
-    nodes = nodes.withColumn("shard", F.pmod(F.col("a"), F.lit(shards)).cast("int"))
+    # Exponents of doubles bound the number of ranges of lengths.
+    nodes = nodes.withColumn("range", F.floor((_length("v") - middle + SPREAD / 2) / SPREAD).cast("int"))
+    first, shards = {}, 0
+    for at, count in sorted((r["range"], r["count"]) for r in rows.groupBy(F.floor((_length("v") - middle + SPREAD / 2) / SPREAD).cast("int").alias("range")).count().collect()):
+        here = max(math.ceil(count / SHARD_ROWS), min(math.ceil(LEAST_SHARDS * count / n), math.ceil(count / 1024)))
+        first[at], shards = (shards, here), shards + here
+    part = lambda i: F.element_at(F.create_map(*[F.lit(x) for at, of in first.items() for x in (at, of[i])]), F.col("range"))
+    nodes = nodes.withColumn("shard", (part(0) + F.pmod(F.col("a"), part(1))).cast("int")).drop("range")
 
     def indexed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["b", "a"])  # a random order, the same in every attempt
         raw = np.array(pdf["v"].tolist(), dtype=kind)
-        # A last coordinate makes all lengths equal, so that the largest inner product is also the least distance.
-        rest = np.sqrt(np.maximum(norm - np.einsum("ij,ij->i", raw, raw, dtype=np.float64), 0.0))
-        graph = build(np.concatenate([raw, rest[:, None]], 1).astype(np.float32))
+        graph = build(lifted(raw))
         ids = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["ids"]])
         sizes = [len(x) for _, x in graph.levels]
         flat = np.concatenate([x.ravel() for _, x in graph.levels])
-        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "vectors": [raw.tobytes()], "rest": [rest.astype(np.float32).tobytes()], "ids": [ids.tobytes()], "counts": [[len(x) for x in pdf["ids"]]], "sizes": [sizes], "links": [flat.tobytes()]})
+        return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "vectors": [raw.tobytes()], "ids": [ids.tobytes()], "counts": [[len(x) for x in pdf["ids"]]], "sizes": [sizes], "links": [flat.tobytes()]})
 
-    index = table(nodes.groupBy("shard").applyInPandas(indexed, "shard int, vectors binary, rest binary, ids binary, counts array<int>, sizes array<int>, links binary"))
+    index = table(nodes.groupBy("shard").applyInPandas(indexed, "shard int, vectors binary, ids binary, counts array<int>, sizes array<int>, links binary"))
     stream = asked.select("query_id", "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("part"))
     stream = index.withColumn("part", F.lit(0)).unionByName(stream, allowMissingColumns=True)
 
@@ -213,7 +236,7 @@ def nearest(data: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                         width = M0 if not levels else M
                         levels.append((np.arange(size, dtype=np.int32), flat[at : at + size * width].reshape(size, width)))
                         at += size * width
-                    graph = Graph(np.concatenate([raw, np.frombuffer(row["rest"], dtype=np.float32)[:, None]], 1).astype(np.float32), levels)
+                    graph = Graph(lifted(raw), levels)
                     ids, counts = np.frombuffer(row["ids"], dtype=np.int64), np.asarray(row["counts"])
                     ends, shard = np.cumsum(counts), row["shard"]
                     continue
@@ -222,7 +245,9 @@ def nearest(data: DataFrame, queries: DataFrame, *, k: int = 20, id_col: str = "
                 for begin in range(0, len(whole), BLOCK):
                     part = whole.iloc[begin : begin + BLOCK]
                     vectors = np.array(part["v"].tolist(), dtype=kind)
-                    got, _ = search(graph, np.concatenate([vectors, np.zeros((len(part), 1))], 1).astype(np.float32), max(ef, 2 * k))
+                    # A query's own length orders nothing.
+                    unit = vectors.astype(np.float64) / np.abs(vectors).max(1, keepdims=True)
+                    got, _ = search(graph, np.concatenate([unit, np.zeros((len(part), 1))], 1).astype(np.float32), max(ef, 2 * k))
                     out = []
                     for query, vector, at in zip(part["query_id"], vectors, got, strict=True):
                         at = at[at >= 0]

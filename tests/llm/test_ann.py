@@ -51,6 +51,34 @@ def test_recall_of_large_shards():
     assert np.mean([np.isin(t, f).mean() for t, f in zip(true, found, strict=True)]) > 0.95
 
 
+@pytest.mark.parametrize("kind", ["1", "100", "10000", "1e12", "short", "lognormal", "many", "double"])
+def test_recall_with_uneven_lengths(spark, kind):
+    """4,000 vectors of 64 components through the operator: one outlier of some length, one very short, lengths of all kinds, and several outliers that are copies or beyond single precision."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    if kind == "lognormal":
+        v *= rng.lognormal(0, 2, (4000, 1))
+    elif kind == "many":
+        v[rng.integers(0, 4000, 300)] *= 10.0 ** rng.integers(-6, 7, (300, 1))
+    elif kind == "double":
+        v *= 10.0 ** rng.choice([-200, 0, 140], (4000, 1), p=[0.1, 0.8, 0.1])
+    elif kind == "short":
+        v[17] *= 1e-20
+    else:
+        v[17] *= float(kind)
+        v[18] = v[17]
+    v = v if kind == "double" else v.astype(np.float32).astype(np.float64)
+    ids = np.arange(4000)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], f"vec_id long, embedding array<{'double' if kind == 'double' else 'float'}>")
+    asked = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got, want = run(df, asked, 20), brute(ids, v, [(int(i), v[i]) for i in ids[::20]], 20)
+    recall = np.mean([len({i for i, _ in want[q]} & {i for i, _ in got[q]}) / 20 for q in want])
+    assert recall > 0.95 and all(len(x) == 20 for x in got.values())
+    # What is found has exactly its measure.
+    assert all(s == pytest.approx(float((v[i] * v[q]).sum()), rel=1e-9, abs=1e-12 * np.linalg.norm(v[q]) * np.linalg.norm(v[i])) for q in got for i, s in got[q])
+
+
 def test_query_recall(spark):
     sf = "/root/testdata/sf0.1"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
