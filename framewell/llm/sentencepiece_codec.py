@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import spare
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The rank of pairs that never merge.
@@ -294,10 +296,13 @@ def encode(docs: DataFrame, model_path: str, *, id_cols: tuple[str, ...] = ("doc
 
     ``begins`` holds, for each id, the byte of the UTF-8 text at which its piece begins, and the text's length for the end id. ``decoded`` is decode(ids).
     A null text counts as empty: its only id is the end id. Every row is encoded whole and by itself; repeated rows give equal results.
+    ``id_cols`` may have any names; a column of the result that would share one has underscores before its own.
     ``model_path`` must be readable on every executor, as an installed file is. Batches are small, and the words' cache is bounded.
     """
     kept = docs.select(*id_cols)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", ids array<int>, begins array<int>, decoded string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    names = [spare(list(id_cols), name) for name in ("ids", "begins", "decoded")]
+    schema += "".join(f", `{name}` {kind}" for name, kind in zip(names, ("array<int>", "array<int>", "string"), strict=True))
     n = len(id_cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +315,7 @@ def encode(docs: DataFrame, model_path: str, *, id_cols: tuple[str, ...] = ("doc
                 flat = [pa.ListArray.from_arrays(offsets, np.concatenate(x)) for x in zip(*done, strict=True)]
                 made = [*flat, pa.array([use.decode(ids.tolist()) for ids, _ in done], pa.string())]
                 columns = [part.column(i) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*id_cols, "ids", "begins", "decoded"])
+                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*id_cols, *names])
 
     return docs.select(*id_cols, F.col(text_col).cast("string")).mapInArrow(run, schema)
 

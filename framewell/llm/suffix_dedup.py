@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _shingles
 from ._shingles import mix
-from ._spark import bucketed, drop_table, table
+from ._spark import bucketed, drop_table, spare, table
 
 #: Bytes of a repeated string, of a gram, and of grams in a window of that length.
 MATCH, GRAM = 200, 32
@@ -423,10 +423,11 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
 
     A byte goes if a string of MATCH bytes that also starts elsewhere, in the same text or another, covers it; strings are judged on the input. Texts are UTF-8 bytes, a null
     text is empty, and matches stay within a text. Repeated rows are copies of each other. What is left of a text need not be whole characters. An empty table gives an empty one.
+    ``keep`` may have any names; a column of the result that would share one has underscores before its own.
     The corpus is indexed in ``batches`` batches of texts; their number changes no result. An array has as many buckets as a shuffle has partitions.
     """
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(*keep, data.alias("data"))
+    rows = docs.select(F.struct(*keep).alias("row"), data.alias("data"))
     rows = rows.withColumn("text_key", F.unhex(F.md5("data")))
     texts = rows.select("text_key", "data")
     index = Levels(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -447,14 +448,12 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
     marks = spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "stop")).alias("marks"))
     copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     notes = marks.join(copies, "text_key", "full_outer").select("text_key", "marks", F.col("copies").isNotNull().alias("copied"))
-    joined = rows.join(notes, "text_key", "left").select(*keep, "data", "marks", F.coalesce("copied", F.lit(False)).alias("copied"))
-    width = len(keep)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*keep).schema)
+    joined = rows.join(notes, "text_key", "left").select("row", "data", "marks", F.coalesce("copied", F.lit(False)).alias("copied"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for text, marks, copied in zip(part.column(width).to_pylist(), part.column(width + 1).to_pylist(), part.column(width + 2).to_pylist(), strict=True):
+            for text, marks, copied in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 n = len(text)
                 spans = [(0, n)] if copied and n >= MATCH else sorted((m["start"], m["stop"]) for m in marks or ())
                 merged: list[list[int]] = []
@@ -468,9 +467,11 @@ def remove_repeats(docs: DataFrame, *, text_col: str = "text", keep: tuple[str,
                 out.append((n, n - len(left), len(merged), left, [{"start": a, "stop": b} for a, b in merged]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))
             made = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(width)), *made], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept", "removed"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["row", *names])
 
-    return joined.mapInArrow(run, f"{kept}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:int,stop:int>>")
+    names = ("n_bytes", "n_removed", "n_spans", "kept", "removed")
+    out = joined.mapInArrow(run, f"row {joined.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<start:int,stop:int>>")
+    return out.select("row.*", *[F.col(n).alias(spare(list(keep), n)) for n in names])
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -107,3 +107,10 @@ def test_trimmed_spaces():
     assert own.normalise("ab  " * 60_000)[0] == "▁ab" * 60_000
     # A copy of the rest at every space took many times as long.
     assert time.monotonic() - begin < 20
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, 2, "a b"), (3, 4, None)], "ids long, Begins long, text string")
+    out = sentencepiece_codec.encode(docs, PATH, id_cols=("ids", "Begins"))
+    assert out.columns == ["ids", "Begins", "_ids", "_begins", "decoded"]
+    assert [(r["ids"], len(r["_ids"]), r["decoded"]) for r in out.orderBy("ids").collect()] == [(1, 3, "a b"), (3, 1, "")]

@@ -121,3 +121,10 @@ def test_query(spark, tiny):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op10_suffix_dedup(spark, tiny).collect()), key=str)
     assert got == brute(rows)
+
+
+def test_names_that_clash(spark):
+    docs = spark.createDataFrame([(1, 5, 7, "x" * 300), (2, 6, 8, "short")], "data long, marks long, kept long, text string")
+    out = suffix_dedup.remove_repeats(docs, keep=("data", "marks", "kept"))
+    assert out.columns == ["data", "marks", "kept", "n_bytes", "n_removed", "n_spans", "_kept", "removed"]
+    assert [(r["data"], r["marks"], r["kept"], r["n_bytes"], len(r["_kept"])) for r in out.orderBy("data").collect()] == [(1, 5, 7, 300, 0), (2, 6, 8, 5, 5)]
