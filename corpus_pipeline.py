@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from framewell.llm import decontaminate, lang_id, ngram_join, secret_scan, sentencepiece_codec
-from framewell.llm._spark import spare
+from framewell.llm._spark import discard, spare, stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents, without files in between."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Applies the stages to documents. What a stage keeps is stored, for the next one reads it more than once; of the stages before, nothing stays."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = stored(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
