@@ -16,6 +16,11 @@ def slug(episode: Column) -> Column:
     return F.replace(episode, F.lit("/"), F.lit("__"))
 
 
+def numeric_stem(stem: Column) -> Column:
+    """SRT2: a file's stem as the number that it is, by which files are ordered; NULL if it is none."""
+    return stem.try_cast("bigint")
+
+
 def description(which: Column, first: Column, second: Column, fallback: Column) -> Column:
     """SEL2: the second text if ``which`` is '2' and it is usable, else the first, else the fallback; the text None counts as missing. NULL if nothing is left."""
     usable = lambda c: F.when(c != "None", c)

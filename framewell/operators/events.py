@@ -167,15 +167,16 @@ def fuse(candidates: DataFrame, series: DataFrame, *, window: int = V.MERGE_WIND
     return fuse_counted(typed.join(counted, ["key", "frame"]).unionByName(ends), window=window, least=least, errors=errors)
 
 
-def segments_between(boundaries: DataFrame, *, fps: float = V.FPS) -> DataFrame:
+def segments_between(boundaries: DataFrame, *, fps: float = V.FPS, order: Sequence[str] = ("frame",)) -> DataFrame:
     """EVT14 without events: a segment from every boundary to the next: key, id, start, end, start_time, end_time, duration; empty ones are skipped (EVT16).
 
     Where boundaries have a source, segments have start_source and end_source; what else a boundary has goes to the segment on its right. Rows with an error stay as they are.
+    ``order`` says how boundaries on one frame follow each other, of which the last one counts.
     """
-    order = Window.partitionBy("key").orderBy("frame")
-    pairs = boundaries.withColumn("end", F.lead("frame").over(order))
+    in_line = Window.partitionBy("key").orderBy(*order)
+    pairs = boundaries.withColumn("end", F.lead("frame").over(in_line))
     if "source" in boundaries.columns:
-        pairs = pairs.withColumn("end_source", F.lead("source").over(order)).withColumnRenamed("source", "start_source")
+        pairs = pairs.withColumn("end_source", F.lead("source").over(in_line)).withColumnRenamed("source", "start_source")
     pairs = pairs.filter("end > frame OR error IS NOT NULL" if "error" in boundaries.columns else "end > frame").withColumnRenamed("frame", "start")
     number = (F.row_number().over(Window.partitionBy("key").orderBy("start")) - 1).cast("long")
     return pairs.withColumns({"id": number, "start_time": S.seconds(F.col("start"), fps), "end_time": S.seconds(F.col("end"), fps), "duration": F.bround((F.col("end") - F.col("start")) / fps, 4)})

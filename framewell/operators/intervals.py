@@ -27,9 +27,9 @@ def _of(df: DataFrame, names: tuple[str, ...]) -> list[str]:
     return [c for c in names if c in df.columns]
 
 
-def order() -> WindowSpec:
-    """A key's segments in order."""
-    return Window.partitionBy("key").orderBy("start", "end")
+def order(df: DataFrame | None = None) -> WindowSpec:
+    """A key's segments in order; those of ``df`` with equal spans by what they say, so that they stand alike in every run."""
+    return Window.partitionBy("key").orderBy("start", "end", *(_of(df, ("action", "object", "hand", "confidence", "sentence")) if df is not None else []))
 
 
 def merge_adjacent(df: DataFrame, *, fps: float = V.FPS, gap_s: float = V.MERGE_GAP_S, keep_events_apart: bool = False) -> DataFrame:
@@ -40,11 +40,11 @@ def merge_adjacent(df: DataFrame, *, fps: float = V.FPS, gap_s: float = V.MERGE_
     to the neighbour's end, so merged segments are islands and need no fold.
     """
     label = F.struct("action", S.strip_articles(F.col("object")).alias("object"), "hand")
-    near = F.col("start") - F.lag("end").over(order()) < gap_s * fps
-    joins = near & (label == F.lag(label).over(order()))
+    near = F.col("start") - F.lag("end").over(order(df)) < gap_s * fps
+    joins = near & (label == F.lag(label).over(order(df)))
     if keep_events_apart:
         joins &= ~F.col("start_source").isin("grasp", "release")
-    islands = df.withColumn("_island", F.sum(F.coalesce((~joins).cast("int"), F.lit(1))).over(order())).withColumn("_nth", F.row_number().over(order()))
+    islands = df.withColumn("_island", F.sum(F.coalesce((~joins).cast("int"), F.lit(1))).over(order(df))).withColumn("_nth", F.row_number().over(order(df)))
     best = F.max_by(F.struct(*_of(df, _SAYS)), F.struct(S.rank_of(F.col("confidence")), -F.col("_nth"))).alias("best")
     edges = [F.min_by(c, "_nth").alias(c) for c in _of(df, _FIRST)] + [F.max_by(c, "_nth").alias(c) for c in ("end", *_of(df, _LAST))]
     lists = [F.flatten(F.array_sort(F.collect_list(F.struct("_nth", c)))[c]).alias(c) for c in _of(df, _ALL)]
@@ -103,7 +103,7 @@ def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE
     """
     limit = idle_gap_s * fps
     name = F.col("key").cast("string") if name is None else name
-    before, after = F.lag("end").over(order()), F.lead("start").over(order())
+    before, after = F.lag("end").over(order(df)), F.lead("start").over(order(df))
     end_frame = F.col("n_frames") - 1
     rows = df.withColumns({"_prev": F.coalesce(before, F.lit(0)), "_first": before.isNull(), "_next": F.coalesce(after, end_frame), "_last": after.isNull()})
     lead_gap, tail_gap = F.col("start") - F.col("_prev"), F.col("_next") - F.col("end")
@@ -117,7 +117,7 @@ def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE
     idle = lambda a, b: F.struct(a.alias("start"), b.alias("end"), *blank, F.lit("idle_gap").alias("source"))
     pieces = F.array_compact(F.array(F.when(lead_gap > limit, idle(F.col("_prev"), F.col("start"))), own, F.when(F.col("_last") & (tail_gap > limit), idle(F.col("end"), end_frame))))
     out = rows.select("key", "n_frames", F.explode(pieces).alias("s")).select("key", "n_frames", "s.*")
-    number = (F.row_number().over(order()) - 1).cast("long")
+    number = (F.row_number().over(order(df)) - 1).cast("long")
     said = F.col("sentence") if "sentence" in df.columns else F.lit(None).cast("string")
     return out.withColumn("id", number).withColumn("sentence", F.when(F.col("source") == "idle_gap", S.idle_sentence(name, F.col("id"))).otherwise(said))
 
@@ -125,7 +125,7 @@ def insert_idle(df: DataFrame, *, fps: float = V.FPS, idle_gap_s: float = V.IDLE
 def clamp_overlaps(df: DataFrame) -> DataFrame:
     """INT12: each segment starts no earlier than the end of all before it; contained and empty ones go."""
     sane = df.filter("end > start")
-    reach = F.max("end").over(order().rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("end").over(order(df).rowsBetween(Window.unboundedPreceding, -1))
     return sane.withColumn("start", F.greatest("start", F.coalesce(reach, F.col("start")))).filter("end > start")
 
 

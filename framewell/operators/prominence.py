@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Frames in a block, and blocks in the one above it.
-BLOCK = 64
+BLOCK = 256
 _SIDES = ("left", "right")
 
 

@@ -100,3 +100,9 @@ def keyframes(segments: DataFrame, events: DataFrame, most: int) -> DataFrame:
 def budget(bonus: Column, base: int = 4, most: int = 6) -> Column:
     """SEL20: keyframes of a segment with its category's bonus."""
     return F.least(F.lit(base) + F.coalesce(bonus, F.lit(0)), F.lit(most))
+
+
+def in_windows(events: DataFrame, windows: DataFrame) -> DataFrame:
+    """SEL16: ``events`` (key, w, frame, and more) that lie in their own window (key, w, w_start, w_end; both ends belong to it); the others, and those of unknown windows, go."""
+    bounds = windows.select("key", "w", F.col("w_start").alias("_a"), F.col("w_end").alias("_b"))
+    return events.join(bounds, ["key", "w"]).filter(F.col("frame").between(F.col("_a"), F.col("_b"))).drop("_a", "_b")

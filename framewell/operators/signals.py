@@ -23,6 +23,16 @@ def whole() -> WindowSpec:
     return Window.partitionBy("key")
 
 
+def translation(pose: Column) -> Column:
+    """SIG1: where a row-major 4 x 4 pose stands: x, y and z as doubles."""
+    return F.struct(*[F.get(pose, F.lit(i)).cast("double").alias(n) for n, i in (("x", 3), ("y", 7), ("z", 11))])
+
+
+def rotation(pose: Column) -> Column:
+    """SIG2: the row-major 3 x 3 rotation of a row-major 4 x 4 pose, as doubles."""
+    return F.transform(F.concat(F.slice(pose, 1, 3), F.slice(pose, 5, 3), F.slice(pose, 9, 3)), lambda v: v.cast("double"))
+
+
 def joint_valid(confidence: Column, matrix: Column, least: float = V.CONFIDENCE_VALID_MIN) -> Column:
     """SEL6: a joint is valid by its confidence where it has one (NaN is none), else if no entry of its pose is NaN."""
     return F.when(confidence.isNotNull(), ~F.isnan(confidence) & (confidence >= least)).otherwise(~F.exists(matrix, F.isnan))

@@ -18,6 +18,19 @@ def sliding(df: DataFrame, n_frames: str = "n_frames", *, frames: int = V.WINDOW
     return out.withColumns({"w_start": start, "w_end": F.least(start + span - 1, F.col(n_frames) - 1)})
 
 
+def sweep(df: DataFrame, grid: dict[str, tuple[int, int, float]], n_frames: str = "n_frames") -> DataFrame:
+    """DRV3: the windows of every configuration of ``grid`` (name: frames, skip, overlap) over the same series, in one pass: ``df`` with config, w, w_start and w_end."""
+
+    def planned(name: str, frames: int, skip: int, overlap: float) -> Column:
+        span = frames * (skip + 1)
+        advance = max(1, round(span * (1 - overlap)))
+        count = F.greatest(F.lit(0), F.ceil((F.col(n_frames) - span) / advance)).cast("int") + 1
+        window = lambda w: F.struct(F.lit(name).alias("config"), w.alias("w"), (w * advance).alias("w_start"), F.least(w * advance + span - 1, F.col(n_frames) - 1).cast("long").alias("w_end"))
+        return F.transform(F.sequence(F.lit(0), count - 1), window)
+
+    return df.withColumn("_w", F.explode(F.concat(*[planned(name, *c) for name, c in grid.items()]))).select(*df.columns, "_w.*")
+
+
 def tumbling(df: DataFrame, n_frames: str = "n_frames", *, frames: int = V.WINDOW_FRAMES, skip: int = 0) -> DataFrame:
     """WIN2, WIN3: chunks back to back."""
     return sliding(df, n_frames, frames=frames, skip=skip, overlap=0.0)
@@ -34,8 +47,9 @@ def valid_candidates(df: DataFrame) -> DataFrame:
 
 
 def story(df: DataFrame, text: str, *, count: int = V.STORY, into: str = "story") -> DataFrame:
-    """WIN4: the texts of the last few segments before each one, in order."""
-    before = Window.partitionBy("key").orderBy("start").rowsBetween(-count, -1)
+    """WIN4: the texts of the last few segments before each one, in order; equal starts go by their other columns."""
+    rest = sorted(set(df.columns) - {"key", "start"})
+    before = Window.partitionBy("key").orderBy("start", *[c for c in rest if dict(df.dtypes)[c].split("<")[0] not in ("map", "variant")]).rowsBetween(-count, -1)
     return df.withColumn(into, F.array_join(F.collect_list(text).over(before), " "))
 
 
@@ -70,7 +84,7 @@ def fold_chunks(df: DataFrame) -> DataFrame:
     The same segments as hand_over gives chunk by chunk. Within a chunk starts are moved to the furthest end so far. A chunk's first candidate continues what the chunk before
     left open if it begins before its own chunk, so continued segments are islands: each takes the first one's start and the last one's words and end.
     """
-    line = Window.partitionBy("key", "chunk").orderBy("start", "end")
+    line = Window.partitionBy("key", "chunk").orderBy("start", "end", "action", "ongoing")
     whole = Window.partitionBy("key").orderBy("chunk", "_nth")
     reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
     rows = df.withColumns({"_nth": F.row_number().over(line), "_reach": reach, "_open": F.col("start") < F.col("w_start")})

@@ -47,14 +47,6 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return episodes.select("episode", "e.episode_ok", F.explode_outer("e.segments").alias("segment", "s")).select("episode", "episode_ok", F.col("segment").cast("int").alias("segment"), "s.boundary", "s.label", "s.sentence")
 
 
-def write_annotations(valid: DataFrame, rejected: DataFrame, folder: str, *, partition: str | None = None, mirror: str | None = None) -> None:
-    """SNK1, SNK2, SNK4, SNK6: valid annotations (or boundaries, or labels) as JSON, and the others in a quarantine table that is appended to. ``mirror``, SNK5: a second folder."""
-    for place in (folder, *([mirror] if mirror else [])):
-        out = valid.write.mode("overwrite")
-        (out.partitionBy(partition) if partition else out).json(f"{place}/annotations")
-    rejected.write.mode("append").parquet(f"{folder}/quarantine")
-
-
 def write_report(report: DataFrame, folder: str) -> None:
     """SNK8, SNK11: the rows of an audit, or of a sweep's configurations, as JSON in one file: they are as many as there are checks or configurations."""
     report.coalesce(1).write.mode("overwrite").json(folder)
@@ -72,6 +64,19 @@ def debug_sample(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def missing_keys(present: DataFrame, required: list[str]) -> DataFrame:
-    """SRC7: required keys that a file (episode, keys) lacks."""
-    return present.select("episode", F.array_except(F.array(*map(F.lit, required)), F.col("keys")).alias("missing")).filter("size(missing) > 0")
+def probe_keys(entries: DataFrame, required: list[str], *, counted: str = "transforms/leftHand") -> DataFrame:
+    """SRC7: for each episode of ``entries`` (episode, name, length: what its file holds) the required names that it lacks, the joints of each hand, how many frames ``counted`` has, and
+    whether there are confidences. A required name is there if it is an entry or a folder of one. Joints are names in transforms that begin with a side, but for the hand itself."""
+    name = F.col("name")
+    joint = F.when(name.startswith("transforms/"), F.substring_index("name", "/", -1))
+    of = lambda side: F.array_sort(F.collect_set(F.when(joint.startswith(side) & (joint != f"{side}Hand"), joint)))
+    has = lambda wanted: F.max((name == wanted) | name.startswith(f"{wanted}/"))
+    facts = entries.groupBy("episode").agg(
+        F.array(*[F.struct(F.lit(r).alias("name"), has(r).alias("there")) for r in required]).alias("_found"),
+        of("left").alias("joints_left"),
+        of("right").alias("joints_right"),
+        F.max(F.when(name == counted, F.col("length"))).alias("n_frames"),
+        has("confidences").alias("has_confidences"),
+    )
+    lacking = F.transform(F.filter("_found", lambda f: ~f["there"]), lambda f: f["name"])
+    return facts.select("episode", lacking.alias("missing"), "joints_left", "joints_right", "n_frames", "has_confidences")

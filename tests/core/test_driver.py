@@ -144,3 +144,49 @@ def test_records(spark, given, tmp_path):
         assert r["boundaries"][0]["source"] == "episode_start" and r["boundaries"][-1]["source"] == "episode_end" and len(r["segments"]) == len(frames) - 1
     labels = spark.read.json(f"{tmp_path}/labels/records").collect()
     assert labels and all(s["label"]["action"] in ("reach", "grasp", "place") and s["attempts"] == 1 for r in labels for s in r["segments"])
+
+
+def test_rounds_label_as_key_by_key(spark, tmp_path):
+    """The same labels, each failing call tried again alone, and a stopped job goes on with the round after its last."""
+    from pathlib import Path
+
+    rows = spark.createDataFrame([(k, i, f"segment {k} {i}") for k in range(6) for i in range(k + 1)], "key long, id long, prompt string")
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def make():
+        def answer(prompt):
+            with open(f"{log}/{abs(hash(prompt))}", "a") as file:
+                file.write("x")
+            if prompt.endswith("3 1") and Path(f"{log}/{abs(hash(prompt))}").stat().st_size == 1:
+                raise RuntimeError("once")
+            return json.dumps({"action": "reach", "hand": "left", "object": "cup", "sentence": f"did {prompt[-3:]} after {prompt.count('Before')}", "confidence": "high"})
+
+        return answer
+
+    def plain():
+        return lambda prompt: json.dumps({"action": "reach", "hand": "left", "object": "cup", "sentence": f"did {prompt[-3:]} after {prompt.count('Before')}", "confidence": "high"})
+
+    columns = ["key", "id", "action", "hand", "object", "sentence", "confidence", "fell_back"]
+    want = sorted(map(tuple, labeling.label_segments(rows, plain, wait_s=0.0).select(*columns).collect()))
+    got = labeling.label_in_rounds(rows, make, str(tmp_path / "rounds"), wait_s=0.0)
+    assert sorted(map(tuple, got.select(*columns).collect())) == want and len(want) == 21
+    assert [r["id"] for r in got.filter("attempts > 1").collect()] == [1]
+    calls = sum(p.stat().st_size for p in log.iterdir())
+    assert calls == 22
+    import shutil
+
+    shutil.rmtree(tmp_path / "rounds/labels/turn=6")
+    again = labeling.label_in_rounds(rows, make, str(tmp_path / "rounds"), wait_s=0.0)
+    assert sorted(map(tuple, again.select(*columns).collect())) == want
+    assert sum(p.stat().st_size for p in log.iterdir()) == calls + 1
+
+
+def test_backends():
+    labeling.BACKENDS["echo"] = lambda word="a": lambda prompt: word + prompt
+    try:
+        assert labeling.backend({"backend": "echo", "word": "b"})()("c") == "bc"
+    finally:
+        del labeling.BACKENDS["echo"]
+    with pytest.raises(ValueError, match="backend must be one of"):
+        labeling.backend({"backend": "none"})

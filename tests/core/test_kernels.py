@@ -109,7 +109,7 @@ def prominences(x):
     return want
 
 
-@pytest.mark.parametrize("block", [2, 3, 64])
+@pytest.mark.parametrize("block", [2, 3, 256])
 def test_prominences_by_their_definition(spark, monkeypatch, block):
     """Many random series, with plateaus, slopes and one high end, through one to seven levels of blocks."""
     monkeypatch.setattr(prominence, "BLOCK", block)

@@ -79,10 +79,6 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("a: {x: 1, y: 2}\nb: 3\n")
     assert files.load_config(str(tmp_path / "c.yaml"), {"a": {"x": 5}}) == {"a": {"x": 5, "y": 2}, "b": 3}
     valid = spark.createDataFrame([("a", 1)], "key string, n int")
-    files.write_annotations(valid, valid.limit(0), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/annotations")).count() == 1
-    files.write_annotations(valid, valid.limit(0), str(tmp_path / "out"), mirror=str(tmp_path / "mirror"))
-    assert spark.read.json(str(tmp_path / "mirror/annotations")).count() == 1
     files.write_report(valid, str(tmp_path / "report"))
     assert len(list((tmp_path / "report").glob("part-*.json"))) == 1
     overrides = spark.createDataFrame([("lid", 0.3)], "task string, speed double")
