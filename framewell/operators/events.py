@@ -184,10 +184,10 @@ def segments_between(boundaries: DataFrame, *, fps: float = V.FPS, order: Sequen
 
 def events_inside(segments: DataFrame, events: DataFrame) -> DataFrame:
     """EVT14, JN4: segments with an array of the events (frame, type, magnitude, and the hand where it is known) in [start, end). Segments touch, so an event's is the last one that starts at or before it: a window, not a range join."""
-    starts = segments.select("key", F.col("start").alias("frame"), F.struct("start", "end").alias("segment"), F.lit(0).alias("_o"))
+    starts = segments.select("key", F.col("start").alias("frame"), F.struct(*[c for c in segments.columns if c != "key"]).alias("segment"), F.lit(0).alias("_o"))
     marked = events.select("key", "frame", F.struct("frame", "type", "magnitude", *[c for c in ("hand",) if c in events.columns]).alias("event"), F.lit(1).alias("_o"))
     so_far = Window.partitionBy("key").orderBy("frame", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    placed = starts.unionByName(marked, allowMissingColumns=True).withColumn("segment", F.last("segment", ignorenulls=True).over(so_far)).filter("event IS NOT NULL AND event.frame < segment.end")
-    lists = placed.groupBy("key", F.col("segment.start").alias("start")).agg(F.array_sort(F.collect_list("event")).alias("events_inside"))
-    none = F.array().cast(lists.schema["events_inside"].dataType)
-    return segments.join(lists, ["key", "start"], "left").withColumn("events_inside", F.coalesce("events_inside", none))
+    placed = starts.unionByName(marked, allowMissingColumns=True).withColumn("segment", F.last("segment", ignorenulls=True).over(so_far)).filter("_o = 0 OR event.frame < segment.end")
+    # Segments ride along with their own rows, so that they are computed once and those without events stay.
+    whole_rows = placed.groupBy("key", F.col("segment.start").alias("_start")).agg(F.first("segment").alias("segment"), F.array_sort(F.collect_list("event")).alias("events_inside"))
+    return whole_rows.select("key", *[f"segment.{c}" for c in segments.columns if c != "key"], "events_inside")

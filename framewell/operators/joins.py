@@ -96,16 +96,22 @@ def unknown_verbs(df: DataFrame, verbs: str, allowed: list[str]) -> DataFrame:
     return df.withColumn("unknown", F.array_except(verbs, F.array(*map(F.lit, allowed)))).filter("size(unknown) > 0")
 
 
-def hit_counts(boundaries: DataFrame, pairs: DataFrame, tolerance: int) -> DataFrame:
-    """JN9: for each (config, other) of ``pairs`` and key, how many of config's boundaries lie within ``tolerance`` of one of other's.
+def mutual_hits(boundaries: DataFrame, tolerance: int) -> DataFrame:
+    """JN9: for each two configurations a < b of ``boundaries`` (config, key, frame) and each key with a boundary of either: how many boundaries a and b have (n_a, n_b), and how many of
+    each lie within ``tolerance`` of one of the other (hits_a, hits_b).
 
-    ``boundaries`` has config, key and frame. The nearest boundary on either side decides, found by one window over both sets, so that no pairs are made.
+    The nearest boundary of the other on either side decides. One pass forward and one back over the boundaries of both give both directions, so that no boundary meets another.
     """
-    tagged = boundaries.join(pairs, "config").select("config", F.col("other_config").alias("other"), "key", "frame", F.lit(True).alias("_own"))
-    others = boundaries.withColumnRenamed("config", "other_config").join(pairs, "other_config").select("config", F.col("other_config").alias("other"), "key", "frame", F.lit(False).alias("_own"))
-    line = Window.partitionBy("config", "other", "key").orderBy("frame")
-    theirs: Column = F.when(~F.col("_own"), F.col("frame"))
-    back = F.last(theirs, ignorenulls=True).over(line.rangeBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(theirs, ignorenulls=True).over(line.rangeBetween(0, Window.unboundedFollowing))
-    rows = tagged.unionByName(others).withColumn("_hit", F.coalesce(F.least(F.col("frame") - back, ahead - F.col("frame")) <= tolerance, F.lit(False)))
-    return rows.groupBy("config", "other", "key").agg(F.count_if("_own").alias("boundaries"), F.count_if(F.col("_own") & F.col("_hit")).alias("hits"))
+    configs = boundaries.select("config").distinct()
+    pairs = configs.select(F.col("config").alias("a")).join(configs.select(F.col("config").alias("b")), F.col("a") < F.col("b"))
+    side = lambda c: F.struct(F.col(c).alias("config"), F.lit(c).alias("side"))
+    sides = pairs.select("a", "b", F.explode(F.array(side("a"), side("b"))).alias("s")).select("a", "b", "s.*")
+    rows = boundaries.join(sides, "config")
+    so_far = (Window.unboundedPreceding, 0)
+    forward = Window.partitionBy("a", "b", "key").orderBy("frame").rangeBetween(*so_far)
+    back = Window.partitionBy("a", "b", "key").orderBy(F.desc("frame")).rangeBetween(*so_far)
+    of: dict[str, Column] = {s: F.when(F.col("side") == s, F.col("frame")) for s in "ab"}
+    rows = rows.withColumns({f"_before_{s}": F.max(of[s]).over(forward) for s in "ab"}).withColumns({f"_after_{s}": F.min(of[s]).over(back) for s in "ab"})
+    near = lambda s: F.coalesce(F.least(F.col("frame") - F.col(f"_before_{s}"), F.col(f"_after_{s}") - F.col("frame")) <= tolerance, F.lit(False))
+    own = lambda s: F.col("side") == s
+    return rows.groupBy("a", "b", "key").agg(*[F.count_if(own(s)).alias(f"n_{s}") for s in "ab"], *[F.count_if(own(s) & near(o)).alias(f"hits_{s}") for s, o in ("ab", "ba")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import vocabulary as V
 from .intervals import upper_median
-from .joins import hit_counts
+from .joins import mutual_hits
 
 
 def segment_stats(df: DataFrame, *, fps: float) -> DataFrame:
@@ -82,16 +82,16 @@ def boundary_f1(boundaries: DataFrame, keys: DataFrame, tolerance: int) -> DataF
 
     A boundary is matched if the other side has one within the tolerance. Two empty sides agree, one empty side does not.
     """
-    configs = boundaries.select("config").distinct()
-    pairs = configs.join(configs.withColumnRenamed("config", "other_config"), F.col("config") != F.col("other_config"))
-    own = hit_counts(boundaries.join(keys.select("key"), "key", "left_semi"), pairs, tolerance)
-    back = own.select(F.col("config").alias("other"), F.col("other").alias("config"), "key", F.col("boundaries").alias("theirs"), F.col("hits").alias("their_hits"))
-    p, r = F.col("hits") / F.nullif(F.col("boundaries"), F.lit(0)), F.col("their_hits") / F.nullif(F.col("theirs"), F.lit(0))
+    found = mutual_hits(boundaries.join(keys.select("key"), "key", "left_semi"), tolerance)
+    share = lambda hits, n: F.col(hits) / F.nullif(F.col(n), F.lit(0))
+    p, r = share("hits_a", "n_a"), share("hits_b", "n_b")
     f1 = F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
-    sums = own.join(back, ["config", "other", "key"]).groupBy("config", "other").agg(F.sum(f1).alias("sum"), F.count(F.lit(1)).alias("n"))
-    # Keys of which neither side has a boundary are in no row, and agree.
+    sums = found.groupBy("a", "b").agg(F.sum(f1).alias("sum"), F.count(F.lit(1)).alias("n"))
+    # Keys of which neither side has a boundary are in no row, and agree. Agreement is the same both ways.
     total = keys.agg(F.count(F.lit(1)).alias("keys"))
-    return sums.join(F.broadcast(total), F.lit(True)).select("config", "other", F.round((F.col("sum") + F.col("keys") - F.col("n")) / F.col("keys"), 6).alias("f1"))
+    mean = F.round((F.col("sum") + F.col("keys") - F.col("n")) / F.col("keys"), 6)
+    way = lambda x, y: F.struct(F.col(x).alias("config"), F.col(y).alias("other"), mean.alias("f1"))
+    return sums.join(F.broadcast(total), F.lit(True)).select(F.explode(F.array(way("a", "b"), way("b", "a"))).alias("r")).select("r.*")
 
 
 def tally(df: DataFrame, best: str, worst: str) -> DataFrame:

@@ -88,6 +88,9 @@ class Levels:
             # What is to do is written down, for the level's own commit changes it.
             store.todo(asked, force=force).write.mode("overwrite").parquet(path)
             todo = self.spark.read.schema(asked.schema).parquet(path)
+            if todo.isEmpty():
+                out.append((name, 0, total, 0))
+                continue
             run = store.commit(made[level](todo), todo)
             store.export(records[level](store.read().join(todo, "key", "left_semi"), fps=self.fps), run, f"{self.folder}/{name}/records", *([self.mirror] if self.mirror and level == 3 else []))
             counts = store.runs().filter(F.col("run") == run).agg(F.count_if(F.col("status") == "done").alias("done"), F.count_if(F.col("status") == "failed").alias("failed")).first()
