@@ -276,8 +276,8 @@ def cross_flagged(df: DataFrame, events: DataFrame, *, tolerance: int = V.EVENT_
     """
     points = events.select("key", F.col("frame").alias("_at"), F.col("type").alias("_type"))
     rows = df.withColumns({"_at": F.col("start") - tolerance, "_own": F.lit(True)}).unionByName(points, allowMissingColumns=True)
-    ahead = Window.partitionBy("key").orderBy("_at").rangeBetween(0, Window.unboundedFollowing)
-    following = lambda kind: F.first(F.when(F.col("_type") == kind, F.col("_at")), ignorenulls=True).over(ahead)
+    ahead = Window.partitionBy("key").orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    following = lambda kind: F.min(F.when(F.col("_type") == kind, F.col("_at"))).over(ahead)
     rows = rows.withColumns({"_grasp": following("grasp"), "_release": following("release")}).filter("_own")
     far = lambda at: F.coalesce(F.col(at) > F.col("end") + tolerance, F.lit(True))
     mismatch = (F.col("action").isin(V.NEEDS_GRASP) & far("_grasp")) | (F.col("action").isin(V.NEEDS_RELEASE) & far("_release"))

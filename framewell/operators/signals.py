@@ -41,9 +41,10 @@ def joint_valid(confidence: Column, matrix: Column, least: float = V.CONFIDENCE_
 def fill_gaps(df: DataFrame, value: str, valid: str, *, max_gap: int = V.MAX_GAP, into: str = "filled", mask: str = "masked") -> DataFrame:
     """SIG3, SIG10: invalid runs of at most max_gap frames with neighbours on both sides are filled linearly; longer ones keep their values and stay masked."""
     before = line().rowsBetween(Window.unboundedPreceding, 0)
-    after = line().rowsBetween(0, Window.unboundedFollowing)
+    # What follows a frame comes first in the other direction; a window that reaches ahead without end would start anew at every row.
+    after = Window.partitionBy("key").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col(valid), F.struct(F.col("frame").alias("f"), F.col(value).cast("double").alias("v")))
-    out = df.withColumns({"_p": F.last(known, ignorenulls=True).over(before), "_n": F.first(known, ignorenulls=True).over(after)})
+    out = df.withColumns({"_p": F.last(known, ignorenulls=True).over(before), "_n": F.last(known, ignorenulls=True).over(after)})
     gap = F.col("_n.f") - F.col("_p.f") - 1
     fits = ~F.col(valid) & (gap <= max_gap)
     between = F.col("_p.v") + (F.col("_n.v") - F.col("_p.v")) * (F.col("frame") - F.col("_p.f")) / (F.col("_n.f") - F.col("_p.f"))
