@@ -39,6 +39,24 @@ def audit_series(series: DataFrame, declared: DataFrame, *, most_invalid: float
     )
 
 
+def audit_level0(unpaired: DataFrame, probed: DataFrame, sanity: DataFrame, lengths: DataFrame, *, most_invalid: float = 0.05, least_travel: float = 0.01) -> DataFrame:
+    """CON4: the checks of raw inputs before anything is built on them, each with how many keys fail it.
+
+    From ``unpaired`` keys (joins.unpaired), what files hold (files.probe_keys), statistics (signals.sanity with camera and height) and ``lengths`` (n_frames and declared): both files are
+    there; wrists, pinch tips and camera are in them; invalid frames can be told, by confidences or by entries that are no numbers; poses are of the world, that is the camera moves and
+    is above the wrists; lengths differ by a frame at most; few frames are invalid. What is unknown of a key fails it.
+    """
+    lacks = lambda part: F.exists("missing", lambda m: m.contains(part))
+    counted = [unpaired.agg(F.count(F.lit(1)).alias("failing")).select(F.lit("paired").alias("check"), "failing", (F.col("failing") == 0).alias("passed"))]
+    counted.append(_checked(probed, {"wrists": lacks("Hand"), "pinch": lacks("Tip"), "camera": lacks("camera")}))
+    counted.append(_checked(sanity, {"encoding": F.col("invalid_share").isNull(), "world_frame": ~((F.col("camera_travel") > least_travel) & F.col("camera_above")), "invalid_share": F.col("invalid_share") >= most_invalid}))
+    counted.append(_checked(lengths, {"length": F.abs(F.col("n_frames") - F.col("declared")) > 1}))
+    out = counted[0]
+    for c in counted[1:]:
+        out = out.unionByName(c)
+    return out
+
+
 def audit_categories(tasks: DataFrame, categories: DataFrame, allowed: list[str]) -> DataFrame:
     """CON3: tasks (task) without a category, categories' tasks (task, category, verbs) that don't exist, tasks mapped twice, and verbs outside the vocabulary."""
     parts = {

@@ -1146,14 +1146,21 @@ def srt2_numeric_stems(spark, sf):
     return stems.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(S.numeric_stem(F.col("stem")), "stem")).cast("long"))
 
 
-@query("src7_probe", """WITH e AS (SELECT o_custkey AS episode, ['transforms/leftHand', 'transforms/rightHand', 'transforms/camera', 'transforms/leftThumbTip', 'transforms/rightIndexFingerTip', 'confidences/leftHand', 'transforms/rightThumbTip'][o_orderkey % 7 + 1] AS name, o_orderkey % 100 AS length FROM orders)
-SELECT episode, concat_ws(' ', CASE WHEN NOT bool_or(name LIKE 'transforms/%') THEN 'transforms' END, CASE WHEN NOT bool_or(name = 'transforms/camera') THEN 'transforms/camera' END, CASE WHEN NOT bool_or(name = 'transforms/leftHand') THEN 'transforms/leftHand' END) AS missing,
+SRC7 = """WITH e AS (SELECT o_custkey AS episode, ['transforms/leftHand', 'transforms/rightHand', 'transforms/camera', 'transforms/leftThumbTip', 'transforms/rightIndexFingerTip', 'confidences/leftHand', 'transforms/rightThumbTip'][o_orderkey % 7 + 1] AS name, o_orderkey % 100 AS length FROM orders)
+SELECT episode, concat_ws(' ', CASE WHEN NOT bool_or(name LIKE 'transforms/%') THEN 'transforms' END, CASE WHEN NOT bool_or(name = 'transforms/camera') THEN 'transforms/camera' END, CASE WHEN NOT bool_or(name = 'transforms/leftHand') THEN 'transforms/leftHand' END, CASE WHEN NOT bool_or(name = 'transforms/leftThumbTip') THEN 'transforms/leftThumbTip' END) AS missing,
   coalesce(string_agg(DISTINCT name[12:], ' ' ORDER BY name[12:]) FILTER (name LIKE 'transforms/left%' AND name <> 'transforms/leftHand'), '') AS joints_left, coalesce(string_agg(DISTINCT name[12:], ' ' ORDER BY name[12:]) FILTER (name LIKE 'transforms/right%' AND name <> 'transforms/rightHand'), '') AS joints_right,
-  max(length) FILTER (name = 'transforms/leftHand') AS n_frames, bool_or(name LIKE 'confidences/%') AS has_confidences FROM e GROUP BY episode""")
-def src7_probe(spark, sf):
+  max(length) FILTER (name = 'transforms/leftHand') AS n_frames, bool_or(name LIKE 'confidences/%') AS has_confidences FROM e GROUP BY episode"""
+
+
+def _probed(spark, sf):
     names = ["transforms/leftHand", "transforms/rightHand", "transforms/camera", "transforms/leftThumbTip", "transforms/rightIndexFingerTip", "confidences/leftHand", "transforms/rightThumbTip"]
     entries = T.read(spark, sf, "orders").select(F.col("o_custkey").alias("episode"), F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") % 7).cast("int")).alias("name"), (F.col("o_orderkey") % 100).alias("length"))
-    out = files.probe_keys(entries, ["transforms", "transforms/camera", "transforms/leftHand"])
+    return files.probe_keys(entries, ["transforms", "transforms/camera", "transforms/leftHand", "transforms/leftThumbTip"])
+
+
+@query("src7_probe", SRC7)
+def src7_probe(spark, sf):
+    out = _probed(spark, sf)
     return out.select("episode", *[F.array_join(c, " ").alias(c) for c in ("missing", "joints_left", "joints_right")], "n_frames", "has_confidences")
 
 
@@ -1194,3 +1201,16 @@ def udf6_rounds(spark, sf):
     rows = L.prompts(W.tumbling(n, frames=12).select("key", F.col("w").cast("long").alias("id"), start.alias("start"), (start + 11).alias("end")))
     out = L.label_in_rounds(rows, lambda: answers, commits.shared_folder(spark), attempts=2, wait_s=0.0, strict=True)
     return out.select("key", "id", "action", "sentence", F.col("error").isNotNull().alias("failed"))
+
+
+@query("con4_level0", f"""WITH u AS ({ORACLE_SQL['jn1_unpaired']}), pr AS ({ORACLE_SQL['src7_probe']}), sa AS ({ORACLE_SQL['sig14_sanity']}), ca AS ({ORACLE_SQL['sig14_camera']}), sn AS (SELECT invalid_share, camera_travel, camera_above FROM sa FULL JOIN ca USING (key)),
+le AS (SELECT c_custkey % 7 AS n, c_nationkey % 9 AS d FROM customer),
+c AS (SELECT 'paired' AS k, (SELECT count(*) FROM u) AS failing UNION ALL SELECT 'wrists', (SELECT count_if(contains(missing, 'Hand')) FROM pr) UNION ALL SELECT 'pinch', (SELECT count_if(contains(missing, 'Tip')) FROM pr) UNION ALL SELECT 'camera', (SELECT count_if(contains(missing, 'camera')) FROM pr)
+  UNION ALL SELECT 'encoding', (SELECT count_if(invalid_share IS NULL) FROM sn) UNION ALL SELECT 'world_frame', (SELECT count_if(NOT coalesce(camera_travel > 0.01 AND camera_above, FALSE)) FROM sn) UNION ALL SELECT 'invalid_share', (SELECT count_if(coalesce(invalid_share >= 0.15, TRUE)) FROM sn) UNION ALL SELECT 'length', (SELECT count_if(abs(n - d) > 1) FROM le))
+SELECT k AS "check", failing::BIGINT AS failing, failing = 0 AS passed FROM c""")
+def con4_level0(spark, sf):
+    poses = _poses(spark, sf).withColumns({"valid": F.lit(True), "up": F.col("p1") - F.col("p4")})
+    camera = G.sanity(poses, ["p3"], "valid", camera=["p0", "p1"], height="up").select("key", "camera_travel", "camera_above")
+    sanity = G.sanity(T.frames(spark, sf), ["x"], "valid").select("key", "invalid_share").join(camera, "key", "full_outer")
+    lengths = T.read(spark, sf, "customer").select((F.col("c_custkey") % 7).alias("n_frames"), (F.col("c_nationkey") % 9).alias("declared"))
+    return U.audit_level0(jn1_unpaired(spark, sf), _probed(spark, sf), sanity, lengths, most_invalid=0.15)
