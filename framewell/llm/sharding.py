@@ -41,11 +41,17 @@ def interleave_shards(docs: DataFrame, n_shards: int, *, id_col: str = "doc_id",
     part = f"({RANGES}L * rank - phase)"
     ranked = ranked.withColumns({"cut": F.expr(f"cast(({RANGES}L * {part}) div ({RANGES}L * total) as int)"), "share": F.expr(f"{part} / cast({RANGES}L * total as double)")})
 
-    # How many ranks lie below each range of the fractional rank follows from the sources' counts: those of equal count and phase lie alike.
+    # How many ranks lie below each range of the fractional rank follows from the sources' counts: those of equal count and phase lie alike. A large source is told for every range by a
+    # closed form, a small one rank by rank, so that there are never more entries than rows, however many sources there are.
     alike = counts.select("source", "total", "phase").distinct().groupBy("total", "phase").agg(F.count(F.lit(1)).alias("sources"))
     below = F.expr(f"sources * greatest(0L, ({RANGES}L * total * cut + phase * {RANGES}L - 1) div ({RANGES}L * {RANGES}L))")
-    cuts = alike.select("*", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("cut"))
-    cuts = cuts.groupBy("cut").agg(F.sum(below).alias("below"), F.sum(F.col("sources") * F.col("total")).alias("all"))
+    large = alike.filter(F.col("total") > RANGES).select("*", F.explode(F.sequence(F.lit(0), F.lit(RANGES - 1))).alias("cut"))
+    large = large.groupBy("cut").agg(F.sum(below).alias("below"), F.sum(F.col("sources") * F.col("total")).alias("rows"))
+    small = alike.filter(F.col("total") <= RANGES).select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("total"))).alias("rank"))
+    small = small.groupBy(F.expr(f"cast(({RANGES}L * {part}) div ({RANGES}L * total) as int)").alias("cut")).agg(F.sum("sources").alias("here"))
+    cuts = docs.sparkSession.range(RANGES).select(F.col("id").cast("int").alias("cut")).join(large, "cut", "left").join(small, "cut", "left").fillna(0, ["below", "rows", "here"])
+    upward = Window.orderBy("cut")
+    cuts = cuts.select("cut", (F.col("below") + F.sum("here").over(upward) - F.col("here")).alias("below"), (F.col("rows") + F.sum("here").over(upward.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("all"))
 
     line = Window.partitionBy("cut").orderBy("share", "source", "rank")
     placed = ranked.join(F.broadcast(cuts), "cut").withColumn("at", F.col("below") + F.row_number().over(line) - 1)

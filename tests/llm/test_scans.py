@@ -186,3 +186,26 @@ def test_ownership_against_brute_force(spark):
     assert sorted((str(r["doc_id"]), r["n_live"], r["n_example"]) for r in got) == want
     texts = sorted(r["text"] for r in secret_scan.redact(docs).collect())
     assert texts == sorted(" ".join(f"token={v}" if v in example else "[SECRET]" for v in re.findall("token=(\\w+)", t)) for _, t, _ in rows)
+
+
+def test_shards_of_large_and_many_small_sources(spark):
+    """Two sources beyond the number of ranges and two thousand small ones, against ranking all rows at once."""
+    from fractions import Fraction
+
+    sizes = {"a": 9000, "b": 5000, **{f"s{i}": i % 5 + 1 for i in range(2000)}}
+    rows = [(n, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))]
+    md5 = lambda t: hashlib.md5(f"17:{t}".encode()).hexdigest()
+    groups: dict[str, list[int]] = {}
+    for n, source in rows:
+        groups.setdefault(source, []).append(n)
+    placed = []
+    for source, own in groups.items():
+        phase = int(md5(f"s{source}")[:3], 16) + 1
+        placed += [(Fraction(4096 * r - phase, 4096 * len(own)), f"s{source}", r, n) for r, n in enumerate(sorted(own, key=lambda n: (md5(n), n)), 1)]
+    placed.sort()
+    want = {n: at * 24 // len(rows) for at, (_, _, _, n) in enumerate(placed)}
+    got = sharding.interleave_shards(spark.createDataFrame(rows, "doc_id long, source string"), 24).collect()
+    assert {r["doc_id"]: r["shard"] for r in got} == want
+    for shard in range(24):
+        own = [n for _, _, _, n in placed if want[n] == shard]
+        assert [r["doc_id"] for r in sorted((r for r in got if r["shard"] == shard), key=lambda r: r["slot"])] == own
