@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import MutableMapping
-from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
