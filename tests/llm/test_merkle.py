@@ -78,6 +78,16 @@ def test_ties_nulls_and_repeats(spark, tmp_path):
     assert run(spark, rows, tmp_path) == brute(rows)
 
 
+def test_files_of_few_rows(spark, tmp_path):
+    """Tasks that write many files each keep the order."""
+    rows = [(i * 37 % 1009, "s", "en" if i % 3 else "de", i, f"t{i}") for i in range(1009)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    try:
+        assert run(spark, rows, tmp_path) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_empty(spark, tmp_path):
     assert run(spark, [], tmp_path) == []
 
