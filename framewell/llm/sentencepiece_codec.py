@@ -26,7 +26,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: The rank of pairs that never merge.
 NEVER = 1 << 30
 #: Words kept in a worker's cache, and the longest word that goes there.
-CACHE_WORDS, CACHE_CHARS = 400_000, 40
+CACHE_WORDS, CACHE_CHARS = 200_000, 40
 #: Rows in an Arrow batch, so that a batch of long texts fits in a worker.
 BATCH_ROWS = 200
 
