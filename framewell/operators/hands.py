@@ -8,37 +8,48 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 
 
-def frames_inside(segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """``frames`` (key, frame, and more) with the id of the segment (key, id, start, end; closed) that holds each; a frame where one ends and the next starts comes twice."""
-    rest = [c for c in frames.columns if c not in ("key", "frame")]
-    marks = segments.select("key", F.col("start").alias("frame"), F.struct("id", "end").alias("_s"), F.lit(0).alias("_o"))
+#: Frames of a block, by which frames meet segments that overlap others.
+BLOCK = 1024
+
+
+def _held(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """``frames`` (``_o`` 1) and the segments' own rows (``_o`` 0), with an array ``_held`` of the segments (id, start, end) that hold each: at most the last to start, and the one that ends there."""
+    marks = segments.select("key", F.col("start").alias("frame"), F.struct("id", "start", "end").alias("_s"), F.lit(0).alias("_o"))
     line = Window.partitionBy("key").orderBy("frame", "_o")
     rows = marks.unionByName(frames.withColumn("_o", F.lit(1)), allowMissingColumns=True)
     now = F.last("_s", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
     # The segment before is the one of the last frame before this one's start.
     rows = rows.withColumn("_now", now).withColumn("_last", F.when(F.col("_o") == 0, F.lag("_now").over(line)))
     rows = rows.withColumn("_before", F.last(F.when(F.col("_o") == 0, F.struct(F.col("frame").alias("at"), F.col("_last").alias("s"))), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    held = F.array_compact(F.array(F.when(F.col("frame") <= F.col("_now.end"), F.col("_now.id")), F.when((F.col("_before.at") == F.col("frame")) & (F.col("_before.s.end") == F.col("frame")), F.col("_before.s.id"))))
-    return rows.filter("_o = 1").select("key", "frame", *rest, F.explode(held).alias("id"))
+    held = F.array_compact(F.array(F.when(F.col("frame") <= F.col("_now.end"), F.col("_now")), F.when((F.col("_before.at") == F.col("frame")) & (F.col("_before.s.end") == F.col("frame")), F.col("_before.s"))))
+    return rows.withColumn("_held", F.when(F.col("_o") == 0, F.array("_s")).otherwise(held))
+
+
+def frames_inside(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """``frames`` (key, frame, and more) with the id of the segment (key, id, start, end; closed) that holds each; a frame where one ends and the next starts comes twice."""
+    rest = [c for c in frames.columns if c not in ("key", "frame")]
+    return _held(segments, frames).filter("_o = 1").select("key", "frame", *rest, F.explode("_held.id").alias("id"))
 
 
 def inside_sums(segments: DataFrame, frames: DataFrame, values: dict[str, Column], steps: dict[str, Column] | None = None) -> DataFrame:
     """For each segment (key, id, start, end; closed) ``frames``, how many frames lie in it, and the sums of ``values`` over them; of ``steps``, which lead from the frame before, without the first frame's.
 
-    Running sums over the key's frames, read at both ends in one window over frames and ends, so that no frame meets a segment: a start stands before its frame, for steps behind it,
-    and an end behind its own. Sums are differences of doubles, good to about 15 digits of the whole series' sum.
+    A segment's own values are added, in the order of frames, so that a sum is no less exact in a long series and ties are what the plain sum gives. A window deals frames to segments;
+    those that overlap one before in more than its last frame meet the frames block by block instead.
     """
     steps = steps or {}
-    mark = lambda frame, order, value, step: F.struct(F.col(frame).alias("frame"), F.lit(order).alias("_o"), F.lit(value).alias("_sv"), F.lit(step).alias("_ss"))
-    ends = F.array(mark("start", 0, -1, 0), *([mark("start", 2, 0, -1)] if steps else []), mark("end", 2, 1, 1))
-    marks = segments.select("key", "id", F.explode(ends).alias("m")).select("key", "id", "m.*")
-    of_values = {"frames": F.lit(1.0), **values}
-    named = {f"_{n}": c.cast("double") for n, c in {**of_values, **steps}.items()}
-    rows = frames.select("key", "frame", F.lit(1).alias("_o"), *[c.alias(n) for n, c in named.items()])
-    so_far = Window.partitionBy("key").orderBy("frame", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumns({n: F.coalesce(F.sum(n).over(so_far), F.lit(0.0)) for n in named})
-    sums = [F.sum(F.col("_sv" if n in of_values else "_ss") * F.col(f"_{n}")).alias(n) for n in (*of_values, *steps)]
-    return both.filter("_o <> 1").groupBy("key", "id").agg(*sums)
+    named = {f"_{n}": c.cast("double") for n, c in {**values, **steps}.items()}
+    rows = frames.select("key", F.col("frame").cast("long").alias("frame"), *[c.alias(n) for n, c in named.items()])
+    line = Window.partitionBy("key").orderBy("start", "end")
+    over = (F.col("start") < F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))) | (F.col("start") == F.lag("start").over(line))
+    placed = segments.select("key", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).withColumn("_over", F.coalesce(over, F.lit(False)))
+    alone = _held(placed.filter("NOT _over"), rows).select("key", "frame", "_o", *named, F.explode("_held").alias("_s")).select("key", "_s.id", "_s.start", "frame", "_o", *named)
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    spread = placed.filter("_over").select("key", "id", "start", "end", F.explode(F.sequence(block("start"), F.greatest(block("start"), block("end")))).alias("_block"))
+    met = spread.alias("s").join(rows.withColumn("_block", block("frame")).alias("f"), F.expr("s.key = f.key AND s._block = f._block AND frame BETWEEN start AND end"), "left")
+    others = met.select("s.key", "id", "start", "frame", F.col("frame").isNotNull().cast("int").alias("_o"), *named)
+    sums = [F.sum(F.when(F.col("_o") == 1, F.col(f"_{n}"))) for n in values] + [F.sum(F.when((F.col("_o") == 1) & (F.col("frame") > F.col("start")), F.col(f"_{n}"))) for n in steps]
+    return alone.unionByName(others).groupBy("key", "id").agg(F.sum("_o").cast("double").alias("frames"), *[F.coalesce(c, F.lit(0.0)).alias(n) for n, c in zip((*values, *steps), sums, strict=True)])
 
 
 def activity(segments: DataFrame, frames: DataFrame) -> DataFrame:
@@ -54,8 +65,7 @@ def activity(segments: DataFrame, frames: DataFrame) -> DataFrame:
     def score(side: str) -> Column:
         return F.col(f"speed_{side}") / F.greatest(F.col(f"m_speed_{side}"), F.lit(0.01)) + F.col(f"aperture_{side}") / F.greatest(F.col(f"m_aperture_{side}"), F.lit(0.005))
 
-    # A mean that is the limit but for the rounding of sums doesn't exceed it.
-    active = lambda side: (F.col(f"speed_{side}") > 0.04 + 1e-9) | (F.col(f"aperture_{side}") > 0.04 + 1e-9)
+    active = lambda side: (F.col(f"speed_{side}") > 0.04) | (F.col(f"aperture_{side}") > 0.04)
     return means.select("key", "id", score("left").alias("score_left"), score("right").alias("score_right"), active("left").alias("active_left"), active("right").alias("active_right"))
 
 

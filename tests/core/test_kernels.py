@@ -1,6 +1,9 @@
 """Folds and kernels against hand-worked cases and plain restatements of their rules."""
 
+import functools
 import json
+import operator
+import random
 import zlib
 
 import numpy as np
@@ -401,3 +404,34 @@ def test_sentences_and_times_are_checked(spark):
     df = spark.createDataFrame([(*r, "pick", "left", 91) for r in rows], "key long, id int, start long, end long, sentence string, start_time double, end_time double, duration double, action string, hand string, n_frames long")
     got = sorted((r["id"], r["rule"]) for r in C.violations(df, fps=30.0).collect())
     assert got == [(1, "sentence"), (2, "duration"), (2, "end_time"), (2, "sentence")]
+
+
+def test_sums_inside_are_of_the_segments_own_frames(spark):
+    """Large values before a segment take nothing from its sum, and segments that overlap or hold no frame have theirs."""
+    draw = random.Random(11)
+    value = {(k, f): 1e17 if f == 3 else draw.randrange(1, 900) / 100 for k in range(3) for f in range(2600) if f % 7 != 5}
+    spans = [(0, 3), (3, 9), (9, 9), (9, 20), (15, 2200), (16, 17), (16, 17), (20, 40), (40, 2590), (2000, 2010), (2606, 2607)]
+    segments = spark.createDataFrame([(k, i, a, b) for k in range(3) for i, (a, b) in enumerate(spans)], "key long, id long, start long, end long")
+    frames = spark.createDataFrame([(k, f, v) for (k, f), v in value.items()], "key long, frame long, v double")
+    got = {(r["key"], r["id"]): (r["frames"], r["a"], r["b"]) for r in H.inside_sums(segments, frames, {"a": F.col("v")}, {"b": F.col("v") * 2}).collect()}
+    assert len(got) == 3 * len(spans)
+    for (key, i), (n, a, b) in got.items():
+        start, end = spans[i]
+        own = [v for (k, f), v in value.items() if k == key and start <= f <= end]
+        steps = [2 * v for (k, f), v in value.items() if k == key and start < f <= end]
+        assert n == len(own) and a == pytest.approx(sum(own), rel=1e-12) and b == pytest.approx(sum(steps), rel=1e-12)
+
+
+def test_activity_at_its_limit_is_what_the_plain_mean_gives(spark):
+    """Means that are 0.04 but for rounding, on either side of it; doubles are added one by one, as ``sum`` does not."""
+    draw, cases = random.Random(12), {True: [], False: []}
+    while min(map(len, cases.values())) < 3:
+        cents = [draw.randrange(9) for _ in range(6)]
+        cents.append(28 - sum(cents))
+        if cents[-1] >= 0:
+            cases[functools.reduce(operator.add, (c / 100 for c in cents)) / 7 > 0.04].append(cents)
+    told = [(active, cents) for active in cases for cents in cases[active][:3]]
+    rows = [(key, f, c / 100, 0.0, 0.0, 0.0) for key, (_, cents) in enumerate(told) for f, c in enumerate(cents)]
+    frames = spark.createDataFrame(rows, "key long, frame long, speed_left double, speed_right double, aperture_left double, aperture_right double")
+    segments = spark.createDataFrame([(k, 0, 0, 6) for k in range(len(told))], "key long, id long, start long, end long")
+    assert {r["key"]: r["active_left"] for r in H.activity(segments, frames).collect()} == {k: active for k, (active, _) in enumerate(told)}
