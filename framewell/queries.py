@@ -955,7 +955,9 @@ ac AS (SELECT me.key, me.start AS id, me.sl / greatest(md.sl, 0.01) + me.al / gr
 @query("fn8_hand_activity", f"WITH {HANDS} SELECT key, id, round(score_left, 5) AS score_left, round(score_right, 5) AS score_right, active_left, active_right FROM ac")
 def fn8_hand_activity(spark, sf):
     out = H.activity(T.segments(spark, sf).withColumn("id", F.col("start")), _two_hands(spark, sf))
-    return out.select("key", "id", F.round("score_left", 5).alias("score_left"), F.round("score_right", 5).alias("score_right"), "active_left", "active_right")
+    # Ties go by the scaled double, as in SQL, not by the shortest decimal that stands for it.
+    places = lambda c: (F.round(F.col(c) * 1e5) / 1e5).alias(c)
+    return out.select("key", "id", places("score_left"), places("score_right"), "active_left", "active_right")
 
 
 @query("fn9_joint_carry", f"""WITH {SEGMENTS}, a AS (SELECT s.key, start AS id, 100 + x AS apart FROM s JOIN f ON f.key = s.key AND frame BETWEEN start AND "end"), m AS (SELECT key, id, avg(apart) AS mean FROM a GROUP BY 1, 2)
