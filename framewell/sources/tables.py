@@ -10,10 +10,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The most rows of a table that a task deals with at once where a series' windows, and what follows, keep to its partitions.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions by ``keys`` as its rows need, if those of the session's cores would hold more than TASK_ROWS each; partitions that are joined by their compressed bytes hold any number."""
+    rows = df.count()
+    return df.repartition(-(-rows // TASK_ROWS), *keys) if rows > TASK_ROWS * df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as series: key, frame (from 0), x and kind, one series for each user."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    events = read(spark, sf_dir, "events")
+    events = dealt(read(spark, sf_dir, "events"), "user_id")
     return events.select(F.col("user_id").alias("key"), (F.row_number().over(order) - 1).cast("long").alias("frame"), F.col("value").alias("x"), F.col("event_type").alias("kind"), (F.col("event_type") != "error").alias("valid"))
 
 

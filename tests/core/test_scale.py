@@ -6,6 +6,7 @@ import time
 from framewell.operators import intervals as I
 from framewell.operators import reports as R
 from framewell.operators import selection as P
+from framewell.sources import tables as T
 from pyspark.sql import functions as F
 
 
@@ -108,3 +109,11 @@ def test_upper_median(spark):
         assert {r["key"]: r["upper_median"] for r in I.upper_median(df, F.col("v"), width=width).collect()} == want
     plan = R.config_metrics(spark.createDataFrame([("c", 1, 1, 1, 1, 1.0)], "config string, key long, windows long, candidates long, stitched long, wall_s double"), spark.createDataFrame([("c", 1, 0, 5, "a", "low", ["x"])], "config string, key long, start long, end long, action string, confidence string, flags array<string>"))
     assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_has_a_bounded_number_of_rows(spark, tiny, monkeypatch):
+    """Series and what follows in their partitions, however small these are in compressed bytes."""
+    rows = T.read(spark, tiny, "events").count()
+    assert T.dealt(T.read(spark, tiny, "events"), "user_id").rdd.getNumPartitions() == T.read(spark, tiny, "events").rdd.getNumPartitions()
+    monkeypatch.setattr(T, "TASK_ROWS", rows // 30)
+    assert T.frames(spark, tiny).rdd.getNumPartitions() == -(-rows // (rows // 30))
