@@ -83,11 +83,14 @@ def verdicts_of_subtasks(verdicts: DataFrame, subtasks: DataFrame) -> tuple[Data
 
 
 def unblind(votes: DataFrame, letters: DataFrame) -> DataFrame:
-    """JN13: votes (key, best, worst: letters) with the configurations that stood behind their letters (key, letter, config); a letter that the key lacks gives NULL."""
+    """JN13: votes (key, best, worst: letters) with the configurations that stood behind their letters (key, letter, config); a letter that the key lacks gives NULL.
+
+    There are letters for every key: they are merged, for rows that are made from a small file look small enough to broadcast, however many they are.
+    """
     out = votes
     for side in ("best", "worst"):
         named = letters.select("key", F.col("letter").alias(side), F.col("config").alias(f"{side}_config"))
-        out = out.join(named, ["key", side], "left")
+        out = out.join(named.hint("merge"), ["key", side], "left")
     return out
 
 

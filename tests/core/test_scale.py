@@ -4,6 +4,7 @@ import random
 import time
 
 from framewell.operators import intervals as I
+from framewell.operators import joins as J
 from framewell.operators import reports as R
 from framewell.operators import selection as P
 from framewell.sources import tables as T
@@ -117,3 +118,12 @@ def test_a_task_has_a_bounded_number_of_rows(spark, tiny, monkeypatch):
     assert T.dealt(T.read(spark, tiny, "events"), "user_id").rdd.getNumPartitions() == T.read(spark, tiny, "events").rdd.getNumPartitions()
     monkeypatch.setattr(T, "TASK_ROWS", rows // 30)
     assert T.frames(spark, tiny).rdd.getNumPartitions() == -(-rows // (rows // 30))
+
+
+def test_letters_are_never_sent_whole(spark):
+    """As many letters as votes, from a source that looks small, and a letter that its key lacks."""
+    votes = spark.range(40).selectExpr("id AS key", "'A' AS best", "'Z' AS worst")
+    letters = spark.range(40).selectExpr("id AS key", "'A' AS letter", "'config ' || id AS config")
+    out = J.unblind(votes, letters)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["key"], r["best_config"], r["worst_config"]) for r in out.collect()) == [(i, f"config {i}", None) for i in range(40)]
