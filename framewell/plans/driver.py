@@ -62,6 +62,8 @@ class Levels:
     def annotations(self, todo: DataFrame) -> DataFrame:
         """Level 3: merged, absorbed, filled and flagged rows of the labels of ``todo``; rows of keys that break a rule have its name as their error."""
         labels = self.stores["labels"].read().join(todo, "key", "left_semi")
+        # By number, as in label_segments: folds take their time by rows, however few bytes these are.
+        labels = labels.repartition(labeling.tasks_of(labels), "key")
         merged = I.merge_adjacent(labels.drop("attempts", "fell_back"), fps=self.fps, gap_s=self.merge_gap_s).drop("members")
         folded = I.enforce_min_length(merged, least=self.least, errors=True)
         path = f"{self.folder}/annotations/absorbed"

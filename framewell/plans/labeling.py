@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..operators.folds import fold_keys
 
 Labeler = Callable[[str], str]
 FALLBACK = {"action": "other", "hand": "both", "object": "none", "sentence": "unlabelled", "confidence": "low"}
@@ -48,24 +49,32 @@ def label_segments(segments: DataFrame, make: Callable[[], Labeler], *, story: i
     ``make`` gives a worker its Labeler. A key's segments depend on each other, keys do not. Adds action, hand, object, sentence, confidence, attempts and fell_back.
     DRV2: with ``strict`` there is no fallback: a segment without a usable answer gives a row with ``error`` and no label, and ends its own key's labelling only.
     """
-    kind = segments.schema["key"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        labeler, told, out = make(), [], []
-        for r in pdf.sort_values("id").to_dict("records"):
-            prompt = "\n".join([*(f"Before: {t}" for t in told[-story:]), r["prompt"]])
+    labelers: list[Labeler] = []
+
+    def told_in_order(rows: list[tuple]) -> list[tuple]:
+        if not labelers:
+            labelers.append(make())
+        told, out = [], []
+        for nth, text in rows:
+            prompt = "\n".join([*(f"Before: {t}" for t in told[-story:]), text])
             try:
-                label, tries, fell = ask(labeler, prompt, attempts=attempts, wait_s=wait_s, strict=strict)
+                label, tries, fell = ask(labelers[0], prompt, attempts=attempts, wait_s=wait_s, strict=strict)
             except Exception as e:
-                out.append({"key": r["key"], "id": r["id"], **dict.fromkeys(FALLBACK), "attempts": attempts, "fell_back": False, "error": repr(e)})
+                out.append((nth, *(None for _ in FALLBACK), attempts, False, repr(e)))
                 break
             told.append(label["sentence"])
-            out.append({"key": r["key"], "id": r["id"], **label, "attempts": tries, "fell_back": fell, "error": None})
-        return pd.DataFrame(out)[[c for c in names if strict or c != "error"]]
+            out.append((nth, *(label[c] for c in FALLBACK), tries, fell, None))
+        return out if strict else [r[:-1] for r in out]
+
+    schema = "id long, action string, hand string, object string, sentence string, confidence string, attempts int, fell_back boolean" + ", error string" * strict
+    # Dealt by number: how long answers take doesn't show in the prompts' bytes, by which few and large partitions would be made.
+    dealt = segments.select("key", F.col("id").cast("long").alias("id"), "prompt").repartition(tasks_of(segments), "key")
+    return fold_keys(dealt, ["id", "prompt"], ["id"], told_in_order, schema)
+
 
-    names = ["key", "id", *FALLBACK, "attempts", "fell_back", "error"]
-    schema = f"key {kind}, id long, action string, hand string, object string, sentence string, confidence string, attempts int, fell_back boolean" + ", error string" * strict
-    return segments.select("key", "id", "prompt").groupBy("key").applyInPandas(run, schema)
+def tasks_of(df: DataFrame) -> int:
+    """How many tasks a shuffle has in this session."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def label_in_rounds(segments: DataFrame, make: Callable[[], Labeler], folder: str, *, story: int = V.STORY, attempts: int = 3, wait_s: float = 2.0, strict: bool = False, calls: int = 8, rows: int = 256) -> DataFrame:

@@ -1,12 +1,15 @@
 """Folds and joins on many rows of one key, and choices and medians against plain restatements."""
 
+import json
 import random
 import time
+import uuid
 
 from framewell.operators import intervals as I
 from framewell.operators import joins as J
 from framewell.operators import reports as R
 from framewell.operators import selection as P
+from framewell.plans import labeling as L
 from framewell.sources import tables as T
 from pyspark.sql import functions as F
 
@@ -127,3 +130,17 @@ def test_letters_are_never_sent_whole(spark):
     out = J.unblind(votes, letters)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["key"], r["best_config"], r["worst_config"]) for r in out.collect()) == [(i, f"config {i}", None) for i in range(40)]
+
+
+def test_a_worker_is_given_one_labeler_for_all_its_keys(spark, tmp_path):
+    """And short prompts of many keys are dealt to all tasks; sentences before are the key's own."""
+    folder = str(tmp_path)
+
+    def make():
+        open(f"{folder}/{uuid.uuid4().hex}", "w").close()
+        return lambda prompt: json.dumps({"action": "reach", "hand": "left", "object": "cup", "sentence": prompt.replace("\n", "/"), "confidence": "low"})
+
+    rows = spark.range(120).selectExpr("id % 40 AS key", "id DIV 40 AS id", "'k' || id % 40 AS prompt").coalesce(1)
+    got = {(r["key"], r["id"]): r["sentence"] for r in L.label_segments(rows, make, wait_s=0.0).collect()}
+    assert len(got) == 120 and all(got[k, 1] == f"Before: k{k}/k{k}" and got[k, 2].count("Before: k") >= 2 for k in range(40))
+    assert 2 <= len(list(tmp_path.iterdir())) <= L.tasks_of(rows)
