@@ -10,9 +10,8 @@ import functools
 import itertools
 import json
 import os
-import string
-from array import array
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +23,18 @@ from pyspark.sql import functions as F
 from ._spark import table
 from .sentencepiece_codec import BYTE, SPACE, Model
 
-#: Units that a worker remembers, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 150_000, 40
-#: Rows of an Arrow batch, and bytes of text in a block, whose pairs of ids are counted and looked up together.
-BATCH_ROWS, BLOCK_BYTES = 200, 8 << 20
+#: Units that a worker remembers, bytes of theirs, and the longest of them.
+CACHE_UNITS, CACHE_BYTES, CACHE_CHARS = 300_000, 8 << 20, 40
+#: Rows and bytes of text of an Arrow batch, unless one text is longer; units that are aligned together; and bytes of text in a block, whose pairs of ids are counted and looked up together.
+BATCH_ROWS, BATCH_BYTES, BATCH_UNITS, BLOCK_BYTES = 200, 4 << 20, 20_000, 8 << 20
 #: A pair of ids as one number: A's shifted by this, and B's.
 SHIFT = 32
 #: Fixed value: how byte-level pre-tokenizers split a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The alignment of a unit: tokens of A and of B, groups, pairs, their number, ends and bytes.
-Unit = tuple[int, int, str, bytes, int, tuple[int, ...], int]
+#: A single space between plain characters, which are letters, digits and printable ASCII; a unit with such characters at both ends; and a character whose class may change.
+CUT, EDGES, UNSURE = re.compile(r" (?<=[\w!-~] )(?=[\w!-~])"), re.compile(r"(?s)[\w!-~](.*[\w!-~])?"), re.compile("[^\0-\u024f]")
+#: What is held of a unit: tokens of A and of B, groups, bytes, where its groups begin, and how often it was met. A unit that is not aligned has no groups.
+N_A, N_B, GROUPS, BYTES, START, USES = range(6)
 
 
 def byte_table() -> dict[str, int]:
@@ -44,7 +45,11 @@ def byte_table() -> dict[str, int]:
 
 
 class Aligner:
-    """Both tokenizers, the bytes of their tokens, and the units seen lately."""
+    """Both tokenizers, the bytes of their tokens, and the units seen lately.
+
+    A batch's new units are aligned together in arrays, so that no token is a step of Python. ``seen`` gives a unit's place in ``rows`` and ``names``; ``pairs`` and ``ends`` hold its groups' pairs
+    of ids and ends in bytes, from its start.
+    """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,14 +64,19 @@ class Aligner:
         if not model.dummy_prefix or model.trim_spaces or model.charmap:
             raise ValueError("the second tokenizer must keep the text as it is and put a space before it")
         of = byte_table()
-        self.bytes_a = [bytes(of[c] for c in self.a.id_to_token(i)) if all(c in of for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
-        self.text_a, self.text_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
-        self.quick = self._ranked(path_a)
-        self.seen: dict[str, Unit | bool] = {}
-        self.before: dict[str, Unit | bool] = {}
-
-    def _ranked(self, path: str) -> Callable[[str], list[int]] | None:
+        bytes_a = [bytes(of[c] for c in self.a.id_to_token(i)) if all(c in of for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(self.a.get_vocab_size())]
+        bytes_b = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.bytes_a, self.bytes_b = pa.array(bytes_a, pa.large_binary()), pa.array(bytes_b, pa.large_binary())
+        self.ranked = self._ranked(path_a, bytes_a)
+        self.quick = self.ranked and self.ranked.encode_ordinary
+        # An id in a group's text, with what follows it: A's inside a group, A's last, B's inside, B's last.
+        self.text = pa.array([f"{i}{after}" for n, ends in ((len(bytes_a), ",|"), (len(bytes_b), ",;")) for after in ends for i in range(n)], pa.large_binary())
+        self.seen: dict[str, int] = {}
+        self.names: list[str] = []
+        self.rows, self.pairs, self.ends = np.zeros((0, 6), np.int64), _NONE, _NONE
+        self.groups = self.held = 0
+
+    def _ranked(self, path: str, parts: list[bytes]):
         """A faster encoder for A's vocabulary, if its ids follow the order of its merges, so that ranks give the same tokens; it is used on letters whose classes never change."""
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
@@ -77,86 +87,161 @@ class Aligner:
             return None
         import tiktoken
 
-        ranks = {self.bytes_a[i]: i for i in range(256 + len(merged))}
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def unit(self, text: str, b: list[int]) -> Unit | bool:
-        """The alignment of a space and ``text``, of which ``b`` are B's ids; False if the tokens' bytes differ from theirs.
-
-        Ends of both are looked up by byte; the common ones, sorted, slice both lists into groups. In a slice only the last tokens end together, and so they are its link.
-        """
-        spaced = " " + text
-        a = self.quick(spaced) if self.quick and max(text, default="") < "\u0250" else self.a.encode(spaced, add_special_tokens=False).ids
-        raw = spaced.encode()
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return False
-        ends_a = dict(zip(itertools.accumulate(map(len, parts_a)), range(1, len(a) + 1), strict=True))
-        ends_b = dict(zip(itertools.accumulate(map(len, parts_b)), range(1, len(b) + 1), strict=True))
-        common = sorted(ends_a.keys() & ends_b.keys())
-        names_a, names_b = [self.text_a[x] for x in a], [self.text_b[y] for y in b]
-        groups, pairs, i, j = [], array("q"), 0, 0
-        for end in common:
-            x, y = ends_a[end], ends_b[end]
-            groups.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
-            pairs.append(a[x - 1] << SHIFT | b[y - 1])
-            i, j = x, y
-        return len(a), len(b), ";".join(groups), pairs.tobytes(), len(pairs), tuple(common), len(raw)
+        ranks = {parts[i]: i for i in range(256 + len(merged))}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def cut(self, text: str) -> list[str]:
         """A text's units. Single spaces part them if a letter, a digit or plain punctuation stands on both sides; all other spaces stay inside."""
-        chunks = text.split(" ")
-        plain = [c[:1] in _SURE and c[-1:] in _SURE or _plain(c[:1]) and _plain(c[-1:]) for c in chunks]
-        if all(plain):
-            return chunks
-        out, at = [], 0
-        while at < len(chunks):
-            to = at + 1
-            while to < len(chunks) and not (_plain(chunks[to - 1][-1:]) and _plain(chunks[to][:1])):
-                to += 1
-            out.append(" ".join(chunks[at:to]))
-            at = to
-        return out
-
-    def learn(self, texts: list[list[str]]) -> None:
-        """Aligns the units of ``texts`` that are not remembered."""
-        if len(self.seen) > CACHE_UNITS:
-            self.before, self.seen = {k: v for k, v in self.seen.items() if len(k) <= CACHE_CHARS}, {}
-        new = []
-        for unit in set(itertools.chain.from_iterable(texts)) - self.seen.keys():
-            if (old := self.before.get(unit)) is None:
-                new.append(unit)
-            else:
-                self.seen[unit] = old
-        for unit, b in zip(new, self.b.encode(new, num_threads=1) if new else [], strict=True):
-            self.seen[unit] = self.unit(unit, b)
+        return CUT.split(text)
+
+    def encode_a(self, joint: list[str], alone: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of a space and each unit, one unit after the other, and how many each has. The ``joint`` units, of ``sizes`` bytes with their spaces, are one text to the faster encoder."""
+        ids = np.zeros(0, np.int64)
+        if joint:
+            ids = self.ranked.encode_to_numpy(" " + " ".join(joint), disallowed_special=()).astype(np.int64)
+        to = np.searchsorted(_joined(self.bytes_a, ids)[1], np.cumsum(sizes[: len(joint)]))
+        lists = [self.quick(" " + u) if self.quick and not UNSURE.search(u) else self.a.encode(" " + u, add_special_tokens=False).ids for u in alone]
+        return np.concatenate([ids, *(np.array(x, np.int64) for x in lists)]), np.concatenate([np.diff(to, prepend=0), np.fromiter(map(len, lists), np.int64, len(lists))])
+
+    def learn(self, new: list[str]) -> None:
+        """Aligns units that are not remembered.
+
+        All their tokens are laid end to end. Ends of A are looked up among those of B; the common ones cut both into groups, of which the last tokens end together, and so they are its link.
+        Where the tokens' bytes differ from a space and the unit, the unit has no groups.
+        """
+        joins = [False] * len(new) if self.ranked is None else [EDGES.fullmatch(u) is not None and not UNSURE.search(u) for u in new]
+        joint, alone = list(itertools.compress(new, joins)), [u for u, x in zip(new, joins, strict=True) if not x]
+        new = joint + alone
+        raw = [(" " + u).encode() for u in new]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        a, n_a = self.encode_a(joint, alone, sizes)
+        lists = self.b.encode(new, num_threads=1)
+        n_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(itertools.chain.from_iterable(lists), np.int64, n_b.sum())
+        held, to = sizes, np.cumsum(sizes)
+        made = [_joined(self.bytes_a, a), _joined(self.bytes_b, b)]
+        if any(text != b"".join(raw) or np.any(at[np.cumsum(n)] != to) for (text, at), n in zip(made, (n_a, n_b), strict=True)):
+            right = np.ones(len(new), bool)
+            for (text, at), n in zip(made, (n_a, n_b), strict=True):
+                edges = at[np.cumsum(n)].tolist()
+                right &= [text[x:y] == r for x, y, r in zip([0, *edges], edges, raw, strict=False)]
+            a, b = a[np.repeat(right, n_a)], b[np.repeat(right, n_b)]
+            n_a, n_b, sizes = (np.where(right, x, 0) for x in (n_a, n_b, sizes))
+            to = np.cumsum(sizes)
+            made = [_joined(self.bytes_a, a), _joined(self.bytes_b, b)]
+        ends_a, ends_b = (at[1:] for _, at in made)
+        at = np.searchsorted(ends_b, ends_a)
+        last_a = ends_b[at] == ends_a
+        i, j = np.flatnonzero(last_a), at[last_a]
+        last_b = np.zeros(len(b), bool)
+        last_b[j] = True
+        # A group's tokens of A stand after those of B of the groups before it, and its tokens of B after its tokens of A.
+        group_a, group_b = (np.cumsum(x) - x for x in (last_a, last_b))
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.concatenate([[0], j + 1])[group_a]] = a + last_a * len(self.bytes_a)
+        order[np.arange(len(b)) + (i + 1)[group_b]] = 2 * len(self.bytes_a) + b + last_b * len(self.bytes_b)
+        text, place = _joined(self.text, order)
+        text, edges = text.decode(), place[np.cumsum(n_a + n_b)].tolist()
+        self.names += [text[x : max(x, y - 1)] for x, y in zip([0, *edges], edges, strict=False)]
+        ends = ends_a[i]
+        n = np.diff(np.searchsorted(ends, to, side="right"), prepend=0)
+        rows = np.stack([n_a, n_b, n, held, self.groups + np.cumsum(n) - n, np.zeros_like(n)], axis=1)
+        self.rows = _put(self.rows, len(self.seen), rows)
+        self.pairs = _put(self.pairs, self.groups, a[i] << SHIFT | b[j])
+        self.ends = _put(self.ends, self.groups, ends - np.repeat(to - sizes, n))
+        self.groups, self.held = self.groups + len(i), self.held + int(held.sum())
+        self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+
+    def forget(self) -> None:
+        """Keeps short units that were met more than once lately, at most half of what may be held."""
+        units, used = list(self.seen), self.rows[: len(self.seen), USES]
+        kept = np.flatnonzero((used > 1) & np.fromiter((len(u) <= CACHE_CHARS for u in units), bool, len(units)))
+        kept = kept[np.argsort(-used[kept], kind="stable")]
+        total = np.cumsum(self.rows[kept, BYTES])
+        kept = kept[: min(CACHE_UNITS // 2, int(np.searchsorted(total, CACHE_BYTES // 2, side="right")))]
+        self.rows = self.rows[kept]
+        self.rows[:, USES] >>= 1
+        n = self.rows[:, GROUPS]
+        at = _slices(self.rows[:, START], n)
+        self.pairs, self.ends, self.groups, self.held = self.pairs[at], self.ends[at], len(at), int(self.rows[:, BYTES].sum())
+        self.rows[:, START] = np.cumsum(n) - n
+        kept = kept.tolist()
+        self.names = [self.names[i] for i in kept]
+        self.seen = {units[i]: to for to, i in enumerate(kept)}
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """The units' places, after learning the new ones."""
+        if len(self.seen) > CACHE_UNITS or self.held > CACHE_BYTES:
+            self.forget()
+        at = np.fromiter(map(self.seen.get, units, itertools.repeat(-1)), np.int64, len(units))
+        if len(missing := np.flatnonzero(at < 0)):
+            names = [units[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(names))
+            for k in range(0, len(new), BATCH_UNITS):
+                self.learn(new[k : k + BATCH_UNITS])
+            at[missing] = list(map(self.seen.__getitem__, names))
+        self.rows[: len(self.seen), USES] += np.bincount(at, minlength=len(self.seen))
+        return at
 
     def documents(self, texts: list[str | None], with_ends: bool) -> list[tuple]:
         """For each text, tokens of A and B, groups, their number, distinct pairs, how often each occurs, and the groups' ends, if asked for; of one that is not aligned, nothing."""
         cut = [self.cut(t) if t else [] for t in texts]
-        self.learn(cut)
+        at = self.places(list(itertools.chain.from_iterable(cut)))
+        rows, names = self.rows[at], list(map(self.names.__getitem__, at.tolist()))
+        first = np.cumsum([0, *map(len, cut)])
+        sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(rows[:, :START], axis=0)])[first]
+        void = np.concatenate([[0], np.cumsum(rows[:, GROUPS] == 0)])[first]
+        picks = _slices(rows[:, START], rows[:, GROUPS])
+        pairs, ends = self.pairs[picks], _NONE
+        if with_ends:
+            ends = self.ends[picks] + np.repeat(np.cumsum(rows[:, BYTES]) - rows[:, BYTES], rows[:, GROUPS])
         out = []
-        for names in cut:
-            units = list(map(self.seen.__getitem__, names))
-            if not units or False in units:
+        for k, (n_a, n_b, n, _) in enumerate(np.diff(sums, axis=0).tolist()):
+            if void[k + 1] > void[k] or not n:
                 out.append((0, 0, "", 0, _NONE, _NONE, _NONE))
                 continue
-            n_a, n_b, groups, pairs, n, ends, sizes = zip(*units, strict=True)
-            distinct, times = np.unique(np.frombuffer(b"".join(pairs), np.int64), return_counts=True)
-            where = _NONE
-            if with_ends:
-                where = np.fromiter(itertools.chain.from_iterable(ends), np.int64) + np.repeat(np.cumsum((0, *sizes[:-1])), n)
-            out.append((sum(n_a), sum(n_b), ";".join(groups), sum(n), distinct, times, where))
+            begin, end = sums[k, GROUPS], sums[k + 1, GROUPS]
+            distinct, times = np.unique(pairs[begin:end], return_counts=True)
+            where = ends[begin:end] - sums[k, BYTES] if with_ends else _NONE
+            out.append((n_a, n_b, ";".join(names[first[k] : first[k + 1]]), n, distinct, times, where))
         return out
 
 
 _NONE = np.zeros(0, np.int64)
-_PUNCTUATION = frozenset(string.punctuation)
-_SURE = frozenset(string.ascii_letters + string.digits + string.punctuation)
 
 
-def _plain(c: str) -> bool:
-    return c.isalnum() or c in _PUNCTUATION
+def _joined(table: pa.Array, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The entries of ``ids`` in one, and where each begins, with the end of the last."""
+    taken = table.take(pa.array(ids))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
+    return memoryview(taken.buffers()[2])[: at[-1]].tobytes() if len(ids) else b"", at if len(ids) else np.zeros(1, np.int64)
+
+
+def _slices(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all slices that begin at ``starts``, one slice after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(lengths.sum())
+
+
+def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of ``sizes`` bytes for an Arrow batch each."""
+    at = total = 0
+    for to, size in enumerate(sizes):
+        if to > at and (to - at == BATCH_ROWS or total + size > BATCH_BYTES):
+            yield at, to
+            at, total = to, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def _put(held: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """``held`` with ``new`` after its first ``used`` rows, in twice the room where it must grow."""
+    need = used + len(new)
+    if need > len(held):
+        held = np.concatenate([held[:used], np.empty((need, *held.shape[1:]), held.dtype)])
+    held[used:need] = new
+    return held
 
 
 @functools.lru_cache(maxsize=2)
@@ -180,8 +265,8 @@ def align(docs: DataFrame, path_a: str, path_b: str, *, id_cols: tuple[str, ...]
         use, task, read = aligner(path_a, path_b), TaskContext.get(), 0
         first = (task.partitionId() if task else 0) << 32
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
+            for at, to in _parts(pc.binary_length(batch.column(1)).fill_null(0).to_pylist()):
+                part = batch.slice(at, to - at)
                 texts = part.column(1).to_pylist()
                 n_a, n_b, groups, n_groups, *lists = zip(*use.documents(texts, with_ends), strict=True)
                 blocks = (np.cumsum([read, *(len(t or "") for t in texts)])[:-1] // BLOCK_BYTES) + first

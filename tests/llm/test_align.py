@@ -111,3 +111,48 @@ def test_long_text_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(align, "BLOCK_BYTES", 100)
     assert sorted(map(tuple, align.digest(align.scored(align.align(docs, A, B))).collect())) == whole and len(whole) == 61
     assert align.digest(align.scored(align.align(docs.limit(0), A, B))).count() == 0
+
+
+def test_new_units_are_aligned_in_arrays():
+    """Calls of functions for each new unit are few: tokens are no steps of Python."""
+    import cProfile
+    import pstats
+    import random
+
+    use, draw = align.Aligner(A, B), random.Random(5)
+    texts = [" ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyzäé", k=draw.randint(4, 14))) for _ in range(100)) for _ in range(100)]
+    profile = cProfile.Profile()
+    made = profile.runcall(use.documents, texts, False)
+    assert all(m[3] > 100 for m in made) and len(use.seen) > 9_000
+    assert pstats.Stats(profile).total_calls < 12 * len(use.seen)
+
+
+def test_texts_that_are_not_aligned_among_others(monkeypatch):
+    """Units whose bytes differ leave those beside them as they are, in one batch and in batches of few units, with and without forgetting."""
+    lib_a, lib_b = Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+    lib_a.encode_special_tokens = True
+    texts = [*ODD, "fine words here", "one ▁ here", "here one", "x▁y here", "one here x▁y z", "words, here; (fine)", "日本 here 語", "̀a here é"] * 3
+    made = align.Aligner(A, B).documents(texts, True)
+    for t, got in zip(texts, made, strict=True):
+        want = tokens(lib_a, lib_b, t)
+        a, ends_a, b, ends_b = want or ([], [], [], [])
+        cuts = sorted(set(ends_a) & set(ends_b))
+        links = Counter(a[ends_a.index(c)] << align.SHIFT | b[ends_b.index(c)] for c in cuts)
+        assert (got[0], got[1], got[3], got[6].tolist()) == (len(a), len(b), len(cuts), cuts)
+        assert dict(zip(got[4].tolist(), got[5].tolist(), strict=True)) == links
+        groups = [g.split("|") for g in got[2].split(";")] if cuts else []
+        assert [int(i) for g in groups for i in g[0].split(",")] == a and [int(i) for g in groups for i in g[1].split(",")] == b
+    for name, most in (("BATCH_UNITS", 3), ("CACHE_UNITS", 10), ("CACHE_BYTES", 30)):
+        monkeypatch.setattr(align, name, most)
+        few = align.Aligner(A, B)
+        assert str([few.documents([t], True) for t in texts]) == str([[m] for m in made])
+        few.forget()
+        assert len(few.seen) == len(few.names) == len(few.rows) and len(few.seen) <= align.CACHE_UNITS // 2 and few.held <= align.CACHE_BYTES // 2 and few.groups == len(few.pairs) == len(few.ends) <= few.held
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    """Parts cover all rows once, in order; one of several rows is within both limits."""
+    monkeypatch.setattr(align, "BATCH_ROWS", 3)
+    monkeypatch.setattr(align, "BATCH_BYTES", 10)
+    assert list(align._parts([1, 1, 1, 1, 20, 4, 6, 1])) == [(0, 3), (3, 4), (4, 5), (5, 7), (7, 8)]
+    assert list(align._parts([])) == []
